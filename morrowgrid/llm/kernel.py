@@ -214,3 +214,21 @@ def append_columns(df: DataFrame, text_col: str, make, new: list[tuple[str, obje
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *cols], names=out_names)
 
     return source.mapInArrow(run, schema)
+
+
+def fold_tables(df: DataFrame, sections: int, width: int, combine, dtype) -> np.ndarray:
+    """Merge (section int, body binary) rows into one table of fixed size, a section at a time, and bring it to the driver."""
+
+    def fold(batches):
+        acc: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, body in zip(b.column("section").to_pylist(), b.column("body").to_pylist(), strict=True):
+                a = np.frombuffer(body, dtype)
+                acc[k] = combine(acc[k], a) if k in acc else a.copy()
+        if acc:
+            yield pa.RecordBatch.from_arrays([pa.array(list(acc), pa.int32()), pa.array([a.tobytes() for a in acc.values()], pa.binary())], names=["section", "body"])
+
+    out = np.zeros(sections * width, dtype)
+    for row in df.repartition(min(sections, 64), "section").mapInArrow(fold, "section int, body binary").collect():
+        out[row.section * width : (row.section + 1) * width] = np.frombuffer(row.body, dtype)
+    return out

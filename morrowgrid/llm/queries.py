@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, sharding, tiff, url_filter
+from . import bpe, decontamination, language_id, pii, sharding, tiff, url_filter
 
 QUERIES = {
     "op1_sampled_splitters": sharding.op1_sampled_splitters,
     "op2_tiff": tiff.op2_tiff,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_language_id": language_id.op4_language_id,
     "op5_url_filter": url_filter.op5_url_filter,
     "op7_bpe": bpe.op7_bpe,
+    "op9_pii": pii.op9_pii,
 }
 ORACLES = {
     "op5_url_filter": url_filter.ORACLE,
