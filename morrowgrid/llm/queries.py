@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, language_id, pii, sharding, tiff, url_filter
+from . import bpe, decontamination, language_id, near_dup, pii, sharding, tiff, url_filter
 
 QUERIES = {
     "op1_sampled_splitters": sharding.op1_sampled_splitters,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_language_id": language_id.op4_language_id,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_near_dup": near_dup.op6_near_dup,
     "op7_bpe": bpe.op7_bpe,
     "op9_pii": pii.op9_pii,
 }
