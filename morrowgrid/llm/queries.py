@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, language_id, near_dup, pii, sharding, tiff, url_filter
+from . import bpe, decontamination, language_id, near_dup, pii, sharding, substring_dedup, suffix_dedup, tiff, url_filter
 
 QUERIES = {
     "op1_sampled_splitters": sharding.op1_sampled_splitters,
@@ -12,7 +12,9 @@ QUERIES = {
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_near_dup": near_dup.op6_near_dup,
     "op7_bpe": bpe.op7_bpe,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_pii": pii.op9_pii,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLES = {
     "op5_url_filter": url_filter.ORACLE,
