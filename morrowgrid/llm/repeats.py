@@ -45,8 +45,10 @@ def _pack(bucket: np.ndarray, cols: list[np.ndarray], kinds) -> pa.RecordBatch |
     first = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
     ends = np.append(first[1:], len(b))
     out = [pa.array(b[first], pa.int32())]
-    for c, (_, kind) in zip(cols, kinds, strict=True):
+    for c, (name, kind) in zip(cols, kinds, strict=True):
         c = np.ascontiguousarray(c[order].astype(kind))
+        if name == "lo":  # as steps from one entry to the next, which compress well
+            c[1:] -= np.where(b[1:] == b[:-1], c[:-1], 0).astype(kind)
         size = c.itemsize
         offsets = pa.py_buffer((np.append(first, ends[-1]) * size).astype(np.int32).tobytes())
         out.append(pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(c.tobytes())]))
@@ -57,6 +59,8 @@ def _unpack(table: pa.Table, kinds) -> list[np.ndarray]:
     out = []
     for name, kind in kinds:
         parts = [np.frombuffer(x.as_py(), kind) for x in table.column(name) if x.is_valid]
+        if name == "lo":
+            parts = [np.cumsum(x, dtype=kind) for x in parts]
         out.append(np.concatenate(parts) if parts else np.zeros(0, kind))
     return out
 
@@ -172,7 +176,9 @@ def repeated_windows(docs: DataFrame, width: int, anchors: Anchors, answer, answ
         keep = new | ~lead
         out_bucket = np.where(new, bucket, buckets + home_id)
         origin = np.where(new, doc, doc[start])
-        out = _pack(out_bucket[keep], [x[keep] for x in (one, two, doc, np.full(len(one), home_id), at, origin, (size > 1).astype(np.uint8))], wide)
+        back = np.flatnonzero(keep)
+        back = back[np.lexsort((at[back], doc[back]))]
+        out = _pack(out_bucket[back], [x[back] for x in (one, two, doc, np.full(len(one), home_id), at, origin, (size > 1).astype(np.uint8))], wide)
         return pa.Table.from_batches([out])
 
     windows = dealt.cogroup(candidates.groupBy("bucket")).applyInArrow(extend, wide_schema)
