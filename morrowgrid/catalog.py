@@ -1,3 +1,8 @@
-"""Queries and their SQL."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""All queries of the library and their SQL."""
+
+from __future__ import annotations
+
+from .plans import audits, scores  # noqa: F401
+from .plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -34,10 +34,10 @@ def domain(df: DataFrame, col: str, allowed: list) -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n")).withColumn("allowed", F.col("value").isin(allowed).cast("int"))
 
 
-def impossible(df: DataFrame, rules: list[tuple[str, str, Column, str]]) -> DataFrame:
+def impossible(df: DataFrame, rules: list[tuple[str, Column, str]]) -> DataFrame:
     """(rule, n, max_value) of named predicates, from one pass."""
     names = [r[0] for r in rules]
-    one = df.agg(*(x for name, _, p, c in rules for x in (F.count_if(p).alias(f"{name}_n"), F.max(F.col(c).cast("double")).alias(f"{name}_m"))))
+    one = df.agg(*(x for name, p, c in rules for x in (F.count_if(p).alias(f"{name}_n"), F.max(F.col(c).cast("double")).alias(f"{name}_m"))))
     return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(f"{n}_n").alias("n"), F.col(f"{n}_m").alias("max_value")) for n in names))).alias("r")).select("r.*")
 
 
