@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import r6
+from ..session import cut_lineage
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -25,6 +26,16 @@ def blocks(v: DataFrame, size: int = 2048) -> DataFrame:
     return v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
 
 
+def _sides(b: DataFrame, ids: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Each block paired with every block: copies grow with the square of the blocks, not of the rows."""
+    every = F.explode(F.array(*(F.lit(i) for i in ids)))
+    cols = [F.col(c) for c in b.columns if c != "block"]
+    left = b.select(*cols, F.col("block").alias("p"), every.alias("q"))
+    # new names for the same columns, or the two sides of the cogroup would share attribute ids
+    right = b.select(*(c.alias(n) for c, n in zip(cols, [c for c in b.columns if c != "block"], strict=True)), F.col("block").alias("q"), every.alias("p"))
+    return left, right
+
+
 def nearest(v: DataFrame, k: int) -> DataFrame:
     """(id, rank, dist): the k nearest points of each, itself first, exactly and block against block.
 
@@ -33,12 +44,11 @@ def nearest(v: DataFrame, k: int) -> DataFrame:
     """
     b = blocks(v)
     ids = [r.block for r in b.select("block").distinct().collect()]
-    left = b.withColumn("other", F.explode(F.array(*(F.lit(i) for i in sorted(ids)))))
-    right = b.withColumnRenamed("block", "other").withColumn("block", F.explode(F.array(*(F.lit(i) for i in sorted(ids)))))
+    left, right = _sides(b, sorted(ids))
 
     def pair(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(c):
-            return pd.DataFrame({"id": [], "other_id": [], "dist": []})
+            return pd.DataFrame({"id": [], "other_id": [], "dist": []}).astype({"id": "int64", "other_id": "int64"})
         x, y = np.array(a["features"].tolist()), np.array(c["features"].tolist())
         d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
         same = a["id"].to_numpy()[:, None] == c["id"].to_numpy()[None]
@@ -47,7 +57,7 @@ def nearest(v: DataFrame, k: int) -> DataFrame:
         at = np.argpartition(d, m - 1, axis=1)[:, :m]
         return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), m), "other_id": c["id"].to_numpy()[at].ravel(), "dist": np.maximum(0, np.take_along_axis(d, at, 1)).ravel()})
 
-    c = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(pair, "id long, other_id long, dist double")
+    c = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(pair, "id long, other_id long, dist double")
     w = W.partitionBy("id").orderBy("dist", F.col("id") != F.col("other_id"), "other_id")
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -66,9 +76,8 @@ def k_distance_percentiles(v: DataFrame, k: int, at=(50, 75, 90, 95, 99)) -> Dat
 def _blocked(v: DataFrame, run, schema: str) -> DataFrame:
     b = blocks(v)
     ids = sorted(r.block for r in b.select("block").distinct().collect())
-    left = b.withColumn("other", F.explode(F.array(*(F.lit(i) for i in ids))))
-    right = b.withColumnRenamed("block", "other").withColumn("block", F.explode(F.array(*(F.lit(i) for i in ids))))
-    return left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(run, schema)
+    left, right = _sides(b, ids)
+    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(run, schema)
 
 
 def _pairwise(a: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
@@ -97,7 +106,7 @@ def dbscan(v: DataFrame, eps: float, min_samples: int = 10) -> DataFrame:
     leave the task, so dense groups don't make all their pairs.
     """
     core = dbscan_core(v, eps, min_samples).select("id", "is_core")
-    cv = v.join(core, "id")
+    cv = cut_lineage(v.select("id", "features").join(core, "id"))
 
     def forest(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         a, c = a[a["is_core"] == 1], c[c["is_core"] == 1]
@@ -120,11 +129,11 @@ def dbscan(v: DataFrame, eps: float, min_samples: int = 10) -> DataFrame:
         return pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
 
     edges = _blocked(cv.select("id", "features", "is_core"), forest, "a long, b long")
-    edges = edges.union(edges.select("b", "a")).distinct()
+    edges = cut_lineage(edges.union(edges.select("b", "a")).distinct())
     labels = cv.where("is_core = 1").select("id", F.col("id").alias("label"))
     while True:
         near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("label").alias("m"))
-        new = labels.join(near, labels.id == near.a, "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old")).persist()
+        new = cut_lineage(labels.join(near, labels.id == near.a, "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old")))
         if new.where("label <> old").isEmpty():
             break
         labels = new.select("id", "label")

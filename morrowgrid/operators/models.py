@@ -83,7 +83,8 @@ def smote(d: DataFrame, key: str, features: list[str], k: int = 5, ratio: float
     h = F.pmod(F.xxhash64("id", "copy"), F.lit(1 << 30))
     picked = seeds.select("id", "copy", F.col("near")[(h % F.size("near")).cast("int")]["other_id"].alias("other"), (F.pmod(F.xxhash64("copy", "id"), F.lit(1 << 20)) / float(1 << 20)).alias("u"))
     few = picked.orderBy("copy", F.xxhash64("id", "copy"), "id").limit(need)
-    a, b = v.withColumnRenamed("features", "fa"), v.select(F.col("id").alias("other"), F.col("features").alias("fb"))
+    a = m.select(F.col(key).alias("id"), F.array(*(F.col(f).cast("double") for f in features)).alias("fa"))
+    b = m.select(F.col(key).alias("other"), F.array(*(F.col(f).cast("double") for f in features)).alias("fb"))
     new = few.join(a, "id").join(b, "other").select(F.zip_with("fa", "fb", lambda x, y: y - x).alias("step"), "fa", "u")
     new = new.select(F.zip_with("fa", "step", lambda x, s: x + s).alias("full"), "fa", "step", "u").select(F.zip_with("fa", F.transform("step", lambda s: s * F.col("u")), lambda x, s: x + s).alias("x"))
     made = new.select(F.lit(None).cast("long").alias(key), *(F.col("x")[i].alias(f) for i, f in enumerate(features)), F.lit(small).cast("int").alias(LABEL))

@@ -13,3 +13,17 @@ def build(app: str = "morrowgrid", **conf: str) -> SparkSession:
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def cut_lineage(df):
+    """A reliable checkpoint in spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            import tempfile
+
+            where = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(where)
+    return df.checkpoint(eager=True)
