@@ -298,7 +298,7 @@ def decode_pages(files: DataFrame, id_col: str = "doc_id", media_col: str = "med
 
     def run(batches):
         for b in batches:
-            for lo, hi in slices(b.column("mg_media"), 8 << 20):
+            for lo, hi in slices(b.column("mg_media"), 1 << 20):
                 part = b.slice(lo, hi - lo)
                 rows, index = [], []
                 for i, raw in enumerate(part.column("mg_media").to_pylist()):
@@ -339,7 +339,7 @@ def texts_as_tiff(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     def run(batches):
         for b in batches:
-            for lo, hi in slices(b.column("mg_text")):
+            for lo, hi in slices(b.column("mg_text"), 1 << 20):
                 part = b.slice(lo, hi - lo)
                 sizes, media = [], []
                 for t in part.column("mg_text").cast(pa.binary()).to_pylist():
@@ -360,7 +360,7 @@ def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = decode_pages(stored, keep=("n_bytes", "media"))
 
     def digest(batches):
-        for b in batches:
+        for b in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in slices(whole.column("pixels"), 1 << 20)):
             rows = []
             for px, media, w, h in zip(*(b.column(c).to_pylist() for c in ("pixels", "media", "width", "height")), strict=True):
                 a = np.frombuffer(px, np.uint8)
