@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import r6, ratio
 from .features import standardise
+from .ranges import with_range
 
 
 def naive(d: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def ipw(d: DataFrame) -> DataFrame:
     return with_weights(d).agg(r6(one(1) - one(0)).alias("ate"))
 
 
-def nearest_treated(d: DataFrame, cells: int = 64) -> DataFrame:
+def nearest_treated(d: DataFrame) -> DataFrame:
     """Each control with its nearest treated unit by logit(e), with replacement; ties go to the lower score.
 
     Distinct scores are few, so neighbours are sought among distinct treated
@@ -47,7 +48,7 @@ def nearest_treated(d: DataFrame, cells: int = 64) -> DataFrame:
     logit = F.log(F.col("e") / (1 - F.col("e")))
     sd = d.agg(F.stddev_pop(logit).alias("sd"))
     scores = d.groupBy("e").agg(F.max(F.when(F.col("t") == 1, F.col("e"))).alias("te"), F.avg(F.when(F.col("t") == 1, F.col("y").cast("double"))).alias("ty"))
-    parts = scores.repartitionByRange(cells, "e").withColumn("part", F.spark_partition_id())
+    parts = with_range(scores, "e")
     ends = parts.groupBy("part").agg(F.min("te").alias("lo"), F.max("te").alias("hi"))
     around = ends.select("part", F.last("hi", True).over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("prev_hi"), F.first("lo", True).over(W.orderBy("part").rowsBetween(1, W.unboundedFollowing)).alias("next_lo"))
     w = W.partitionBy("part").orderBy("e")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import edge_bins, r6, ratio
+from .ranges import with_range
 
 
 def score_counts(s: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -20,7 +21,7 @@ def cumulative(s: DataFrame) -> DataFrame:
     Scores are range-partitioned in descending order and each range adds the
     counts of those before it, so no single task takes all distinct scores.
     """
-    c = score_counts(s).repartitionByRange(F.col("p").desc()).withColumn("part", F.spark_partition_id())
+    c = with_range(score_counts(s), "p", desc=True)
     sizes = c.groupBy("part").agg(F.sum("pos").alias("sp"), F.sum("n").alias("sn"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     off = sizes.select("part", F.coalesce(F.sum("sp").over(before), F.lit(0)).alias("op"), F.coalesce(F.sum("sn").over(before), F.lit(0)).alias("on"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import cut_bins, edge_bins, r6, rate, ratio, share
+from .ranges import with_range
 
 
 def group_rate(df: DataFrame, by: str, target: str) -> DataFrame:
@@ -100,7 +101,7 @@ def ranked_values(df: DataFrame, col: str, desc: bool = False) -> DataFrame:
     key ranges whose offsets are added, so no task holds more than a range.
     """
     c = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
-    ordered = c.repartitionByRange(F.col("value").desc() if desc else F.col("value").asc()).withColumn("part", F.spark_partition_id())
+    ordered = with_range(c, "value", desc=desc)
     sizes = ordered.groupBy("part").agg(F.sum("n").alias("size"))
     before = F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("part", before.alias("offset"))
