@@ -18,7 +18,7 @@ GRAMS, BUCKETS, DIM = (3, 4), 1 << 14, 16
 #: Documented bound on the training sample: expected documents of each language.
 SAMPLE_PER_LANGUAGE = 400
 #: The threshold rejects at most this share of the calibration documents, and never a score above MAX_THRESHOLD.
-REJECT_SHARE, MAX_THRESHOLD = 0.001, 0.35
+REJECT_SHARE, MAX_THRESHOLD = 0.001, 0.28
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
