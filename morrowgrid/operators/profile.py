@@ -90,7 +90,13 @@ def five_numbers(df: DataFrame, col: str, by: str) -> DataFrame:
 def pearson(df: DataFrame, cols: list[str]) -> DataFrame:
     """Correlation matrix in long form (upper half and diagonal), one pass."""
     pairs = list(combinations_with_replacement(cols, 2))
-    one = df.agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs))
+
+    def corr(a: str, b: str) -> Column:
+        # over rows that have both; null where one of them is constant
+        x, y = F.when(F.col(b).isNotNull(), F.col(a).cast("double")), F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    one = df.agg(*(corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r6(F.col(f"`{a}|{b}`")).alias("r")) for a, b in pairs))).alias("p")).select("p.*")
 
 
