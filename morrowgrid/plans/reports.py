@@ -45,12 +45,14 @@ def elbow_table(spark, sf):
 _SEG = ("z", "SELECT customer_id % 3 AS cluster, " + ", ".join(f"({c} - (SELECT avg({c}) FROM rfm)) / (SELECT stddev_pop({c}) FROM rfm) AS {c}" for c in ("recency", "frequency", "monetary")) + " FROM rfm")
 
 
-@query("segment_zscores", with_views("SELECT cluster, round(avg(recency), 5) AS recency, round(avg(frequency), 5) AS frequency, round(avg(monetary), 5) AS monetary FROM z GROUP BY cluster", TXN, CLEAN, ("rfm", RFM_SQL), _SEG))
+@query("segment_zscores", with_views("SELECT cluster, round(avg(recency), 5) + 0.0::DOUBLE AS recency, round(avg(frequency), 5) + 0.0::DOUBLE AS frequency, round(avg(monetary), 5) + 0.0::DOUBLE AS monetary FROM z GROUP BY cluster", TXN, CLEAN, ("rfm", RFM_SQL), _SEG))
 def segment_zscores(spark, sf):
     """Mean of standardised features by segment."""
     cols = ["recency", "frequency", "monetary"]
-    z = ft.standardise(ft.rfm(clean_txn(spark, sf)), "customer_id", cols)
-    return z.groupBy((F.col("customer_id") % 3).alias("cluster")).agg(*(F.round(F.avg(c), 5).alias(c) for c in cols))
+    r = ft.rfm(clean_txn(spark, sf))
+    whole = r.agg(*(x for c in cols for x in (F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s"))))
+    means = r.groupBy((F.col("customer_id") % 3).alias("cluster")).agg(*(F.avg(c).alias(c) for c in cols))
+    return means.crossJoin(F.broadcast(whole)).select("cluster", *((F.round(F.try_divide(F.col(c) - F.col(f"{c}_m"), F.col(f"{c}_s")), 5) + 0.0).alias(c) for c in cols))
 
 
 @query("top5_customers", with_views("SELECT customer_id, monetary FROM rfm ORDER BY monetary DESC, customer_id LIMIT 5", TXN, CLEAN, ("rfm", RFM_SQL)))
