@@ -4,7 +4,9 @@ A shingle's weight is its count in the document times a damped inverse document
 frequency, 1 + IDF_SHARE * ln((1+N)/(1+df)) / ln(1+N). Document frequencies are
 counted over all documents in a count-min table of fixed size. Equal texts are
 one node. A node is compared with the leader (smallest node) of each of its band
-keys by weighted Jaccard similarity; links join nodes to classes.
+keys by weighted Jaccard similarity; links join nodes to classes. Where the other
+members of a key are then in more than one class, all of its pairs that aren't in
+one class are compared, block against block, so no pair with a common key is lost.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import append_columns, cut, flat, fold_tables, mix, owner, rolling, slices, span_hash, word_spans
+from .kernel import append_columns, cut, flat, fold_tables, mix, owner, rolling, slices, span_hash, spread, word_spans
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 3
@@ -24,6 +26,8 @@ IDF_SHARE = 0.1
 CM_ROWS, CM_COLS = 2, 1 << 19
 #: Members that are compared with one copy of a leader's text; a larger group gets more copies.
 GROUP = 64
+#: Text bytes of a block of a key's members, where these are compared with one another.
+BLOCK_BYTES = 2 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(97))
 _R = _RNG.gamma(2, 1, 4096).astype(np.float32) + np.float32(1e-3)
@@ -161,6 +165,89 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataF
     return dealt.mapInArrow(compare, "member long, leader long")
 
 
+def _compare_all(nodes: list[int], labels: list[int], bands: np.ndarray, band: int, sides: np.ndarray | None, own: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
+    """The links (member, leader) of a key's members that aren't in one class yet; of pairs that share several keys, those whose first one this is.
+
+    sides: only pairs across the two blocks count. A pair whose weights' sums are too far apart can't be similar.
+    """
+    name, label = np.array(nodes), np.array(labels)
+    size = np.array([len(h) for h, _ in own])
+    start = np.append(0, np.cumsum(size))
+    h, w = (np.concatenate([x[k] for x in own]) for k in (0, 1))
+    total = np.array([float(x.sum(dtype=np.float64)) for _, x in own])
+    out = []
+    for i in range(len(name) - 1):
+        js = np.arange(i + 1, len(name))
+        ok = (label[js] != label[i]) & (np.minimum(total[js], total[i]) >= (similarity - 1e-4) * np.maximum(total[js], total[i]))
+        if sides is not None:
+            ok &= sides[js] != sides[i]
+        js = js[ok]
+        js = js[(bands[js] == bands[i]).argmax(1) == band]
+        if not len(js):
+            continue
+        at = spread(start[js], size[js])
+        a, u = own[i]
+        where = np.minimum(np.searchsorted(a, h[at]), len(a) - 1)
+        low = np.add.reduceat(np.where(a[where] == h[at], np.minimum(u[where], w[at]), 0), np.append(0, np.cumsum(size[js])[:-1]), dtype=np.float64)
+        for j in js[low >= similarity * (total[i] + total[js] - low)]:
+            out.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
+            label[label == label[j]] = label[i]
+    return out
+
+
+def _exhaust(nodes: DataFrame, many: DataFrame, labels: DataFrame, source: DataFrame, idf, similarity: float) -> DataFrame:
+    """The links (member, leader) that the comparison with leaders leaves in keys whose other members are in more than one class.
+
+    Members of a key are dealt to blocks of about BLOCK_BYTES of text and each pair of blocks is a unit of its own,
+    so a task's memory is bounded and a large key is spread; no pair is a row.
+    """
+    keyed = nodes.select("node", "size", F.posexplode("bands").alias("band", "value")).select("node", "size", "band", F.xxhash64("band", "value").alias("key"))
+    others = keyed.join(many.where("n > 2"), "key").where("node <> leader").join(labels, "node", "left").select("key", "band", "node", "size", F.coalesce("label", "node").alias("label"))
+    others = cut(others)
+    mixed = cut(others.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("blocks")).where("lo <> hi").select("key", "blocks"))
+    own = others.join(mixed, "key").withColumn("i", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q"))))
+    units = cut(own.select("key", "band", "node", "label", "i", pair.alias("u")).select("key", "u.p", "u.q", "band", "node", "label", "i"))
+    texts = _texts_of(units.select("node").distinct(), nodes, source).join(nodes.select("node", "bands"), "node")
+    dealt = units.join(texts, "node").select("key", "p", "q", "node", "band", "label", "i", "bands", "text").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
+
+    def compare(batches):
+        unit, held = None, []
+
+        def done():
+            if len(held) < 2:
+                return []
+            node, band, label, side, bands, own = zip(*held, strict=True)
+            return _compare_all(list(node), list(label), np.array(bands), band[0], np.array(side) if unit[1] != unit[2] else None, list(own), similarity)
+
+        for b in batches:
+            for lo, hi in slices(b.column("text")):
+                part = b.slice(lo, hi - lo)
+                h, count, off = shingles(part.column("text"))
+                w = weights(h, count, idf.value)
+                links = []
+                for r, (key, p, q, node, band, label, i, bands) in enumerate(zip(*(part.column(c).to_pylist() for c in ("key", "p", "q", "node", "band", "label", "i", "bands")), strict=True)):
+                    if unit != (key, p, q):
+                        links += done()
+                        unit, held = (key, p, q), []
+                    held.append((node, band, label, i, bands, (h[off[r] : off[r + 1]], w[off[r] : off[r + 1]])))
+                yield _pairs(links)
+        yield _pairs(done())
+
+    return dealt.mapInArrow(compare, "member long, leader long")
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["member", "leader"])
+
+
+def _texts_of(wanted: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes."""
+    w = wanted.join(nodes.select("node", "f1", "f2"), "node").select(F.col("node").alias("w_node"), F.col("f1").alias("w1"), F.col("f2").alias("w2"))
+    same = (F.col("id") == F.col("w_node")) & (F.col("f1") == F.col("w1")) & (F.col("f2") == F.col("w2"))
+    return source.join(w, same, "left_semi").select(F.col("id").alias("node"), "text")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's connected component, by label spreading and pointer jumping."""
     edges = cut(links.select(F.col("member").alias("a"), F.col("leader").alias("b")).union(links.select("leader", "member")).distinct())
@@ -180,9 +267,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal texts share a class. A null or wordless text and a row with a null id
     stand alone (a null id's class is null). Rows that share an id are one
-    document. Candidates: every node meets the smallest node of each of its band
-    keys and of each two neighbouring band keys together, so their number is
-    linear, whatever the size of a group; equal texts make no pairs.
+    document. Every node meets the smallest node of each of its band keys and of
+    each two neighbouring band keys together; then the members of a key that are
+    still in different classes meet one another, so every two nodes with a common
+    band key are compared or in one class. Equal texts make no pairs.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = document_frequencies(source, "text")
@@ -197,20 +285,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel(), pa.int64()))]
 
     fp = (F.xxhash64("text").alias("f1"), F.xxhash64(F.lit(1), "text").alias("f2"))
-    signed = cut(append_columns(source.select("id", *fp, "text"), "text", sign, [("bands", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], ["id", "f1", "f2"]))
+    sized = source.select("id", *fp, F.octet_length("text").alias("size"), "text")
+    signed = cut(append_columns(sized, "text", sign, [("bands", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], ["id", "f1", "f2", "size"]))
     known = signed.where(F.col("id").isNotNull() & (F.size("bands") > 0))
-    nodes = cut(known.groupBy("f1", "f2").agg(F.min(F.struct("id", "bands")).alias("m")).select("f1", "f2", F.col("m.id").alias("node"), F.col("m.bands").alias("bands")))
+    nodes = cut(known.groupBy("f1", "f2").agg(F.min(F.struct("id", "size", "bands")).alias("m")).select("f1", "f2", F.col("m.id").alias("node"), F.col("m.size").alias("size"), F.col("m.bands").alias("bands")))
     one = F.transform("bands", lambda b, i: F.xxhash64(i, b))
     two = F.transform("bands", lambda b, i: F.xxhash64(i + BANDS, b, F.col("bands")[(i + 1) % BANDS]))
     keyed = nodes.select("node", F.explode(F.array_distinct(F.concat(one, two))).alias("key"))
     # A written table on this side leaves the join two plain shuffles, so Spark can split a hot key's partition.
-    many = cut(keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader"))
+    many = cut(keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"))
     pairs = cut(keyed.join(many, "key").where("node > leader").select(F.col("node").alias("member"), "leader").distinct())
-    wanted = pairs.select(F.col("member").alias("node")).union(pairs.select("leader")).distinct().join(nodes.select("node", "f1", "f2"), "node").select(F.col("node").alias("w_node"), F.col("f1").alias("w1"), F.col("f2").alias("w2"))
-    same = (F.col("id") == F.col("w_node")) & (F.col("f1") == F.col("w1")) & (F.col("f2") == F.col("w2"))
-    texts = source.select("id", *fp, "text").join(wanted, same, "left_semi").select(F.col("id").alias("node"), "text")
+    texts = _texts_of(pairs.select(F.col("member").alias("node")).union(pairs.select("leader")).distinct(), nodes, source.select("id", *fp, "text"))
     links = cut(_verify(pairs, texts, idf, similarity).distinct())
     labels = components(links)
+    more = cut(_exhaust(nodes, many, labels, source.select("id", *fp, "text"), idf, similarity).distinct())
+    if not more.isEmpty():
+        links = cut(links.union(more).distinct())
+        labels = components(links)
     degree = links.select(F.col("member").alias("node")).union(links.select("leader")).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = nodes.select("f1", "f2", "node").join(labels, "node", "left").join(degree, "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("label"), "n_links")
     found = signed.select("id", "f1", "f2", (F.col("id").isNotNull() & (F.size("bands") > 0)).alias("ok")).join(classes, ["f1", "f2"], "left")
