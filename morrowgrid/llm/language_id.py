@@ -17,8 +17,10 @@ from .kernel import append_columns, flat
 GRAMS, BUCKETS, DIM = (3, 4), 1 << 14, 16
 #: Documented bound on the training sample: expected documents of each language.
 SAMPLE_PER_LANGUAGE = 400
-#: The threshold rejects at most this share of the calibration documents, and never a score above MAX_THRESHOLD.
-REJECT_SHARE, MAX_THRESHOLD = 0.001, 0.28
+#: Each threshold is the quantile that leaves this share of the calibration documents out.
+REJECT_SHARE = 0.001
+#: Bits of the table of known 4-byte subwords; the numbers of subwords at which a length class begins; calibration prefixes of each class.
+KNOWN_BITS, CLASSES, PREFIX = 20, (32, 128, 512), (16, 32, 128, 512)
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
@@ -40,6 +42,21 @@ def _buckets(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]
     return out, off, data
 
 
+def _subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's 4-byte subwords in order, without those that begin with two blanks; offsets by text."""
+    data, off = flat(pc.utf8_lower(texts))
+    d, n = _FOLD[data].astype(np.uint64), len(data)
+    pad = np.concatenate([d, np.full(8, 0x20, np.uint64)])
+    v = pad[:n] | pad[1 : n + 1] << np.uint64(8) | pad[2 : n + 2] << np.uint64(16) | pad[3 : n + 3] << np.uint64(24)
+    ok = (pad[:n] != 0x20) | (pad[1 : n + 1] != 0x20)
+    for j in range(1, 4):
+        at = off[1:] - j
+        ok[at[at >= off[:-1]]] = False
+    count = np.append(0, np.cumsum(ok))
+    h = (v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - KNOWN_BITS)
+    return h[ok].astype(np.int64), count[off]
+
+
 def _sums(values: np.ndarray, off: np.ndarray, g: int) -> np.ndarray:
     """Sum of values[off[i] : off[i+1]-g+1] for each text."""
     out = np.zeros((len(off) - 1, values.shape[1]))
@@ -61,6 +78,20 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    #: Which subwords were seen; of each length class the largest share of new ones that passes, and the one that is usual.
+    known: np.ndarray | None = None
+    limits: np.ndarray | None = None
+    usual: np.ndarray | None = None
+
+    def strange(self, texts: pa.Array, score: np.ndarray) -> np.ndarray:
+        """Whether more subwords are new than calibration documents of that length have, or the score is low and more are new than usual."""
+        if self.known is None:
+            return score < self.threshold
+        h, off = _subwords(texts)
+        n = np.diff(off)
+        new = np.append(0, np.cumsum(~self.known[h]))
+        share, kind = (new[off[1:]] - new[off[:-1]]) / np.maximum(n, 1), np.searchsorted(CLASSES, n, "right")
+        return (share > self.limits[kind]) | ((score < self.threshold) & (share > self.usual[kind]))
 
     def logits(self, texts: pa.Array) -> np.ndarray:
         grams, off, _ = _buckets(texts)
@@ -78,7 +109,7 @@ class LanguageModel:
         p = softmax(self.logits(texts) / self.temperature)
         best = p.argmax(1)
         score = np.where(lettered, p.max(1), 0.0)
-        return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], score, ~lettered | (score < self.threshold)
+        return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], score, ~lettered | self.strange(texts, score)
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:
@@ -127,14 +158,28 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: list[str], epoc
         model.temperature = float(min(loss, key=loss.get))
         p = softmax(z / model.temperature)
         right = p.max(1)[p.argmax(1) == y]
-        model.threshold = float(min(MAX_THRESHOLD, np.quantile(right, REJECT_SHARE, method="lower"))) if len(right) else 0.0
+        model.threshold = float(np.quantile(right, REJECT_SHARE, method="lower")) if len(right) else 0.0
     return model
 
 
+def calibrate(model: LanguageModel, learn: list[np.ndarray], held: list[np.ndarray]) -> None:
+    """Known subwords from learn; of each length class the shares of new ones in prefixes of held."""
+    model.known = np.zeros(1 << KNOWN_BITS, bool)
+    for h in learn:
+        model.known[h] = True
+    limits, usual = [], []
+    for k in PREFIX:
+        share = [float((~model.known[h[:k]]).mean()) for h in held if len(h) >= k]
+        share = share or [float((~model.known[h]).mean()) for h in held if len(h)] or [1.0]
+        limits.append(np.quantile(share, 1 - REJECT_SHARE, method="higher"))
+        usual.append(np.quantile(share, 0.95))
+    model.limits, model.usual = np.array(limits), np.array(usual)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Learn from a hash sample (expected size per_language each) of labelled documents that aren't held out.
 
-    The executors send bucket counts, not texts. A language without a lettered
+    The executors send bucket counts and subword hashes, not texts. A language without a lettered
     text isn't learned; without any label every prediction is `und`.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col) & F.col(id_col).isNotNull())
@@ -147,19 +192,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def features(texts: pa.Array):
         grams, off, _ = _buckets(texts)
-        ids, cnt = [], []
+        sub, sub_off = _subwords(texts)
+        ids, cnt, seen, lead = [], [], [], []
         for i, ok in enumerate(has_letter(texts)):
             h = np.concatenate([g[off[i] : max(off[i], off[i + 1] - k + 1)] for g, k in zip(grams, GRAMS, strict=True)]) if ok else np.zeros(0, np.int64)
             a, n = np.unique(h, return_counts=True)
             ids.append(a.astype(np.uint16).tobytes())
             cnt.append(n.astype(np.uint32).tobytes())
-        return ids, cnt
+            own = sub[sub_off[i] : sub_off[i + 1]]
+            seen.append(np.unique(own).astype(np.uint32).tobytes())
+            lead.append(own[: max(PREFIX)].astype(np.uint32).tobytes())
+        return ids, cnt, seen, lead
 
-    got = append_columns(drawn, "mg_text", features, [("mg_ids", T.BinaryType(), pa.binary()), ("mg_cnt", T.BinaryType(), pa.binary())], keep=["mg_id", "mg_lang"]).collect()
+    got = append_columns(drawn, "mg_text", features, [(c, T.BinaryType(), pa.binary()) for c in ("mg_ids", "mg_cnt", "mg_seen", "mg_lead")], keep=["mg_id", "mg_lang"]).collect()
     langs = sorted({r.mg_lang for r in got if len(r.mg_ids)})
     at = {k: i for i, k in enumerate(langs)}
     rows = sorted((r for r in got if len(r.mg_ids)), key=lambda r: (r.mg_id, bytes(r.mg_ids), r.mg_lang))
-    return train([(np.frombuffer(r.mg_ids, np.uint16).astype(np.int64), np.frombuffer(r.mg_cnt, np.uint32).astype(float), at[r.mg_lang]) for r in rows], langs)
+    model = train([(np.frombuffer(r.mg_ids, np.uint16).astype(np.int64), np.frombuffer(r.mg_cnt, np.uint32).astype(float), at[r.mg_lang]) for r in rows], langs)
+    learn, held = [r for i, r in enumerate(rows) if i % 5], [r for i, r in enumerate(rows) if not i % 5]
+    if learn and held:
+        calibrate(model, [np.frombuffer(r.mg_seen, np.uint32) for r in learn], [np.frombuffer(r.mg_lead, np.uint32) for r in held])
+    return model
 
 
 def held_out(id_col: str = "doc_id"):
