@@ -7,7 +7,9 @@ anchor that only its own words decide, so equal windows have equal anchors.
    for, go to a bucket by fingerprint; those that occur once end there.
 2. extend: for shared anchors the windows' fingerprints (96 bits) go to the
    anchor's bucket, where sorting brings equal windows together.
-3. the earliest occurrence and its repeats go back to the documents.
+3. the earliest occurrence and its repeats go back to the documents; a repeat
+   that was merged inside a task takes its origin from the window it was merged
+   with, which comes back to the same bucket of documents.
 
 Within a task equal anchors and equal windows are merged before they are dealt
 out, so a passage that a third of all documents hold sends one row a task.
@@ -47,7 +49,7 @@ def _pack(bucket: np.ndarray, cols: list[np.ndarray], kinds) -> pa.RecordBatch |
     out = [pa.array(b[first], pa.int32())]
     for c, (name, kind) in zip(cols, kinds, strict=True):
         c = np.ascontiguousarray(c[order].astype(kind))
-        if name == "lo":  # as steps from one entry to the next, which compress well
+        if name in ("lo", "src"):  # as steps from one entry to the next, which compress well
             c[1:] -= np.where(b[1:] == b[:-1], c[:-1], 0).astype(kind)
         size = c.itemsize
         offsets = pa.py_buffer((np.append(first, ends[-1]) * size).astype(np.int32).tobytes())
@@ -59,7 +61,7 @@ def _unpack(table: pa.Table, kinds) -> list[np.ndarray]:
     out = []
     for name, kind in kinds:
         parts = [np.frombuffer(x.as_py(), kind) for x in table.column(name) if x.is_valid]
-        if name == "lo":
+        if name in ("lo", "src"):
             parts = [np.cumsum(x, dtype=kind) for x in parts]
         out.append(np.concatenate(parts) if parts else np.zeros(0, kind))
     return out
@@ -135,8 +137,8 @@ def repeated_windows(docs: DataFrame, width: int, anchors: Anchors, answer, answ
 
     candidates = revealed.groupBy("bucket").applyInArrow(shared_only, _SCHEMA)
 
-    wide = (("h", np.uint64), ("h2", np.uint32), ("doc", np.int64), ("home", np.int32), ("lo", np.int32), ("origin", np.int64), ("flag", np.uint8))
-    wide_schema = "bucket int, h binary, h2 binary, doc binary, home binary, lo binary, origin binary, flag binary"
+    wide = (("h", np.uint64), ("h2", np.uint32), ("doc", np.int64), ("home", np.int32), ("lo", np.int32), ("origin", np.int64), ("src", np.int32), ("flag", np.uint8))
+    wide_schema = "bucket int, h binary, h2 binary, doc binary, home binary, lo binary, origin binary, src binary, flag binary"
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({n: pa.array([], pa.int32() if n == "bucket" else pa.binary()) for n in ["bucket", *(n for n, _ in wide)]})
@@ -178,17 +180,17 @@ def repeated_windows(docs: DataFrame, width: int, anchors: Anchors, answer, answ
         origin = np.where(new, doc, doc[start])
         back = np.flatnonzero(keep)
         back = back[np.lexsort((at[back], doc[back]))]
-        out = _pack(out_bucket[back], [x[back] for x in (one, two, doc, np.full(len(one), home_id), at, origin, (size > 1).astype(np.uint8))], wide)
+        out = _pack(out_bucket[back], [x[back] for x in (one, two, doc, np.full(len(one), home_id), at, origin, at[start], (size > 1).astype(np.uint8))], wide)
         return pa.Table.from_batches([out])
 
     windows = dealt.cogroup(candidates.groupBy("bucket")).applyInArrow(extend, wide_schema)
 
-    marks = (("doc", np.int64), ("lo", np.int32), ("n", np.int32), ("origin", np.int64), ("late", np.uint8))
-    mark_schema = "bucket int, doc binary, lo binary, n binary, origin binary, late binary"
+    marks = (("doc", np.int64), ("lo", np.int32), ("n", np.int32), ("origin", np.int64), ("late", np.uint8), ("src", np.int32))
+    mark_schema = "bucket int, doc binary, lo binary, n binary, origin binary, late binary, src binary"
 
     def earliest(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        h, h2, doc, home, lo, origin, flag = _unpack(table, wide)
+        h, h2, doc, home, lo, origin, src, flag = _unpack(table, wide)
         late = np.ones(len(doc), np.uint8)
         if bucket < buckets:
             order = np.lexsort((lo, doc, h2, h))
@@ -202,17 +204,20 @@ def repeated_windows(docs: DataFrame, width: int, anchors: Anchors, answer, answ
             if every:
                 keep |= (np.bincount(group)[group] > 1) | (np.maximum.reduceat(flag, start)[group] > 0)
             doc, home, lo, origin, late = (x[keep] for x in (doc, home, lo, origin, late))
+            src = np.full(len(doc), -1, np.int32)
         order = np.lexsort((lo, doc, home))
-        doc, home, lo, origin, late = (x[order] for x in (doc, home, lo, origin, late))
-        first, n = runs(lo.astype(np.int64), mix(doc.view(np.uint64)) + mix(origin.view(np.uint64) + np.uint64(1)) + (home.astype(np.uint64) << np.uint64(1)) + late)
-        out = _pack(home[first].astype(np.int64), [doc[first], lo[first], n, origin[first], late[first]], marks)
+        doc, home, lo, origin, late, src = (x[order] for x in (doc, home, lo, origin, late, src))
+        step = np.where(src < 0, 0, src.astype(np.int64) - lo + (1 << 40)).astype(np.uint64)
+        first, n = runs(lo.astype(np.int64), mix(doc.view(np.uint64)) + mix(origin.view(np.uint64) + np.uint64(1)) + (home.astype(np.uint64) << np.uint64(1)) + late + mix(step))
+        out = _pack(home[first].astype(np.int64), [doc[first], lo[first], n, origin[first], late[first], src[first]], marks)
         names = ["bucket", *(x for x, _ in marks)]
         return pa.Table.from_batches([out]) if out is not None else pa.table({x: pa.array([], pa.int32() if x == "bucket" else pa.binary()) for x in names})
 
     repeats = windows.groupBy("bucket").applyInArrow(earliest, mark_schema)
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc, lo, n, origin, late = _unpack(right, marks) if right.num_rows else [np.zeros(0, k) for _, k in marks]
+        doc, lo, n, origin, late, src = _unpack(right, marks) if right.num_rows else [np.zeros(0, k) for _, k in marks]
+        doc, lo, n, origin, late = _follow(doc, lo, n, origin, late, src)
         order = np.argsort(doc, kind="stable")
         doc, lo, n, origin, late = doc[order], lo[order].astype(np.int64), n[order].astype(np.int64), origin[order], late[order]
         ids = ids_of(left.column("id").combine_chunks())
@@ -223,6 +228,26 @@ def repeated_windows(docs: DataFrame, width: int, anchors: Anchors, answer, answ
     return dealt.cogroup(repeats.groupBy("bucket")).applyInArrow(settle, answer_schema)
 
 
+def _follow(doc, lo, n, origin, late, src):
+    """Runs with src >= 0 repeat the windows from src of the document origin: they take the origins of those windows, themselves if there are none."""
+    far = src >= 0
+    if not far.any():
+        return doc, lo, n, origin, late
+    lo, n = lo.astype(np.int64), n.astype(np.int64)
+    docs = np.unique(doc)
+    key = lambda d, p: (np.searchsorted(docs, d).astype(np.int64) << 32) + p
+    heads = np.flatnonzero(~far)
+    heads = heads[np.argsort(key(doc[heads], lo[heads]), kind="stable")]
+    d, at = np.repeat(origin[far], n[far]), spread(src[far].astype(np.int64), n[far])
+    first = d.copy()
+    if len(heads):
+        j = heads[np.maximum(0, np.searchsorted(key(doc[heads], lo[heads]), key(d, at), "right") - 1)]
+        first = np.where((doc[j] == d) & (lo[j] <= at) & (at < lo[j] + n[j]), origin[j], d)
+    own, pos, after = np.repeat(doc[far], n[far]), spread(lo[far], n[far]), np.repeat(late[far], n[far])
+    f, size = runs(pos, mix(own.view(np.uint64)) + mix(first.view(np.uint64) + np.uint64(1)))
+    return tuple(np.concatenate([x[~far], y]) for x, y in ((doc, own[f]), (lo, pos[f]), (n, size), (origin, first[f]), (late, after[f])))
+
+
 def covered(starts: np.ndarray, n: np.ndarray, width: int, words: int) -> np.ndarray:
     """Which of a text's words a window of the runs (first start, windows) covers."""
     edge = np.zeros(words + 1, np.int64)
