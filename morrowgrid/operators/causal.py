@@ -104,7 +104,7 @@ def adjusted_odds(d: DataFrame, cols: list[str]) -> DataFrame:
     return d.sparkSession.createDataFrame([(float(np.exp(m.coefficients[len(cols)])),)], "odds_ratio double")
 
 
-def bootstrap_ipw(d: DataFrame, cols: list[str], replicates: int = 20) -> DataFrame:
+def bootstrap_ipw(d: DataFrame, cols: list[str], replicates: int = 500) -> DataFrame:
     """IPW effect of replicates that reweight rows by Poisson(1) draws from a hash of (id, replicate).
 
     Each Newton step is one aggregation over all rows and replicates: a row sends
