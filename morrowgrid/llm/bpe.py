@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .kernel import append_columns, sha
+from .kernel import append_columns, sha, spread
 
 #: How the byte-level pre-tokenizer splits a text (a fixed value of the format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -52,6 +52,8 @@ class SpeculativeBpe:
         signs = byte_alphabet()
         self.bytes_of = {i: bytes(signs[c] for c in t) for t, i in model["vocab"].items()}
         self.id_of = {b: i for i, b in self.bytes_of.items()}
+        if any(bytes((b,)) not in self.id_of for b in range(256)):
+            raise ValueError("a byte has no token")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -59,6 +61,10 @@ class SpeculativeBpe:
         self.prefix = {b[:k]: -1 for b in self.id_of for k in range(1, len(b))} | self.id_of
         self.name_of = {i: str(i) for i in self.bytes_of}
         size = max(self.bytes_of) + 1
+        # the bytes of all tokens one after the other, and where each begins
+        spelled = [self.bytes_of.get(i, b"") for i in range(size)]
+        self.spelling = np.frombuffer(b"".join(spelled), np.uint8)
+        self.starts = np.append(0, np.cumsum([len(b) for b in spelled]))
         # rank of each pair's merge, shifted left by 20 bits, and the token it makes
         self.rank: dict[tuple[int, int], int] = {}
         # made[t]: the merge that makes t (-1: a byte); left[t], right[t]: its two parts
@@ -78,11 +84,11 @@ class SpeculativeBpe:
         self.start_cache()
 
     def start_cache(self) -> None:
-        self.ids: dict[str, str] = {}
-        self.odd: dict[str, bytes] = {}  # words that don't decode to themselves
+        self.ids: dict[str, str] = {}  # each word's ids as decimal numbers, and as 32-bit integers
+        self.codes: dict[str, bytes] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "odd", "split", "special_split")} | {"pattern": self.special_split and self.special_split.pattern}
+        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "codes", "split", "special_split")} | {"pattern": self.special_split and self.special_split.pattern}
 
     def __setstate__(self, state):
         pattern = state.pop("pattern")
@@ -190,10 +196,9 @@ class SpeculativeBpe:
             failing |= set(word[np.isin(tok, list(self.unreachable))].tolist())
         for i in failing:
             proposed[i] = self.merge(raw[i])
-        name, spell = self.name_of.__getitem__, self.bytes_of.__getitem__
-        for w, r, p in zip(words, raw, proposed, strict=True):
-            if (d := b"".join(map(spell, p))) != r:
-                self.odd[w] = d
+        name = self.name_of.__getitem__
+        for w, p in zip(words, proposed, strict=True):
+            self.codes[w] = np.array(p, np.int32).tobytes()
             self.ids[w] = ",".join(map(name, p))
 
     def pieces(self, text: str) -> list[str]:
@@ -208,35 +213,38 @@ class SpeculativeBpe:
             return self.pieces(text)
         return [w for part in self.special_split.split(text) for w in ([part] if part in self.special else self.pieces(part))]
 
-    def encode_texts(self, texts: list[str | None]) -> list[tuple[list[str], str]]:
-        """Each text's words and its ids as decimal numbers joined by commas."""
+    def encode_texts(self, texts: list[str | None]) -> list[tuple[np.ndarray, str]]:
+        """Each text's ids, as an array and as decimal numbers joined by commas."""
         split = [self.words(t or "") for t in texts]
         new = set().union(*split) - self.ids.keys() - self.special.keys() if split else set()
         self.learn(sorted(new))
         for s, i in self.special.items():
-            self.ids[s] = str(i)
-        return [(w, ",".join(map(self.ids.__getitem__, w))) for w in split]
+            self.ids[s], self.codes[s] = str(i), np.array([i], np.int32).tobytes()
+        return [(np.frombuffer(b"".join(map(self.codes.__getitem__, w)), np.int32), ",".join(map(self.ids.__getitem__, w))) for w in split]
 
-    def spell_words(self, words: list[str]) -> bytes:
-        """The decoded bytes of encoded words; learn() has compared each with its word."""
-        if not self.odd:
-            return "".join(words).encode()
-        return b"".join(self.odd.get(w) or w.encode() for w in words)
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The decoded text of ids in UTF-8; bytes that aren't UTF-8 become U+FFFD."""
+        lo = self.starts[ids]
+        raw = self.spelling[spread(lo, self.starts[ids + 1] - lo)].tobytes()
+        try:
+            raw.decode()
+        except UnicodeDecodeError:
+            return raw.decode("utf-8", "replace").encode()
+        return raw
 
     def forget(self) -> None:
         if len(self.ids) > CACHE_WORDS:
             self.start_cache()
         for w in [w for w in self.ids if len(w) > CACHE_LENGTH]:
-            del self.ids[w]
-            self.odd.pop(w, None)
+            del self.ids[w], self.codes[w]
 
     def encode(self, text: str | None) -> list[int]:
-        (_, ids), = self.encode_texts([text])
-        return [int(i) for i in ids.split(",")] if ids else []
+        (ids, _), = self.encode_texts([text])
+        return ids.tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, special tokens included; bytes that aren't UTF-8 become U+FFFD."""
-        return b"".join(self.bytes_of.get(i, b"") for i in ids).decode("utf-8", "replace")
+        return self.decode_bytes(np.asarray(ids, np.int64)).decode()
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -248,20 +256,23 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 def add_tokens(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """Encode and decode every text (null: empty): adds n_tokens, ids_sha256 and decoded_sha256; with_ids also token_ids.
 
-    The vocabulary is read on the driver and broadcast; its size is that of the
-    vocabulary file. A worker's cache of words is bounded by CACHE_WORDS.
+    The decoded text is made from the ids. Empty texts have no token; repeated rows and
+    ids each keep their row, and there are no ties to break: merging goes by rank, then
+    leftmost. A very long word is merged with a heap. The new columns replace columns of
+    the same name. The vocabulary is read on the driver and broadcast; its size is that
+    of the vocabulary file. A worker's cache of words is bounded by CACHE_WORDS.
     """
     shared = docs.sparkSession.sparkContext.broadcast(SpeculativeBpe(path))
 
     def make(texts: pa.Array):
         bpe = shared.value
         n, ids_sha, text_sha, all_ids = [], [], [], []
-        for words, ids in bpe.encode_texts(texts.to_pylist()):
-            n.append(ids.count(",") + 1 if ids else 0)
-            ids_sha.append(sha(ids.encode()))
-            text_sha.append(sha(bpe.spell_words(words)))
+        for ids, decimal in bpe.encode_texts(texts.to_pylist()):
+            n.append(len(ids))
+            ids_sha.append(sha(decimal.encode()))
+            text_sha.append(sha(bpe.decode_bytes(ids)))
             if with_ids:
-                all_ids.append([int(i) for i in ids.split(",")] if ids else [])
+                all_ids.append(ids.tolist())
         bpe.forget()
         return (n, ids_sha, text_sha, all_ids)[: 4 if with_ids else 3]
 
@@ -270,6 +281,7 @@ def add_tokens(docs: DataFrame, path: str, text_col: str = "text", keep: list[st
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every row of documents; a null text counts as empty, an empty table gives no row."""
     return add_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path(), keep=["doc_id"])
 
 

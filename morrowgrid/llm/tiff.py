@@ -1,8 +1,8 @@
 """TIFF media columns: walk image directories, decode strips and tiles, undo predictors.
 
 `decode_pages` emits one row per page (image directory). Uncompressed, PackBits,
-LZW and deflate data are read, in strips or tiles, either byte order, 1 to 32
-bits a sample, chunky or planar, with horizontal or floating-point predictors.
+LZW and deflate data are read, in strips or tiles, either byte order, 1, 2, 4, 8,
+16 or 32 bits a sample, chunky or planar, with horizontal or floating-point predictors.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +25,25 @@ STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 27
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 339
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 TYPE_CODE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
+SAMPLE_CODE = {1: "u", 2: "i", 3: "f"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: A page whose samples would need more bytes is an error row instead of an allocation.
+MAX_PAGE_BYTES = 512 << 20
 
 
 class TiffError(ValueError):
     """The bytes aren't a TIFF file that can be read."""
 
 
-def directories(raw: bytes) -> list[dict[int, tuple]]:
-    """Every image directory in file order, as {tag: values}; a loop in the chain ends it."""
+def directories(raw: bytes) -> Iterator[dict[int, tuple]]:
+    """Every image directory in file order, as {tag: values}; a loop in the chain ends it, a truncated one raises TiffError."""
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
     if order is None or len(raw) < 8 or struct.unpack_from(order + "H", raw, 2)[0] != 42:
         raise TiffError("no TIFF header")
-    at, seen, out = struct.unpack_from(order + "I", raw, 4)[0], set(), []
-    try:
-        while at and at not in seen:
-            seen.add(at)
+    at, seen = struct.unpack_from(order + "I", raw, 4)[0], set()
+    while at and at not in seen:
+        seen.add(at)
+        try:
             (n,) = struct.unpack_from(order + "H", raw, at)
             tags: dict[int, tuple] = {-1: (order,)}
             for k in range(n):
@@ -48,12 +52,13 @@ def directories(raw: bytes) -> list[dict[int, tuple]]:
                     continue
                 size = TYPE_SIZE[kind] * count
                 where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", raw, at + 10 + 12 * k)[0]
+                if where + size > len(raw):
+                    raise TiffError(f"truncated: tag {tag}")
                 tags[tag] = struct.unpack_from(f"{order}{count}{TYPE_CODE[kind]}", raw, where)
-            out.append(tags)
             (at,) = struct.unpack_from(order + "I", raw, at + 2 + 12 * n)
-    except struct.error as e:
-        raise TiffError(f"truncated: {e}") from e
-    return out
+        except struct.error as e:
+            raise TiffError(f"truncated: {e}") from e
+        yield tags
 
 
 def unpackbits(data: bytes, size: int) -> bytes:
@@ -77,7 +82,9 @@ def packbits(data: bytes) -> bytes:
     a = np.frombuffer(data, np.uint8)
     if not len(a):
         return b""
-    starts = np.append(np.flatnonzero(np.diff(a, prepend=int(a[0]) ^ 1)), len(a))
+    starts = np.flatnonzero(np.diff(a, prepend=int(a[0]) ^ 1))
+    size = np.diff(np.append(starts, len(a)))
+    long = size >= 3
     out, plain = bytearray(), 0
 
     def copy(lo: int, hi: int) -> None:
@@ -86,14 +93,14 @@ def packbits(data: bytes) -> bytes:
             out.append(len(part) - 1)
             out.extend(part)
 
-    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        if e - s >= 3:
-            copy(plain, s)
-            while e - s >= 2:
-                n = min(128, e - s)
-                out += bytes((257 - n, data[s]))
-                s += n
-            plain = s
+    for s, n in zip(starts[long].tolist(), size[long].tolist(), strict=True):
+        copy(plain, s)
+        e = s + n
+        while e - s >= 2:
+            n = min(128, e - s)
+            out += bytes((257 - n, data[s]))
+            s += n
+        plain = s
     copy(plain, len(a))
     return bytes(out)
 
@@ -190,54 +197,73 @@ def _unpack(data: bytes, how: int, size: int) -> bytes:
     raise TiffError(f"compression {how}")
 
 
-def _block(raw: bytes, how: int, rows: int, cols: int, spp: int, bits: int, kind: int, order: str, predictor: int) -> np.ndarray:
-    """One strip or tile as rows x cols x spp samples."""
+def _block(raw: bytes, how: int, rows: int, cols: int, spp: int, bits: int, kind: int, order: str, predictor: int) -> tuple[np.ndarray, int]:
+    """One strip or tile as rows x cols x spp samples, and how many bytes it lacks (zeros stand in for them)."""
     stride = (cols * spp * bits + 7) // 8
     data = _unpack(raw, how, rows * stride)
-    if len(data) < rows * stride:
-        data += b"\0" * (rows * stride - len(data))
+    short = rows * stride - len(data)
+    if short:
+        data += b"\0" * short
     a = np.frombuffer(data, np.uint8).reshape(rows, stride)
     if bits < 8:
         a = np.unpackbits(a, axis=1)[:, : cols * spp * bits].reshape(rows, cols * spp, bits)
-        return (a @ (1 << np.arange(bits - 1, -1, -1))).astype(np.uint8).reshape(rows, cols, spp)
+        return (a @ (1 << np.arange(bits - 1, -1, -1))).astype(np.uint8).reshape(rows, cols, spp), short
     size = bits // 8
     if predictor == 3:
         planes = np.cumsum(a.reshape(rows, -1, spp), axis=1, dtype=np.uint8).reshape(rows, size, cols * spp)
-        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">f{size}").reshape(rows, cols, spp)
-    code = {1: "u", 2: "i", 3: "f"}.get(kind, "u")
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">f{size}").reshape(rows, cols, spp), short
+    code = SAMPLE_CODE[kind]
     a = np.ascontiguousarray(a).view(f"{order}{code}{size}").reshape(rows, cols, spp)
     if predictor == 2:
         whole = a.astype(f"=u{size}") if code != "f" else a.view(f"{order}u{size}").astype(f"=u{size}")
         a = np.cumsum(whole, axis=1, dtype=whole.dtype)
         a = a if code == "u" else a.view(f"=i{size}" if code == "i" else f"=f{size}")
-    return a
+    return a, short
 
 
 def pixels(raw: bytes, tags: dict[int, tuple]) -> np.ndarray:
     """The samples of one page, height x width x samples."""
-    one = lambda tag, other: tags.get(tag, (other,))[0]
+    return _page(raw, tags)[0]
+
+
+def _page(raw: bytes, tags: dict[int, tuple]) -> tuple[np.ndarray, str | None]:
+    """The samples of one page and, if strips or tiles are cut short (the rest is 0), which."""
+    one = lambda tag, other: (tags.get(tag) or (other,))[0]
     w, h, spp = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
     bits, kind, how, predictor = one(BITS, 1), one(SAMPLE_FORMAT, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
     planes, order = (spp if one(PLANAR, 1) == 2 else 1), tags[-1][0]
+    if min(w, h, spp) < 1:
+        raise TiffError(f"no pixels: {w} x {h} x {spp}")
+    kind = 1 if kind == 4 else kind
+    if bits not in (1, 2, 4, 8, 16, 32) or kind not in SAMPLE_CODE or (kind == 3 and bits < 16) or (kind == 2 and bits < 8) or len(set(tags.get(BITS) or (1,))) > 1 or len(set(tags.get(SAMPLE_FORMAT) or (1,))) > 1:
+        raise TiffError(f"samples of {tags.get(BITS)} bits in format {kind}")
+    if predictor not in (1, 2, 3) or (predictor == 2 and bits < 8) or (predictor == 3 and kind != 3):
+        raise TiffError(f"predictor {predictor} on {bits} bits in format {kind}")
+    if w * h * spp * max(1, bits // 8) > MAX_PAGE_BYTES:
+        raise TiffError(f"page of {w} x {h} x {spp} samples is larger than {MAX_PAGE_BYTES} bytes")
     per = 1 if planes > 1 else spp
     tiled = TILE_OFFSETS in tags
     if tiled:
-        bw, bh, offsets, counts = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0], tags[TILE_OFFSETS], tags[TILE_COUNTS]
+        bw, bh, offsets, counts = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0), tags[TILE_OFFSETS], tags.get(TILE_COUNTS, ())
     else:
         bw, bh, offsets, counts = w, min(one(ROWS_PER_STRIP, h), h) or 1, tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_COUNTS, ())
-    across, down = (w + bw - 1) // max(bw, 1), (h + bh - 1) // max(bh, 1)
-    if len(offsets) < across * down * planes or len(counts) < len(offsets):
+    if min(bw, bh) < 1 or bw * bh * per * max(1, bits // 8) > MAX_PAGE_BYTES:
+        raise TiffError(f"blocks of {bw} x {bh}")
+    across, down = (w + bw - 1) // bw, (h + bh - 1) // bh
+    if len(offsets) < across * down * planes or len(counts) < across * down * planes:
         raise TiffError("strips or tiles are missing")
-    dtype = np.uint8 if bits <= 8 and kind == 1 else np.dtype(f"{ {1: 'u', 2: 'i', 3: 'f'}.get(kind, 'u') }{bits // 8}")
-    out = np.zeros((h, w, spp), dtype)
+    out = np.zeros((h, w, spp), np.uint8 if bits <= 8 and kind == 1 else np.dtype(f"{SAMPLE_CODE[kind]}{bits // 8}"))
+    faults = []
     for k in range(across * down * planes):
         p, at = divmod(k, across * down)
         y, x = at // across * bh, at % across * bw
         rows = bh if tiled else min(bh, h - y)
-        b = _block(raw[offsets[k] : offsets[k] + counts[k]], how, rows, bw, per, bits, kind, order, predictor)
+        b, short = _block(raw[offsets[k] : offsets[k] + counts[k]], how, rows, bw, per, bits, kind, order, predictor)
+        if short:
+            faults.append(f"{'tile' if tiled else 'strip'} {k} lacks {short} bytes")
         b = b[: h - y, : w - x]
         out[y : y + b.shape[0], x : x + b.shape[1], p : p + per if planes > 1 else spp] = b
-    return out
+    return out, "; ".join(faults[:5]) or None
 
 
 def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = 256, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
@@ -289,52 +315,72 @@ PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compressi
 def decode_pages(files: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per page of every file: its geometry and its samples as native-endian bytes.
 
-    A null or unreadable file gives one row with page null and the reason in
-    `error`; an unreadable page gives a row of its own. `keep` names further
-    columns to carry along. A file is read whole; its pages leave one at a time.
+    A null, empty or unreadable file gives one row with page null and the reason in
+    `error`; an unreadable page gives a row of its own without pixels, and a page
+    with truncated strips or tiles has zeros there and says so in `error`; a chain of
+    directories that breaks off ends in a row with page null. Repeated rows each
+    give their pages. `keep` names further columns to carry along; they may not be
+    called like the columns made here. A file is read whole; its pages leave one at a time.
     """
     kept = [id_col, *keep]
     types = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in kept)
 
+    kinds = (pa.int32(),) * 6 + (pa.bool_(), pa.binary(), pa.string())
+    names = [*kept, "page", "width", "height", "samples", "bits", "compression", "tiled", "pixels", "error"]
+
     def run(batches):
         for b in batches:
             for lo, hi in slices(b.column("mg_media"), 1 << 20):
                 part = b.slice(lo, hi - lo)
-                rows, index = [], []
+                rows, index, held = [], [], 0
+
+                def batch(part=part):
+                    take = pa.array(index, pa.int64())
+                    return pa.RecordBatch.from_arrays([*(part.column(k).take(take) for k in range(len(kept))), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=names)
+
                 for i, raw in enumerate(part.column("mg_media").to_pylist()):
-                    got = list(read_pages(raw))
-                    rows += got
-                    index += [i] * len(got)
-                take = pa.array(index, pa.int64())
-                cols = [part.column(k).take(take) for k in range(len(kept))]
-                kinds = (pa.int32(),) * 6 + (pa.bool_(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=[*kept, "page", "width", "height", "samples", "bits", "compression", "tiled", "pixels", "error"])
+                    for row in read_pages(raw):
+                        rows.append(row)
+                        index.append(i)
+                        held += len(row[7] or b"")
+                        if held > 4 << 20:
+                            yield batch()
+                            rows, index, held = [], [], 0
+                yield batch()
 
     return files.select(*kept, F.col(media_col).alias("mg_media")).mapInArrow(run, f"{types}, {PAGE_SCHEMA}")
 
 
-def read_pages(raw: bytes | None):
+def read_pages(raw: bytes | None) -> Iterator[tuple]:
+    """The rows of one file; whatever its bytes are, it ends."""
     none = (None,) * 8
     if raw is None:
         yield (*none, "null")
         return
+    n = -1
     try:
-        pages = directories(raw)
+        for n, tags in enumerate(directories(raw)):
+            try:
+                a, fault = _page(raw, tags)
+                yield (n, a.shape[1], a.shape[0], a.shape[2], (tags.get(BITS) or (1,))[0], (tags.get(COMPRESSION) or (1,))[0], TILE_OFFSETS in tags, a.astype(a.dtype.newbyteorder("=")).tobytes(), fault)
+            except (TiffError, ArithmeticError, LookupError, MemoryError, TypeError, ValueError, struct.error) as e:
+                yield (n, None, None, None, None, None, None, None, str(e) or type(e).__name__)
     except TiffError as e:
         yield (*none, str(e))
         return
-    if not pages:
+    if n < 0:
         yield (*none, "no page")
-    for n, tags in enumerate(pages):
-        try:
-            a = pixels(raw, tags)
-            yield (n, a.shape[1], a.shape[0], a.shape[2], tags.get(BITS, (1,))[0], tags.get(COMPRESSION, (1,))[0], TILE_OFFSETS in tags, a.astype(a.dtype.newbyteorder("=")).tobytes(), None)
-        except (TiffError, KeyError, struct.error, ValueError) as e:
-            yield (n, None, None, None, None, None, None, None, str(e))
+
+
+#: How the query stores a text, by a hash of it: every compression in strips and tiles, with and without predictor.
+LAYOUTS = [(how, predictor, tile) for how in (PACKBITS, LZW, DEFLATE) for predictor in (1, 2) for tile in (None, (16, 64))]
 
 
 def texts_as_tiff(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 64) -> DataFrame:
-    """Each text's UTF-8 bytes (null: none), padded with zeros to a positive multiple of `width`, as a one-page 8-bit deflate TIFF with horizontal predictor."""
+    """Each text's UTF-8 bytes (null: none), padded with zeros to a positive multiple of `width`, as a one-page 8-bit TIFF.
+
+    Compression, predictor and strips or tiles follow the padded bytes' CRC-32 (LAYOUTS), so equal texts make equal files.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -345,15 +391,20 @@ def texts_as_tiff(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
                 for t in part.column("mg_text").cast(pa.binary()).to_pylist():
                     t = t or b""
                     sizes.append(len(t))
-                    a = np.frombuffer(t.ljust(max(1, -(-len(t) // width)) * width, b"\0"), np.uint8)
-                    media.append(write_tiff([a.reshape(-1, width)], DEFLATE, 2))
+                    t = t.ljust(max(1, -(-len(t) // width)) * width, b"\0")
+                    how, predictor, tile = LAYOUTS[zlib.crc32(t) % len(LAYOUTS)]
+                    media.append(write_tiff([np.frombuffer(t, np.uint8).reshape(-1, width)], how, predictor, tile=tile))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media"])
 
     return docs.select(F.col(id_col), F.col(text_col).alias("mg_text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
 def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store every text as TIFF, decode the stored file to pages and digest what was read back."""
+    """Store every text as TIFF, decode the stored file to pages and digest what was read back.
+
+    One row per row of documents, whatever its id; a null or empty text is 64 zero bytes. Equal texts
+    have equal values. Other columns aren't read, so their names don't matter; an empty table gives no row.
+    """
     import binascii
 
     stored = texts_as_tiff(spark.read.parquet(f"{sf_dir}/documents.parquet"))
