@@ -146,12 +146,14 @@ def sha(b: bytes) -> str:
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; a folder of our own only where it is unset, as in tests."""
+    """Checkpoints go to spark.checkpoint.dir; a folder of our own only where it is unset and driver and executors are one process, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         where = tempfile.mkdtemp(prefix="checkpoints-")
@@ -164,6 +166,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A list of up to this many (id, fingerprint) rows is sent to every executor; a longer one meets the documents in a shuffle.
+SMALL_LIST = 500_000
+
+
+def without(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs less the rows whose (id, xxhash64 of the text) is among the distinct rows (id, fp) of bad; columns may have any name."""
+    bad = cut(bad.toDF("bad_id", "bad_fp"))
+    small = bad.count() <= SMALL_LIST
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("row_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("row_fp"))
+    same = F.col("row_id").eqNullSafe(F.col("bad_id")) & (F.col("row_fp") == F.col("bad_fp"))
+    return rows.join(F.broadcast(bad) if small else bad, same, "left_anti").select("row.*")
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts; bucket counts follow it, so each bucket stays bounded at any size."""
     return int(docs.agg(F.sum(F.octet_length(F.col(text))).alias("b")).first()["b"] or 0)
