@@ -1,8 +1,11 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-A shingle's weight is its count in the document times a damped inverse document
-frequency, 1 + IDF_SHARE * ln((1+N)/(1+df)) / ln(1+N). Document frequencies are
-counted over all documents in a count-min table of fixed size. Equal texts are
+A shingle's weight is its count in the document times 1 + IDF_SHARE * idf, where idf
+is ln(N/df) / ln(1/RARE), at most 1: a shingle in RARE of all documents or fewer is rare,
+and nothing rarer weighs more. So only frequent shingles need a count of their own, and
+the count-min table that counts them over all documents has the same error at every
+size: it is as wide as a document's mean number of shingles asks for, which makes the
+mean overcount of a cell at most RARE/8 of the documents. Equal texts are
 one node. A node is compared with the leader (smallest node) of each of its band
 keys by weighted Jaccard similarity; links join nodes to classes. Where the other
 members of a key are then in more than one class, all of its pairs that aren't in
@@ -17,17 +20,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import append_columns, cut, flat, fold_tables, mix, owner, rolling, slices, span_hash, spread, word_spans
+from .kernel import append_columns, cut, flat, fold_tables, mix, owner, rolling, slices, span_hash, spread, without, word_spans
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 3
-IDF_SHARE = 0.1
-#: Rows and columns of the count-min table of document frequencies (4 MB).
-CM_ROWS, CM_COLS = 2, 1 << 19
+IDF_SHARE = 1.0
+#: The share of all documents up to which a shingle counts as rare.
+RARE = 1 / 256
+#: Rows of the count-min table of document frequencies, and bits of its least and largest width (0.5 and 32 MB).
+CM_ROWS, CM_BITS = 2, (16, 22)
 #: Members that are compared with one copy of a leader's text; a larger group gets more copies.
 GROUP = 64
-#: Text bytes of a block of a key's members, where these are compared with one another.
-BLOCK_BYTES = 2 << 20
+#: Places to which the answer for one label is dealt in the connected components.
+SALTS = 32
+#: Text bytes and rows of a block of a key's members, where these are compared with one another.
+BLOCK_BYTES, BLOCK_ROWS = 2 << 20, 512
 
 _RNG = np.random.Generator(np.random.PCG64(97))
 _R = _RNG.gamma(2, 1, 4096).astype(np.float32) + np.float32(1e-3)
@@ -60,38 +67,45 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys & np.uint64((1 << 44) - 1), count, np.searchsorted(keys, np.arange(n + 1, dtype=np.uint64) << np.uint64(44))
 
 
-def cells(h: np.ndarray) -> list[np.ndarray]:
-    """The count-min cell of each fingerprint in each row."""
-    return [((h * _ODD[200 + r]) >> np.uint64(64 - 19)).astype(np.int64) for r in range(CM_ROWS)]
+def cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The count-min cell of each fingerprint in each row of 2**bits cells."""
+    return [((h * _ODD[200 + r]) >> np.uint64(64 - bits)).astype(np.int64) for r in range(CM_ROWS)]
 
 
-def document_frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
+def table_bits(n_bytes: int, n_docs: int) -> int:
+    """Width of the count-min table: 8 / RARE cells for each shingle of a document of mean length (one in six bytes)."""
+    return int(np.clip(np.ceil(np.log2(1 + 8 / RARE * n_bytes / 6 / max(1, n_docs))), *CM_BITS))
+
+
+def document_frequencies(docs: DataFrame, text_col: str, bits: int) -> np.ndarray:
     """Count-min table of how many documents hold each shingle, over all documents."""
-    sections = 64
+    sections, cols = 64, 1 << bits
 
     def count(batches):
-        total = np.zeros((CM_ROWS, CM_COLS), np.int64)
+        total = np.zeros((CM_ROWS, cols), np.int32)
         for b in batches:
             for lo, hi in slices(b.column(0)):
                 h, _, _ = shingles(b.column(0).slice(lo, hi - lo))
-                for r, c in enumerate(cells(h)):
-                    total[r] += np.bincount(c, minlength=CM_COLS)
+                for r, c in enumerate(cells(h, bits)):
+                    np.add.at(total[r], c, 1)
         parts = total.reshape(sections, -1)
         live = np.flatnonzero(parts.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([parts[k].tobytes() for k in live], pa.binary())], names=["section", "body"])
+        yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([parts[k].astype(np.int64).tobytes() for k in live], pa.binary())], names=["section", "body"])
 
     parts = docs.select(F.col(text_col)).mapInArrow(count, "section int, body binary")
-    return fold_tables(parts, sections, CM_ROWS * CM_COLS // sections, np.add, np.int64).reshape(CM_ROWS, CM_COLS)
+    return fold_tables(parts, sections, CM_ROWS * cols // sections, np.add, np.int64).reshape(CM_ROWS, cols)
 
 
 def idf_table(table: np.ndarray, n_docs: int) -> np.ndarray:
-    return (1 + IDF_SHARE * np.log((1 + n_docs) / (1 + np.minimum(table, n_docs))) / np.log(1 + max(1, n_docs))).astype(np.float32)
+    """1 + IDF_SHARE * idf of every cell."""
+    n = max(1, n_docs)
+    return (1 + IDF_SHARE * np.log(n / np.clip(table, max(1.0, n * RARE), n)) / np.log(1 / RARE)).astype(np.float32)
 
 
 def weights(h: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """The larger idf belongs to the smaller, so closer, count."""
     best = None
-    for r, c in enumerate(cells(h)):
+    for r, c in enumerate(cells(h, idf.shape[1].bit_length() - 1)):
         best = idf[r][c] if best is None else np.maximum(best, idf[r][c])
     return count.astype(np.float32) * best
 
@@ -204,7 +218,7 @@ def _exhaust(nodes: DataFrame, many: DataFrame, labels: DataFrame, source: DataF
     keyed = nodes.select("node", "size", F.posexplode("bands").alias("band", "value")).select("node", "size", "band", F.xxhash64("band", "value").alias("key"))
     others = keyed.join(many.where("n > 2"), "key").where("node <> leader").join(labels, "node", "left").select("key", "band", "node", "size", F.coalesce("label", "node").alias("label"))
     others = cut(others)
-    mixed = cut(others.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("blocks")).where("lo <> hi").select("key", "blocks"))
+    mixed = cut(others.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.greatest(F.sum("size") / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks")).where("lo <> hi").select("key", "blocks"))
     own = others.join(mixed, "key").withColumn("i", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q"))))
     units = cut(own.select("key", "band", "node", "label", "i", pair.alias("u")).select("key", "u.p", "u.q", "band", "node", "label", "i"))
@@ -242,10 +256,10 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _texts_of(wanted: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
-    """(node, text) of the wanted nodes."""
-    w = wanted.join(nodes.select("node", "f1", "f2"), "node").select(F.col("node").alias("w_node"), F.col("f1").alias("w1"), F.col("f2").alias("w2"))
-    same = (F.col("id") == F.col("w_node")) & (F.col("f1") == F.col("w1")) & (F.col("f2") == F.col("w2"))
-    return source.join(w, same, "left_semi").select(F.col("id").alias("node"), "text")
+    """(node, text) of the wanted nodes; a row of source that repeats another one's id and text gives the same text once."""
+    w = wanted.join(nodes.select("node", "id", "f1", "f2"), "node").select(F.col("node").alias("w_node"), F.col("id").alias("w_id"), F.col("f1").alias("w1"), F.col("f2").alias("w2"))
+    same = (F.col("id") == F.col("w_id")) & (F.col("f1") == F.col("w1")) & (F.col("f2") == F.col("w2"))
+    return source.join(w, same).select(F.col("w_node").alias("node"), "text")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -255,27 +269,31 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
         spread = labels.join(near, labels.node == near.a, "left").select("node", F.least("label", "m").alias("mid"), F.col("label").alias("old"))
-        jump = spread.select(F.col("node").alias("via"), F.col("mid").alias("far"))
-        new = cut(spread.join(jump, spread.mid == jump.via, "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("label"), "old"))
+        # Each label is asked for once, and its answer is dealt to SALTS places: all nodes of a large class ask for the same one.
+        asked = spread.select(F.col("mid").alias("via")).distinct()
+        far = asked.join(spread.select(F.col("node").alias("via"), F.col("mid").alias("far")), "via").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = spread.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SALTS)).cast("int")).withColumnRenamed("mid", "via")
+        new = cut(salted.join(far, ["via", "salt"], "left").select("node", F.least("via", F.coalesce("far", "via")).alias("label"), "old"))
         if new.where("label <> old").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: id, class_id (the smallest id of its class) and n_links (its text's direct links).
+def _named(nodes: DataFrame) -> DataFrame:
+    """nodes with the key `node`: the id, but where texts share their smallest id, all but the first get a hash instead."""
+    shared = cut(nodes.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("f1", "f2")).alias("first")).where("n > 1").select("id", "first"))
+    if shared.isEmpty():
+        return nodes.withColumn("node", F.col("id"))
+    other = F.col("first").isNotNull() & (F.struct("f1", "f2") != F.col("first"))
+    return cut(nodes.join(shared, "id", "left").withColumn("node", F.when(other, F.xxhash64("id", "f1", "f2")).otherwise(F.col("id"))).drop("first"))
 
-    Equal texts share a class. A null or wordless text and a row with a null id
-    stand alone (a null id's class is null). Rows that share an id are one
-    document. Every node meets the smallest node of each of its band keys and of
-    each two neighbouring band keys together; then the members of a key that are
-    still in different classes meet one another, so every two nodes with a common
-    band key are compared or in one class. Equal texts make no pairs.
-    """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table = document_frequencies(source, "text")
-    n_docs = source.where(F.col("text").isNotNull()).count()
-    idf = docs.sparkSession.sparkContext.broadcast(idf_table(table, n_docs))
+
+def _classes(source: DataFrame, similarity: float) -> DataFrame:
+    """(id, f1, f2, ok, label, first, n_links) of every row of source (id, text): f1 and f2 are hashes of the text, label
+    names its class and first is the smallest id in it; ok: the row has an id and its text a word."""
+    whole = source.agg(F.count("text").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    table = document_frequencies(source, "text", table_bits(whole["b"], whole["n"]))
+    idf = source.sparkSession.sparkContext.broadcast(idf_table(table, whole["n"]))
 
     def sign(texts: pa.Array):
         h, count, off = shingles(texts)
@@ -287,42 +305,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fp = (F.xxhash64("text").alias("f1"), F.xxhash64(F.lit(1), "text").alias("f2"))
     sized = source.select("id", *fp, F.octet_length("text").alias("size"), "text")
     signed = cut(append_columns(sized, "text", sign, [("bands", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], ["id", "f1", "f2", "size"]))
-    known = signed.where(F.col("id").isNotNull() & (F.size("bands") > 0))
-    nodes = cut(known.groupBy("f1", "f2").agg(F.min(F.struct("id", "size", "bands")).alias("m")).select("f1", "f2", F.col("m.id").alias("node"), F.col("m.size").alias("size"), F.col("m.bands").alias("bands")))
+    ok = F.col("id").isNotNull() & (F.size("bands") > 0)
+    nodes = cut(signed.where(ok).groupBy("f1", "f2").agg(F.min(F.struct("id", "size", "bands")).alias("m")).select("f1", "f2", F.col("m.id").alias("id"), F.col("m.size").alias("size"), F.col("m.bands").alias("bands")))
+    nodes = _named(nodes)
     one = F.transform("bands", lambda b, i: F.xxhash64(i, b))
     two = F.transform("bands", lambda b, i: F.xxhash64(i + BANDS, b, F.col("bands")[(i + 1) % BANDS]))
     keyed = nodes.select("node", F.explode(F.array_distinct(F.concat(one, two))).alias("key"))
     # A written table on this side leaves the join two plain shuffles, so Spark can split a hot key's partition.
     many = cut(keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"))
     pairs = cut(keyed.join(many, "key").where("node > leader").select(F.col("node").alias("member"), "leader").distinct())
-    texts = _texts_of(pairs.select(F.col("member").alias("node")).union(pairs.select("leader")).distinct(), nodes, source.select("id", *fp, "text"))
-    links = cut(_verify(pairs, texts, idf, similarity).distinct())
+    rows = source.where(F.col("id").isNotNull()).dropDuplicates(["id", "text"]) if _repeats(signed) else source
+    texts = rows.select("id", *fp, "text")
+    found = _texts_of(pairs.select(F.col("member").alias("node")).union(pairs.select("leader")).distinct(), nodes, texts)
+    links = cut(_verify(pairs, found, idf, similarity).distinct())
     labels = components(links)
-    more = cut(_exhaust(nodes, many, labels, source.select("id", *fp, "text"), idf, similarity).distinct())
+    more = cut(_exhaust(nodes, many, labels, texts, idf, similarity).distinct())
     if not more.isEmpty():
         links = cut(links.union(more).distinct())
         labels = components(links)
     degree = links.select(F.col("member").alias("node")).union(links.select("leader")).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = nodes.select("f1", "f2", "node").join(labels, "node", "left").join(degree, "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("label"), "n_links")
-    found = signed.select("id", "f1", "f2", (F.col("id").isNotNull() & (F.size("bands") > 0)).alias("ok")).join(classes, ["f1", "f2"], "left")
+    classed = cut(nodes.select("f1", "f2", "id", "node").join(labels, "node", "left").join(degree, "node", "left").select("f1", "f2", "id", F.coalesce("label", "node").alias("label"), "n_links"))
+    firsts = classed.groupBy("label").agg(F.min("id").alias("first"))
+    classed = classed.drop("id").join(firsts, "label")
+    return signed.select("id", "f1", "f2", ok.alias("ok")).join(classed, ["f1", "f2"], "left").withColumns({"label": F.when(F.col("ok"), F.col("label")), "first": F.when(F.col("ok"), F.col("first")), "n_links": F.when(F.col("ok"), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long")})
+
+
+def _repeats(signed: DataFrame) -> bool:
+    """Whether a row repeats another one's id and text."""
+    return not signed.where("id is not null").groupBy("id", "f1", "f2").count().where("count > 1").isEmpty()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of docs: id, class_id (the smallest id of its text's class) and n_links (its text's direct links).
+
+    Equal texts are one node and make no pairs. A null or wordless text and a row with a null id
+    stand alone (a null id's class is null). Rows that share an id but not the text are classed by
+    their texts. Ties between leaders go to the smallest node. Other columns aren't read; an empty
+    table gives no row. Every node meets the smallest node of each of its band keys and of
+    each two neighbouring band keys together; then the members of a key that are
+    still in different classes meet one another, so every two nodes with a common
+    band key are compared or in one class. Texts are taken whole, whatever their length.
+    """
     kind = docs.schema[id_col].dataType
-    return found.select(F.col("id").cast(kind).alias(id_col), F.when(F.col("ok"), F.coalesce("label", "id")).otherwise(F.col("id")).cast(kind).alias("class_id"), F.when(F.col("ok"), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    found = _classes(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), similarity)
+    return found.select(F.col("id").cast(kind).alias(id_col), F.coalesce("first", "id").cast(kind).alias("class_id"), "n_links")
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document (see `near_duplicates` for nulls, repeats and ties)."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def keep_one_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the smallest id stays; null ids stay.
+    """Pipeline stage: of each class of texts one row stays, the one with the smallest id, then the smallest hash of its text, then of its columns.
 
-    Rows that share an id are one document: one of its rows stays, found only if such ids exist.
+    Null ids, null and wordless texts stay. Texts that share an id are judged each for itself. Extra columns may have
+    any name; an empty table stays empty.
     """
-    found = near_duplicates(docs)
-    drop = found.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    out = docs.join(drop, "doc_id", "left_anti")
-    twice = docs.groupBy("doc_id").count().where((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
+    found = cut(_classes(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")), SIMILARITY).where("ok").groupBy("label", "id", "f1").agg(F.count("*").alias("n")))
+    best = found.groupBy("label").agg(F.min(F.struct("id", "f1")).alias("best"))
+    judged = found.join(best, "label").select("id", "f1", "n", (F.struct("id", "f1") == F.col("best")).alias("stays"))
+    kept = without(docs, judged.where("not stays").select("id", "f1").distinct())
+    twice = cut(judged.where("stays and n > 1").select("id", "f1"))
     if twice.isEmpty():
-        return out.select(*docs.columns)
-    single = out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.join(twice, "doc_id", "left_anti").unionByName(single).select(*docs.columns)
+        return kept
+    rows = kept.select(F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("f1"))
+    one = rows.join(twice, ["id", "f1"], "left_semi").groupBy("id", "f1").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return without(kept, twice).unionByName(one.select("row.*"))
