@@ -1,55 +1,69 @@
 """Substring deduplication by recompression.
 
-Rounds name runs of one word and pairs of neighbours by a fingerprint of what
-they stand for, so a name is the same wherever its words stand, on any executor,
-with no dictionary to send around. A pair forms where the left name falls in one
-half of all names and the right one in the other. Each symbol carries its
-context: the words that force it to form. A window's anchor is the highest
-symbol (the one of most words) whose context lies inside the window, so equal windows have equal
-anchors; shared anchors reveal long repeats, and 96-bit fingerprints of the
-whole windows verify them.
+A text's words are renamed level by level: first runs of one word, then pairs of
+neighbours, where the left name falls in one half of all names and the right one
+in the other. A name is a fingerprint of what its symbol stands for, so it is the
+same wherever these words stand, on any executor. Each symbol carries its context:
+the words that force it to form, so equal windows hold equal symbols wherever a
+context lies inside them.
+
+Each level is a Spark round: the homes of the documents ask for the names that
+form on it, and are told which of them occur again anywhere. A name built on one
+that doesn't can't occur again and isn't asked for. A window that holds a symbol
+that doesn't occur again is no repeat; any other one is shown under its highest
+symbol, the first one of that level, and equal windows are verified there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .kernel import flat, mix, owner, runs, sha, spread, word_spans
-from .repeats import covered, repeated_windows
+from .repeats import Shown, Told, covered, repeated_windows
 
-#: Words of a window, and rounds of pairing.
-WINDOW, LEVELS = 20, 5
-#: Words that an anchor's context may have.
-REACH = 9
+#: Words of a window, and levels of pairing; a symbol of the next level would rarely have its context inside a window.
+WINDOW, LEVELS = 20, 3
 
 
-def recompress(h: np.ndarray, w_off: np.ndarray, levels: int = LEVELS):
-    """Yield (name, words, context start, context end) of every level's symbols, lowest first.
+class Level(NamedTuple):
+    """Symbols in order: name, the words [start, end) of the context, whether the name forms on this level, and
+    its parts among the symbols of the level below (a symbol that is passed on has one, twice).
 
     Context bounds just outside a text mean that the text's edge took part.
     """
+
+    name: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    made: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+
+def recompress(h: np.ndarray, w_off: np.ndarray, levels: int = LEVELS) -> Iterator[Level]:
+    """The levels, lowest first: runs, then `levels` rounds of pairs."""
     n = len(h)
     inner = w_off[:-1][np.diff(w_off) > 0]
     head, tail = np.zeros(n, bool), np.zeros(n, bool)
     head[inner], tail[w_off[1:][np.diff(w_off) > 0] - 1] = True, True
-    at = np.arange(n)
-    name, cs, ce = h, at, at + 1
-    yield name, ce - cs, cs, ce
     # Runs: a maximal run of one word is one symbol; each symbol must see that its neighbours differ.
     new = head.copy()
-    new[1:] |= name[1:] != name[:-1]
+    new[1:] |= h[1:] != h[:-1]
     first = np.flatnonzero(new)
     length = np.diff(np.append(first, n))
     last = first + length - 1
     name = np.where(length > 1, mix(h[first] + length.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), h[first])
     cs, ce = first - 1, last + 2
-    head, tail, span = head[first], tail[last], length
-    yield name, span, cs, ce
+    head, tail = head[first], tail[last]
+    yield Level(name, cs, ce, length > 1, first, first)
     for level in range(levels):
         m = len(name)
-        side = ((mix(name + np.uint64(level + 1)) >> np.uint64(63)) == 1)  # True: may be the left one of a pair
+        side = (mix(name + np.uint64(level + 1)) >> np.uint64(63)) == 1  # True: may be the left one of a pair
         left = np.zeros(m, bool)
         left[:-1] = side[:-1] & ~side[1:] & ~tail[:-1]
         right = np.zeros(m, bool)
@@ -62,35 +76,62 @@ def recompress(h: np.ndarray, w_off: np.ndarray, levels: int = LEVELS):
         before = np.maximum(keep - 1, 0)
         low = np.where(side[keep], cs[keep], np.where(head[keep], cs[keep] - 1, cs[before]))
         high = np.where(pair, ce[follow], np.where(side[keep], np.where(tail[keep], ce[keep] + 1, ce[follow]), ce[keep]))
-        low = np.where(~side[keep] & head[keep], np.minimum(low, cs[keep] - 1), low)
-        new_head, new_tail = head[keep], np.where(pair, tail[follow], tail[keep])
+        head, tail = head[keep], np.where(pair, tail[follow], tail[keep])
         name = np.where(pair, merged, name[keep])
-        span = span[keep] + np.where(pair, span[follow], 0)
         cs, ce = np.minimum(low, cs[keep]), np.maximum(high, ce[keep])
-        head, tail = new_head, new_tail
-        yield name, span, cs, ce
+        yield Level(name, cs, ce, pair, keep, np.where(pair, follow, keep))
 
 
-def symbol_anchors(h: np.ndarray, w_off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first window, windows): each window's longest symbol, ties by name, among those it surely holds.
+class Symbols:
+    """Names are those of recompression; each level is a round."""
 
-    A symbol stands at the start of its context, which may be REACH words long at
-    most; a window of `width` words holds the symbols of its first
-    width-REACH+1 words. Words are symbols too, so every window has one.
-    """
-    n, reach = len(h), min(REACH, (width + 1) // 2)
-    size = n - width + 1
-    if size <= 0:
+    rounds, suffix = LEVELS, 0
+
+    @staticmethod
+    def _judged(h: np.ndarray, w_off: np.ndarray, told: Told, turn: int) -> Iterator[tuple[Level, np.ndarray, np.ndarray, np.ndarray]]:
+        """(level, live, hot, new): live symbols occur again, as far as the rounds before `turn` tell; new ones are those it asks for."""
+        live = np.ones(len(h), bool)
+        for number, level in enumerate(recompress(h, w_off, min(turn + 1, LEVELS))):
+            built = live[level.left] & live[level.right]
+            again, hot = told.find(level.name)
+            asked = max(0, number - 1)  # runs and the first pairs are asked for together
+            live = built & (again | ~level.made) if asked < turn else built
+            yield level, live, hot, built & level.made & (asked == turn)
+
+    def ask(self, h: np.ndarray, w_off: np.ndarray, width: int, told: Told, turn: int) -> np.ndarray:
+        return np.concatenate([level.name[new] for level, _, _, new in self._judged(h, w_off, told, turn)])
+
+    def show(self, h: np.ndarray, w_off: np.ndarray, width: int, told: Told) -> Shown:
+        """Each window that holds no dead symbol, under the first of its symbols of the highest level.
+
+        Contexts begin and end in the order of the symbols, so the first symbol that begins inside a window either
+        lies in it or no symbol of its level does. Words are symbols too, so every window has one.
+        """
+        n, size = len(h), len(h) - width + 1
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z
-    text = owner(w_off, n)
-    best = np.zeros(n, np.uint64)
-    for name, span, cs, ce in recompress(h, w_off):
-        ok = np.flatnonzero((ce - cs <= reach) & (cs >= 0) & (ce <= n))
-        ok = ok[text[cs[ok]] == text[ce[ok] - 1]]
-        np.maximum.at(best, cs[ok], np.minimum(span[ok], 63).astype(np.uint64) << np.uint64(58) | name[ok] >> np.uint64(6))
-    top, where = sliding_max(best, width - reach + 1)
-    return by_position(top[:size], where[:size], text[:size] == text[width - 1 :])
+        if size <= 0:
+            return Shown(z.astype(np.uint64), z, z, z, z.astype(bool))
+        text, window = owner(w_off, n), np.arange(size)
+        name, at, heat, rank = h[:size].copy(), window.copy(), np.zeros(size, bool), np.zeros(size, np.int64)
+        dead = np.zeros(size + 1, np.int64)
+        for number, (level, live, hot, _) in enumerate(self._judged(h, w_off, told, self.rounds)):
+            ok = np.flatnonzero((level.start >= 0) & (level.end <= n) & (level.end - level.start <= width))
+            ok = ok[text[level.start[ok]] == text[level.end[ok] - 1]]
+            if not len(ok):
+                continue
+            start, end = level.start[ok], level.end[ok]
+            gone = ~live[ok]
+            lo, hi = np.maximum(end[gone] - width, 0), np.minimum(start[gone], size - 1) + 1
+            np.add.at(dead, lo[lo < hi], 1)
+            np.add.at(dead, hi[lo < hi], -1)
+            j = np.minimum(np.searchsorted(start, window), len(ok) - 1)
+            inside = np.flatnonzero((start[j] >= window) & (end[j] <= window + width))
+            k = ok[j[inside]]
+            name[inside], at[inside], heat[inside], rank[inside] = level.name[k], level.start[k], hot[k], number + 1
+        # One symbol may be the highest of windows on two levels: the level is part of the place.
+        good = (text[:size] == text[width - 1 :]) & (np.cumsum(dead)[:size] == 0)
+        _, _, first, count = by_position(name, at * (LEVELS + 2) + rank, good)
+        return Shown(name[first], at[first], first, count, heat[first])
 
 
 def sliding_max(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,11 +146,11 @@ def sliding_max(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return x, at
 
 
-def by_position(value: np.ndarray, where: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Consecutive windows with one anchor in one place, as (fingerprint, first window, windows)."""
+def by_position(value: np.ndarray, where: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Consecutive windows with one name in one place, as (name, place, first window, windows)."""
     ok = np.flatnonzero(inside)
     first, count = runs(ok, where[ok])
-    return mix(value[ok[first]]), ok[first], count
+    return mix(value[ok[first]]), where[ok[first]], ok[first], count
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -120,6 +161,9 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id",
 
     One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked
     for, the kept words joined by spaces. Null, empty and short texts lose nothing.
+    Rows that share an id are one document with several texts, each with a row of its own: equal starts aren't earlier
+    than each other, so copies of a row keep their words. A null id comes after all others. Other columns aren't read;
+    texts are taken whole, and a word may be of any length. An empty table gives no row.
     """
 
     def answer(left: pa.Table, found) -> pa.Table:
@@ -140,7 +184,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id",
             kept.append(words.decode() if with_text else None)
         return pa.table([left.column("id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return repeated_windows(docs, width, symbol_anchors, answer, SCHEMA, id_col, text_col)
+    return repeated_windows(docs, width, Symbols(), answer, SCHEMA, id_col, text_col)
 
 
 def _join(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> bytes:
@@ -154,4 +198,5 @@ def _join(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> bytes:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words kept and removed of every document (see `remove_repeats` for nulls, repeats and ties)."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False).drop("kept")
