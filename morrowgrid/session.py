@@ -16,12 +16,14 @@ def build(app: str = "morrowgrid", **conf: str) -> SparkSession:
 
 
 def cut_lineage(df):
-    """A reliable checkpoint in spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """A reliable checkpoint in spark.checkpoint.dir; a folder of our own only where that is unset and driver and executors are one process, as in tests."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             import tempfile
 
             where = tempfile.mkdtemp(prefix="checkpoints-")
