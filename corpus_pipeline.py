@@ -27,12 +27,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what passes between them is Parquet in the shared checkpoint folder."""
+    """All stages over documents; what passes between them is Parquet in the shared checkpoint folder.
+
+    One row for each document that all stages keep, with its columns and the last stage's. Null, empty and
+    wordless texts go at the first stage; rows that repeat an id and text go but for one at the second; what
+    else nulls, ties and clashing names do is said at each stage. An empty table gives no row. A stage's
+    folder is deleted once the next one's is written; the last one is what the result reads.
+    """
     shared_folder(spark)
     base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    where = f"{base}/pipeline-{uuid.uuid4().hex}"
+    where, done = f"{base}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
         docs = spark.read.parquet(f"{where}/{name}")
+        if done:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/{done}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        done = name
     return STAGES[-1][1](spark, docs, sf_dir)
