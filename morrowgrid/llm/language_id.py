@@ -1,8 +1,14 @@
-"""Language ID: averaged hashed subword embeddings and a linear softmax, with calibrated rejection."""
+"""Language ID: averaged hashed subword embeddings and a linear softmax, with calibrated rejection.
+
+Calibration documents (every fifth of the sample, not trained on) are cut to prefixes, so that each length class of
+texts has a temperature, a share of the even guess and a score threshold of its own. What isn't language of
+a learned kind is told by the share of 4-byte subwords that no training document has: its limit lies between the shares
+of calibration prefixes and those of the same prefixes with their letters shuffled.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import append_columns, flat
+from .kernel import append_columns, flat, spread, word_spans
 
 #: Subword sizes in bytes, hash buckets of each size, and the embedding's dimensions.
 GRAMS, BUCKETS, DIM = (3, 4), 1 << 14, 16
@@ -19,12 +25,13 @@ GRAMS, BUCKETS, DIM = (3, 4), 1 << 14, 16
 SAMPLE_PER_LANGUAGE = 400
 #: Each threshold is the quantile that leaves this share of the calibration documents out.
 REJECT_SHARE = 0.001
-#: Bits of the table of known 4-byte subwords; the numbers of subwords at which a length class begins; calibration prefixes of each class.
-KNOWN_BITS, CLASSES, PREFIX = 20, (32, 128, 512), (16, 32, 128, 512)
+#: Bits of the table of known 4-byte subwords; the bytes at which a length class begins; calibration prefixes of each class, in bytes.
+KNOWN_BITS, CLASSES, PREFIX = 20, (32, 128, 512), (16, 48, 192, 512)
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
 _LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
+_NO_WORD = np.array([chr(b) in "0123456789@" for b in range(256)])
 
 
 def _buckets(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -43,9 +50,18 @@ def _buckets(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]
 
 
 def _subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's 4-byte subwords in order, without those that begin with two blanks; offsets by text."""
+    """Hashes of each text's 4-byte subwords in order; offsets by text.
+
+    Words with a digit or @ (numbers, addresses, keys) count as blanks, and subwords that begin with two blanks are left out.
+    """
     data, off = flat(pc.utf8_lower(texts))
-    d, n = _FOLD[data].astype(np.uint64), len(data)
+    folded, n = _FOLD[data], len(data)
+    if n:
+        s, e, _ = word_spans(data, off)
+        marks = np.append(0, np.cumsum(_NO_WORD[data]))
+        odd = marks[e] > marks[s]
+        folded[spread(s[odd], (e - s)[odd])] = 0x20
+    d = folded.astype(np.uint64)
     pad = np.concatenate([d, np.full(8, 0x20, np.uint64)])
     v = pad[:n] | pad[1 : n + 1] << np.uint64(8) | pad[2 : n + 2] << np.uint64(16) | pad[3 : n + 3] << np.uint64(24)
     ok = (pad[:n] != 0x20) | (pad[1 : n + 1] != 0x20)
@@ -71,27 +87,35 @@ def _sums(values: np.ndarray, off: np.ndarray, g: int) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """table: each bucket's embedding times the softmax weights (averaging and the linear layer commute)."""
+    """table: each bucket's embedding times the softmax weights (averaging and the linear layer commute).
+
+    The arrays have an entry for each length class.
+    """
 
     langs: list[str]
     table: np.ndarray
     bias: np.ndarray
-    temperature: float = 1.0
-    threshold: float = 0.0
-    #: Which subwords were seen; of each length class the largest share of new ones that passes, and the one that is usual.
+    temperature: np.ndarray = field(default_factory=lambda: np.ones(len(PREFIX)))
+    #: The share of the even guess that is mixed in, since no count of right answers makes a sure one.
+    doubt: np.ndarray = field(default_factory=lambda: np.zeros(len(PREFIX)))
+    threshold: np.ndarray = field(default_factory=lambda: np.zeros(len(PREFIX)))
+    #: Which subwords were seen; the largest share of new ones that passes, and the one that is usual.
     known: np.ndarray | None = None
-    limits: np.ndarray | None = None
-    usual: np.ndarray | None = None
+    limits: np.ndarray = field(default_factory=lambda: np.ones(len(PREFIX)))
+    usual: np.ndarray = field(default_factory=lambda: np.ones(len(PREFIX)))
 
-    def strange(self, texts: pa.Array, score: np.ndarray) -> np.ndarray:
-        """Whether more subwords are new than calibration documents of that length have, or the score is low and more are new than usual."""
+    def strange(self, texts: pa.Array, score: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Whether more subwords are new than the limit, or the score is low and more are new than usual."""
         if self.known is None:
-            return score < self.threshold
+            return score < self.threshold[kind]
         h, off = _subwords(texts)
-        n = np.diff(off)
         new = np.append(0, np.cumsum(~self.known[h]))
-        share, kind = (new[off[1:]] - new[off[:-1]]) / np.maximum(n, 1), np.searchsorted(CLASSES, n, "right")
-        return (share > self.limits[kind]) | ((score < self.threshold) & (share > self.usual[kind]))
+        share = (new[off[1:]] - new[off[:-1]]) / np.maximum(np.diff(off), 1)
+        return (share > self.limits[kind]) | ((score < self.threshold[kind]) & (share > self.usual[kind]))
+
+    def probabilities(self, logits: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        doubt = self.doubt[kind][:, None]
+        return (1 - doubt) * softmax(logits / self.temperature[kind][:, None]) + doubt / max(1, len(self.langs))
 
     def logits(self, texts: pa.Array) -> np.ndarray:
         grams, off, _ = _buckets(texts)
@@ -106,10 +130,11 @@ class LanguageModel:
         lettered = has_letter(texts)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        p = softmax(self.logits(texts) / self.temperature)
+        kind = np.searchsorted(CLASSES, np.diff(flat(texts)[1]), "right")
+        p = self.probabilities(self.logits(texts), kind)
         best = p.argmax(1)
         score = np.where(lettered, p.max(1), 0.0)
-        return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], score, ~lettered | self.strange(texts, score)
+        return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], score, ~lettered | self.strange(texts, score, kind)
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:
@@ -131,17 +156,19 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: list[str], epochs: int = 6, rate: float = 0.5, seed: int = 7) -> LanguageModel:
-    """Stochastic gradient descent on (buckets, counts, language); every fifth row calibrates only."""
+    """Stochastic gradient descent on (buckets, counts, language).
+
+    A bucket's gradient is its share of the text times that of the mean embedding; shares are scaled by 200, at most to 1
+    (a per-coordinate rate: buckets of common subwords move as far as the mean does).
+    """
     rng = np.random.default_rng(seed)
     E = rng.normal(0, 0.1, (len(GRAMS) * BUCKETS, DIM))
     Wt = rng.normal(0, 0.1, (DIM, len(langs)))
     b = np.zeros(len(langs))
-    learn = [r for i, r in enumerate(rows) if i % 5]
-    held = [r for i, r in enumerate(rows) if not i % 5] or learn
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for i in rng.permutation(len(learn)):
-            ids, cnt, y = learn[i]
+        for i in rng.permutation(len(rows)):
+            ids, cnt, y = rows[i]
             w = cnt / max(cnt.sum(), 1)
             v = w @ E[ids]
             p = softmax((v @ Wt + b)[None])[0]
@@ -150,37 +177,49 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: list[str], epoc
             Wt -= step * np.outer(v, p)
             b -= 0.1 * step * p
             E[ids] -= step * np.minimum(1, 200 * w)[:, None] * dv
-    model = LanguageModel(langs, (E @ Wt).astype(np.float32), b)
-    z = np.array([(c / max(c.sum(), 1)) @ model.table[i] + b for i, c, _ in held]).reshape(-1, len(langs))
-    y = np.array([r[2] for r in held], np.int64)
-    if len(y):
-        loss = {t: -np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in np.geomspace(0.05, 5, 60)}
-        model.temperature = float(min(loss, key=loss.get))
-        p = softmax(z / model.temperature)
-        right = p.max(1)[p.argmax(1) == y]
-        model.threshold = float(np.quantile(right, REJECT_SHARE, method="lower")) if len(right) else 0.0
-    return model
+    return LanguageModel(langs, (E @ Wt).astype(np.float32), b)
+
 
+def _prefixes(texts: list[str], size: int) -> list[str]:
+    """The first `size` bytes of the texts that are as long, cut between signs."""
+    return [b[:size].decode("utf-8", "ignore") for t in texts if len(b := t.encode()) >= size]
 
-def calibrate(model: LanguageModel, learn: list[np.ndarray], held: list[np.ndarray]) -> None:
-    """Known subwords from learn; of each length class the shares of new ones in prefixes of held."""
+
+def calibrate(model: LanguageModel, seen: list[np.ndarray], held: list[tuple[str, int]], seed: int = 5) -> None:
+    """Known subwords from `seen`; what each length class asks for, from the beginnings of calibration texts (text, language)."""
+    rng = np.random.default_rng(seed)
     model.known = np.zeros(1 << KNOWN_BITS, bool)
-    for h in learn:
+    for h in seen:
         model.known[h] = True
-    limits, usual = [], []
-    for k in PREFIX:
-        share = [float((~model.known[h[:k]]).mean()) for h in held if len(h) >= k]
-        share = share or [float((~model.known[h]).mean()) for h in held if len(h)] or [1.0]
-        limits.append(np.quantile(share, 1 - REJECT_SHARE, method="higher"))
-        usual.append(np.quantile(share, 0.95))
-    model.limits, model.usual = np.array(limits), np.array(usual)
+
+    def shares(texts: list[str]) -> np.ndarray:
+        h, off = _subwords(pa.array(texts, pa.string()))
+        new = np.append(0, np.cumsum(~model.known[h]))
+        return ((new[off[1:]] - new[off[:-1]]) / np.maximum(np.diff(off), 1))[np.diff(off) > 0]
+
+    for k, size in enumerate(PREFIX):
+        some = [(p, y) for t, y in held for p in _prefixes([t], size)] or held
+        texts, y = [p for p, _ in some], np.array([y for _, y in some])
+        clean, noise = shares(texts), shares(["".join(rng.permutation(list(t))) for t in texts])
+        if len(clean):
+            low, high = np.quantile(clean, 1 - REJECT_SHARE, method="higher"), np.quantile(noise, 0.01, method="lower") if len(noise) else 1.0
+            low = max(low, 1 / max(size, 1))
+            model.limits[k], model.usual[k] = np.sqrt(low * high) if high > low else low, np.quantile(clean, 0.95)
+        z = model.logits(pa.array(texts, pa.string()))
+        loss = {t: -np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in np.geomspace(0.02, 20, 120)}
+        model.temperature[k] = min(loss, key=loss.get)
+        model.doubt[k] = 1 / (len(y) + 2)
+        p = model.probabilities(z, np.full(len(y), k))
+        right = p.max(1)[p.argmax(1) == y]
+        model.threshold[k] = np.quantile(right, REJECT_SHARE, method="lower") if len(right) else 0.0
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Learn from a hash sample (expected size per_language each) of labelled documents that aren't held out.
 
-    The executors send bucket counts and subword hashes, not texts. A language without a lettered
-    text isn't learned; without any label every prediction is `und`.
+    The executors send bucket counts and subword hashes, and the first bytes of each text for calibration, not whole texts. A
+    language without a lettered text isn't learned; without any label every prediction is `und`. Repeated rows count
+    each; the order of the sample follows id and content, so the model doesn't depend on partitions.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col) & F.col(id_col).isNotNull())
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
@@ -193,25 +232,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def features(texts: pa.Array):
         grams, off, _ = _buckets(texts)
         sub, sub_off = _subwords(texts)
-        ids, cnt, seen, lead = [], [], [], []
+        ids, cnt, seen = [], [], []
         for i, ok in enumerate(has_letter(texts)):
             h = np.concatenate([g[off[i] : max(off[i], off[i + 1] - k + 1)] for g, k in zip(grams, GRAMS, strict=True)]) if ok else np.zeros(0, np.int64)
             a, n = np.unique(h, return_counts=True)
             ids.append(a.astype(np.uint16).tobytes())
             cnt.append(n.astype(np.uint32).tobytes())
-            own = sub[sub_off[i] : sub_off[i + 1]]
-            seen.append(np.unique(own).astype(np.uint32).tobytes())
-            lead.append(own[: max(PREFIX)].astype(np.uint32).tobytes())
-        return ids, cnt, seen, lead
+            seen.append(np.unique(sub[sub_off[i] : sub_off[i + 1]]).astype(np.uint32).tobytes())
+        return ids, cnt, seen, [(t or "").encode()[: 2 * max(PREFIX)].decode("utf-8", "ignore") for t in texts.to_pylist()]
 
-    got = append_columns(drawn, "mg_text", features, [(c, T.BinaryType(), pa.binary()) for c in ("mg_ids", "mg_cnt", "mg_seen", "mg_lead")], keep=["mg_id", "mg_lang"]).collect()
-    langs = sorted({r.mg_lang for r in got if len(r.mg_ids)})
+    new = [(c, T.BinaryType(), pa.binary()) for c in ("mg_ids", "mg_cnt", "mg_seen")] + [("mg_lead", T.StringType(), pa.string())]
+    got = [r for r in append_columns(drawn, "mg_text", features, new, keep=["mg_id", "mg_lang"]).collect() if len(r.mg_ids)]
+    langs = sorted({r.mg_lang for r in got})
     at = {k: i for i, k in enumerate(langs)}
-    rows = sorted((r for r in got if len(r.mg_ids)), key=lambda r: (r.mg_id, bytes(r.mg_ids), r.mg_lang))
-    model = train([(np.frombuffer(r.mg_ids, np.uint16).astype(np.int64), np.frombuffer(r.mg_cnt, np.uint32).astype(float), at[r.mg_lang]) for r in rows], langs)
+    rows = sorted(got, key=lambda r: (r.mg_id, bytes(r.mg_ids), r.mg_lang))
     learn, held = [r for i, r in enumerate(rows) if i % 5], [r for i, r in enumerate(rows) if not i % 5]
-    if learn and held:
-        calibrate(model, [np.frombuffer(r.mg_seen, np.uint32) for r in learn], [np.frombuffer(r.mg_lead, np.uint32) for r in held])
+    learn = learn or held
+    model = train([(np.frombuffer(r.mg_ids, np.uint16).astype(np.int64), np.frombuffer(r.mg_cnt, np.uint32).astype(float), at[r.mg_lang]) for r in learn], langs)
+    if held:
+        calibrate(model, [np.frombuffer(r.mg_seen, np.uint32) for r in learn], [(r.mg_lead, at[r.mg_lang]) for r in held])
     return model
 
 
@@ -221,19 +260,24 @@ def held_out(id_col: str = "doc_id"):
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add lang_pred, score and rejected to docs. Null, empty and letterless texts: und, 0, rejected."""
+    """Add lang_pred, score and rejected to docs. Null, empty and letterless texts: und, 0, rejected.
+
+    Only the text is read. Equal scores go to the language first by name. Repeated rows each keep their row; texts are read
+    whole, in slices that end between texts; the new columns replace columns of the same name. An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     new = [("lang_pred", T.StringType(), pa.string()), ("score", T.DoubleType(), pa.float64()), ("rejected", T.BooleanType(), pa.bool_())]
     return append_columns(docs, text_col, lambda texts: shared.value.predict(texts), new, keep, 1 << 20)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every row of documents; null and letterless texts are `und` with score 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs)
     return identify(docs.withColumn("held_out", held_out()), model, keep=["doc_id", "held_out"])
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the model rejects go; the columns of documents stay."""
-    out = identify(docs, fit(docs))
-    return out.where(~F.col("rejected")).select(*docs.columns)
+    """Pipeline stage: documents that the model rejects go, null and letterless texts too; the columns of documents stay, whatever extra ones are called."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+    return identify(packed, fit(docs), keep=["row"]).where(~F.col("rejected")).select("row.*")
