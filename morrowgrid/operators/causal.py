@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import r6, ratio
-from .features import standardise
+from .features import one_hot, standardise
+from .profile import density_histogram
 from .ranges import with_range
 
 
@@ -84,6 +85,21 @@ def propensity_overlap(d: DataFrame, cols: list[str]) -> DataFrame:
     return propensity(d, cols).groupBy("t").agg(F.count("*").alias("n"), F.min("e").alias("min_e"), F.avg("e").alias("mean_e"), F.max("e").alias("max_e"))
 
 
+def overlap_histogram(e: DataFrame, bins: int = 40) -> DataFrame:
+    """Density of propensities by treatment over common equal-width bins."""
+    return density_histogram(e, "e", bins, "t")
+
+
+def confounders(d: DataFrame, numeric: list[str], zero: str, categorical: dict[str, list]) -> tuple[DataFrame, list[str]]:
+    """The matrix to adjust for: numbers as they are, a 0/1 column for zeros of `zero`, and dummies of the categories, first level dropped; and its columns."""
+    out = d.withColumn(f"zero_{zero}", (F.col(zero) == 0).cast("double"))
+    names = [*numeric, f"zero_{zero}"]
+    for c, levels in categorical.items():
+        out = one_hot(out, c, levels)
+        names += [f"{c}_{v}" for v in sorted(levels)[1:]]
+    return out.withColumns({c: F.col(c).cast("double") for c in names}), names
+
+
 def outcome_model(d: DataFrame, cols: list[str]):
     z = standardise(d, "id", cols).join(d.select("id", F.col("t").cast("double").alias("t"), "y"), "id")
     a = VectorAssembler(inputCols=[*cols, "t"], outputCol="features").transform(z)
@@ -113,7 +129,7 @@ def bootstrap_ipw(d: DataFrame, cols: list[str], replicates: int = 500) -> DataF
     """
     z = standardise(d, "id", cols).join(d.select("id", "t", "y"), "id").persist()
     k = len(cols) + 1
-    beta = np.zeros((replicates, k))
+    beta, ridge = np.zeros((replicates, k)), np.diag([0.0, *[1.0] * (k - 1)])  # the intercept isn't penalised
 
     def draws(ids: np.ndarray) -> np.ndarray:
         h = (ids.astype(np.uint64)[:, None] * np.uint64(2654435761) + np.arange(replicates, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -144,10 +160,12 @@ def bootstrap_ipw(d: DataFrame, cols: list[str], replicates: int = 500) -> DataF
             out[r.b, r.i] = r.v
         return out
 
-    for _ in range(5):
+    for _ in range(25):
         s = gather(beta, False)
-        for r in range(replicates):
-            beta[r] += np.linalg.solve(s[r, k:].reshape(k, k) + np.eye(k), s[r, :k] - beta[r])
+        steps = [np.linalg.solve(s[r, k:].reshape(k, k) + ridge, s[r, :k] - ridge @ beta[r]) for r in range(replicates)]
+        beta += np.array(steps)
+        if np.abs(steps).max() < 1e-8:
+            break
     e = gather(beta, True)
     z.unpersist()
     ate = e[:, 0] / e[:, 1] - e[:, 2] / e[:, 3]

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expressions import r6
+from ..functions.expressions import r6, ratio
 from ..session import cut_lineage
+from .ranges import quantiles, with_position
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -68,11 +68,15 @@ def k_distance(v: DataFrame, k: int) -> DataFrame:
 
 
 def k_distance_percentiles(v: DataFrame, k: int, at=(50, 75, 90, 95, 99)) -> DataFrame:
-    p = ", ".join(str(a / 100) for a in at)
-    one = k_distance(v, k).agg(F.expr(f"percentile(k_dist, array({p}))").alias("q"))
+    one = quantiles(k_distance(v, k), "k_dist", [a / 100 for a in at])
     return one.select(F.explode(F.arrays_zip(F.array(*(F.lit(a) for a in at)).alias("pct"), F.col("q"))).alias("x")).select(F.col("x.pct").alias("pct"), F.round("x.q", 5).alias("k_dist"))
 
 
+def k_distance_curve(v: DataFrame, k: int) -> DataFrame:
+    """(pos, k_dist): the k-distances in ascending order."""
+    return with_position(k_distance(v, k), "k_dist", "id").select("pos", "k_dist")
+
+
 def _blocked(v: DataFrame, run, schema: str) -> DataFrame:
     b = blocks(v)
     ids = sorted(r.block for r in b.select("block").distinct().collect())
@@ -133,7 +137,10 @@ def dbscan(v: DataFrame, eps: float, min_samples: int = 10) -> DataFrame:
     labels = cv.where("is_core = 1").select("id", F.col("id").alias("label"))
     while True:
         near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("label").alias("m"))
-        new = cut_lineage(labels.join(near, labels.id == near.a, "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old")))
+        spread = cut_lineage(labels.join(near, labels.id == near.a, "left").select("id", F.least("label", F.coalesce("m", "label")).alias("mid"), F.col("label").alias("old")))
+        # the label's own label: chains halve in every round
+        jump = spread.select("mid").distinct().join(spread.select(F.col("id").alias("mid"), F.col("mid").alias("far")), "mid")
+        new = cut_lineage(spread.join(F.broadcast(jump) if jump.count() <= 100_000 else jump, "mid", "left").select("id", F.least("mid", F.coalesce("far", "mid")).alias("label"), "old"))
         if new.where("label <> old").isEmpty():
             break
         labels = new.select("id", "label")
@@ -153,10 +160,41 @@ def dbscan(v: DataFrame, eps: float, min_samples: int = 10) -> DataFrame:
     return lv.join(b, "id", "left").select("id", F.coalesce("label", "m", F.lit(-1)).alias("label"))
 
 
+def dbscan_noise(v: DataFrame, eps_grid: list[float], min_samples: int = 10) -> DataFrame:
+    """(eps, id, is_core, is_noise) for several radii at once: distances are computed once for the degrees and once for the neighbours of core points."""
+    grid = np.array(sorted(eps_grid))
+
+    def degrees(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(c):
+            return pd.DataFrame({"id": [], "n": []}).astype({"id": "int64", "n": "object"})
+        d = _pairwise(a, c)
+        return pd.DataFrame({"id": a["id"], "n": list(np.stack([(d <= e).sum(1) for e in grid], axis=1))})
+
+    per = F.array(*(F.sum(F.col("n")[i]) for i in range(len(grid))))
+    deg = _blocked(v.select("id", "features"), degrees, "id long, n array<long>").groupBy("id").agg(per.alias("n"))
+    core = cut_lineage(v.select("id", "features").join(deg.select("id", F.transform("n", lambda x: (x >= min_samples).cast("int")).alias("core")), "id"))
+
+    def reached(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(c):
+            return pd.DataFrame({"id": [], "n": []}).astype({"id": "int64", "n": "object"})
+        d, is_core = _pairwise(a, c), np.array(c["core"].tolist())
+        return pd.DataFrame({"id": a["id"], "n": list(np.stack([((d <= e) & (is_core[:, i] == 1)[None]).sum(1) for i, e in enumerate(grid)], axis=1))})
+
+    near = _blocked(core, reached, "id long, n array<long>").groupBy("id").agg(per.alias("n"))
+    long = core.join(near, "id").select("id", F.posexplode(F.arrays_zip("core", "n")).alias("i", "s"))
+    return long.select(F.element_at(F.array(*(F.lit(float(e)) for e in grid)), F.col("i") + 1).alias("eps"), "id", F.col("s.core").alias("is_core"), (F.col("s.n") == 0).cast("int").alias("is_noise"))
+
+
 def dbscan_scan(v: DataFrame, eps_grid: list[float], min_samples: int = 10) -> DataFrame:
-    out = None
+    """(eps, n_clusters, n_noise, noise_share, smallest, silhouette without noise) for every radius."""
+    n, out = v.count(), None
     for eps in eps_grid:
-        d = dbscan(v, eps, min_samples).agg(F.lit(eps).alias("eps"), F.count_distinct(F.when(F.col("label") != -1, F.col("label"))).alias("n_clusters"), F.count_if(F.col("label") == -1).alias("n_noise"))
+        lab = cut_lineage(dbscan(v, eps, min_samples))
+        sizes = lab.where("label <> -1").groupBy("label").agg(F.count("*").alias("m"))
+        found = sizes.agg(F.count("*").alias("n_clusters"), F.min("m").alias("smallest"))
+        noise = lab.agg(F.count_if(F.col("label") == -1).alias("n_noise"))
+        sil = silhouette_samples(v.join(lab.where("label <> -1").withColumnRenamed("label", "mg_label"), "id").select("id", "features", F.col("mg_label").alias("label"))).agg(r6(F.avg("silhouette")).alias("s"))
+        d = found.crossJoin(noise).crossJoin(sil).select(F.lit(float(eps)).alias("eps"), "n_clusters", "n_noise", (F.col("n_noise") / F.lit(float(max(n, 1)))).alias("noise_share"), "smallest", F.when(F.col("n_clusters") > 1, F.col("s")).alias("silhouette"))
         out = d if out is None else out.union(d)
     return out
 
@@ -186,28 +224,148 @@ def silhouette(v: DataFrame, label: str = "label") -> DataFrame:
     return s.groupBy("label").agg(F.count("*").alias("n"), r6(F.avg("silhouette")).alias("silhouette"))
 
 
+def silhouette_many(v: DataFrame) -> DataFrame:
+    """(i, id, label, silhouette) for several labellings `labels` (an array) at once: distances are computed once."""
+
+    def run(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(c):
+            return pd.DataFrame({"id": [], "i": [], "own": [], "cluster": [], "s": [], "n": []})
+        dist, own, other = _pairwise(a, c), np.array(a["labels"].tolist()), np.array(c["labels"].tolist())
+        out = []
+        for i in range(own.shape[1]):
+            for k in np.unique(other[:, i]):
+                at = other[:, i] == k
+                out.append(pd.DataFrame({"id": a["id"].to_numpy(), "i": i, "own": own[:, i], "cluster": k, "s": dist[:, at].sum(1), "n": int(at.sum())}))
+        return pd.concat(out)
+
+    g = _blocked(v.select("id", "features", "labels"), run, "id long, i int, own long, cluster long, s double, n long").groupBy("i", "id", "own", "cluster").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    mine = F.col("own") == F.col("cluster")
+    s = g.groupBy("i", "id", F.col("own").alias("label")).agg(F.max(F.when(mine, F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)))).alias("a"), F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("b"))
+    return s.select("i", "id", "label", F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)).alias("silhouette"))
+
+
 def knife_plot(v: DataFrame, label: str = "label") -> DataFrame:
-    """Silhouettes with their position inside the cluster."""
-    return silhouette_samples(v, label).withColumn("pos", F.row_number().over(W.partitionBy("label").orderBy("silhouette", "id")))
+    """Silhouettes to six decimals with their position inside the cluster, ties by id."""
+    s = silhouette_samples(v, label).withColumn("silhouette", r6(F.col("silhouette")))
+    return with_position(s, "silhouette", "id", ["label"])
+
+
+#: Points from which k-means draws its starting centres (expected; a stated bound).
+SEED_POINTS = 8192
+
+
+def _start(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++: each next centre is drawn in proportion to the squared distance to those there are."""
+    at = [int(rng.integers(len(x)))]
+    near = ((x - x[at[0]]) ** 2).sum(1)
+    for _ in range(1, k):
+        total = near.sum()
+        at.append(int(rng.choice(len(x), p=near / total)) if total > 0 else int(rng.integers(len(x))))
+        near = np.minimum(near, ((x - x[at[-1]]) ** 2).sum(1))
+    return x[at]
 
 
-def kmeans_scan(v: DataFrame, ks: list[int], restarts: int = 3) -> DataFrame:
+def kmeans_many(v: DataFrame, ks: list[int], restarts: int = 10, rounds: int = 300, tol: float = 1e-4, seed: int = 42) -> dict[int, tuple[np.ndarray, float]]:
+    """The best of `restarts` starts for each k: {k: (centres in the order of their coordinates, inertia)}.
+
+    All starts of all k move in lockstep: a round is one pass over the points, and a task sends sums for each centre,
+    whatever its rows; they are added up in a few tasks before they meet the driver.
+    """
+    d = v.select("features").persist()
+    try:
+        n = d.count()
+        some = d.where(F.pmod(F.xxhash64("features", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SEED_POINTS / max(n, 1)))).collect()
+        x = np.array(sorted(r["features"] for r in some) or [r["features"] for r in d.limit(1).collect()])
+        rng = np.random.default_rng(seed)
+        names = [(k, r) for k in ks for r in range(restarts) if k <= len(x)]
+        centres = [_start(x, k, rng) for k, _ in names]
+        dim, limit = x.shape[1], tol * float(x.var(0).mean())
+        active, inertia = list(range(len(names))), np.full(len(names), np.inf)
+
+        def sums(now: list[np.ndarray]):
+            size = [c.shape[0] * (dim + 1) + 1 for c in now]
+
+            def part(batches):
+                acc = [np.zeros(s) for s in size]
+                for b in batches:
+                    p = np.array(b["features"].tolist())
+                    sq = (p * p).sum(1)
+                    for a, c in zip(acc, now, strict=True):
+                        dist = sq[:, None] - 2 * p @ c.T + (c * c).sum(1)[None]
+                        own = dist.argmin(1)
+                        a[-1] += np.maximum(dist[np.arange(len(p)), own], 0).sum()
+                        table = a[:-1].reshape(len(c), dim + 1)
+                        np.add.at(table, own, np.column_stack([p, np.ones(len(p))]))
+                yield pd.DataFrame({"body": [np.concatenate(acc).tobytes()]})
+
+            def add(batches):
+                total = None
+                for b in batches:
+                    for body in b["body"]:
+                        a = np.frombuffer(body)
+                        total = a.copy() if total is None else total + a
+                if total is not None:
+                    yield pd.DataFrame({"body": [total.tobytes()]})
+
+            got = d.mapInPandas(part, "body binary").repartition(8).mapInPandas(add, "body binary").collect()
+            whole = sum((np.frombuffer(r["body"]) for r in got), np.zeros(sum(size)))
+            return np.split(whole, np.cumsum(size)[:-1])
+
+        for _ in range(rounds):
+            still = []
+            for i, a in zip(active, sums([centres[i] for i in active]), strict=True):
+                table = a[:-1].reshape(len(centres[i]), dim + 1)
+                new = np.where(table[:, -1:] > 0, table[:, :-1] / np.maximum(table[:, -1:], 1), centres[i])
+                inertia[i] = a[-1]
+                if ((new - centres[i]) ** 2).sum() > limit:
+                    still.append(i)
+                centres[i] = new
+            active = still
+            if not active:
+                break
+        for i, a in enumerate(sums(centres)):
+            inertia[i] = a[-1]
+        out = {}
+        for k in ks:
+            of = [i for i, (q, _) in enumerate(names) if q == k]
+            if of:
+                best = min(of, key=lambda i: inertia[i])
+                out[k] = (np.array(sorted(centres[best].tolist())), float(inertia[best]))
+        return out
+    finally:
+        d.unpersist()
+
+
+def kmeans_scan(v: DataFrame, ks: list[int], restarts: int = 10) -> DataFrame:
     """(k, inertia) of the best of several starts."""
-    d = v.select("id", array_to_vector("features").alias("features")).persist()
-    rows = []
-    for k in ks:
-        rows.append((k, min(float(KMeans(k=k, seed=s, maxIter=20).fit(d).summary.trainingCost) for s in range(restarts))))
-    d.unpersist()
-    return v.sparkSession.createDataFrame(rows, "k int, inertia double")
+    return v.sparkSession.createDataFrame([(k, i) for k, (_, i) in kmeans_many(v, ks, restarts).items()], "k int, inertia double")
+
+
+def _assigned(v: DataFrame, centres: list[np.ndarray]) -> DataFrame:
+    """v with `labels`: for each set of centres the nearest one."""
 
+    def run(batches):
+        for b in batches:
+            p = np.array(b["features"].tolist()).reshape(len(b), -1)
+            lab = np.stack([(-2 * p @ c.T + (c * c).sum(1)[None]).argmin(1) for c in centres], axis=1)
+            yield pd.DataFrame({"id": b["id"], "features": b["features"], "labels": list(lab.astype("int64"))})
 
-def kmeans_labels(v: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    return v.select("id", "features").mapInPandas(run, "id long, features array<double>, labels array<long>")
+
+
+def kmeans_labels(v: DataFrame, k: int, restarts: int = 10) -> DataFrame:
     """Clusters numbered by their centre's coordinates, so the numbering doesn't depend on the start."""
-    d = v.select("id", array_to_vector("features").alias("features"))
-    m = KMeans(k=k, seed=seed, maxIter=20).fit(d)
-    order = {int(c): i for i, c in enumerate(sorted(range(k), key=lambda c: tuple(m.clusterCenters()[c])))}
-    names = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    return m.transform(d).select("id", names[F.col("prediction")].alias("cluster"))
+    centres, _ = kmeans_many(v, [k], restarts)[k]
+    return _assigned(v, [centres]).select("id", F.col("labels")[0].cast("int").alias("cluster"))
+
+
+def elbow(v: DataFrame, ks: list[int], restarts: int = 10) -> DataFrame:
+    """(k, inertia, silhouette, smallest cluster) of the best start for each k."""
+    found = kmeans_many(v, ks, restarts)
+    table = v.sparkSession.createDataFrame([(i, k, found[k][1]) for i, k in enumerate(found)], "i int, k int, inertia double")
+    lab = cut_lineage(_assigned(v, [c for c, _ in found.values()]))
+    sizes = lab.select(F.posexplode("labels").alias("i", "label")).groupBy("i", "label").count().groupBy("i").agg(F.min("count").alias("smallest"))
+    return silhouette_many(lab).groupBy("i").agg(F.avg("silhouette").alias("silhouette")).join(F.broadcast(table), "i").join(F.broadcast(sizes), "i").select("k", "inertia", "silhouette", "smallest")
 
 
 def _centred(v: DataFrame) -> tuple[DataFrame, int]:
@@ -229,19 +387,29 @@ def pca_evr(v: DataFrame, k: int) -> DataFrame:
     return v.sparkSession.createDataFrame([(i + 1, float(x), float(c)) for i, (x, c) in enumerate(zip(e, np.cumsum(e), strict=True))], "component int, evr double, cumulative double")
 
 
-def pca_loadings(v: DataFrame, k: int) -> DataFrame:
-    """Loadings in long form; the sign makes each component's largest loading positive."""
+def pca_scores(v: DataFrame, k: int) -> DataFrame:
+    """(id, component, score) of centred points; the sign makes each component's largest loading positive."""
+    m, d = pca(v, k)
+    a = m.pc.toArray()
+    sign = np.sign(a[np.abs(a).argmax(0), np.arange(a.shape[1])])
+    return m.transform(d).select("id", F.posexplode(vector_to_array("scores")).alias("i", "s")).select("id", (F.col("i") + 1).alias("component"), (F.col("s") * F.element_at(F.array(*(F.lit(float(x)) for x in sign)), F.col("i") + 1)).alias("score"))
+
+
+def pca_loadings(v: DataFrame, k: int, stretch: float = 1.0) -> DataFrame:
+    """Loadings in long form; the sign makes each component's largest loading positive; stretch lengthens the vectors of a biplot."""
     m, _ = pca(v, k)
     a = m.pc.toArray()
-    a = a * np.sign(a[np.abs(a).argmax(0), np.arange(a.shape[1])])
+    a = stretch * a * np.sign(a[np.abs(a).argmax(0), np.arange(a.shape[1])])
     return v.sparkSession.createDataFrame([(i, j + 1, float(a[i, j])) for i in range(a.shape[0]) for j in range(a.shape[1])], "feature int, component int, loading double")
 
 
-def tsne(v: DataFrame, perplexity: float = 30.0, iterations: int = 150, sample: int = 500) -> DataFrame:
-    """Exact t-SNE of a bounded sample (a stated limit of the method: it is quadratic), PCA start."""
-    few = v.orderBy(F.xxhash64("id"), "id").limit(sample).withColumn("g", F.lit(0))
+def tsne(v: DataFrame, perplexities: tuple[float, ...] = (5.0, 30.0, 50.0), iterations: int = 500, sample: int = 1000) -> DataFrame:
+    """(perplexity, id, x, y): exact t-SNE of a bounded sample (a stated limit of the method: it is quadratic), PCA start, a task for each perplexity."""
+    few = v.orderBy(F.xxhash64("id"), "id").limit(sample).withColumn("perplexity", F.explode(F.array(*(F.lit(float(p)) for p in perplexities))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        perplexity = float(pdf["perplexity"].iloc[0])
+        pdf = pdf.sort_values("id", ignore_index=True)
         x = np.array(pdf["features"].tolist())
         x = x - x.mean(0)
         n = len(x)
@@ -271,14 +439,17 @@ def tsne(v: DataFrame, perplexity: float = 30.0, iterations: int = 150, sample:
             grad = 4 * (np.diag(g.sum(1)) - g) @ y
             step = (0.5 if it < 60 else 0.8) * step - max(n / 12, 50) * grad
             y = y + step
-        return pd.DataFrame({"id": pdf["id"], "x": y[:, 0], "y": y[:, 1]})
+        return pd.DataFrame({"perplexity": perplexity, "id": pdf["id"], "x": y[:, 0], "y": y[:, 1]})
 
-    return few.groupBy("g").applyInPandas(run, "id long, x double, y double")
+    return few.groupBy("perplexity").applyInPandas(run, "perplexity double, id long, x double, y double")
 
 
-def noise_profile(d: DataFrame, label: str, money: str) -> DataFrame:
-    """Noise against clustered points: size, median, share of the money."""
-    noise = (F.col(label) == -1).cast("int")
-    g = d.groupBy(noise.alias("is_noise")).agg(F.count("*").alias("n"), r6(F.expr(f"percentile({money}, 0.5)")).alias("median_value"), F.sum(F.col(money).cast("decimal(18,2)")).alias("m"))
-    t = g.agg(F.sum("m").alias("t"))
-    return g.crossJoin(F.broadcast(t)).select("is_noise", "n", "median_value", F.try_divide(F.col("m").cast("double"), F.col("t").cast("double")).alias("share"))
+def noise_profile(d: DataFrame, label: str, columns: list[str], money: str) -> DataFrame:
+    """Noise (label -1) against clustered points: size, share of points, medians of the columns, share of the money."""
+    noise = d.withColumn("is_noise", (F.col(label) == -1).cast("int"))
+    g = noise.groupBy("is_noise").agg(F.count("*").alias("n"), F.sum(F.col(money).cast("decimal(18,2)")).alias("m"))
+    t = g.agg(F.sum("m").alias("t"), F.sum("n").alias("tn"))
+    out = g.crossJoin(F.broadcast(t)).select("is_noise", "n", ratio(F.col("n"), F.col("tn")).alias("n_share"), ratio(F.col("m"), F.col("t")).alias("money_share"))
+    for c in columns:
+        out = out.join(F.broadcast(quantiles(noise, c, [0.5], ["is_noise"]).select("is_noise", r6(F.col("q")[0]).alias(f"median_{c}"))), "is_noise", "left")
+    return out

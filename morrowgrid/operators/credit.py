@@ -82,8 +82,3 @@ def sensitivity(loans: DataFrame) -> DataFrame:
     j = one.crossJoin(F.broadcast(tight)).withColumn("adverse_weight", w)
     names = ["lgd_up", "lgd_down", "pd_up", "pd_down", "adverse_weight", "backstop"]
     return j.select(F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), F.round(F.col(n), 4).alias("ecl"), F.round(F.col(n) - F.col("base"), 4).alias("delta"), r6(F.col(n) / F.col("base") - 1).alias("delta_pct")) for n in names))).alias("v")).select("v.*")
-
-
-def grade_window_pd(b: DataFrame) -> DataFrame:
-    """The same origination PD as a partition mean."""
-    return b.withColumn("orig_pd", F.avg("pd12").over(W.partitionBy("grade")))

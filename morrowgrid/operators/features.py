@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import keyed_hash, r6, ratio
+from .ranges import medians
 
 
 def rfm(clean: DataFrame) -> DataFrame:
@@ -63,8 +64,8 @@ def standardise(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
 
 def median_impute(df: DataFrame, cols: list[str]) -> DataFrame:
     """Nulls become the exact median; a 0/1 column tells which were."""
-    med = df.agg(*(F.expr(f"percentile({c}, 0.5)").alias(f"{c}_median") for c in cols))
-    return df.crossJoin(F.broadcast(med)).withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in cols} | {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}_median")) for c in cols}).drop(*(f"{c}_median" for c in cols))
+    med = medians(df, cols)
+    return df.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in cols} | {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c])) for c in cols})
 
 
 def stratified_rank(df: DataFrame, key: str, target: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import edge_bins, r6, ratio
-from .ranges import with_range
+from .ranges import quantiles, with_range
 
 
 def score_counts(s: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -92,8 +92,7 @@ def class_report(s: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def reliability(s: DataFrame, bins: int = 10) -> DataFrame:
     """Mean score and observed rate in quantile bins; empty bins have no row."""
-    at = ", ".join(str(i / bins) for i in range(bins + 1))
-    e = s.agg(F.array_distinct(F.expr(f"percentile(p, array({at}))")).alias("edges"))
+    e = quantiles(s, "p", [i / bins for i in range(bins + 1)]).select(F.array_distinct("q").alias("edges"))
     b = s.crossJoin(F.broadcast(e)).withColumn("bin", edge_bins(F.col("p"), F.col("edges")))
     return b.groupBy("bin").agg(r6(F.avg("p")).alias("mean_p"), ratio(F.sum("y"), F.count("*")).alias("rate"), F.count("*").alias("n"))
 

@@ -1,4 +1,4 @@
-"""Feature pipelines, resampling, model search, calibration, attribution. Every fitted step sees training rows only."""
+"""Feature pipelines, resampling, distributed models, attribution. Every fitted step sees training rows only. Search: see `search`."""
 
 from __future__ import annotations
 
@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import base_feature, keyed_hash
-from .features import levels_of, one_hot, stratified_folds, stratified_split
-from .metrics import average_precision, brier, f1_optimal, roc_auc
+from ..functions.expressions import base_feature
+from ..session import cut_lineage
+from .features import levels_of, one_hot, stratified_split
+from .ranges import medians, with_position
 
 LABEL = "y"
 
@@ -27,8 +27,9 @@ class Encoder:
         self.numeric, self.categorical = numeric, categorical
 
     def fit(self, d: DataFrame) -> Encoder:
-        s = d.agg(*(x for c in self.numeric for x in (F.expr(f"percentile({c}, 0.5)").alias(f"{c}_q"), F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s")))).first()
-        self.state = {c: (s[f"{c}_q"], s[f"{c}_m"], s[f"{c}_s"] or 1.0) for c in self.numeric}
+        s = d.agg(*(x for c in self.numeric for x in (F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s")))).first()
+        middle = medians(d, self.numeric)
+        self.state = {c: (middle[c], s[f"{c}_m"], s[f"{c}_s"] or 1.0) for c in self.numeric}
         self.levels = {c: levels_of(d, c) for c in self.categorical}
         self.names = [f"num__{c}" for c in self.numeric] + [f"cat__{c}_{v}" for c in self.categorical for v in self.levels[c][1:]]
         return self
@@ -48,20 +49,11 @@ def logistic(c: float = 1.0, l1: float = 0.0, n: int = 1, weight: str | None = N
 
 
 def boosted(trees: int = 20, rate: float = 0.1, depth: int = 3, leaves: int | None = None, min_rows: int = 5, subsample: float = 1.0, seed: int = 42, weight: str | None = None) -> GBTClassifier:
-    """Gradient-boosted trees; a leaf budget becomes the depth that can hold it."""
+    """MLlib's gradient-boosted trees, trained on all rows wherever they are; a leaf budget becomes the depth that can hold it."""
     m = GBTClassifier(labelCol=LABEL, maxIter=trees, stepSize=rate, maxDepth=math.ceil(math.log2(leaves)) if leaves else depth, minInstancesPerNode=min_rows, subsamplingRate=subsample, seed=seed)
     return m.setWeightCol(weight) if weight else m
 
 
-def class_weight(kind: str, d: DataFrame) -> Column:
-    """balanced: n / (2 n_class); positive: negatives / positives on positives; none: 1."""
-    r = d.agg(F.count("*").alias("n"), F.sum(LABEL).alias("p")).first()
-    pos, neg = max(1, r.p or 0), max(1, r.n - (r.p or 0))
-    if kind == "balanced":
-        return F.when(F.col(LABEL) == 1, r.n / (2 * pos)).otherwise(r.n / (2 * neg))
-    return F.when(F.col(LABEL) == 1, neg / pos).otherwise(1.0) if kind == "positive" else F.lit(1.0)
-
-
 def smote_counts(d: DataFrame, ratio: float = 1.0) -> DataFrame:
     """How many rows SMOTE makes: floor(ratio * majority) - minority, at least 0."""
     c = d.groupBy(LABEL).agg(F.count("*").alias("n"))
@@ -78,11 +70,13 @@ def smote(d: DataFrame, key: str, features: list[str], k: int = 5, ratio: float
     m = d.where(F.col(LABEL) == small)
     v = m.select(F.col(key).alias("id"), F.array(*(F.col(f).cast("double") for f in features)).alias("features"))
     near = nearest(v, k + 1).where("rank > 1").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "other_id"))).alias("near"))
-    copies = -(-need // max(1, c[small]))
-    seeds = near.select("id", F.explode(F.sequence(F.lit(1), F.lit(max(1, copies)))).alias("copy"), "near")
+    # every seed makes its share of the new rows; the remainder goes to the first ones in the order of a hash
+    share, rest = divmod(need, max(1, c[small]))
+    placed = with_position(near.withColumn("mg_h", F.xxhash64("id")), "mg_h", "id")
+    n_copies = F.lit(share) + (F.col("pos") <= rest).cast("int")
+    seeds = placed.withColumn("n_copies", n_copies).where("n_copies > 0").select("id", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"), "near")
     h = F.pmod(F.xxhash64("id", "copy"), F.lit(1 << 30))
-    picked = seeds.select("id", "copy", F.col("near")[(h % F.size("near")).cast("int")]["other_id"].alias("other"), (F.pmod(F.xxhash64("copy", "id"), F.lit(1 << 20)) / float(1 << 20)).alias("u"))
-    few = picked.orderBy("copy", F.xxhash64("id", "copy"), "id").limit(need)
+    few = seeds.select("id", "copy", F.col("near")[(h % F.size("near")).cast("int")]["other_id"].alias("other"), (F.pmod(F.xxhash64("copy", "id"), F.lit(1 << 20)) / float(1 << 20)).alias("u"))
     a = m.select(F.col(key).alias("id"), F.array(*(F.col(f).cast("double") for f in features)).alias("fa"))
     b = m.select(F.col(key).alias("other"), F.array(*(F.col(f).cast("double") for f in features)).alias("fb"))
     new = few.join(a, "id").join(b, "other").select(F.zip_with("fa", "fb", lambda x, y: y - x).alias("step"), "fa", "u")
@@ -95,80 +89,6 @@ def scores(model, d: DataFrame, key: str) -> DataFrame:
     return model.transform(d).select(key, F.col(LABEL), vector_to_array("probability")[1].alias("p"))
 
 
-def cross_scores(d: DataFrame, key: str, enc: tuple[list[str], list[str]], build, folds: int = 3) -> DataFrame:
-    """(fold, key, y, p) of held-out rows; encoder and model are fitted on each fold's other rows."""
-    f = stratified_folds(d, key, LABEL, folds).persist()
-    out = None
-    for k in range(folds):
-        train, test = f.where(F.col("fold") != k), f.where(F.col("fold") == k)
-        e = Encoder(*enc).fit(train)
-        model = build(e.transform(train, [key, LABEL]))
-        s = scores(model, e.transform(test, [key, LABEL]), key).withColumn("fold", F.lit(k))
-        out = s if out is None else out.unionByName(s)
-    return out
-
-
-def metric_row(s: DataFrame) -> DataFrame:
-    t = s.select(LABEL, "p").persist()
-    return roc_auc(t).select("auc").crossJoin(average_precision(t)).crossJoin(brier(t)).crossJoin(f1_optimal(t).select("f1"))
-
-
-def imbalance_table(d: DataFrame, key: str, enc: tuple[list[str], list[str]], folds: int = 2) -> DataFrame:
-    """Strategies none, balanced and SMOTE under the same folds."""
-    out = None
-    for kind in ("none", "balanced", "smote"):
-        def build(train: DataFrame, kind: str = kind):
-            if kind == "smote":
-                n = train.select(F.size(vector_to_array("features")).alias("n")).first()["n"]
-                cols = [f"f{i}" for i in range(n)]
-                flat = train.select(key, LABEL, *(vector_to_array("features")[i].alias(c) for i, c in enumerate(cols)))
-                more = smote(flat, key, cols)
-                return logistic(n=more.count()).fit(VectorAssembler(inputCols=cols, outputCol="features").transform(more))
-            w = train.withColumn("w", class_weight("balanced" if kind == "balanced" else "none", train).cast("double"))
-            return logistic(n=w.count(), weight="w").fit(w)
-
-        row = metric_row(cross_scores(d, key, enc, build, folds)).withColumn("strategy", F.lit(kind))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def random_candidates(n: int, seed: int = 42) -> list[dict]:
-    rng = np.random.default_rng(seed)
-    return [{"c": float(10 ** rng.uniform(-3, 2)), "l1": float(rng.integers(0, 2))} for _ in range(n)]
-
-
-def refine(best: dict) -> list[dict]:
-    """A grid half a decade around the best strength."""
-    return [{"c": best["c"] * 10**d, "l1": best["l1"]} for d in (-0.5, -0.25, 0.0, 0.25, 0.5)]
-
-
-def refine_trees(best: dict) -> list[dict]:
-    return [{"depth": max(1, best["depth"] + a), "rate": best["rate"] * b, "min_rows": max(1, best["min_rows"] + c)} for a in (-1, 0, 1) for b in (0.5, 1.0, 2.0) for c in (-3, 0, 3)]
-
-
-def search(d: DataFrame, key: str, enc: tuple[list[str], list[str]], candidates: list[dict], folds: int = 2, top: int = 5) -> DataFrame:
-    """Cross-validated AUC of logistic candidates; the top ones, ties by order. Budget and folds are parameters."""
-    rows = []
-    for i, c in enumerate(candidates):
-        s = cross_scores(d, key, enc, lambda t, c=c: logistic(c["c"], c["l1"], t.count()).fit(t), folds)
-        rows.append((i, c["c"], c["l1"], float(roc_auc(s).first()["auc"])))
-    return d.sparkSession.createDataFrame(rows, "candidate int, c double, l1 double, auc double").orderBy(F.col("auc").desc(), "candidate").limit(top)
-
-
-def isotonic_calibrated(d: DataFrame, key: str, enc: tuple[list[str], list[str]], folds: int = 3) -> DataFrame:
-    """Mean of `folds` pairs of model and isotonic map, each map fitted on the rows its model hasn't seen."""
-    f = stratified_folds(d, key, LABEL, folds).persist()
-    total = None
-    for k in range(folds):
-        train, held = f.where(F.col("fold") != k), f.where(F.col("fold") == k)
-        e = Encoder(*enc).fit(train)
-        m = logistic(n=train.count()).fit(e.transform(train, [key, LABEL]))
-        iso = IsotonicRegression(featuresCol="p", labelCol=LABEL, predictionCol="q").fit(scores(m, e.transform(held, [key, LABEL]), key).withColumn(LABEL, F.col(LABEL).cast("double")))
-        s = iso.transform(scores(m, e.transform(f, [key, LABEL]), key)).select(key, LABEL, "q")
-        total = s if total is None else total.unionByName(s)
-    return total.groupBy(key, LABEL).agg(F.avg("q").alias("p"))
-
-
 def odds_ratios(d: DataFrame, key: str, enc: tuple[list[str], list[str]]) -> DataFrame:
     e = Encoder(*enc).fit(d)
     m = logistic(n=d.count()).fit(e.transform(d, [key, LABEL]))
@@ -190,127 +110,31 @@ def mean_abs_shap(shap: DataFrame, categorical: list[str]) -> DataFrame:
     return shap.groupBy(base_feature(F.col("feature"), categorical).alias("feature"), F.col("feature").alias("part")).agg(F.avg(F.abs("phi")).alias("m")).groupBy("feature").agg(F.sum("m").alias("importance"))
 
 
-def tree_nodes(model) -> list[pd.DataFrame]:
-    """Node tables of a boosted model, read from Spark's own tree objects."""
-    out = []
-    for tree in model.trees:
-        rows = []
-
-        def walk(node, rows=rows) -> int:
-            at = len(rows)
-            rows.append(None)
-            if node.numDescendants() == 0:
-                rows[at] = (at, node.prediction(), 0.0, -1, -1, -1, 0.0, float(node.impurityStats().count()))
-                return at
-            left, right = walk(node.leftChild()), walk(node.rightChild())
-            s = node.split()
-            rows[at] = (at, node.prediction(), node.gain(), left, right, s.featureIndex(), float(s.threshold()), float(node.impurityStats().count()))
-            return at
-
-        walk(tree._call_java("rootNode"))
-        out.append(pd.DataFrame(rows, columns=["id", "prediction", "gain", "left", "right", "feature", "threshold", "cover"]))
-    return out
-
-
-def gain_importance(model, names: list[str], spark) -> DataFrame:
-    """Mean gain per split of each feature."""
-    nodes = pd.concat(tree_nodes(model))
-    s = nodes[nodes.feature >= 0].groupby("feature").gain.agg(["mean", "size"]).reset_index()
-    rows = [(names[int(f)], float(m), int(n)) for f, m, n in s.itertuples(index=False)]
-    return spark.createDataFrame(rows, "feature string, gain double, n_splits int")
-
-
-def _tree_shap(t: dict, x: np.ndarray, phi: np.ndarray, scale: float) -> float:
-    """Path-dependent attributions of one tree by enumerating each leaf's distinct split features (few, as trees are shallow)."""
-    base = 0.0
-    stack = [(0, {})]
-    leaves = []
-    while stack:
-        node, path = stack.pop()
-        if t["feature"][node] < 0:
-            leaves.append((node, path))
-            continue
-        f, th = t["feature"][node], t["threshold"][node]
-        for child, goes in ((t["left"][node], x[f] <= th), (t["right"][node], x[f] > th)):
-            one, zero = path.get(f, (1.0, 1.0))
-            stack.append((child, path | {f: (one * goes, zero * t["cover"][child] / t["cover"][node])}))
-    for node, path in leaves:
-        v, m = t["prediction"][node] * scale, len(path)
-        base += v * np.prod([z for _, z in path.values()])
-        feats = list(path)
-        # weights by subset size from the polynomial of the other features
-        for f in feats:
-            poly = np.array([1.0])
-            for g in feats:
-                if g != f:
-                    o, z = path[g]
-                    poly = np.convolve(poly, [z, o])
-            w = sum(poly[s] * math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m))
-            phi[f] += v * w * (path[f][0] - path[f][1])
-    return base
-
-
-def tree_shap(model, d: DataFrame, key: str, names: list[str]) -> DataFrame:
-    """(key, feature, phi, base): attributions of the boosted margin, 2 F in the probability's terms; they sum to it."""
-    trees = [{c: t[c].to_numpy() for c in t.columns} for t in tree_nodes(model)]
-    weights = list(model.treeWeights)
+def gain_importance(fitted, spark) -> DataFrame:
+    """Mean gain per split of each feature of a trained (encoder, model)."""
+    e, m = fitted
+    return spark.createDataFrame([(e.names[f], g, n) for f, g, n in m.gains()], "feature string, gain double, n_splits int")
+
+
+def tree_shap(fitted, d: DataFrame, key: str, enc: tuple[list[str], list[str]]) -> DataFrame:
+    """(key, feature, x, phi, base): attributions of the margin of a trained (encoder, model), for every row; with base they sum to it."""
+    shared = d.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for k, x in zip(pdf[key], pdf["x"], strict=True):
-                phi, base = np.zeros(len(names)), 0.0
-                for t, w in zip(trees, weights, strict=True):
-                    base += _tree_shap(t, np.asarray(x), phi, 2 * w)
-                rows += [(k, n, float(p), base) for n, p in zip(names, phi, strict=True)]
-            yield pd.DataFrame(rows, columns=[key, "feature", "phi", "base"])
+        e, m = shared.value
+        for whole in batches:
+            for lo in range(0, len(whole), 4096):
+                b = whole.iloc[lo : lo + 4096]
+                x = e.matrix(b)
+                phi, base = m.shap(x)
+                yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), len(e.names)), "feature": e.names * len(b), "x": x.ravel(), "phi": phi.ravel(), "base": base})
 
-    return d.select(key, vector_to_array("features").alias("x")).mapInPandas(run, f"`{key}` long, feature string, phi double, base double")
+    return d.select(key, *enc[0], *enc[1]).mapInPandas(run, f"`{key}` long, feature string, x double, phi double, base double")
 
 
 def train_test(d: DataFrame, key: str, enc: tuple[list[str], list[str]], build) -> DataFrame:
     """Scores of the held-out fifth."""
-    s = stratified_split(d, key, LABEL).persist()
+    s = cut_lineage(stratified_split(d, key, LABEL))
     train, test = s.where("is_test = 0"), s.where("is_test = 1")
     e = Encoder(*enc).fit(train)
     return scores(build(e.transform(train, [key, LABEL])), e.transform(test, [key, LABEL]), key)
-
-
-def model_table(d: DataFrame, key: str, enc: tuple[list[str], list[str]]) -> DataFrame:
-    """AUC, average precision, Brier and best F1 of the three model families on one split."""
-    builds = {"logistic": lambda t: logistic(n=t.count()).fit(t), "boosted_level": lambda t: boosted(10, depth=3).fit(t), "boosted_leaf": lambda t: boosted(10, leaves=12).fit(t)}
-    out = None
-    for name, b in builds.items():
-        r = metric_row(train_test(d, key, enc, b)).withColumn("model", F.lit(name))
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
-def mi_knn(d: DataFrame, col: str, k: int = 3) -> DataFrame:
-    """Mutual information of a continuous column and a 0/1 label by nearest neighbours, over hash cells of bounded size, averaged."""
-    n = max(1, -(-d.count() // 4096))
-    c = d.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("x"), F.col(LABEL).alias("y"), keyed_hash(F.xxhash64(col, LABEL, F.monotonically_increasing_id()) % 100003, n).alias("cell"))
-
-    def digamma(z: np.ndarray) -> np.ndarray:
-        z, r = np.asarray(z, float), 0.0
-        r = np.zeros_like(z)
-        while (z < 6).any():
-            r, z = np.where(z < 6, r - 1 / z, r), np.where(z < 6, z + 1, z)
-        f = 1 / (z * z)
-        return r + np.log(z) - 0.5 / z - f * (1 / 12 - f * (1 / 120 - f / 252))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        total, part = len(x), []
-        allx = np.sort(x)
-        for v in np.unique(y):
-            s = np.sort(x[y == v])
-            if len(s) <= k:
-                continue
-            i = np.arange(len(s))
-            rad = np.sort(np.stack([np.abs(s - s[np.clip(i + j, 0, len(s) - 1)]) + np.where((i + j < 0) | (i + j >= len(s)), np.inf, 0) for j in range(-k, k + 1) if j]), axis=0)[k - 1]
-            m = np.searchsorted(allx, s + rad, "right") - np.searchsorted(allx, s - rad, "left")
-            part.append(digamma(total) + digamma(k) - digamma(len(s)) - digamma(np.maximum(m, 1)))
-        return pd.DataFrame({"mi": [max(0.0, float(np.concatenate(part).mean()))] if part else [], "n": [total] if part else []})
-
-    return c.groupBy("cell").applyInPandas(run, "mi double, n long").agg((F.sum(F.col("mi") * F.col("n")) / F.sum("n")).alias("mi"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import cut_bins, edge_bins, r6, rate, ratio, share
-from .ranges import with_range
+from .ranges import quantiles, with_range
 
 
 def group_rate(df: DataFrame, by: str, target: str) -> DataFrame:
@@ -33,8 +33,7 @@ def binned_rate(df: DataFrame, col: str, edges: list[float], target: str) -> Dat
 
 def quantile_edges(df: DataFrame, col: str, q: int) -> DataFrame:
     """One row: the distinct exact q-quantile edges."""
-    at = ", ".join(str(i / q) for i in range(q + 1))
-    return df.agg(F.array_distinct(F.expr(f"percentile({col}, array({at}))")).alias("edges"))
+    return quantiles(df, col, [i / q for i in range(q + 1)]).select(F.array_distinct("q").alias("edges"))
 
 
 def with_quantile_bin(df: DataFrame, col: str, q: int, name: str = "bin") -> DataFrame:
@@ -73,14 +72,14 @@ def density_histogram(df: DataFrame, col: str, bins: int, by: str, high: Column
 
 def clipped_histogram(df: DataFrame, col: str, bins: int, by: str, q: float = 0.99) -> DataFrame:
     """Histogram of values clipped above at their q-quantile."""
-    top = df.agg(F.expr(f"percentile({col}, {q})").alias("top"))
+    top = quantiles(df, col, [q]).select(F.col("q")[0].alias("top"))
     return density_histogram(df.crossJoin(F.broadcast(top)).withColumn(col, F.when(F.col(col).isNotNull(), F.least(F.col(col).cast("double"), F.col("top")))), col, bins, by)
 
 
 def five_numbers(df: DataFrame, col: str, by: str) -> DataFrame:
     """Box-plot numbers by level: whiskers end at the last point within 1.5 interquartile ranges."""
     d = df.where(F.col(by).isNotNull() & F.col(col).isNotNull())
-    q = d.groupBy(by).agg(F.expr(f"percentile({col}, array(0.25, 0.5, 0.75))").alias("q"))
+    q = quantiles(d, col, [0.25, 0.5, 0.75], [by])
     q = q.select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"))
     v, reach = F.col(col).cast("double"), 1.5 * (F.col("q3") - F.col("q1"))
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)

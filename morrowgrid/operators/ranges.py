@@ -1,23 +1,81 @@
-"""Key ranges for running sums over a whole table without a window over one partition."""
+"""Key ranges: running sums, positions and exact quantiles over a whole table without a window over one partition."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: More ranges than this don't help: each is one window task's share.
+MOST_RANGES = 1024
+
+
+def _count_below(col: Column, bounds: list) -> Column:
+    """How many of the sorted bounds lie below a value, by bisection; 0 for null."""
+
+    def within(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(col <= F.lit(bounds[mid]), within(lo, mid)).otherwise(within(mid + 1, hi))
+
+    return F.when(col.isNull(), 0).otherwise(within(0, len(bounds)))
+
 
 def with_range(df: DataFrame, col: str, name: str = "part", desc: bool = False) -> DataFrame:
     """Add the number of the key range a value falls in, ascending along the order asked for.
 
     The boundaries are approximate quantiles brought to the driver (as many as
-    there are shuffle partitions), so every use of the result sees the same
+    there are shuffle partitions, at most MOST_RANGES), so every use of the result sees the same
     ranges, however its exchanges are planned. Equal values share a range.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
     at = [i / n for i in range(1, n)]
-    found = df.agg(F.percentile_approx(col, at, 1000).alias("b")).first()["b"] if at else None
+    found = df.agg(F.percentile_approx(col, at, max(1000, 10 * n)).alias("b")).first()["b"] if at else None
     bounds = sorted(set(found or []))
     if not bounds:
         return df.withColumn(name, F.lit(0))
-    below = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b < F.col(col)))
+    below = _count_below(F.col(col), bounds)
     return df.withColumn(name, F.lit(len(bounds)) - below if desc else below)
+
+
+def _before(sizes: DataFrame, by: Sequence[str], size: str) -> Column:
+    """Sum over the earlier ranges (few rows: one a range and group)."""
+    return F.coalesce(F.sum(size).over(W.partitionBy(*by).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
+def with_position(df: DataFrame, col: str, tie: str, by: Sequence[str] = (), name: str = "pos", desc: bool = False) -> DataFrame:
+    """Add the position from 1 in the order of (col, tie), in each group of `by`; no task holds more than a range of a group."""
+    parts = with_range(df, col, desc=desc)
+    sizes = parts.groupBy(*by, "part").agg(F.count("*").alias("mg_size"))
+    offsets = sizes.select(*by, "part", _before(sizes, by, "mg_size").alias("mg_off"))
+    order = F.col(col).desc() if desc else F.col(col).asc()
+    inner = F.row_number().over(W.partitionBy(*by, "part").orderBy(order, tie))
+    return parts.join(F.broadcast(offsets) if not by else offsets, [*by, "part"]).withColumn(name, (F.col("mg_off") + inner).cast("long")).drop("part", "mg_off")
+
+
+def quantiles(df: DataFrame, col: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, q): exact interpolated quantiles of each group, nulls aside.
+
+    Distinct values are counted first, then cut into ranges: the value at a position is found where the running count
+    passes it, so no buffer holds a group's values.
+    """
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("mg_value")).agg(F.count("*").alias("mg_n"))
+    parts = with_range(counts, "mg_value")
+    sizes = parts.groupBy(*by, "part").agg(F.sum("mg_n").alias("mg_size"))
+    offsets = sizes.select(*by, "part", _before(sizes, by, "mg_size").alias("mg_off"), F.sum("mg_size").over(W.partitionBy(*by)).alias("mg_total"))
+    upto = F.col("mg_off") + F.sum("mg_n").over(W.partitionBy(*by, "part").orderBy("mg_value").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = parts.join(F.broadcast(offsets) if not by else offsets, [*by, "part"]).withColumn("mg_upto", upto)
+    place = [F.lit(float(p)) * (F.col("mg_total") - 1) for p in at]
+    value = lambda x: F.max(F.when((F.col("mg_upto") - F.col("mg_n") <= x) & (x < F.col("mg_upto")), F.col("mg_value")))
+    ends = [c for i, x in enumerate(place) for c in (value(F.floor(x)).alias(f"mg_lo{i}"), value(F.ceil(x)).alias(f"mg_hi{i}"), F.max(x - F.floor(x)).alias(f"mg_f{i}"))]
+    one = placed.groupBy(*by).agg(*ends) if by else placed.agg(*ends)
+    between = [(1 - F.col(f"mg_f{i}")) * F.col(f"mg_lo{i}") + F.col(f"mg_f{i}") * F.col(f"mg_hi{i}") for i in range(len(at))]
+    return one.select(*by, F.array(*between).alias("q"))
+
+
+def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+    """The exact median of each column (a row each meets the driver)."""
+    return {c: quantiles(df, c, [0.5]).first()["q"][0] for c in cols}

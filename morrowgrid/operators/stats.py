@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expressions import r6, ratio
+from ..functions.expressions import r6
 from ..functions.special import chi2_p, normal_two_sided
+from ..session import cut_lineage
 from .profile import crosstab, pearson, ranked_values, with_quantile_bin, with_rank
+from .ranges import medians, with_range
 
 
 def binned_levels(df: DataFrame, col: str, q: int = 10, missing: str = "MISSING") -> DataFrame:
@@ -111,31 +116,118 @@ def balance(df: DataFrame, covariates: list[str], t: str, weight: Column) -> Dat
 
 def rank_agreement(table: DataFrame, measures: list[str]) -> DataFrame:
     """Spearman matrix of importance measures over features."""
-    ranked = table
+    ranked = importance_ranks(table, measures)
+    # correlation of the shown ranks' ranks
     for c in measures:
-        ranked = with_rank(ranked, c, f"rank_{c}", desc=True)
+        ranked = with_rank(ranked.withColumnRenamed(f"rank_{c}", f"shown_{c}"), f"shown_{c}", f"rank_{c}")
     return pearson(ranked.select(*(F.col(f"rank_{c}").alias(c) for c in measures)), measures)
 
 
+def digamma(n: Column) -> Column:
+    """Digamma of a positive number: the recurrence up to n + 6, then the asymptotic series."""
+    z = n.cast("double") + 6
+    shift = sum((F.lit(1.0) / (n.cast("double") + i) for i in range(1, 6)), F.lit(1.0) / n.cast("double"))
+    w = F.lit(1.0) / (z * z)
+    return F.log(z) - 0.5 / z - w * (F.lit(1 / 12) - w * (F.lit(1 / 120) - w * (F.lit(1 / 252) - w / 240))) - shift
+
+
+def _radii(d: DataFrame, k: int) -> DataFrame:
+    """(x, y, k, r): the distance of each x to its k-th nearest value of the same class (k at most the class's others).
+
+    Each range of a class is one task, with the k values before and after it, found from the ranges' ends (few rows).
+    """
+    parts = with_range(d, "x")
+    w = W.partitionBy("y", "part")
+    ends = parts.select("y", "part", "x", F.row_number().over(w.orderBy("x")).alias("a"), F.row_number().over(w.orderBy(F.col("x").desc())).alias("z")).where(f"a <= {k} or z <= {k}").collect()
+    lows: dict = {}
+    highs: dict = {}
+    for r in ends:
+        if r["a"] <= k:
+            lows.setdefault((r["y"], r["part"]), []).append(r["x"])
+        if r["z"] <= k:
+            highs.setdefault((r["y"], r["part"]), []).append(r["x"])
+    sizes = {r["y"]: r["n"] for r in d.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    around = {}
+    for y, part in lows:
+        before = sorted(v for (c, q), vs in highs.items() if c == y and q < part for v in vs)[-k:]
+        after = sorted(v for (c, q), vs in lows.items() if c == y and q > part for v in vs)[:k]
+        around[y, part] = (before, after)
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        y, part = key
+        before, after = around[y, part]
+        x = np.sort(pdf["x"].to_numpy())
+        s = np.concatenate([before, x, after])
+        near, own = min(k, sizes[y] - 1), np.arange(len(before), len(before) + len(x))
+        if near < 1:
+            return pd.DataFrame({"x": [], "y": [], "k": [], "r": []})
+        gaps = np.full((len(x), 2 * near), np.inf)
+        for j in range(1, near + 1):
+            lo, hi = own - j, own + j
+            gaps[lo >= 0, j - 1] = (s[own] - s[np.maximum(lo, 0)])[lo >= 0]
+            gaps[hi < len(s), near + j - 1] = (s[np.minimum(hi, len(s) - 1)] - s[own])[hi < len(s)]
+        return pd.DataFrame({"x": x, "y": y, "k": near, "r": np.sort(gaps, axis=1)[:, near - 1]})
+
+    return parts.groupBy("y", "part").applyInPandas(run, "x double, y int, k int, r double")
+
+
+def mutual_information_knn(df: DataFrame, col: str, y: str, k: int = 3) -> DataFrame:
+    """Mutual information of a continuous column and a label by k nearest neighbours, in nats, at least 0; nulls aside.
+
+    A point counts how many points of any class lie nearer than its k-th neighbour of its own class. Both steps run over
+    key ranges: the counts come from running sums over points and interval ends together.
+    """
+    d = df.where(F.col(col).isNotNull() & F.col(y).isNotNull()).select(F.col(col).cast("double").alias("x"), F.col(y).cast("int").alias("y"))
+    r = cut_lineage(_radii(d, k)).withColumn("id", F.monotonically_increasing_id())
+    # nearer by more than rounding, so that the k-th neighbour itself isn't counted
+    slack = F.least(F.col("r"), 1e-9 * F.greatest(F.lit(1.0), F.abs("x")))
+    reach = F.col("r") - slack
+    # at equal values a lower end comes before the points and an upper end after them
+    events = r.select(F.explode(F.array(F.struct(F.col("x").alias("v"), F.lit(1).alias("o"), F.lit(None).cast("long").alias("id"), F.lit(0).alias("s")), F.struct((F.col("x") - reach).alias("v"), F.lit(0).alias("o"), F.col("id"), F.lit(-1).alias("s")), F.struct((F.col("x") + reach).alias("v"), F.lit(2).alias("o"), F.col("id"), F.lit(1).alias("s")))).alias("e")).select("e.*")
+    parts = with_range(cut_lineage(events), "v")
+    point = (F.col("o") == 1).cast("long")
+    sizes = parts.groupBy("part").agg(F.sum(point).alias("size"))
+    offsets = sizes.select("part", F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("off"))
+    upto = F.sum(point).over(W.partitionBy("part").orderBy("v", "o").rowsBetween(W.unboundedPreceding, W.currentRow))
+    counts = parts.join(F.broadcast(offsets), "part").withColumn("c", F.col("off") + upto).where("id is not null").groupBy("id").agg(F.sum(F.col("s") * F.col("c")).alias("m"))
+    inside = counts.agg(F.avg(digamma(F.greatest("m", F.lit(1)))).alias("inside"))
+    per = r.groupBy("y", "k").agg(F.count("*").alias("n"))
+    n = F.col("n").cast("double")
+    whole = per.agg(F.sum("n").alias("total"), (F.sum(n * digamma(F.col("k"))) / F.sum(n)).alias("ks"), (F.sum(n * digamma(n)) / F.sum(n)).alias("ns"))
+    return whole.crossJoin(inside).select(r6(F.greatest(F.lit(0.0), digamma(F.col("total")) + F.col("ks") - F.col("ns") - F.col("inside"))).alias("mi"))
+
+
 def association_table(df: DataFrame, numeric: list[str], categorical: list[str], y: str) -> DataFrame:
-    """One row per feature: information value, Cramer's V and, for numbers, rank-biserial r; sorted by information value."""
-    out = None
+    """One row per feature: chi-square p, Cramer's V, information value and mutual information; for numbers also
+    Mann-Whitney p and rank-biserial r; rounded to 4, sorted by information value.
+
+    Numbers are cut into deciles for the table measures, with missing values as a level; for mutual information they
+    are filled with the median.
+    """
+    p_chi, p_norm = F.udf(lambda x, d: chi2_p(x, int(d)), "double"), F.udf(normal_two_sided, "double")  # on a row per feature
+    middle, out = medians(df, numeric), None
     for c in [*numeric, *categorical]:
         lv = binned_levels(df, c) if c in numeric else df.withColumn("level", F.coalesce(F.col(c).cast("string"), F.lit("MISSING")))
-        row = information_value(lv, "level", y).crossJoin(cramers_v(lv, "level", y))
-        row = row.crossJoin(mann_whitney(df, c, y).select("rank_biserial")) if c in numeric else row.withColumn("rank_biserial", F.lit(None).cast("double"))
-        row = row.select(F.lit(c).alias("feature"), F.col("iv"), F.col("cramers_v"), F.col("rank_biserial"))
+        row = information_value(lv, "level", y).crossJoin(cramers_v(lv, "level", y)).crossJoin(chi2(lv, "level", y).select(p_chi("chi2", "dof").alias("chi2_p")))
+        if c in numeric:
+            row = row.crossJoin(mann_whitney(df, c, y).select("rank_biserial", p_norm("z").alias("mwu_p")))
+            row = row.crossJoin(mutual_information_knn(df.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(middle[c]))), c, y).withColumnRenamed("mi", "mutual_info"))
+        else:
+            row = row.withColumns({"rank_biserial": F.lit(None).cast("double"), "mwu_p": F.lit(None).cast("double")}).crossJoin(mutual_information(lv, "level", y).withColumnRenamed("mi", "mutual_info"))
+        row = row.select(F.lit(c).alias("feature"), F.lit("num" if c in numeric else "cat").alias("type"), *(F.round(m, 4).alias(m) for m in ("chi2_p", "cramers_v", "mwu_p", "rank_biserial", "iv", "mutual_info")))
         out = row if out is None else out.unionByName(row)
     return out.orderBy(F.col("iv").desc(), "feature")
 
 
+def importance_ranks(table: DataFrame, measures: list[str]) -> DataFrame:
+    """Average-tie ranks, the largest first, cut to whole numbers as the report shows them."""
+    out = table
+    for c in measures:
+        out = with_rank(out, c, f"rank_{c}", desc=True).withColumn(f"rank_{c}", F.col(f"rank_{c}").cast("int"))
+    return out
+
+
 def monotone(df: DataFrame, order: str, value: str) -> DataFrame:
     """Whether value never falls along order (few groups)."""
-    from pyspark.sql import Window as W
-
     d = df.withColumn("before", F.lag(value).over(W.orderBy(order)))
     return d.agg((F.count_if(F.col(value) < F.col("before")) == 0).cast("int").alias("is_monotone"))
-
-
-def share_of(n: Column, total: Column) -> Column:
-    return ratio(n, total)

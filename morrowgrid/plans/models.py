@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cluster as cl
+from ..operators import decision as dc
+from ..operators import features as ft
 from ..operators import models as md
+from ..operators import profile as pr
+from ..operators import search as se
+from ..session import cut_lineage
+from .audits import RFM_SQL
 from .registry import query, with_views
-from .views import CHURN, churn, vectors
+from .views import CHURN, CLEAN, TXN, churn, clean_txn, vectors
 
 # ---- vectors ---------------------------------------------------------------
 
@@ -49,9 +55,31 @@ def dbscan_labels(spark, sf):
     return cl.dbscan(vectors(spark, sf), EPS, MIN_SAMPLES)
 
 
+_RFM_Z = ("rz", "SELECT customer_id, " + ", ".join(f"round((ln(1 + {c}) - (SELECT avg(ln(1 + {c})) FROM rfm)) / (SELECT stddev_samp(ln(1 + {c})) FROM rfm), 6) AS {c}_z" for c in ("recency", "frequency", "monetary")) + " FROM rfm")
+_RFM_D = ("rd", "SELECT a.customer_id AS i, b.customer_id AS j, sqrt(power(a.recency_z - b.recency_z, 2) + power(a.frequency_z - b.frequency_z, 2) + power(a.monetary_z - b.monetary_z, 2)) AS dist FROM rz a, rz b")
+#: The series' radii and the one it settles on.
+EPS_GRID, EPS_FINAL = (0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.2), 0.7
+_EPS = ("eps", "SELECT unnest([" + ", ".join(f"{e}::DOUBLE" for e in EPS_GRID) + "]) AS eps")
+_RFM_CORE = ("rc", f"SELECT eps, i FROM rd, eps WHERE dist <= eps GROUP BY eps, i HAVING count(*) >= {MIN_SAMPLES}")
+_RFM_NOISE = ("rn", "SELECT e.eps, z.customer_id AS id, CAST(c.i IS NOT NULL AS INTEGER) AS is_core, CAST(n.i IS NULL AS INTEGER) AS is_noise FROM rz z CROSS JOIN eps e LEFT JOIN rc c ON c.eps = e.eps AND c.i = z.customer_id LEFT JOIN (SELECT DISTINCT rc.eps, rd.i FROM rd JOIN rc ON rd.j = rc.i AND rd.dist <= rc.eps) n ON n.eps = e.eps AND n.i = z.customer_id")
+_RFM_VIEWS = (TXN, CLEAN, ("rfm", RFM_SQL), _RFM_Z, _RFM_D, _EPS, _RFM_CORE, _RFM_NOISE)
+
+
+def rfm_vectors(spark, sf):
+    """Standardised log recency, frequency and money of every customer, as vectors."""
+    z = ft.log_zscore(ft.rfm(clean_txn(spark, sf)), "customer_id", ["recency", "frequency", "monetary"])
+    return z.select(F.col("customer_id").alias("id"), F.array("recency_z", "frequency_z", "monetary_z").alias("features"))
+
+
+@query("dbscan_noise_scan", with_views("SELECT eps, CAST(sum(is_core) AS BIGINT) AS n_core, CAST(sum(is_noise) AS BIGINT) AS n_noise FROM rn GROUP BY eps", *_RFM_VIEWS))
+def dbscan_noise_scan(spark, sf):
+    return cl.dbscan_noise(rfm_vectors(spark, sf), list(EPS_GRID), MIN_SAMPLES).groupBy("eps").agg(F.sum("is_core").cast("long").alias("n_core"), F.sum("is_noise").cast("long").alias("n_noise"))
+
+
 @query("dbscan_eps_scan")
 def dbscan_eps_scan(spark, sf):
-    return cl.dbscan_scan(vectors(spark, sf), [1.15, 1.2, 1.25], MIN_SAMPLES)
+    """Clusters, noise, smallest cluster and silhouette at each of the series' radii."""
+    return cl.dbscan_scan(rfm_vectors(spark, sf), list(EPS_GRID), MIN_SAMPLES)
 
 
 @query("silhouette_given_labels", with_views("""SELECT label, count(*) AS n, round(avg(s), 6) AS silhouette FROM (SELECT i, li AS label, coalesce((b - a) / greatest(a, b), 0) AS s FROM (
@@ -60,19 +88,46 @@ def silhouette_given_labels(spark, sf):
     return cl.silhouette(vectors(spark, sf)).select(F.col("label").cast("int").alias("label"), "n", "silhouette")
 
 
-@query("knife_plot")
+_SIL = """SELECT i AS id, li AS label, round(coalesce((b - a) / greatest(a, b), 0), 6) AS silhouette FROM (
+  SELECT i, li, max(CASE WHEN li = lj AND n > 1 THEN t / (n - 1) END) AS a, min(CASE WHEN li <> lj THEN t / n END) AS b FROM (SELECT i, li, lj, sum(dist) AS t, count(*) AS n FROM d GROUP BY i, li, lj) GROUP BY i, li)"""
+
+
+@query("knife_plot", with_views("SELECT id, CAST(label AS BIGINT) AS label, silhouette, row_number() OVER (PARTITION BY label ORDER BY silhouette, id) AS pos FROM s", _V, _D, ("s", _SIL)))
 def knife_plot(spark, sf):
-    return cl.knife_plot(vectors(spark, sf))
+    return cl.knife_plot(vectors(spark, sf)).select("id", "label", "silhouette", "pos")
+
+
+_FEATURES = ("recency", "frequency", "monetary", "tenure", "n_products", "avg_order_value")
+
 
+def _rfm_noise(spark, sf):
+    """Customers with DBSCAN's noise as label -1 and all others as 0."""
+    n = cl.dbscan_noise(rfm_vectors(spark, sf), [EPS_FINAL], MIN_SAMPLES).select(F.col("id").alias("customer_id"), (-F.col("is_noise")).alias("label"))
+    return ft.rfm(clean_txn(spark, sf)).join(n, "customer_id")
 
-@query("noise_profile", with_views("SELECT CAST(num_products = 4 AS INTEGER) AS is_noise, count(*) AS n, round(quantile_cont(salary, 0.5), 6) AS median_value, CAST(sum(CAST(salary AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(sum(CAST(salary AS DECIMAL(18,2)))) OVER () AS DOUBLE) AS share FROM churn GROUP BY num_products = 4", CHURN))
+
+_NOISY = ("noisy", f"SELECT rfm.*, is_noise FROM rfm JOIN rn ON rn.id = rfm.customer_id WHERE eps = {EPS_FINAL}")
+
+
+@query("noise_profile", with_views("SELECT is_noise, count(*) AS n, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS n_share, CAST(sum(CAST(monetary AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(sum(CAST(monetary AS DECIMAL(18,2)))) OVER () AS DOUBLE) AS money_share, " + ", ".join(f"round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS median_{c}" for c in _FEATURES) + " FROM noisy GROUP BY is_noise", *_RFM_VIEWS, _NOISY))
 def noise_profile(spark, sf):
-    return cl.noise_profile(churn(spark, sf).withColumn("lab", F.when(F.col("num_products") == 4, -1).otherwise(F.col("num_products"))), "lab", "salary")
+    return cl.noise_profile(_rfm_noise(spark, sf), "label", list(_FEATURES), "monetary")
+
+
+@query("noise_top5", with_views("SELECT customer_id, recency, frequency, monetary FROM noisy WHERE is_noise = 1 ORDER BY monetary DESC, customer_id LIMIT 5", *_RFM_VIEWS, _NOISY))
+def noise_top5(spark, sf):
+    """The five noise customers who spend most (a report of fixed length)."""
+    return pr.top_k(_rfm_noise(spark, sf).where("label = -1").select("customer_id", "recency", "frequency", "monetary"), "monetary", 5, "customer_id")
+
+
+@query("kdist_curve", with_views("SELECT row_number() OVER (ORDER BY k_dist, id) AS pos, k_dist FROM (SELECT i AS id, round(dist, 6) AS k_dist FROM (SELECT i, dist, row_number() OVER (PARTITION BY i ORDER BY dist, i <> j, j) AS rn FROM d) WHERE rn = 10)", _V, _D))
+def kdist_curve(spark, sf):
+    return cl.k_distance_curve(vectors(spark, sf), 10)
 
 
 @query("kmeans_scan")
 def kmeans_scan(spark, sf):
-    return cl.kmeans_scan(vectors(spark, sf), [2, 3, 5], 2)
+    return cl.kmeans_scan(vectors(spark, sf), list(range(2, 11)), 10)
 
 
 @query("kmeans_labels")
@@ -80,9 +135,27 @@ def kmeans_labels(spark, sf):
     return cl.kmeans_labels(vectors(spark, sf), 5)
 
 
+@query("kmeans_segments")
+def kmeans_segments(spark, sf):
+    """Profile and name of the customer segments that k-means with k = 3 finds."""
+    lab = cl.kmeans_labels(rfm_vectors(spark, sf), 3).withColumnRenamed("id", "customer_id")
+    return dc.name_segments(dc.segment_profile(ft.rfm(clean_txn(spark, sf)).join(lab, "customer_id"), "cluster"))
+
+
+@query("cluster_compare")
+def cluster_compare(spark, sf):
+    """k-means (k = 3) against DBSCAN: clusters, share of noise, silhouette, smallest cluster."""
+    v = rfm_vectors(spark, sf)
+    km = cl.elbow(v, [3]).select(F.lit("kmeans").alias("method"), F.lit(3).cast("long").alias("clusters"), F.lit(0.0).alias("noise"), F.round("silhouette", 3).alias("silhouette"), "smallest")
+    db = cl.dbscan_scan(v, [EPS_FINAL], MIN_SAMPLES).select(F.lit("dbscan").alias("method"), F.col("n_clusters").alias("clusters"), F.col("noise_share").alias("noise"), F.round("silhouette", 3).alias("silhouette"), "smallest")
+    return km.unionByName(db)
+
+
 @query("pca_evr")
 def pca_evr(spark, sf):
-    return cl.pca_evr(vectors(spark, sf), 16)
+    """All components."""
+    v = vectors(spark, sf)
+    return cl.pca_evr(v, v.select(F.size("features").alias("n")).first()["n"])
 
 
 @query("pca_loadings")
@@ -90,9 +163,21 @@ def pca_loadings(spark, sf):
     return cl.pca_loadings(vectors(spark, sf), 4)
 
 
+@query("pca_biplot")
+def pca_biplot(spark, sf):
+    """The vectors of a biplot: loadings of two components, four times as long."""
+    return cl.pca_loadings(vectors(spark, sf), 2, 4.0)
+
+
+@query("pca_scores")
+def pca_scores(spark, sf):
+    return cl.pca_scores(vectors(spark, sf), 2)
+
+
 @query("tsne_sample")
 def tsne_sample(spark, sf):
-    return cl.tsne(vectors(spark, sf), 30.0, 120, 300)
+    """Three perplexities over a bounded sample."""
+    return cl.tsne(vectors(spark, sf))
 
 
 # ---- supervised ------------------------------------------------------------
@@ -101,7 +186,13 @@ ENC = (["age", "credit_score", "balance", "tenure", "salary"], ["geography", "ge
 
 
 def _data(spark, sf):
-    return churn(spark, sf).withColumnRenamed("exited", "y").persist()
+    """Churn customers, written once since many passes read them."""
+    return cut_lineage(churn(spark, sf).withColumnRenamed("exited", "y"))
+
+
+def _training(spark, sf):
+    """The training four fifths."""
+    return cut_lineage(ft.stratified_split(churn(spark, sf).withColumnRenamed("exited", "y"), "customer_id", "y").where("is_test = 0").drop("is_test"))
 
 
 @query("logit_odds")
@@ -121,32 +212,70 @@ def smote_rows(spark, sf):
 
 @query("imbalance_compare")
 def imbalance_compare(spark, sf):
-    return md.imbalance_table(_data(spark, sf), "customer_id", ENC)
+    return se.strategies(_training(spark, sf), "customer_id", ENC, "logistic")
+
+
+@query("imbalance_boosted")
+def imbalance_boosted(spark, sf):
+    return se.strategies(_training(spark, sf), "customer_id", ENC, "level")
+
+
+@query("imbalance_leafwise")
+def imbalance_leafwise(spark, sf):
+    return se.strategies(_training(spark, sf), "customer_id", ENC, "leaf")
+
 
+def _search(kind: str):
+    def top5(spark, sf):
+        """The five best of 40 random candidates in 5 folds."""
+        return se.top(se.ranked(_training(spark, sf), "customer_id", ENC, kind, se.candidates(kind)))
 
-@query("random_search_top5")
-def random_search_top5(spark, sf):
-    return md.search(_data(spark, sf), "customer_id", ENC, md.random_candidates(3))
+    def grid(spark, sf):
+        """The whole refinement grid around the best of 40 random candidates."""
+        return se.two_stage(_training(spark, sf), "customer_id", ENC, kind)
 
+    return top5, grid
 
-@query("grid_refine")
-def grid_refine(spark, sf):
-    return md.search(_data(spark, sf), "customer_id", ENC, md.refine({"c": 1.0, "l1": 0.0})[1:4])
+
+for _name, _kind in (("", "logistic"), ("boosted_", "level"), ("leafwise_", "leaf")):
+    _top5, _grid = _search(_kind)
+    query(f"{_name}random_search_top5")(_top5)
+    query(f"{_name}grid_refine")(_grid)
 
 
 @query("isotonic_calibrated")
 def isotonic_calibrated(spark, sf):
-    return md.isotonic_calibrated(_data(spark, sf), "customer_id", ENC, 2)
+    """Five pairs of boosted model and isotonic map, averaged."""
+    return se.calibrated(_data(spark, sf), "customer_id", ENC)
+
+
+def _boosted(spark, sf, kind: str = "level"):
+    d = _data(spark, sf)
+    return se.trained(d, "customer_id", ENC, kind), d
 
 
 @query("gbt_scores")
 def gbt_scores(spark, sf):
+    """Scores of all customers by 400 level-wise trees."""
+    m, d = _boosted(spark, sf)
+    return se.scored(d, "customer_id", ENC, [m])
+
+
+@query("leafwise_scores")
+def leafwise_scores(spark, sf):
+    m, d = _boosted(spark, sf, "leaf")
+    return se.scored(d, "customer_id", ENC, [m])
+
+
+@query("gbt_distributed")
+def gbt_distributed(spark, sf):
+    """MLlib's trees, trained on all rows wherever they are; scores of the held-out fifth."""
     return md.train_test(_data(spark, sf), "customer_id", ENC, lambda t: md.boosted(8, depth=3).fit(t))
 
 
 @query("model_table")
 def model_table(spark, sf):
-    return md.model_table(_data(spark, sf), "customer_id", ENC)
+    return se.model_table(_data(spark, sf), "customer_id", ENC)
 
 
 @query("shap_linear")
@@ -159,23 +288,16 @@ def shap_mean_abs(spark, sf):
     return md.mean_abs_shap(md.linear_shap(_data(spark, sf), "customer_id", ENC), ENC[1])
 
 
-def _boosted(spark, sf):
-    d = _data(spark, sf)
-    e = md.Encoder(*ENC).fit(d)
-    t = e.transform(d, ["customer_id", "y"])
-    return md.boosted(5, depth=3).fit(t), t, e
-
-
 @query("shap_tree")
 def shap_tree(spark, sf):
-    m, t, e = _boosted(spark, sf)
-    return md.tree_shap(m, t, "customer_id", e.names)
+    m, d = _boosted(spark, sf)
+    return md.tree_shap(m, d, "customer_id", ENC)
 
 
 @query("gain_importance")
 def gain_importance(spark, sf):
-    m, _, e = _boosted(spark, sf)
-    return md.gain_importance(m, e.names, spark)
+    m, _ = _boosted(spark, sf)
+    return md.gain_importance(m, spark)
 
 
 @query("event_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL")

@@ -24,22 +24,16 @@ def missing_columns(spark, sf):
     return ql.null_counts(loans(spark, sf), ["emp_length", "int_rate", "grade"], only_missing=True)
 
 
-@query("kdist_tail", with_views("SELECT i AS id, round(dist, 6) AS k_dist FROM (SELECT i, dist, row_number() OVER (PARTITION BY i ORDER BY dist, i <> j, j) AS rn FROM d) WHERE rn = 10 ORDER BY k_dist DESC, id LIMIT 80", _V, _D))
+@query("kdist_tail", with_views("SELECT i AS id, round(dist, 6) AS k_dist FROM (SELECT i, dist, row_number() OVER (PARTITION BY i ORDER BY dist, i <> j, j) AS rn FROM d) WHERE rn = 10 ORDER BY k_dist DESC, id LIMIT 800", _V, _D))
 def kdist_tail(spark, sf):
-    """The last 80 points of the sorted k-distance curve (a report of fixed length)."""
-    return cl.k_distance(vectors(spark, sf), 10).orderBy(F.col("k_dist").desc(), "id").limit(80)
+    """The last 800 points of the sorted k-distance curve (a report of fixed length)."""
+    return cl.k_distance(vectors(spark, sf), 10).orderBy(F.col("k_dist").desc(), "id").limit(800)
 
 
 @query("elbow_table")
 def elbow_table(spark, sf):
-    """k, inertia and mean silhouette."""
-    v = vectors(spark, sf)
-    out = None
-    for k in (2, 4):
-        lab = v.select("id", "features").join(cl.kmeans_labels(v, k), "id").select("id", "features", F.col("cluster").alias("label"))
-        row = cl.silhouette_samples(lab).agg(F.lit(k).alias("k"), F.avg("silhouette").alias("silhouette"))
-        out = row if out is None else out.union(row)
-    return cl.kmeans_scan(v, [2, 4], 1).join(F.broadcast(out), "k")
+    """k, inertia, mean silhouette and smallest cluster for k = 2 to 10, ten starts each."""
+    return cl.elbow(vectors(spark, sf), list(range(2, 11)), 10)
 
 
 _SEG = ("z", "SELECT customer_id % 3 AS cluster, " + ", ".join(f"({c} - (SELECT avg({c}) FROM rfm)) / (SELECT stddev_pop({c}) FROM rfm) AS {c}" for c in ("recency", "frequency", "monetary")) + " FROM rfm")
@@ -73,7 +67,7 @@ def max_abs_smd(spark, sf):
 @query("effect_table")
 def effect_table(spark, sf):
     """Four estimators of one effect, in percentage points."""
-    d = causal(spark, sf).persist()
+    d = cut_lineage(causal(spark, sf))
     rows = [("naive", cs.naive(d).select("effect")), ("ipw", cs.ipw(d)), ("matching_atu", cs.caliper_match(d).select("atu")), ("g_computation", cs.g_computation(d, _COV))]
     out = None
     for name, r in rows:
@@ -99,9 +93,11 @@ def shap_by_level(spark, sf):
 
 @query("rank_model_vs_statistics")
 def rank_model_vs_statistics(spark, sf):
-    """Rank agreement of the boosted model's gains with information value over source columns."""
-    m, _, e = _boosted(spark, sf)
-    gain = md.gain_importance(m, e.names, spark).withColumn("feature", md.base_feature(F.col("feature"), ENC[1])).groupBy("feature").agg(F.sum("gain").alias("gain"))
-    stat = st.association_table(_data(spark, sf), ENC[0][:3], ENC[1][:1], "y").select("feature", "iv", "cramers_v")
-    both = cut_lineage(stat.join(gain, "feature", "left").fillna(0.0, ["gain"]))  # a row per feature, read several times below
-    return st.rank_agreement(both, ["iv", "cramers_v", "gain"])
+    """Agreement of five importance measures over source columns: information value, Cramer's V, mutual information, mean |SHAP| and gain."""
+    m, d = _boosted(spark, sf)
+    base = md.base_feature(F.col("feature"), ENC[1])
+    gain = md.gain_importance(m, spark).groupBy(base.alias("feature")).agg(F.sum("gain").alias("gain"))
+    shap = md.mean_abs_shap(md.tree_shap(m, d, "customer_id", ENC), ENC[1]).withColumnRenamed("importance", "mean_abs_shap")
+    stat = st.association_table(d, *ENC, "y").select("feature", "iv", "cramers_v", "mutual_info")
+    both = cut_lineage(stat.join(gain, "feature", "left").join(shap, "feature", "left").fillna(0.0, ["gain", "mean_abs_shap"]))  # a row per feature, read several times below
+    return st.rank_agreement(both, ["iv", "cramers_v", "mutual_info", "mean_abs_shap", "gain"])

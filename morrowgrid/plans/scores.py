@@ -10,6 +10,7 @@ from ..operators import decision as dc
 from ..operators import features as ft
 from ..operators import metrics as mt
 from ..operators import stats as st
+from ..session import cut_lineage
 from .audits import RFM_SQL, decile_bin
 from .registry import query, with_views
 from .views import CAUSAL, CHURN, CLEAN, LOANS, SCORED, TXN, causal, churn, clean_txn, loans, scored
@@ -26,9 +27,10 @@ def chi2_stat(spark, sf):
     return st.chi2(loans(spark, sf), "grade", "status").select(F.round("chi2", 6).alias("chi2"), F.col("dof").cast("long").alias("dof"))
 
 
-@query("chi2_pvalue")
+# an even number of degrees of freedom has a closed form
+@query("chi2_pvalue", with_views("SELECT round(chi2, 6) AS chi2, CAST((r - 1) * (k - 1) AS INTEGER) AS dof, round(exp(-chi2 / 2) * list_sum(list_transform(range(0, CAST((r - 1) * (k - 1) / 2 AS BIGINT)), lambda i: power(chi2 / 2, i) / factorial(CAST(i AS INTEGER)))), 6) AS p_value FROM chi", LOANS, _CELLS, _EXPECTED, _CHI))
 def chi2_pvalue(spark, sf):
-    return st.chi2_test(loans(spark, sf), "grade", "status")
+    return st.chi2_test(loans(spark, sf), "grade", "status").select(F.round("chi2", 6).alias("chi2"), "dof", F.round("p_value", 6).alias("p_value"))
 
 
 @query("cramers_v", with_views("""SELECT round(CASE WHEN low > 0 THEN sqrt(phi / low) ELSE 0 END, 6) AS cramers_v FROM (SELECT greatest(0, chi2 / t - (k - 1) * (r - 1) / (t - 1)) AS phi,
@@ -79,11 +81,16 @@ def mi_discrete(spark, sf):
     return st.mutual_information(loans(spark, sf), "home", "status")
 
 
-@query("mi_knn")
-def mi_knn(spark, sf):
-    from ..operators import models as md
+_PSI = "(ln({z} + 6) - 0.5 / ({z} + 6) - (1 / power({z} + 6, 2)) * (1.0::DOUBLE / 12 - (1 / power({z} + 6, 2)) * (1.0::DOUBLE / 120 - (1 / power({z} + 6, 2)) * (1.0::DOUBLE / 252 - (1 / power({z} + 6, 2)) / 240))) - (1 / {z} + 1 / ({z} + 1) + 1 / ({z} + 2) + 1 / ({z} + 3) + 1 / ({z} + 4) + 1 / ({z} + 5)))"
+_psi = lambda z: _PSI.format(z=f"CAST({z} AS DOUBLE)")
+_KNN = ("knn", """SELECT row_number() OVER () AS id, x, y, count(*) OVER (PARTITION BY y) AS n, list_sort([x - lag(x, 1) OVER w, x - lag(x, 2) OVER w, x - lag(x, 3) OVER w, lead(x, 1) OVER w - x, lead(x, 2) OVER w - x, lead(x, 3) OVER w - x])[least(3, count(*) OVER (PARTITION BY y) - 1)] AS r
+  FROM (SELECT CAST(balance AS DOUBLE) AS x, exited AS y FROM churn WHERE balance IS NOT NULL) WINDOW w AS (PARTITION BY y ORDER BY x)""")
+_KNN2 = ("inside", "SELECT a.id, a.n, count(*) AS m FROM (SELECT *, r - least(r, 1e-9 * greatest(1.0::DOUBLE, abs(x))) AS reach FROM knn WHERE n > 1) a JOIN knn b ON b.n > 1 AND b.x >= a.x - a.reach AND b.x <= a.x + a.reach GROUP BY a.id, a.n")
+
 
-    return md.mi_knn(loans(spark, sf).select("amount", F.col("status").alias("y")), "amount")
+@query("mi_knn", with_views(f"SELECT round(greatest(0.0::DOUBLE, {_psi('count(*)')} + avg({_psi('least(3, n - 1)')}) - avg({_psi('n')}) - avg({_psi('m')})), 6) AS mi FROM inside", CHURN, _KNN, _KNN2))
+def mi_knn(spark, sf):
+    return st.mutual_information_knn(churn(spark, sf), "balance", "exited")
 
 
 @query("association_table")
@@ -91,11 +98,45 @@ def association_table(spark, sf):
     return st.association_table(loans(spark, sf), ["amount", "int_rate", "emp_length"], ["grade", "home", "intent"], "status")
 
 
-@query("rank_agreement", "SELECT 'a' AS x, 'a' AS y, 1.0::DOUBLE AS r UNION ALL SELECT 'a', 'b', 0.6 UNION ALL SELECT 'b', 'b', 1.0")
+_CATS = ("geography", "gender", "num_products", "has_card", "is_active")
+
+
+def _measures(c: str) -> str:
+    return f"""SELECT '{c}' AS feature, round(sum((gs - bs) * ln(gs / bs)), 6) AS iv, max(v) AS cramers_v, round(sum(mi), 6) AS mutual_info FROM (
+      SELECT *, greatest(good / sum(good) OVER (), 1e-6) AS gs, greatest(bad / sum(bad) OVER (), 1e-6) AS bs,
+        CASE WHEN good > 0 THEN good / t * ln(good * t / ((good + bad) * tg)) ELSE 0 END + CASE WHEN bad > 0 THEN bad / t * ln(bad * t / ((good + bad) * tb)) ELSE 0 END AS mi,
+        round(CASE WHEN least(2 - 1 / (t - 1) - 1, r - (r - 1) * (r - 1) / (t - 1) - 1) > 0 THEN sqrt(greatest(0, chi2 / t - (r - 1) / (t - 1)) / least(2 - 1 / (t - 1) - 1, r - (r - 1) * (r - 1) / (t - 1) - 1)) ELSE 0 END, 6) AS v
+      FROM (SELECT *, sum(power(greatest(abs(good - eg) - CASE WHEN r = 2 THEN least(0.5, abs(good - eg)) ELSE 0 END, 0), 2) / eg + power(greatest(abs(bad - eb) - CASE WHEN r = 2 THEN least(0.5, abs(bad - eb)) ELSE 0 END, 0), 2) / eb) OVER () AS chi2 FROM (
+        SELECT *, (good + bad) * tg / t AS eg, (good + bad) * tb / t AS eb FROM (
+          SELECT *, sum(good) OVER () AS tg, sum(bad) OVER () AS tb, sum(good + bad) OVER () AS t, CAST(count(*) OVER () AS DOUBLE) AS r FROM (
+            SELECT {c}, CAST(count(*) FILTER (exited = 0) AS DOUBLE) AS good, CAST(count(*) FILTER (exited = 1) AS DOUBLE) AS bad FROM churn GROUP BY {c})))))"""
+
+
+_MEASURES = ("ms", " UNION ALL ".join(_measures(c) for c in _CATS))
+_NAMES = ("iv", "cramers_v", "mutual_info")
+_AVG_RANK = lambda c, o: f"rank() OVER (ORDER BY {c} {o}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+_SHOWN = ("sh", "SELECT feature, " + ", ".join(f"CAST(floor({_AVG_RANK(c, 'DESC')}) AS INTEGER) AS {c}" for c in _NAMES) + " FROM ms")
+_RERANKED = ("rr", "SELECT " + ", ".join(f"{_AVG_RANK(c, 'ASC')} AS {c}" for c in _NAMES) + " FROM sh")
+
+
+def _categories(spark, sf):
+    d, out = cut_lineage(churn(spark, sf)), None
+    for c in _CATS:
+        lv = d.withColumn("level", F.col(c).cast("string"))
+        row = st.information_value(lv, "level", "exited").crossJoin(st.cramers_v(lv, "level", "exited")).crossJoin(st.mutual_information(lv, "level", "exited").withColumnRenamed("mi", "mutual_info")).withColumn("feature", F.lit(c))
+        out = row if out is None else out.unionByName(row)
+    return cut_lineage(out)  # a row per feature
+
+
+@query("importance_ranks", with_views("SELECT feature, iv, cramers_v, mutual_info, " + ", ".join(f"s_{c} AS rank_{c}" for c in _NAMES) + " FROM ms JOIN (SELECT feature, " + ", ".join(f"{c} AS s_{c}" for c in _NAMES) + " FROM sh) USING (feature)", CHURN, _MEASURES, _SHOWN))
+def importance_ranks(spark, sf):
+    """Three importance measures of the categorical columns with their ranks."""
+    return st.importance_ranks(_categories(spark, sf), list(_NAMES))
+
+
+@query("rank_agreement", with_views(" UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 0 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END, 6) AS r FROM rr" for i, a in enumerate(_NAMES) for b in _NAMES[i:]), CHURN, _MEASURES, _SHOWN, _RERANKED))
 def rank_agreement(spark, sf):
-    t = spark.createDataFrame([("f1", 0.9, 5.0), ("f2", 0.5, 7.0), ("f3", 0.3, 3.0), ("f4", 0.2, 1.0)], "feature string, a double, b double")
-    t = t.withColumn("b", F.when(F.col("feature") == "f3", 1.0).when(F.col("feature") == "f4", 3.0).otherwise(F.col("b")))
-    return st.rank_agreement(t, ["a", "b"])
+    return st.rank_agreement(_categories(spark, sf), list(_NAMES))
 
 
 _COV = ["age", "credit_score", "balance", "tenure"]
@@ -121,11 +162,6 @@ def smd_weighted(spark, sf):
     return st.balance(cs.with_weights(causal(spark, sf)), _COV, "t", F.col("w"))
 
 
-@query("grade_monotone")
-def grade_monotone(spark, sf):
-    return st.monotone(cr.coverage_by(cr.book(loans(spark, sf)), "grade"), "grade", "coverage")
-
-
 # ---- evaluation ------------------------------------------------------------
 
 _CUM = ("cum", """SELECT p, pos, n, sum(pos) OVER w AS tp, sum(n) OVER w - sum(pos) OVER w AS fp, (SELECT sum(y) FROM scored) AS tot_pos, (SELECT count(*) - sum(y) FROM scored) AS tot_neg
@@ -306,6 +342,14 @@ def coverage_by_grade(spark, sf):
     return cr.coverage_by(cr.book(loans(spark, sf)), "grade")
 
 
+_MONO = f"SELECT CAST(count(*) FILTER (coverage < before) = 0 AS INTEGER) AS is_monotone FROM (SELECT coverage, lag(coverage) OVER (ORDER BY grade) AS before FROM (SELECT grade, {_sum(_ecl())} / CAST(sum(CAST(ead AS DECIMAL(18,2))) AS DOUBLE) AS coverage FROM book GROUP BY grade))"
+
+
+@query("grade_monotone", with_views(_MONO, LOANS, _G, _BOOK))
+def grade_monotone(spark, sf):
+    return st.monotone(cr.coverage_by(cr.book(loans(spark, sf)), "grade"), "grade", "coverage")
+
+
 _SC = ("sc", f"SELECT 'base' AS scenario, 0.5::DOUBLE AS weight, {_sum(_ecl())} AS ecl FROM book UNION ALL SELECT 'adverse', 0.3, {_sum(_ecl('1.5', '0.1'))} FROM book UNION ALL SELECT 'favourable', 0.2, {_sum(_ecl('0.8', '(-0.05)'))} FROM book")
 
 
@@ -366,6 +410,40 @@ def propensity_fit(spark, sf):
     return cs.propensity_overlap(causal(spark, sf), _COV)
 
 
+@query("propensity_histogram")
+def propensity_histogram(spark, sf):
+    """Overlap of the fitted propensities by treatment."""
+    return cs.overlap_histogram(cs.propensity(causal(spark, sf), _COV))
+
+
+@query("given_propensity_histogram", with_views("SELECT t, bin, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY t) * max(w)), 6) AS density FROM (SELECT t, w, least(CAST(floor((e - lo) / w) AS INTEGER), 39) AS bin FROM causal, (SELECT min(e) AS lo, (max(e) - min(e)) / 40 AS w FROM causal)) GROUP BY t, bin", CHURN, CAUSAL))
+def given_propensity_histogram(spark, sf):
+    return cs.overlap_histogram(causal(spark, sf))
+
+
+_CONF_NUM = ["credit_score", "age", "tenure", "balance", "num_products", "has_card", "salary"]
+_CONF_CAT = {"geography": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"], "gender": ["Female", "Male"], "num_products": [1, 2, 3, 4]}
+
+
+def _dummies(c: str) -> str:
+    text = lambda v: str(v) if isinstance(v, int) else f"'{v}'"
+    return ", ".join(f'CAST({c} = {text(v)} AS DOUBLE) AS "{c}_{v}"' for v in sorted(_CONF_CAT[c])[1:])
+
+
+@query("confounder_matrix", with_views("SELECT customer_id, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _CONF_NUM) + ", CAST(balance = 0 AS DOUBLE) AS zero_balance, " + ", ".join(_dummies(c) for c in _CONF_CAT) + " FROM churn", CHURN))
+def confounder_matrix(spark, sf):
+    m, names = cs.confounders(churn(spark, sf), _CONF_NUM, "balance", _CONF_CAT)
+    return m.select("customer_id", *(f"`{n}`" for n in names))
+
+
+@query("balance_sorted", with_views(f"SELECT covariate, smd, row_number() OVER (ORDER BY abs(smd) DESC, covariate) AS pos FROM ({_smd('smd', 'one')})", CHURN, CAUSAL, _WC))
+def balance_sorted(spark, sf):
+    """Mean differences, the largest in absolute value first (a row per covariate)."""
+    from pyspark.sql import Window as W
+
+    return st.smd(causal(spark, sf), _COV, "t").withColumn("pos", F.row_number().over(W.orderBy(F.abs("smd").desc(), "covariate")).cast("long")).orderBy("pos")
+
+
 @query("gcomp")
 def gcomp(spark, sf):
     return cs.g_computation(causal(spark, sf), _COV)

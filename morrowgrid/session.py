@@ -15,17 +15,24 @@ def build(app: str = "morrowgrid", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def cut_lineage(df):
-    """A reliable checkpoint in spark.checkpoint.dir; a folder of our own only where that is unset and driver and executors are one process, as in tests."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of our own only where that is unset and driver and executors are one process, as in tests."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(where)
+    have = sc._jsc.sc().getCheckpointDir()
+    if have.isDefined():
+        return have.get()
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        where = tempfile.mkdtemp(prefix="checkpoints-")
+    sc.setCheckpointDir(where)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df):
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -1,0 +1,166 @@
+"""Boosting, attributions, logistic regression, oversampling and calibration against plain definitions."""
+
+import itertools
+import math
+
+import numpy as np
+import pytest
+
+from morrowgrid.operators import boosting, search
+from morrowgrid.operators.boosting import Boost
+
+
+def data(n=300, f=5, seed=1):
+    r = np.random.default_rng(seed)
+    x = np.round(r.normal(size=(n, f)), 1)
+    x[:, -1] = r.integers(0, 2, n)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + x[:, -1] + r.normal(0, 0.5, n) > 0.5).astype(int)
+    return x, y
+
+
+def exhaustive_split(x, g, h, p):
+    best = (0.0, None)
+    for j in range(x.shape[1]):
+        for v in np.unique(x[:, j])[:-1]:
+            left = x[:, j] <= v
+            hl, hr = h[left].sum(), h[~left].sum()
+            if min(hl, hr) < p.min_child or min(left.sum(), (~left).sum()) < p.min_rows:
+                continue
+            gain = 0.5 * (g[left].sum() ** 2 / (hl + p.lam) + g[~left].sum() ** 2 / (hr + p.lam) - g.sum() ** 2 / (h.sum() + p.lam)) - p.gamma
+            if gain > best[0] + 1e-9:
+                best = (gain, (j, v))
+    return best
+
+
+def exhaustive_margin(x, y, p):
+    """One level-wise tree by trying every split of every node."""
+    mean = y.mean()
+    base = math.log(mean / (1 - mean))
+    g, h = mean - y, np.full(len(y), mean * (1 - mean))
+    out = np.full(len(y), base)
+
+    def grow(rows, depth):
+        gain, split = exhaustive_split(x[rows], g[rows], h[rows], p) if depth < p.depth else (0, None)
+        if split is None:
+            out[rows] += p.rate * -g[rows].sum() / (h[rows].sum() + p.lam)
+            return
+        left = x[rows, split[0]] <= split[1]
+        grow(rows[left], depth + 1)
+        grow(rows[~left], depth + 1)
+
+    grow(np.arange(len(y)), 0)
+    return out
+
+
+def test_a_tree_takes_the_best_splits():
+    x, y = data()
+    for p in (Boost(trees=1, depth=3, subsample=1, colsample=1, bins=256, min_child=2, gamma=0.1, lam=0.5), Boost(trees=1, depth=4, subsample=1, colsample=1, bins=256, min_child=0, min_rows=12, lam=3.0)):
+        want = exhaustive_margin(x, y, p)
+        assert np.allclose(boosting.fit(x, y, p).margin(x), want)
+        # the leaf-wise grower with room for all leaves grows the same tree
+        assert np.allclose(boosting.fit(x, y, Boost(**{**p.__dict__, "leaves": 1 << p.depth})).margin(x), want)
+
+
+def test_leaf_budget_takes_the_largest_gains():
+    x, y = data()
+    t = boosting.fit(x, y, Boost(trees=1, depth=8, leaves=6, subsample=1, colsample=1, bins=256, min_child=1)).trees[0]
+    assert (t.feature < 0).sum() == 6
+
+
+def test_boosting_learns():
+    x, y = data(2000, 6)
+    test, t = data(1000, 6, seed=2)
+    for kind in ("level", "leaf", "logistic"):
+        got = search.scores_of(t, search.fit_predict(kind, {"correction": "none"}, x, y, test))
+        assert got["roc_auc"] > (0.9 if kind != "logistic" else 0.8), (kind, got)
+
+
+def brute_shap(tree, b, row):
+    """Shapley values of the path-dependent expectation, over all subsets of features."""
+    f = b.shape[1]
+
+    def expect(node, known):
+        j = tree.feature[node]
+        if j < 0:
+            return tree.value[node]
+        l, r = tree.left[node], tree.right[node]  # noqa: E741
+        if j in known:
+            return expect(l if b[row, j] <= tree.split[node] else r, known)
+        return (tree.cover[l] * expect(l, known) + tree.cover[r] * expect(r, known)) / tree.cover[node]
+
+    phi = np.zeros(f)
+    for j in range(f):
+        others = [k for k in range(f) if k != j]
+        for n in range(f):
+            for s in itertools.combinations(others, n):
+                phi[j] += math.factorial(n) * math.factorial(f - n - 1) / math.factorial(f) * (expect(0, {*s, j}) - expect(0, set(s)))
+    return phi, expect(0, set())
+
+
+def test_tree_attributions_match_all_subsets():
+    x, y = data(200, 4)
+    m = boosting.fit(x, y, Boost(trees=3, depth=4, min_child=0.5))
+    phi, base = m.shap(x)
+    assert np.allclose(phi.sum(1) + base, m.margin(x))
+    b = m.binned(x)
+    for row in range(12):
+        want = [brute_shap(t, b, row) for t in m.trees]
+        assert np.allclose(phi[row], sum(w for w, _ in want)) and np.isclose(base, m.base + sum(e for _, e in want))
+
+
+@pytest.mark.parametrize("l1", [False, True])
+def test_logistic_meets_the_conditions_of_its_optimum(l1):
+    x, y = data(400, 5)
+    w = np.where(y == 1, 2.0, 1.0)
+    for c in (0.01, 1.0, 50.0):
+        b = search.logistic(x, y, w, c, l1, steps=20_000)
+        grad = c * np.column_stack([x, np.ones(len(x))]).T @ (w * (boosting.sigmoid(x @ b[:-1] + b[-1]) - y))
+        assert abs(grad[-1]) < 1e-3 * max(1, c)
+        for g, v in zip(grad[:-1], b[:-1], strict=True):
+            assert abs(g + np.sign(v)) < 2e-3 * max(1, c) if l1 and v else abs(g) <= 1 + 1e-3 if l1 else abs(g + v) < 1e-5 * max(1, c)
+
+
+def test_oversampling_lies_between_neighbours():
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(60, 3)), np.array([1] * 15 + [0] * 45)
+    a, b = search.oversample(x, y, 4, 0.8)
+    assert (b == 1).sum() == 36 and (b == 0).sum() == 45 and (a[:60] == x).all()
+    m = x[:15]
+    near = np.argsort(((m[:, None] - m[None]) ** 2).sum(2), axis=1)[:, 1:5]
+    for v in a[60:]:
+        assert any(np.allclose(v, m[i] + u * (m[j] - m[i]), atol=1e-9) for i in range(15) for j in near[i] for u in [((v - m[i]) @ (m[j] - m[i])) / ((m[j] - m[i]) @ (m[j] - m[i]))] if -1e-9 <= u <= 1 + 1e-9)
+
+
+def test_scores_match_their_definitions():
+    r = np.random.default_rng(4)
+    y, p = r.integers(0, 2, 80), np.round(r.random(80), 1)
+    got = search.scores_of(y, p)
+    pairs = [(a > b) + 0.5 * (a == b) for a in p[y == 1] for b in p[y == 0]]
+    assert np.isclose(got["roc_auc"], np.mean(pairs)) and np.isclose(got["brier"], np.mean((p - y) ** 2))
+    ap, before = 0.0, 0.0
+    for v in sorted(set(p), reverse=True):
+        hit = p >= v
+        recall = y[hit].sum() / y.sum()
+        ap += (recall - before) * y[hit].mean()
+        before = recall
+    assert np.isclose(got["pr_auc"], ap)
+
+
+def test_isotonic_map_is_the_best_monotone_one():
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        p, y = np.round(r.random(12), 1), r.integers(0, 2, 12)
+        x, f = search.isotonic(p, y)
+        got = np.interp(p, x, f)
+        v = np.unique(p)
+        # least squares over monotone step functions, by the min-max formula
+        want = {u: max(min(y[(p >= a) & (p <= b)].mean() for b in v if b >= u) for a in v if a <= u) for u in v}
+        assert np.allclose(got, [want[u] for u in p])
+
+
+def test_refined_grids():
+    for kind, size in (("logistic", 45), ("level", 27), ("leaf", 27)):
+        found = search.candidates(kind, 40)
+        assert len(found) == 40 and len({str(c) for c in found}) == 40
+        grid = search.refined(kind, found[0])
+        assert size / 3 <= len(grid) <= size and len({str(sorted(g.items())) for g in grid}) == len(grid) and (kind == "logistic" or found[0] in [g | {"rate": found[0]["rate"]} for g in grid])
