@@ -105,81 +105,93 @@ def packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _widths(first: int, n: int) -> np.ndarray:
+    """Bits of the codes first, first+1, ... after a clear code: the table has 258 entries and grows from the second code on; codes widen one entry early."""
+    size = 258 + np.maximum(np.arange(first, first + n) - 1, 0)
+    return 9 + np.searchsorted((511, 1023, 2047), size, "right")
+
+
+def _codes(raw: np.ndarray, n_bits: int, at: int, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to n codes from bit `at` on, the first one being number `first` after a clear code; and the bit after each."""
+    width = _widths(first, n)
+    ends = at + np.cumsum(width)
+    whole = int(np.searchsorted(ends, n_bits, "right"))
+    width, ends = width[:whole], ends[:whole]
+    byte, bit = (ends - width) >> 3, (ends - width) & 7
+    word = raw[byte] << 24 | raw[byte + 1] << 16 | raw[byte + 2] << 8 | raw[byte + 3]
+    return word >> (32 - width - bit) & ((1 << width) - 1), ends
+
+
 def unlzw(data: bytes, size: int) -> bytes:
     """TIFF's LZW: codes from 9 to 12 bits, high bit first, widened one code early; 256 clears, 257 ends."""
-    out, table, prev = bytearray(), [], b""
-    acc = bits = pos = 0
-    width = 9
-    while len(out) < size:
-        while bits < width:
-            if pos >= len(data):
-                return bytes(out)
-            acc = (acc << 8 | data[pos]) & 0xFFFFFFFF
-            bits += 8
-            pos += 1
-        code = acc >> (bits - width) & ((1 << width) - 1)
-        bits -= width
-        acc &= (1 << bits) - 1
-        if code == 257:
+    raw, n_bits = np.frombuffer(data + b"\0" * 4, np.uint8).astype(np.int64), 8 * len(data)
+    head, ends = _codes(raw, n_bits, 0, 0, 1)
+    if not len(head) or head[0] == 257 or not size:
+        return b""
+    if head[0] != 256:
+        raise TiffError("LZW data don't begin with a clear code")
+    at, seen, out, total = int(ends[0]), 0, [], 0
+    plain = [bytes((i,)) for i in range(256)] + [b"", b""]
+    table, prev = list(plain), b""
+    while total < size:
+        codes, ends = _codes(raw, n_bits, at, seen, 4096)
+        stop = np.flatnonzero((codes == 256) | (codes == 257))
+        use = int(stop[0]) if len(stop) else len(codes)
+        for code in codes[:use].tolist():
+            if code < len(table):
+                entry = table[code]
+            elif code == len(table) and prev:
+                entry = prev + prev[:1]
+            else:
+                raise TiffError("LZW code out of range")
+            out.append(entry)
+            total += len(entry)
+            if prev:
+                table.append(prev + entry[:1])
+            prev = entry
+            if total >= size:
+                break
+        if not len(codes) or (len(stop) and codes[use] == 257):
             break
-        if code == 256:
-            table, prev, width = [bytes((i,)) for i in range(256)] + [b"", b""], b"", 9
-            continue
-        if not table:
-            raise TiffError("LZW data don't begin with a clear code")
-        if code < len(table):
-            entry = table[code]
-        elif code == len(table) and prev:
-            entry = prev + prev[:1]
-        else:
-            raise TiffError("LZW code out of range")
-        out += entry
-        if prev:
-            table.append(prev + entry[:1])
-        prev = entry
-        if len(table) >= (1 << width) - 1 and width < 12:
-            width += 1
-    return bytes(out[:size])
+        at, seen = int(ends[use if len(stop) else use - 1]), seen + use
+        if len(stop):
+            table, prev, seen = list(plain), b"", 0
+    return b"".join(out)[:size]
 
 
 def lzw(data: bytes) -> bytes:
-    out, acc, bits, width = bytearray(), 0, 0, 9
-    table: dict[bytes, int] = {}
-
-    def put(code: int) -> None:
-        nonlocal acc, bits
-        acc, bits = acc << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits & 255)
-            acc &= (1 << bits) - 1
-
-    put(256)
-    table = {bytes((i,)): i for i in range(256)}
-    free, word = 258, b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
+    """The other way: words of the table are keyed by (code of the word less its last byte, that byte)."""
+    parts, run, table, free = [], [], {}, 258
+
+    def close() -> None:
+        """The run's codes, and the clear or end code after them, as bits."""
+        width = _widths(0, len(run))
+        code = np.array(run, np.int64)
+        shift = np.arange(11, -1, -1)
+        bits = (code[:, None] >> shift & 1).astype(np.uint8)
+        parts.append(bits[shift[None] < width[:, None]])
+
+    parts.append(np.array([1, 0, 0, 0, 0, 0, 0, 0, 0], np.uint8))
+    word = data[0] if data else -1
+    for byte in data[1:]:
+        key = word << 8 | byte
+        longer = table.get(key)
+        if longer is not None:
             word = longer
             continue
-        put(table[word])
-        table[longer] = free
+        run.append(word)
+        table[key] = free
         free += 1
         if free == 4094:
-            put(256)
-            table, free, width = {bytes((j,)): j for j in range(256)}, 258, 9
-        elif free >= 1 << width:
-            width += 1
-        word = data[i : i + 1]
-    if word:
-        put(table[word])
-        free += 1
-        if free >= 1 << width and width < 12:
-            width += 1
-    put(257)
-    if bits:
-        out.append(acc << (8 - bits) & 255)
-    return bytes(out)
+            run.append(256)
+            close()
+            run, table, free = [], {}, 258
+        word = byte
+    if word >= 0:
+        run.append(word)
+    run.append(257)
+    close()
+    return np.packbits(np.concatenate(parts)).tobytes()
 
 
 def _unpack(data: bytes, how: int, size: int) -> bytes:
