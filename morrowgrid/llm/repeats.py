@@ -30,23 +30,35 @@ from .kernel import flat as flat_text
 
 #: Text bytes of a home, and those that one bucket of names or of windows stands for.
 HOME_BYTES, NAME_BYTES, WINDOW_BYTES = 4 << 20, 32 << 20, 8 << 20
-#: A name that occurs more often is hot.
-HOT = 1024
+#: A name that occurs more often is hot; a home counts it up to MOST.
+HOT, MOST = 1024, (1 << 16) - 1
 
 
 class Told(NamedTuple):
-    """The names a home has asked for that occur again, sorted, and which of them are hot."""
+    """What a home has been told of the names it has asked for, both sorted: the low 32 bits of those that occur again, and
+    the low 48 bits of those that are hot.
 
-    names: np.ndarray
+    Names travel cut, since being told wrongly that a name occurs again only shows more windows than needed. Hot names
+    must be the same ones for all homes: names that agree in 48 bits are counted together everywhere.
+    """
+
+    again: np.ndarray
     hot: np.ndarray
 
     def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each name occurs again, and whether it is hot."""
-        if not len(self.names):
-            return np.zeros(len(names), bool), np.zeros(len(names), bool)
-        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-        hit = self.names[at] == names
-        return hit, hit & self.hot[at]
+        again = _among(self.again, names.astype(np.uint32))
+        return again, again & _among(self.hot, names & CUT)
+
+
+#: Bits of a name that travel.
+CUT = np.uint64((1 << 48) - 1)
+
+
+def _among(sorted_ones: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_ones):
+        return np.zeros(len(x), bool)
+    return sorted_ones[np.minimum(np.searchsorted(sorted_ones, x), len(sorted_ones) - 1)] == x
 
 
 class Shown(NamedTuple):
@@ -121,8 +133,10 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return w_off, span_hash(data, s, e)
 
 
-_NAMES = (("name", np.uint64), ("n", np.int32), ("home", np.int32))
-_TOLD = (("name", np.uint64), ("hot", np.uint8))
+_NAMES = (("low", np.uint32), ("high", np.uint16), ("n", np.uint16), ("home", np.int32))
+_TOLD = (("again", np.uint32),)
+_HEATED = (("hot", np.uint64),)
+_ANSWER = ("bucket", "again", "hot")
 _WINDOWS = (("h", np.uint64), ("h2", np.uint32), ("doc", np.int64), ("home", np.int32), ("lo", np.int32), ("src", np.int32), ("origin", np.int64), ("flag", np.uint8))
 _SUFFIXES = (("key", np.uint64), ("doc", np.int64), ("home", np.int32), ("lo", np.int32), ("n", np.int32), ("at", np.int32), ("around", np.uint64))
 _SHOWN = ("bucket", "h", "h2", "key", "doc", "home", "lo", "src", "origin", "flag", "n", "at", "around")
@@ -147,9 +161,10 @@ def repeated_windows(docs: DataFrame, width: int, method: Method, answer, answer
     dealt = d.withColumn("home", F.pmod(F.xxhash64("id", "text"), F.lit(homes)).cast("int")).groupBy("home")
 
     def told_of(table: pa.Table | None) -> Told:
-        names, hot = _unpack(table, _TOLD) if table is not None and table.num_rows else [np.zeros(0, k) for _, k in _TOLD]
-        order = np.argsort(names, kind="stable")
-        return Told(names[order], hot[order] > 0)
+        if table is None or not table.num_rows:
+            return Told(np.zeros(0, np.uint32), np.zeros(0, np.uint64))
+        (again,), (hot,) = _unpack(table, _TOLD, "again"), _unpack(table, _HEATED, "hot")
+        return Told(np.sort(again), np.sort(hot))
 
     def asking(turn: int):
         def ask(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -159,26 +174,28 @@ def repeated_windows(docs: DataFrame, width: int, method: Method, answer, answer
             text = left.column("text").combine_chunks()
             for x, y in slices(text):
                 w_off, h = _words(text.slice(x, y - x))
-                got.append(np.unique(method.ask(h, w_off, width, told, turn), return_counts=True))
+                got.append(np.unique(method.ask(h, w_off, width, told, turn) & CUT, return_counts=True))
             names, back = np.unique(np.concatenate([a for a, _ in got]), return_inverse=True)
             count = np.bincount(back, np.concatenate([n for _, n in got]), len(names))
-            return _table([_pack((names % np.uint64(name_buckets)).astype(np.int64), [names, np.minimum(count, HOT + 1), np.full(len(names), home)], _NAMES, _fields(_NAMES))], _fields(_NAMES))
+            bucket = (names % np.uint64(name_buckets)).astype(np.int64)
+            return _table([_pack(bucket, [names & np.uint64(0xFFFFFFFF), names >> np.uint64(32), np.minimum(count, MOST), np.full(len(names), home)], _NAMES, _fields(_NAMES))], _fields(_NAMES))
 
         return ask if turn else lambda left: ask(left, None)
 
     def tell(table: pa.Table) -> pa.Table:
-        names, n, home = _unpack(table, _NAMES)
+        low, high, n, home = _unpack(table, _NAMES)
+        names = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
         order = np.argsort(names, kind="stable")
-        names, n, home = names[order], n[order], home[order]
+        names, n, home = names[order], n[order], home[order].astype(np.int64)
         new = np.append(True, names[1:] != names[:-1])
         total = np.add.reduceat(n.astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1] if len(names) else n
-        again = total > 1
-        return _table([_pack(home[again].astype(np.int64), [names[again], total[again] > HOT], _TOLD, _fields(_TOLD))], _fields(_TOLD))
+        again, hot = total > 1, total > HOT
+        return _table([_pack(home[again], [names[again] & np.uint64(0xFFFFFFFF)], _TOLD, _ANSWER), _pack(home[hot], [names[hot]], _HEATED, _ANSWER)], _ANSWER)
 
     told: DataFrame | None = None
     for turn in range(method.rounds):
         asked = dealt.applyInArrow(asking(turn), _spark(_fields(_NAMES))) if told is None else dealt.cogroup(told.groupBy("bucket")).applyInArrow(asking(turn), _spark(_fields(_NAMES)))
-        answered = asked.groupBy("bucket").applyInArrow(tell, _spark(_fields(_TOLD)))
+        answered = asked.groupBy("bucket").applyInArrow(tell, _spark(_ANSWER))
         told = answered if told is None else told.unionByName(answered)
 
     def show(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -89,14 +89,16 @@ class Symbols:
 
     @staticmethod
     def _judged(h: np.ndarray, w_off: np.ndarray, told: Told, turn: int) -> Iterator[tuple[Level, np.ndarray, np.ndarray, np.ndarray]]:
-        """(level, live, hot, new): live symbols occur again, as far as the rounds before `turn` tell; new ones are those it asks for."""
-        live = np.ones(len(h), bool)
+        """(level, live, hot, new): live symbols occur again, as far as the rounds before `turn` tell; new: where those stand that it asks for."""
+        live, hot = np.ones(len(h), bool), np.zeros(len(h), bool)
         for number, level in enumerate(recompress(h, w_off, min(turn + 1, LEVELS))):
-            built = live[level.left] & live[level.right]
-            again, hot = told.find(level.name)
+            built, hot = live[level.left] & live[level.right], hot[level.left]
             asked = max(0, number - 1)  # runs and the first pairs are asked for together
-            live = built & (again | ~level.made) if asked < turn else built
-            yield level, live, hot, built & level.made & (asked == turn)
+            new = np.flatnonzero(built & level.made)
+            live = built
+            if asked < turn:
+                live[new], hot[new] = told.find(level.name[new])
+            yield level, live, hot, new if asked == turn else new[:0]
 
     def ask(self, h: np.ndarray, w_off: np.ndarray, width: int, told: Told, turn: int) -> np.ndarray:
         return np.concatenate([level.name[new] for level, _, _, new in self._judged(h, w_off, told, turn)])
@@ -124,7 +126,9 @@ class Symbols:
             lo, hi = np.maximum(end[gone] - width, 0), np.minimum(start[gone], size - 1) + 1
             np.add.at(dead, lo[lo < hi], 1)
             np.add.at(dead, hi[lo < hi], -1)
-            j = np.minimum(np.searchsorted(start, window), len(ok) - 1)
+            # the first symbol that begins at the window's start or later
+            j = np.cumsum(np.bincount(start + 1, minlength=n + 1))[:size]
+            j = np.minimum(j, len(ok) - 1)
             inside = np.flatnonzero((start[j] >= window) & (end[j] <= window + width))
             k = ok[j[inside]]
             name[inside], at[inside], heat[inside], rank[inside] = level.name[k], level.start[k], hot[k], number + 1
