@@ -106,31 +106,26 @@ def dbscan_core(v: DataFrame, eps: float, min_samples: int) -> DataFrame:
 def dbscan(v: DataFrame, eps: float, min_samples: int = 10) -> DataFrame:
     """(id, label): core points by connected component (label: its smallest id), border points by their smallest adjacent core label, noise -1.
 
-    Edges within a pair of blocks are reduced to a spanning forest before they
-    leave the task, so dense groups don't make all their pairs.
+    Edges within a pair of blocks are reduced to stars (each point and the smallest one it reaches there) before they
+    leave the task, so dense groups don't make all their pairs and few rounds are left.
     """
     core = dbscan_core(v, eps, min_samples).select("id", "is_core")
     cv = cut_lineage(v.select("id", "features").join(core, "id"))
 
     def forest(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         a, c = a[a["is_core"] == 1], c[c["is_core"] == 1]
-        rows: list[tuple[int, int]] = []
-        if len(a) and len(c):
-            near = _pairwise(a, c) <= eps
-            parent: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while parent.setdefault(x, x) != x:
-                    parent[x] = x = parent[parent[x]]
-                return x
-
-            ai, ci = a["id"].to_numpy(), c["id"].to_numpy()
-            for i, j in zip(*np.nonzero(near), strict=True):
-                p, q = find(int(ai[i])), find(int(ci[j]))
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    rows.append((int(ai[i]), int(ci[j])))
-        return pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
+        if not len(a) or not len(c):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        near, ai, ci = _pairwise(a, c) <= eps, a["id"].to_numpy(), c["id"].to_numpy()
+        far, la, lc = np.iinfo(np.int64).max, ai.copy(), ci.copy()
+        while True:
+            new_a = np.minimum(la, np.where(near, lc[None], far).min(1))
+            new_c = np.minimum(lc, np.where(near, new_a[:, None], far).min(0))
+            if (new_a == la).all() and (new_c == lc).all():
+                break
+            la, lc = new_a, new_c
+        both = pd.DataFrame({"a": np.concatenate([ai, ci]), "b": np.concatenate([la, lc])})
+        return both[both["a"] != both["b"]].drop_duplicates().astype("int64")
 
     edges = _blocked(cv.select("id", "features", "is_core"), forest, "a long, b long")
     edges = cut_lineage(edges.union(edges.select("b", "a")).distinct())

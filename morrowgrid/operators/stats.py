@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expressions import r6
+from ..functions.expressions import edge_bins, r6
 from ..functions.special import chi2_p, normal_two_sided
 from ..session import cut_lineage
 from .profile import crosstab, pearson, ranked_values, with_quantile_bin, with_rank
-from .ranges import medians, with_range
+from .ranges import quantiles, with_range
 
 
 def binned_levels(df: DataFrame, col: str, q: int = 10, missing: str = "MISSING") -> DataFrame:
@@ -204,19 +204,43 @@ def association_table(df: DataFrame, numeric: list[str], categorical: list[str],
     Numbers are cut into deciles for the table measures, with missing values as a level; for mutual information they
     are filled with the median.
     """
-    p_chi, p_norm = F.udf(lambda x, d: chi2_p(x, int(d)), "double"), F.udf(normal_two_sided, "double")  # on a row per feature
-    middle, out = medians(df, numeric), None
-    for c in [*numeric, *categorical]:
-        lv = binned_levels(df, c) if c in numeric else df.withColumn("level", F.coalesce(F.col(c).cast("string"), F.lit("MISSING")))
-        row = information_value(lv, "level", y).crossJoin(cramers_v(lv, "level", y)).crossJoin(chi2(lv, "level", y).select(p_chi("chi2", "dof").alias("chi2_p")))
+    spark = df.sparkSession
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in numeric))).alias("s")).select("s.*") if numeric else None
+    cuts = {r["feature"]: r["q"] for r in quantiles(long, "v", [i / 10 for i in range(11)], ["feature"]).collect()} if numeric else {}
+    middle = {c: cuts[c][5] for c in cuts}
+
+    def level(c: str) -> Column:
+        edges = sorted(set(cuts.get(c, [])))
+        text = edge_bins(F.col(c).cast("double"), F.array(*(F.lit(e) for e in edges))).cast("string") if edges else F.col(c).cast("string")
+        return F.struct(F.lit(c).alias("feature"), F.coalesce(text, F.lit("MISSING")).alias("level"))
+
+    # one scan makes the contingency tables of all features
+    cells = df.select(F.explode(F.array(*(level(c) for c in [*numeric, *categorical]))).alias("s"), F.col(y).alias("mg_y")).groupBy("s.feature", "s.level").agg(F.count_if(F.col("mg_y") == 0).cast("double").alias("good"), F.count_if(F.col("mg_y") == 1).cast("double").alias("bad"))
+    cells = cut_lineage(cells)
+    total = cells.groupBy("feature").agg(F.sum("good").alias("tg"), F.sum("bad").alias("tb"), F.count("*").alias("r"))
+    n, t = F.col("good") + F.col("bad"), F.col("tg") + F.col("tb")
+    floor = lambda a, b: F.greatest(F.try_divide(F.col(a), F.col(b)), F.lit(1e-6))
+    part = lambda a, b: F.when((F.col(a) > 0) & (n > 0), F.col(a) / t * F.log(F.col(a) * t / (n * F.col(b)))).otherwise(0.0)
+
+    def chi(a: str, b: str) -> Column:
+        e = n * F.col(b) / t
+        gap = F.abs(F.col(a) - e)
+        gap = gap - F.when(F.col("r") == 2, F.least(F.lit(0.5), gap)).otherwise(0.0)
+        return F.coalesce(F.try_divide(gap * gap, e), F.lit(0.0))
+
+    j = cells.join(F.broadcast(total), "feature").withColumns({"iv": (floor("good", "tg") - floor("bad", "tb")) * F.log(floor("good", "tg") / floor("bad", "tb")), "chi2": chi("good", "tg") + chi("bad", "tb"), "mi": part("good", "tg") + part("bad", "tb")})
+    rows = []
+    for r in j.groupBy("feature", "r", "tg", "tb").agg(*(F.sum(c).alias(c) for c in ("iv", "chi2", "mi"))).collect():  # a row per feature
+        c, m, k = r["feature"], r["tg"] + r["tb"], r["r"]
+        phi, low = max(0.0, r["chi2"] / m - (k - 1) / (m - 1)), min(2 - 1 / (m - 1) - 1, k - (k - 1) ** 2 / (m - 1) - 1) if m > 1 else 0.0
+        row = {"feature": c, "type": "num" if c in numeric else "cat", "chi2_p": chi2_p(r["chi2"], k - 1), "cramers_v": (phi / low) ** 0.5 if low > 0 else 0.0, "mwu_p": None, "rank_biserial": None, "iv": r["iv"], "mutual_info": r["mi"]}
         if c in numeric:
-            row = row.crossJoin(mann_whitney(df, c, y).select("rank_biserial", p_norm("z").alias("mwu_p")))
-            row = row.crossJoin(mutual_information_knn(df.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(middle[c]))), c, y).withColumnRenamed("mi", "mutual_info"))
-        else:
-            row = row.withColumns({"rank_biserial": F.lit(None).cast("double"), "mwu_p": F.lit(None).cast("double")}).crossJoin(mutual_information(lv, "level", y).withColumnRenamed("mi", "mutual_info"))
-        row = row.select(F.lit(c).alias("feature"), F.lit("num" if c in numeric else "cat").alias("type"), *(F.round(m, 4).alias(m) for m in ("chi2_p", "cramers_v", "mwu_p", "rank_biserial", "iv", "mutual_info")))
-        out = row if out is None else out.unionByName(row)
-    return out.orderBy(F.col("iv").desc(), "feature")
+            u = mann_whitney(df, c, y).first()
+            filled = df.select(F.coalesce(F.col(c).cast("double"), F.lit(middle.get(c))).alias(c), y)
+            row |= {"mwu_p": normal_two_sided(u["z"]) if u["z"] is not None else None, "rank_biserial": u["rank_biserial"], "mutual_info": mutual_information_knn(filled, c, y).first()["mi"]}
+        rows.append(tuple(round(v, 4) if isinstance(v, float) else v for v in row.values()))
+    rows.sort(key=lambda r: (-r[6], r[0]))
+    return spark.createDataFrame(rows, "feature string, type string, chi2_p double, cramers_v double, mwu_p double, rank_biserial double, iv double, mutual_info double")
 
 
 def importance_ranks(table: DataFrame, measures: list[str]) -> DataFrame:
