@@ -120,7 +120,7 @@ def rank_agreement(table: DataFrame, measures: list[str]) -> DataFrame:
     # correlation of the shown ranks' ranks
     for c in measures:
         ranked = with_rank(ranked.withColumnRenamed(f"rank_{c}", f"shown_{c}"), f"shown_{c}", f"rank_{c}")
-    return pearson(ranked.select(*(F.col(f"rank_{c}").alias(c) for c in measures)), measures)
+    return pearson(ranked.select(*(F.col(f"rank_{c}").alias(c) for c in measures)), measures).select("x", "y", (F.col("r") + 0.0).alias("r"))  # no negative zero
 
 
 def digamma(n: Column) -> Column:

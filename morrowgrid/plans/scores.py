@@ -134,7 +134,7 @@ def importance_ranks(spark, sf):
     return st.importance_ranks(_categories(spark, sf), list(_NAMES))
 
 
-@query("rank_agreement", with_views(" UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 0 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END, 6) AS r FROM rr" for i, a in enumerate(_NAMES) for b in _NAMES[i:]), CHURN, _MEASURES, _SHOWN, _RERANKED))
+@query("rank_agreement", with_views(" UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 0 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END, 6) + 0.0::DOUBLE AS r FROM rr" for i, a in enumerate(_NAMES) for b in _NAMES[i:]), CHURN, _MEASURES, _SHOWN, _RERANKED))
 def rank_agreement(spark, sf):
     return st.rank_agreement(_categories(spark, sf), list(_NAMES))
 
