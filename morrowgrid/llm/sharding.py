@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernel import cut
 
@@ -43,12 +44,15 @@ def assign_shards(records: DataFrame, n_shards: int, id_col: str = "doc_id", siz
 
     Law `bytes`: the shards' sums of size_col are near equal. Records of one key
     stay in one shard unless the key alone is larger than a shard. key_col is a
-    long, such as a hash of the record. Null ids order last and null sizes count
-    0; repeated records each take their own slot; an empty table gives no rows.
+    long, such as a hash of the record. Null ids order last, each as a record of its own, and null sizes count
+    0; repeated records each take their own slot, ties in any order; an empty table gives no rows. Other columns
+    may have any name; `shard` and `slot` are replaced. Only repeats of one key and id can't be told apart: they stay in one range.
     The driver only ever holds the key sample (its expected size is the
     parameter `sample`) and one row for each range.
     """
-    r = records.withColumns({"mg_h": F.col(key_col), "mg_d": F.coalesce(F.col(id_col), F.lit(2**63 - 1)), "mg_s": F.coalesce(F.col(size_col), F.lit(0)).cast("long")})
+    kept = F.struct(*(F.col(f"`{c}`") for c in records.columns if c not in ("shard", "slot")))
+    number = F.coalesce(F.col(id_col).cast("long"), F.lit(2**62) + F.monotonically_increasing_id())  # fixed by the write
+    r = cut(records.select(kept.alias("row"), F.col(key_col).cast("long").alias("mg_h"), number.alias("mg_d"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("mg_s")))
     whole = r.agg(F.sum("mg_s").alias("s"), F.max("mg_s").alias("m")).first()
     total, largest = max(1, whole.s or 0), whole.m or 0
     u = F.pmod(F.xxhash64("mg_d", "mg_h", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -60,7 +64,7 @@ def assign_shards(records: DataFrame, n_shards: int, id_col: str = "doc_id", siz
     ranged = _ranged(r, bounds)
     sums = {x.mg_r: (x.s, x.h0, x.h1) for x in ranged.groupBy("mg_r").agg(F.sum("mg_s").alias("s"), F.min("mg_h").alias("h0"), F.max("mg_h").alias("h1")).collect()}
     # Subdivide what is still overfull: halve the id or key interval until its share is small.
-    for _ in range(40):
+    while True:
         target = total // (n_shards * ranges_per_shard)
         limit = target + max(1, target, largest)
         over = [i for i, (s, h0, h1) in sums.items() if s > limit]
@@ -89,7 +93,7 @@ def assign_shards(records: DataFrame, n_shards: int, id_col: str = "doc_id", siz
     table = spark.createDataFrame([(i, place[i], start[i]) for i in sorted(counts)] or [(-1, 0, 0)], "mg_r int, shard int, mg_start long")
     w = W.partitionBy("mg_r").orderBy("mg_h", "mg_d")
     out = ranged.withColumn("mg_n", F.row_number().over(w)).join(F.broadcast(table), "mg_r")
-    return out.withColumn("slot", F.col("mg_start") + F.col("mg_n") - 1).drop("mg_r", "mg_h", "mg_d", "mg_s", "mg_n", "mg_start")
+    return out.select("row.*", "shard", (F.col("mg_start") + F.col("mg_n") - 1).alias("slot"))
 
 
 def _ranged(r: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
@@ -109,8 +113,7 @@ def _ranged(r: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
                 i[j] = bisect_left(both, (int(h[j]), int(d[j])), int(low[i[j]]), int(high[i[j]]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(i.astype(np.int32))], names=[*b.schema.names, "mg_r"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in r.schema.fields) + ", mg_r int"
-    return r.mapInArrow(find, schema)
+    return r.mapInArrow(find, T.StructType([*r.schema.fields, T.StructField("mg_r", T.IntegerType())]))
 
 
 def _pack(sums: dict, n_shards: int, total: int) -> dict[int, int]:
@@ -139,9 +142,10 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """
     text = F.col("text")
     narrow = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).cast("long").alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"))
-    return assign_shards(cut(narrow), n_shards).drop("key")
+    return assign_shards(narrow, n_shards).drop("key")
 
 
 def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every row of documents (see `assign_shards` for nulls, ties and repeats)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return shard_documents(docs, 8).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
