@@ -10,6 +10,8 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -86,9 +88,10 @@ class SpeculativeBpe:
     def start_cache(self) -> None:
         self.ids: dict[str, str] = {}  # each word's ids as decimal numbers, and as 32-bit integers
         self.codes: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "codes", "split", "special_split")} | {"pattern": self.special_split and self.special_split.pattern}
+        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "codes", "long", "split", "special_split")} | {"pattern": self.special_split and self.special_split.pattern}
 
     def __setstate__(self, state):
         pattern = state.pop("pattern")
@@ -196,9 +199,12 @@ class SpeculativeBpe:
             failing |= set(word[np.isin(tok, list(self.unreachable))].tolist())
         for i in failing:
             proposed[i] = self.merge(raw[i])
-        name = self.name_of.__getitem__
+        self.long += [w for w in words if len(w) > CACHE_LENGTH]
+        name, at = self.name_of.__getitem__, 0
+        packed = array("i", chain.from_iterable(proposed)).tobytes()
         for w, p in zip(words, proposed, strict=True):
-            self.codes[w] = np.array(p, np.int32).tobytes()
+            end = at + 4 * len(p)
+            self.codes[w], at = packed[at:end], end
             self.ids[w] = ",".join(map(name, p))
 
     def pieces(self, text: str) -> list[str]:
@@ -235,8 +241,9 @@ class SpeculativeBpe:
     def forget(self) -> None:
         if len(self.ids) > CACHE_WORDS:
             self.start_cache()
-        for w in [w for w in self.ids if len(w) > CACHE_LENGTH]:
+        for w in self.long:
             del self.ids[w], self.codes[w]
+        self.long = []
 
     def encode(self, text: str | None) -> list[int]:
         (ids, _), = self.encode_texts([text])
