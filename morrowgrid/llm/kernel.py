@@ -244,6 +244,6 @@ def fold_tables(df: DataFrame, sections: int, width: int, combine, dtype) -> np.
             yield pa.RecordBatch.from_arrays([pa.array(list(acc), pa.int32()), pa.array([a.tobytes() for a in acc.values()], pa.binary())], names=["section", "body"])
 
     out = np.zeros(sections * width, dtype)
-    for row in df.repartition(min(sections, 16), "section").mapInArrow(fold, "section int, body binary").collect():
+    for row in df.repartition(sections, "section").mapInArrow(fold, "section int, body binary").collect():
         out[row.section * width : (row.section + 1) * width] = np.frombuffer(row.body, dtype)
     return out
