@@ -5,7 +5,7 @@ is ln(N/df) / ln(1/RARE), at most 1: a shingle in RARE of all documents or fewer
 and nothing rarer weighs more. So only frequent shingles need a count of their own, and
 the count-min table that counts them over all documents has the same error at every
 size: it is as wide as a document's mean number of shingles asks for, which makes the
-mean overcount of a cell at most RARE/8 of the documents. Equal texts are
+mean overcount of a cell at most RARE/4 of the documents. Equal texts are
 one node. A node is compared with the leader (smallest node) of each of its band
 keys by weighted Jaccard similarity; links join nodes to classes. Where the other
 members of a key are then in more than one class, all of its pairs that aren't in
@@ -73,8 +73,8 @@ def cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def table_bits(n_bytes: int, n_docs: int) -> int:
-    """Width of the count-min table: 8 / RARE cells for each shingle of a document of mean length (one in six bytes)."""
-    return int(np.clip(np.ceil(np.log2(1 + 8 / RARE * n_bytes / 6 / max(1, n_docs))), *CM_BITS))
+    """Width of the count-min table: 4 / RARE cells for each shingle of a document of mean length (one in six bytes)."""
+    return int(np.clip(np.ceil(np.log2(1 + 4 / RARE * n_bytes / 6 / max(1, n_docs))), *CM_BITS))
 
 
 def document_frequencies(docs: DataFrame, text_col: str, bits: int) -> np.ndarray:
