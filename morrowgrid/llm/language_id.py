@@ -1,9 +1,13 @@
 """Language ID: averaged hashed subword embeddings and a linear softmax, with calibrated rejection.
 
 Calibration documents (every fifth of the sample, not trained on) are cut to prefixes, so that each length class of
-texts has a temperature, a share of the even guess and a score threshold of its own. What isn't language of
-a learned kind is told by the share of 4-byte subwords that no training document has: its limit lies between the shares
-of calibration prefixes and those of the same prefixes with their letters shuffled.
+texts has a calibration of its own. It also sees noise, the same prefixes with their letters shuffled or replaced by
+random ones, for which only the even guess is right: a logistic model of a text's margin between the two best languages
+and of its share of 4-byte subwords that no training document has gives the chance that the text is language of a
+learned kind at all. The score is the softmax's chance of the best language, pulled towards the even guess by as much
+as that chance is below one; the temperature is the one that makes the scores of prefixes and noise fit best. A text is
+rejected if its score is below its class's threshold, which lies between the scores of the prefixes and those of the
+noise, nearer to the latter.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import append_columns, flat, spread, word_spans
+from .kernel import append_columns, flat, named, spread, word_spans
 
 #: Subword sizes in bytes, hash buckets of each size, and the embedding's dimensions.
 GRAMS, BUCKETS, DIM = (3, 4), 1 << 14, 16
@@ -96,26 +100,25 @@ class LanguageModel:
     table: np.ndarray
     bias: np.ndarray
     temperature: np.ndarray = field(default_factory=lambda: np.ones(len(PREFIX)))
-    #: The share of the even guess that is mixed in, since no count of right answers makes a sure one.
-    doubt: np.ndarray = field(default_factory=lambda: np.zeros(len(PREFIX)))
     threshold: np.ndarray = field(default_factory=lambda: np.zeros(len(PREFIX)))
-    #: Which subwords were seen; the largest share of new ones that passes, and the one that is usual.
+    #: Which subwords were seen, and the logistic weights (constant, margin, share of new subwords) of being language.
     known: np.ndarray | None = None
-    limits: np.ndarray = field(default_factory=lambda: np.ones(len(PREFIX)))
-    usual: np.ndarray = field(default_factory=lambda: np.ones(len(PREFIX)))
-
-    def strange(self, texts: pa.Array, score: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Whether more subwords are new than the limit, or the score is low and more are new than usual."""
-        if self.known is None:
-            return score < self.threshold[kind]
-        h, off = _subwords(texts)
-        new = np.append(0, np.cumsum(~self.known[h]))
-        share = (new[off[1:]] - new[off[:-1]]) / np.maximum(np.diff(off), 1)
-        return (share > self.limits[kind]) | ((score < self.threshold[kind]) & (share > self.usual[kind]))
-
-    def probabilities(self, logits: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        doubt = self.doubt[kind][:, None]
-        return (1 - doubt) * softmax(logits / self.temperature[kind][:, None]) + doubt / max(1, len(self.langs))
+    sense: np.ndarray = field(default_factory=lambda: np.tile([40.0, 0.0, 0.0], (len(PREFIX), 1)))
+
+    def evidence(self, texts: pa.Array, logits: np.ndarray) -> np.ndarray:
+        """Of each text: one, the margin between its two best languages, and its share of new subwords (of none, if it has none)."""
+        top = np.sort(logits, 1)
+        margin = top[:, -1] - top[:, -2] if logits.shape[1] > 1 else top[:, -1]
+        share = np.zeros(len(texts))
+        if self.known is not None:
+            h, off = _subwords(texts)
+            new = np.append(0, np.cumsum(~self.known[h]))
+            share = (new[off[1:]] - new[off[:-1]]) / np.maximum(np.diff(off), 1)
+        return np.column_stack([np.ones(len(texts)), margin, share])
+
+    def probabilities(self, texts: pa.Array, logits: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        sure = sigmoid((self.evidence(texts, logits) * self.sense[kind]).sum(1))
+        return sure[:, None] * softmax(logits / self.temperature[kind][:, None]) + (1 - sure[:, None]) / max(1, len(self.langs))
 
     def logits(self, texts: pa.Array) -> np.ndarray:
         grams, off, _ = _buckets(texts)
@@ -131,10 +134,10 @@ class LanguageModel:
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         kind = np.searchsorted(CLASSES, np.diff(flat(texts)[1]), "right")
-        p = self.probabilities(self.logits(texts), kind)
+        p = self.probabilities(texts, self.logits(texts), kind)
         best = p.argmax(1)
         score = np.where(lettered, p.max(1), 0.0)
-        return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], score, ~lettered | self.strange(texts, score, kind)
+        return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], score, ~lettered | (score < self.threshold[kind])
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:
@@ -155,6 +158,24 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.01) -> np.ndarray:
+    """Weights of a logistic model by Newton's steps on rows x with targets y and weights w; all but the constant are shrunk."""
+    beta, scale = np.zeros(x.shape[1]), np.maximum(x.std(0), 1e-9)
+    scale[0] = 1
+    z, keep = x / scale, np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
+    for _ in range(50):
+        p = sigmoid(z @ beta)
+        step = np.linalg.solve((z * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ z + keep, z.T @ (w * (y - p)) - keep @ beta)
+        beta += step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-8:
+            break
+    return beta / scale
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: list[str], epochs: int = 6, rate: float = 0.5, seed: int = 7) -> LanguageModel:
     """Stochastic gradient descent on (buckets, counts, language).
 
@@ -185,33 +206,46 @@ def _prefixes(texts: list[str], size: int) -> list[str]:
     return [b[:size].decode("utf-8", "ignore") for t in texts if len(b := t.encode()) >= size]
 
 
+def _noise(rng: np.random.Generator, text: str) -> list[str]:
+    """The text with its letters shuffled, and with random letters in their places."""
+    letters, flat_text = [i for i, c in enumerate(text) if c.isalpha()], list(text)
+    mixed, random = flat_text.copy(), flat_text.copy()
+    for i, j in zip(letters, rng.permutation(letters), strict=True):
+        mixed[i] = flat_text[j]
+    for i, c in zip(letters, rng.integers(97, 123, len(letters)), strict=True):
+        random[i] = chr(c)
+    return ["".join(mixed), "".join(random)]
+
+
 def calibrate(model: LanguageModel, seen: list[np.ndarray], held: list[tuple[str, int]], seed: int = 5) -> None:
-    """Known subwords from `seen`; what each length class asks for, from the beginnings of calibration texts (text, language)."""
+    """Known subwords from `seen`; what each length class asks for, from the beginnings of calibration texts (text, language) and noise."""
     rng = np.random.default_rng(seed)
     model.known = np.zeros(1 << KNOWN_BITS, bool)
     for h in seen:
         model.known[h] = True
-
-    def shares(texts: list[str]) -> np.ndarray:
-        h, off = _subwords(pa.array(texts, pa.string()))
-        new = np.append(0, np.cumsum(~model.known[h]))
-        return ((new[off[1:]] - new[off[:-1]]) / np.maximum(np.diff(off), 1))[np.diff(off) > 0]
-
+    grid, even = np.geomspace(1e-3, 1e3, 241), 1 / max(1, len(model.langs))
     for k, size in enumerate(PREFIX):
         some = [(p, y) for t, y in held for p in _prefixes([t], size)] or held
-        texts, y = [p for p, _ in some], np.array([y for _, y in some])
-        clean, noise = shares(texts), shares(["".join(rng.permutation(list(t))) for t in texts])
-        if len(clean):
-            low, high = np.quantile(clean, 1 - REJECT_SHARE, method="higher"), np.quantile(noise, 0.01, method="lower") if len(noise) else 1.0
-            low = max(low, 1 / max(size, 1))
-            model.limits[k], model.usual[k] = np.sqrt(low * high) if high > low else low, np.quantile(clean, 0.95)
-        z = model.logits(pa.array(texts, pa.string()))
-        loss = {t: -np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in np.geomspace(0.02, 20, 120)}
+        noise = [s for p, _ in some for s in _noise(rng, p)]
+        texts, y, n = pa.array([p for p, _ in some] + noise, pa.string()), np.array([y for _, y in some]), len(some)
+        z = model.logits(texts)
+        language = np.append(np.ones(n), np.zeros(len(noise)))
+        model.sense[k] = logistic(model.evidence(texts, z), language, np.where(language > 0, 1.0, n / max(1, len(noise))))
+        # as many right answers as there are texts make a chance of (n + 1) / (n + 2) at most
+        target = np.full((len(z), len(model.langs)), even)
+        target[:n] = even / (n + 2)
+        target[np.arange(n), y] += (n + 1) / (n + 2)
+        kind, loss = np.full(len(z), k), {}
+        for t in grid:
+            model.temperature[k] = t
+            part = -(target * np.log(model.probabilities(texts, z, kind) + 1e-12)).sum(1)
+            loss[t] = part[:n].mean() + part[n:].mean()
         model.temperature[k] = min(loss, key=loss.get)
-        model.doubt[k] = 1 / (len(y) + 2)
-        p = model.probabilities(z, np.full(len(y), k))
-        right = p.max(1)[p.argmax(1) == y]
-        model.threshold[k] = np.quantile(right, REJECT_SHARE, method="lower") if len(right) else 0.0
+        p = model.probabilities(texts, z, kind)
+        right, wrong = p[:n].max(1)[p[:n].argmax(1) == y], p[n:].max(1)
+        if len(right):
+            low, high = np.quantile(right, REJECT_SHARE, method="lower"), np.quantile(wrong, 0.99, method="lower")
+            model.threshold[k] = high + (low - high) / 8 if low > high else low
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
@@ -279,5 +313,5 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the model rejects go, null and letterless texts too; the columns of documents stay, whatever extra ones are called."""
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+    packed = docs.select(F.struct(*map(named, docs.columns)).alias("row"), F.col("text"))
     return identify(packed, fit(docs), keep=["row"]).where(~F.col("rejected")).select("row.*")
