@@ -16,26 +16,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import cut
+from .kernel import cut, named
 
 #: Expected size of the key sample, and how many ranges each shard is made of.
 SAMPLE, RANGES_PER_SHARD = 16384, 64
+#: After every id and row.
+LAST = 2**63 - 1
 
 
-def _splitters(keys: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Quantile boundaries (hash, id) of the sorted sample: rows <= boundary belong left of it.
+def _splitters(keys: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """Quantile boundaries (hash, id, row) of the sorted sample: records <= boundary belong left of it.
 
-    A boundary inside a key that fills more than one range keeps its id part, so
-    that key is subdivided; any other boundary takes the whole key to its left.
+    A boundary inside a key that fills more than one range keeps its id part, and its row part where one id of that key
+    does so too, so that they are subdivided; any other boundary takes the whole key to its left.
     """
-    out: set[tuple[int, int]] = set()
-    last = 2**63 - 1
+    out: set[tuple[int, int, int]] = set()
+    span = lambda a, x: np.searchsorted(a, x, "right") - np.searchsorted(a, x, "left")
     for i in np.unique((np.arange(1, n) * len(keys)) // n):
-        h, d = int(keys[i]["h"]), int(keys[i]["d"])
-        share = np.searchsorted(keys["h"], h, "right") - np.searchsorted(keys["h"], h, "left")
-        if share * n > len(keys):
-            out |= {(h, d)} | ({(h - 1, last)} if h > -(2**63) else set())
-        out.add((h, last))
+        h, d, u = (int(x) for x in keys[i])
+        if span(keys["h"], h) * n <= len(keys):
+            out.add((h, LAST, LAST))
+            continue
+        lo, hi = np.searchsorted(keys["h"], h, "left"), np.searchsorted(keys["h"], h, "right")
+        out |= {(h, LAST, LAST)} | ({(h - 1, LAST, LAST)} if h > -(2**63) else set())
+        out.add((h, d, u if span(keys["d"][lo:hi], d) * n > len(keys) else LAST))
     return sorted(out)
 
 
@@ -44,42 +48,47 @@ def assign_shards(records: DataFrame, n_shards: int, id_col: str = "doc_id", siz
 
     Law `bytes`: the shards' sums of size_col are near equal. Records of one key
     stay in one shard unless the key alone is larger than a shard. key_col is a
-    long, such as a hash of the record. Null ids order last, each as a record of its own, and null sizes count
-    0; repeated records each take their own slot, ties in any order; an empty table gives no rows. Other columns
-    may have any name; `shard` and `slot` are replaced. Only repeats of one key and id can't be told apart: they stay in one range.
+    long, such as a hash of the record. Null ids order last and null sizes count 0; repeated records each take their
+    own slot, ties in any order, and are split by the row number that the checkpoint has fixed; an empty table gives no
+    rows. Other columns may have any name; `shard` and `slot` are replaced.
     The driver only ever holds the key sample (its expected size is the
     parameter `sample`) and one row for each range.
     """
-    kept = F.struct(*(F.col(f"`{c}`") for c in records.columns if c not in ("shard", "slot")))
-    number = F.coalesce(F.col(id_col).cast("long"), F.lit(2**62) + F.monotonically_increasing_id())  # fixed by the write
-    r = cut(records.select(kept.alias("row"), F.col(key_col).cast("long").alias("mg_h"), number.alias("mg_d"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("mg_s")))
+    kept = F.struct(*(named(c) for c in records.columns if c.lower() not in ("shard", "slot")))
+    number = F.coalesce(named(id_col).cast("long"), F.lit(LAST))
+    size = F.coalesce(named(size_col), F.lit(0)).cast("long")
+    r = cut(records.select(kept.alias("row"), named(key_col).cast("long").alias("mg_h"), number.alias("mg_d"), F.monotonically_increasing_id().alias("mg_u"), size.alias("mg_s")))
     whole = r.agg(F.sum("mg_s").alias("s"), F.max("mg_s").alias("m")).first()
     total, largest = max(1, whole.s or 0), whole.m or 0
-    u = F.pmod(F.xxhash64("mg_d", "mg_h", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = r.select("mg_h", "mg_d", F.floor(F.col("mg_s") * F.lit(sample / total) + u).cast("int").alias("k")).where("k > 0")
-    rows = drawn.select("mg_h", "mg_d", F.least("k", F.lit(sample)).alias("k")).collect()
-    keys = np.array([(x.mg_h, x.mg_d) for x in rows], dtype=[("h", "i8"), ("d", "i8")])
+    u = F.pmod(F.xxhash64("mg_d", "mg_h", "mg_u", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = r.select("mg_h", "mg_d", "mg_u", F.floor(F.col("mg_s") * F.lit(sample / total) + u).cast("int").alias("k")).where("k > 0")
+    rows = drawn.select("mg_h", "mg_d", "mg_u", F.least("k", F.lit(sample)).alias("k")).collect()
+    keys = np.array([(x.mg_h, x.mg_d, x.mg_u) for x in rows], dtype=[("h", "i8"), ("d", "i8"), ("u", "i8")])
     keys = np.sort(np.repeat(keys, [x.k for x in rows])) if rows else keys
     bounds = _splitters(keys, n_shards * ranges_per_shard) if len(keys) else []
     ranged = _ranged(r, bounds)
     sums = {x.mg_r: (x.s, x.h0, x.h1) for x in ranged.groupBy("mg_r").agg(F.sum("mg_s").alias("s"), F.min("mg_h").alias("h0"), F.max("mg_h").alias("h1")).collect()}
-    # Subdivide what is still overfull: halve the id or key interval until its share is small.
+    # Subdivide what is still overfull: halve the key, id or row interval until its share is small.
     while True:
         target = total // (n_shards * ranges_per_shard)
         limit = target + max(1, target, largest)
         over = [i for i, (s, h0, h1) in sums.items() if s > limit]
         if not over:
             break
-        marks = ranged.where(F.col("mg_r").isin(over)).groupBy("mg_r").agg(F.expr("percentile_approx(mg_h, 0.5)").alias("h"), F.expr("percentile_approx(mg_d, 0.5)").alias("d"), F.min("mg_d").alias("d0"), F.max("mg_d").alias("d1")).collect()
+        middle = [F.percentile_approx(f"mg_{c}", 0.5).alias(c) for c in "hdu"]
+        ends = [f(f"mg_{c}").alias(c + n) for c in "du" for f, n in ((F.min, "0"), (F.max, "1"))]
+        marks = ranged.where(F.col("mg_r").isin(over)).groupBy("mg_r").agg(*middle, *ends).collect()
         more = set()
         for m in marks:
             _, h0, h1 = sums[m.mg_r]
             if h0 < h1:
-                more.add((min(m.h, h1 - 1), 2**63 - 1))
+                more.add((min(m.h, h1 - 1), LAST, LAST))
             elif m.d0 < m.d1:
-                more.add((h0, min(m.d, m.d1 - 1)))
+                more.add((h0, min(m.d, m.d1 - 1), LAST))
+            elif m.u0 < m.u1:
+                more.add((h0, m.d0, min(m.u, m.u1 - 1)))
         if not more - set(bounds):
-            break  # single records, or repeats of one
+            break  # single records
         bounds = sorted({*bounds, *more})
         ranged = _ranged(r, bounds)
         sums = {x.mg_r: (x.s, x.h0, x.h1) for x in ranged.groupBy("mg_r").agg(F.sum("mg_s").alias("s"), F.min("mg_h").alias("h0"), F.max("mg_h").alias("h1")).collect()}
@@ -91,12 +100,12 @@ def assign_shards(records: DataFrame, n_shards: int, id_col: str = "doc_id", siz
         start[i] = seen[place[i]]
         seen[place[i]] += counts[i]
     table = spark.createDataFrame([(i, place[i], start[i]) for i in sorted(counts)] or [(-1, 0, 0)], "mg_r int, shard int, mg_start long")
-    w = W.partitionBy("mg_r").orderBy("mg_h", "mg_d")
+    w = W.partitionBy("mg_r").orderBy("mg_h", "mg_d", "mg_u")
     out = ranged.withColumn("mg_n", F.row_number().over(w)).join(F.broadcast(table), "mg_r")
     return out.select("row.*", "shard", (F.col("mg_start") + F.col("mg_n") - 1).alias("slot"))
 
 
-def _ranged(r: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+def _ranged(r: DataFrame, bounds: list[tuple[int, int, int]]) -> DataFrame:
     """mg_r: how many boundaries lie below the record, found by bisection inside Arrow batches."""
     hs = [b[0] for b in bounds]
     both = list(bounds)
@@ -107,10 +116,10 @@ def _ranged(r: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
         top = np.array(hs, np.int64)
         low, high = np.searchsorted(top, top, "left"), np.searchsorted(top, top, "right")
         for b in batches:
-            h, d = b.column("mg_h").to_numpy(), b.column("mg_d").to_numpy()
+            h, d, u = (b.column(c).to_numpy() for c in ("mg_h", "mg_d", "mg_u"))
             i = np.searchsorted(top, h, "left")
             for j in np.flatnonzero((i < len(top)) & (top[np.minimum(i, len(top) - 1)] == h)) if len(top) else ():
-                i[j] = bisect_left(both, (int(h[j]), int(d[j])), int(low[i[j]]), int(high[i[j]]))
+                i[j] = bisect_left(both, (int(h[j]), int(d[j]), int(u[j])), int(low[i[j]]), int(high[i[j]]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(i.astype(np.int32))], names=[*b.schema.names, "mg_r"])
 
     return r.mapInArrow(find, T.StructType([*r.schema.fields, T.StructField("mg_r", T.IntegerType())]))
@@ -118,13 +127,13 @@ def _ranged(r: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
 
 def _pack(sums: dict, n_shards: int, total: int) -> dict[int, int]:
     """Ranges of one key go together unless they exceed a shard; largest first, each to the least full shard."""
-    units: list[list[int]] = []
+    keys: list[list[int]] = []
     for i in sorted(sums):
-        s, h0, h1 = sums[i]
-        if units and h0 == sums[units[-1][-1]][2] and sum(sums[j][0] for j in units[-1]) + s <= total // n_shards:
-            units[-1].append(i)
+        if keys and sums[i][1] == sums[keys[-1][-1]][2]:
+            keys[-1].append(i)
         else:
-            units.append([i])
+            keys.append([i])
+    units = [u for k in keys for u in ([k] if sum(sums[i][0] for i in k) <= total // n_shards else [[i] for i in k])]
     full, place = [0] * n_shards, {}
     for unit in sorted(units, key=lambda u: (-sum(sums[i][0] for i in u), u)):
         k = min(range(n_shards), key=lambda j: (full[j], j))
