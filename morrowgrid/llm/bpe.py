@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import append_columns, sha, spread
+from .kernel import append_columns, named, sha, spread
 
 #: How the byte-level pre-tokenizer splits a text (a fixed value of the format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -293,5 +294,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage (last): the documents with their token counts and digests."""
-    return add_tokens(docs, vocabulary_path(), keep=[c for c in docs.columns])
+    """Pipeline stage (last): the columns of the documents and n_tokens, ids_sha256 and decoded_sha256.
+
+    Every row stays, repeated rows and null ids too; a null or empty text has no token. Extra columns may have any
+    name; those called like a new one, in whatever case, are replaced by it. An empty table stays empty.
+    """
+    new = ("n_tokens", "ids_sha256", "decoded_sha256")
+    packed = docs.select(F.struct(*(named(c) for c in docs.columns if c.lower() not in new)).alias("row"), named("text").alias("text"))
+    return add_tokens(packed, vocabulary_path(), keep=["row"]).select("row.*", *new)

@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-_RNG = np.random.Generator(np.random.PCG64(20240501))
-BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
+#: Keys of the independent fingerprints, and masks that keep the first 0 to 8 bytes of a little-endian integer.
+_PIECE = np.random.Generator(np.random.PCG64(20240501)).integers(1, 2**63, 2, dtype=np.uint64)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -103,12 +104,36 @@ def word_spans(data: np.ndarray, off: np.ndarray, in_word: np.ndarray | None = N
     return s, np.flatnonzero(ends) + 1, np.searchsorted(s, off)
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each byte of data as one integer; zeros follow the last byte."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, n: int = 2) -> list[np.ndarray]:
+    """n independent 64-bit fingerprints of each byte span [s, e), alike wherever it stands.
+
+    A span is cut into pieces of eight bytes; each piece is mixed with its number in the span before the pieces are
+    summed, so no regular pattern of bytes cancels out, however long the span is.
+    """
+    at, size = _eights(data), e - s
+    lead = at[s] & _MASK[np.minimum(size, 8)]
+    out = [mix(lead + key) for key in _PIECE[:n]]
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = -(-size[long] // 8) - 1
+        number = spread(np.ones(len(long), np.int64), more)
+        start = np.repeat(s[long], more) + 8 * number
+        piece = at[start] & _MASK[np.minimum(np.repeat(e[long], more) - start, 8)]
+        first = np.append(0, np.cumsum(more)[:-1])
+        for h, key in zip(out, _PIECE, strict=False):
+            h[long] += np.add.reduceat(mix(piece + mix(number.astype(U64) + key)), first)
+    return [mix(h + size.astype(U64) * U64(0xA24BAED4963EE407)) for h in out]
+
+
 def span_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each byte span [s, e), alike wherever it stands."""
-    p, inv = powers(len(data) + 1)
-    c = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * p[: len(data)], out=c[1:])
-    return mix((c[e] - c[s]) * inv[s] + (e - s).astype(np.uint64) * U64(0xA24BAED4963EE407))
+    """The first of `span_hashes`."""
+    return span_hashes(data, s, e, 1)[0]
 
 
 def rolling(h: np.ndarray, width: int, which: int = 0) -> np.ndarray:
@@ -174,11 +199,16 @@ def without(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: s
     """docs less the rows whose (id, xxhash64 of the text) is among the distinct rows (id, fp) of bad; columns may have any name."""
     bad = cut(bad.toDF("bad_id", "bad_fp"))
     small = bad.count() <= SMALL_LIST
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("row_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("row_fp"))
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"), named(id_col).alias("row_id"), F.xxhash64(named(text_col)).alias("row_fp"))
     same = F.col("row_id").eqNullSafe(F.col("bad_id")) & (F.col("row_fp") == F.col("bad_fp"))
     return rows.join(F.broadcast(bad) if small else bad, same, "left_anti").select("row.*")
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts; bucket counts follow it, so each bucket stays bounded at any size."""
     return int(docs.agg(F.sum(F.octet_length(F.col(text))).alias("b")).first()["b"] or 0)
@@ -205,18 +235,18 @@ def spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def append_columns(df: DataFrame, text_col: str, make, new: list[tuple[str, object, pa.DataType]], keep: list[str] | None = None, limit: int = 2 << 20) -> DataFrame:
-    """df's columns (or `keep`) and the new ones, which replace columns of the same name.
+    """df's columns (or `keep`) and the new ones, which replace columns of the same name (in whatever case).
 
     make(texts) gets a string array of about `limit` bytes and returns one
     sequence or Arrow array for each new column (name, Spark type, Arrow type).
     """
     from pyspark.sql import types as T
 
-    names = {n for n, _, _ in new}
-    kept = [c for c in (df.columns if keep is None else keep) if c not in names]
+    names = {n.lower() for n, _, _ in new}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     inside = text_col in kept
     at = kept.index(text_col) if inside else len(kept)
-    source = df.select(*(F.col(f"`{c}`") for c in kept), *([] if inside else [F.col(f"`{text_col}`").alias("mg_text")]))
+    source = df.select(*map(named, kept), *([] if inside else [named(text_col).alias("mg_text")]))
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t) for n, t, _ in new])
     out_names, kinds = [*kept, *(n for n, _, _ in new)], [k for _, _, k in new]
 

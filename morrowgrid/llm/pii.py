@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import append_columns, flat, word_spans
+from .kernel import append_columns, flat, named, word_spans
 
 # Fixed values of the contract: the kinds in their order and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -439,7 +439,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: personal data give way to their kind in brackets; n_chars follows the text.
 
-    Every row stays, null and empty texts as they are; extra columns may have any name.
+    Every row stays, null and empty texts as they are, repeated rows and null ids too; extra columns may have any name.
+    An empty table stays empty.
     """
     field = train()
 
@@ -447,7 +448,7 @@ def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         new = [redact(t, s) for t, (_, s) in zip(texts.to_pylist(), find_spans(texts, field), strict=True)]
         return new, [None if t is None else len(t) for t in new]
 
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars"))).alias("row"), F.col("text").alias("old"))
+    packed = docs.select(F.struct(*(named(c) for c in docs.columns if c.lower() not in ("text", "n_chars"))).alias("row"), F.col("text").alias("old"))
     out = append_columns(packed, "old", make, [("text", T.StringType(), pa.string()), ("n_chars", T.LongType(), pa.int64())], ["row"])
-    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else T.LongType()
-    return out.select("row.*", "text", F.col("n_chars").cast(kind).alias("n_chars")).select(*(f"`{c}`" for c in docs.columns))
+    kind = next((f.dataType for f in docs.schema if f.name.lower() == "n_chars"), T.LongType())
+    return out.select("row.*", "text", F.col("n_chars").cast(kind).alias("n_chars")).select(*(named(c).alias(c) for c in docs.columns))

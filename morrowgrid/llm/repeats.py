@@ -8,7 +8,7 @@ equal words, and which name stands for which windows; so equal windows have equa
    which of them occur again anywhere, and which are hot (occur more than HOT times). Windows whose names don't
    occur again end here. A later round asks only for names built on names that do.
 2. show: what is left of a home goes to buckets: suffixes with the words around them, to be sorted, or windows as
-   96-bit fingerprints. Windows of a hot name are dealt by their own fingerprint instead of the name's, and equal ones
+   96-bit fingerprints, whose two parts come from independent fingerprints of the words. Windows of a hot name are dealt by their own fingerprint instead of the name's, and equal ones
    are merged inside the home first, so a passage that a third of all documents hold sends one row a home and window.
 3. the earliest occurrence and its repeats go back to the documents; a repeat that was merged inside a home takes
    its origin from the window it was merged with, which comes back to the same home.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import ids_of, mix, rolling, runs, slices, span_hash, spread, text_bytes, word_spans
+from .kernel import ids_of, mix, rolling, runs, slices, span_hashes, spread, text_bytes, word_spans
 from .kernel import flat as flat_text
 
 #: Text bytes of a home, and those that one bucket of names or of windows stands for.
@@ -127,10 +127,11 @@ def _table(batches: list[pa.RecordBatch | None], schema) -> pa.Table:
     return pa.Table.from_batches(some) if some else pa.table({n: pa.array([], pa.int32() if n == "bucket" else pa.binary()) for n in schema})
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _words(texts: pa.Array, n: int = 1) -> list[np.ndarray]:
+    """Offsets of the texts' words, and n independent fingerprints of each word."""
     data, off = flat_text(texts)
     s, e, w_off = word_spans(data, off)
-    return w_off, span_hash(data, s, e)
+    return [w_off, *span_hashes(data, s, e, n)]
 
 
 _NAMES = (("low", np.uint32), ("high", np.uint16), ("n", np.uint16), ("home", np.int32))
@@ -205,7 +206,7 @@ def repeated_windows(docs: DataFrame, width: int, method: Method, answer, answer
         ids, text = ids_of(left.column("id").combine_chunks()), left.column("text").combine_chunks()
         out, seen = [], []
         for x, y in slices(text):
-            w_off, h = _words(text.slice(x, y - x))
+            w_off, h, other = _words(text.slice(x, y - x), 2)
             s = method.show(h, w_off, width, told)
             if not len(s.name):
                 continue
@@ -217,7 +218,7 @@ def repeated_windows(docs: DataFrame, width: int, method: Method, answer, answer
             at = spread(s.first, s.n)
             one = rolling(h, width)[at]
             bucket = np.where(np.repeat(s.hot, s.n), mix(one), np.repeat(s.name, s.n)) % np.uint64(buckets)
-            seen.append((one, rolling(h, width, 1)[at] >> np.uint64(32), ids[x:y][np.repeat(doc, s.n)], at - np.repeat(w_off[doc], s.n), bucket.astype(np.int64)))
+            seen.append((one, rolling(other, width, 1)[at] >> np.uint64(32), ids[x:y][np.repeat(doc, s.n)], at - np.repeat(w_off[doc], s.n), bucket.astype(np.int64)))
         if seen:
             out.append(_merged(*(np.concatenate(c) for c in zip(*seen, strict=True)), home, buckets))
         return _table(out, _SHOWN)
