@@ -246,9 +246,12 @@ def append_columns(df: DataFrame, text_col: str, make, new: list[tuple[str, obje
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     inside = text_col in kept
     at = kept.index(text_col) if inside else len(kept)
-    source = df.select(*map(named, kept), *([] if inside else [named(text_col).alias("mg_text")]))
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t) for n, t, _ in new])
+    # columns travel under their numbers, so that any name will do
+    source = df.select(*(named(c).alias(f"mg_{i}") for i, c in enumerate(kept)), *([] if inside else [named(text_col).alias("mg_text")]))
     out_names, kinds = [*kept, *(n for n, _, _ in new)], [k for _, _, k in new]
+    numbers = [f"mg_{i}" for i in range(len(out_names))]
+    types = [*(df.schema[c].dataType for c in kept), *(t for _, t, _ in new)]
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(numbers, types, strict=True)])
 
     def run(batches):
         for b in batches:
@@ -256,9 +259,9 @@ def append_columns(df: DataFrame, text_col: str, make, new: list[tuple[str, obje
                 part = b.slice(lo, hi - lo)
                 made = make(part.column(at))
                 cols = [m if isinstance(m, pa.Array) else pa.array(m, k) for m, k in zip(made, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *cols], names=out_names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *cols], names=numbers)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*(F.col(n).alias(c) for n, c in zip(numbers, out_names, strict=True)))
 
 
 def fold_tables(df: DataFrame, sections: int, width: int, combine, dtype) -> np.ndarray:
