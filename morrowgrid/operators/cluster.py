@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import r6, ratio
 from ..session import cut_lineage
-from .ranges import quantiles, with_position
+from .ranges import quantiles, quantiles_of, with_position
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -68,13 +68,13 @@ def k_distance(v: DataFrame, k: int) -> DataFrame:
 
 
 def k_distance_percentiles(v: DataFrame, k: int, at=(50, 75, 90, 95, 99)) -> DataFrame:
-    one = quantiles(k_distance(v, k), "k_dist", [a / 100 for a in at])
+    one = quantiles(cut_lineage(k_distance(v, k)), "k_dist", [a / 100 for a in at])
     return one.select(F.explode(F.arrays_zip(F.array(*(F.lit(a) for a in at)).alias("pct"), F.col("q"))).alias("x")).select(F.col("x.pct").alias("pct"), F.round("x.q", 5).alias("k_dist"))
 
 
 def k_distance_curve(v: DataFrame, k: int) -> DataFrame:
     """(pos, k_dist): the k-distances in ascending order."""
-    return with_position(k_distance(v, k), "k_dist", "id").select("pos", "k_dist")
+    return with_position(cut_lineage(k_distance(v, k)), "k_dist", "id").select("pos", "k_dist")
 
 
 def _blocked(v: DataFrame, run, schema: str) -> DataFrame:
@@ -441,10 +441,9 @@ def tsne(v: DataFrame, perplexities: tuple[float, ...] = (5.0, 30.0, 50.0), iter
 
 def noise_profile(d: DataFrame, label: str, columns: list[str], money: str) -> DataFrame:
     """Noise (label -1) against clustered points: size, share of points, medians of the columns, share of the money."""
-    noise = d.withColumn("is_noise", (F.col(label) == -1).cast("int"))
+    noise = cut_lineage(d.withColumn("is_noise", (F.col(label) == -1).cast("int")))
     g = noise.groupBy("is_noise").agg(F.count("*").alias("n"), F.sum(F.col(money).cast("decimal(18,2)")).alias("m"))
     t = g.agg(F.sum("m").alias("t"), F.sum("n").alias("tn"))
     out = g.crossJoin(F.broadcast(t)).select("is_noise", "n", ratio(F.col("n"), F.col("tn")).alias("n_share"), ratio(F.col("m"), F.col("t")).alias("money_share"))
-    for c in columns:
-        out = out.join(F.broadcast(quantiles(noise, c, [0.5], ["is_noise"]).select("is_noise", r6(F.col("q")[0]).alias(f"median_{c}"))), "is_noise", "left")
-    return out
+    middle = quantiles_of(noise, columns, [0.5], ["is_noise"]).groupBy("is_noise").agg(*(F.max(F.when(F.col("column_name") == c, r6(F.col("q")[0]))).alias(f"median_{c}") for c in columns))
+    return out.join(middle, "is_noise", "left")

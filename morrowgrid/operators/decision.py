@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import case_when, r6, ratio
-from .ranges import quantiles
+from ..session import cut_lineage
+from .ranges import quantiles_of
 
 #: Default economics: cost of a contact, acceptance rate, value of a saved customer.
 COST, ACCEPT, VALUE = 50.0, 0.3, 2000.0
@@ -79,10 +80,11 @@ def campaign(s: DataFrame, threshold: float, cost: float = COST, accept: float =
 
 def segment_profile(rfm: DataFrame, segment: str) -> DataFrame:
     """Medians, size and revenue share of each segment."""
+    rfm = cut_lineage(rfm)
     rev = F.sum(F.col("monetary").cast("decimal(18,2)"))
-    g = rfm.groupBy(segment).agg(F.count("*").alias("n"), rev.alias("rev"))
-    for c in ("recency", "frequency", "monetary"):
-        g = g.join(quantiles(rfm, c, [0.5], [segment]).select(segment, r6(F.col("q")[0]).alias(f"median_{c}")), segment, "left")
+    cols = ("recency", "frequency", "monetary")
+    middle = quantiles_of(rfm, cols, [0.5], [segment]).groupBy(segment).agg(*(F.max(F.when(F.col("column_name") == c, r6(F.col("q")[0]))).alias(f"median_{c}") for c in cols))
+    g = rfm.groupBy(segment).agg(F.count("*").alias("n"), rev.alias("rev")).join(middle, segment, "left")
     t = g.agg(F.sum("n").alias("tn"), F.sum("rev").alias("tr"))
     return g.crossJoin(F.broadcast(t)).select(segment, "n", "median_recency", "median_frequency", "median_monetary", ratio(F.col("n"), F.col("tn")).alias("customer_share"), ratio(F.col("rev"), F.col("tr")).alias("revenue_share"))
 

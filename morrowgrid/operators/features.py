@@ -62,6 +62,12 @@ def standardise(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).select(key, *(r6((F.col(c) - F.col(f"{c}_m")) / F.when(F.col(f"{c}_s") == 0, 1.0).otherwise(F.col(f"{c}_s"))).alias(c) for c in cols))
 
 
+def median_filled(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The columns as doubles, nulls replaced by the exact median."""
+    med = medians(df, cols)
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(med[c]).cast("double")) for c in cols})
+
+
 def median_impute(df: DataFrame, cols: list[str]) -> DataFrame:
     """Nulls become the exact median; a 0/1 column tells which were."""
     med = medians(df, cols)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import cut_bins, edge_bins, r6, rate, ratio, share
-from .ranges import quantiles, with_range
+from .ranges import in_long, quantiles, quantiles_of, rank_tables, with_ranks
 
 
 def group_rate(df: DataFrame, by: str, target: str) -> DataFrame:
@@ -36,6 +36,13 @@ def quantile_edges(df: DataFrame, col: str, q: int) -> DataFrame:
     return quantiles(df, col, [i / q for i in range(q + 1)]).select(F.array_distinct("q").alias("edges"))
 
 
+def with_quantile_bins(df: DataFrame, cols: list[str], q: int) -> DataFrame:
+    """{col}_bin for several columns, their edges found together."""
+    found = quantiles_of(df, cols, [i / q for i in range(q + 1)])
+    one = found.agg(*(F.first(F.when(F.col("column_name") == c, F.array_distinct("q")), ignorenulls=True).alias(f"mg_e{i}") for i, c in enumerate(cols)))
+    return df.crossJoin(F.broadcast(one)).withColumns({f"{c}_bin": edge_bins(F.col(c), F.col(f"mg_e{i}")) for i, c in enumerate(cols)}).drop(*(f"mg_e{i}" for i in range(len(cols))))
+
+
 def with_quantile_bin(df: DataFrame, col: str, q: int, name: str = "bin") -> DataFrame:
     """Bin number by exact quantiles, right-closed; the lowest value falls in bin 0 and null stays null."""
     return df.crossJoin(F.broadcast(quantile_edges(df, col, q))).withColumn(name, edge_bins(F.col(col), F.col("edges"))).drop("edges")
@@ -100,31 +107,14 @@ def pearson(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def ranked_values(df: DataFrame, col: str, desc: bool = False) -> DataFrame:
-    """(value, average-tie rank) over distinct values: counts are aggregated first, so only distinct values are ordered.
-
-    The running count needs one order over all distinct values; it is cut into
-    key ranges whose offsets are added, so no task holds more than a range.
-    """
-    c = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
-    ordered = with_range(c, "value", desc=desc)
-    sizes = ordered.groupBy("part").agg(F.sum("n").alias("size"))
-    before = F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("part", before.alias("offset"))
-    order = F.col("value").desc() if desc else F.col("value").asc()
-    upto = F.sum("n").over(W.partitionBy("part").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return ordered.join(F.broadcast(offsets), "part").select("value", "n", (F.col("offset") + upto - (F.col("n") - 1) / 2.0).alias("rank"))
-
-
-def with_rank(df: DataFrame, col: str, name: str, desc: bool = False) -> DataFrame:
-    """Average-tie rank of every row; null stays null."""
-    r = ranked_values(df, col, desc).select(F.col("value").alias(f"v_{name}"), F.col("rank").alias(name))
-    return df.join(r, F.col(col) == F.col(f"v_{name}"), "left").drop(f"v_{name}")
+    """(value, n, rank) over the distinct values of a column: rows with the value and its average-tie rank."""
+    rank = F.col("mg_total") + 1 - F.col("mg_rank") if desc else F.col("mg_rank")
+    return rank_tables(in_long(df, [col])).select(F.col("mg_v").alias("value"), F.col("mg_n").alias("n"), rank.alias("rank"))
 
 
 def spearman(df: DataFrame, cols: list[str]) -> DataFrame:
-    ranked = df.select(*cols)
-    for c in cols:
-        ranked = with_rank(ranked, c, f"rank_{c}")
+    """Correlation matrix of average-tie ranks, each column ranked over its own non-null values; all columns are ranked together."""
+    ranked = with_ranks(df.select(*cols), cols, [f"rank_{c}" for c in cols])
     return pearson(ranked.select(*(F.col(f"rank_{c}").alias(c) for c in cols)), cols)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import cents, r6, rate, share
-from .ranges import quantiles
+from .ranges import quantiles_of
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -52,8 +52,7 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """count, mean, sample standard deviation, minimum, exact quartiles and maximum, one row per column."""
     one = df.agg(*(F.struct(F.count(c).alias("n"), r6(F.avg(c)).alias("mean"), r6(F.stddev_samp(c)).alias("std"), F.min(F.col(c).cast("double")).alias("min_value"), F.max(F.col(c).cast("double")).alias("max_value")).alias(c) for c in cols))
     rows = one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("s")) for c in cols))).alias("r"))
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols))).alias("s")).select("s.*")
-    quarters = quantiles(long, "v", [0.25, 0.5, 0.75], ["column_name"])
+    quarters = quantiles_of(df, cols, [0.25, 0.5, 0.75])
     return rows.select("r.column_name", "r.s").join(F.broadcast(quarters), "column_name", "left").select("column_name", "s.n", "s.mean", "s.std", "s.min_value", *(r6(F.col("q")[i]).alias(n) for i, n in enumerate(("q25", "q50", "q75"))), "s.max_value")
 
 

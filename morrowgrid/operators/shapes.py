@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import r6
-from .ranges import quantiles
+from .ranges import quantiles_of
 
 
 def transpose(df: DataFrame, key: str, labels: list[str], name: str) -> DataFrame:
@@ -24,8 +24,7 @@ def numeric_only(df: DataFrame) -> DataFrame:
 
 def column_medians(df: DataFrame) -> DataFrame:
     """(column_name, median) of all columns, in long form."""
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("v")) for c in df.columns))).alias("s")).select("s.*")
-    return quantiles(long, "v", [0.5], ["column_name"]).select("column_name", r6(F.col("q")[0]).alias("median"))
+    return quantiles_of(df, df.columns, [0.5]).select("column_name", r6(F.col("q")[0]).alias("median"))
 
 
 def pick(df: DataFrame, key: str, labels: list) -> DataFrame:

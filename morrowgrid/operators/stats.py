@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import edge_bins, r6
-from ..functions.special import chi2_p, normal_two_sided
+from ..functions.tails import chi2_p, normal_two_sided
 from ..session import cut_lineage
-from .profile import crosstab, pearson, ranked_values, with_quantile_bin, with_rank
-from .ranges import quantiles, with_range
+from .features import median_filled
+from .profile import crosstab, spearman, with_quantile_bin
+from .ranges import cumulated, in_long, quantiles_of, rank_tables, with_ranks
+
+#: Distinct values of a class in which neighbours are sought at once.
+NEIGHBOUR_BLOCK = 4096
 
 
 def binned_levels(df: DataFrame, col: str, q: int = 10, missing: str = "MISSING") -> DataFrame:
@@ -33,9 +35,8 @@ def chi2(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def chi2_test(df: DataFrame, x: str, y: str) -> DataFrame:
-    """The statistic and its p-value; one row meets the driver."""
-    row = chi2(df, x, y).first()
-    return df.sparkSession.createDataFrame([(row["chi2"], int(row["dof"]), chi2_p(row["chi2"], row["dof"]))], "chi2 double, dof int, p_value double")
+    """The statistic and its p-value."""
+    return chi2(df, x, y).select("chi2", F.col("dof").cast("int").alias("dof"), chi2_p(F.col("chi2"), F.col("dof")).alias("p_value"))
 
 
 def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -48,23 +49,31 @@ def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
     return c.select(r6(F.when(low > 0, F.sqrt(phi / low)).otherwise(0.0)).alias("cramers_v"))
 
 
-def mann_whitney(df: DataFrame, col: str, y: str) -> DataFrame:
-    """U of the positive class from average ranks of distinct values, z with tie and continuity correction, rank-biserial r."""
-    d = df.where(F.col(col).isNotNull() & F.col(y).isNotNull())
-    per = d.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("m"), F.sum(F.col(y).cast("long")).alias("pos"))
-    ranks = ranked_values(d, col)
-    s = per.join(ranks.select("value", "rank"), "value").agg(F.sum("m").alias("n"), F.sum("pos").alias("n1"), F.sum(F.col("rank") * F.col("pos")).alias("r1"), F.sum((F.col("m").cast("double") * F.col("m") * F.col("m") - F.col("m"))).alias("ties"))
+def mann_whitneys(df: DataFrame, cols: list[str], y: str) -> DataFrame:
+    """One row for each numeric column: U of the positive class from average ranks of distinct values, z with tie and
+    continuity correction, two-sided p-value and rank-biserial r; rows where the column or y is missing are left out.
+
+    All columns are ranked in one plan, over distinct values; equal values meet as counts.
+    """
+    long = cut_lineage(in_long(df.where(F.col(y).isNotNull()).withColumn("mg_y", F.col(y).cast("long")), cols, ["mg_y"]).groupBy("mg_i", "mg_v", "mg_y").agg(F.count("*").alias("mg_k")))
+    per = long.groupBy("mg_i", "mg_v").agg(F.sum("mg_k").alias("m"), F.sum(F.col("mg_k") * F.col("mg_y")).alias("pos"))
+    s = per.join(rank_tables(long, "mg_k").select("mg_i", "mg_v", "mg_rank"), ["mg_i", "mg_v"]).groupBy("mg_i").agg(F.sum("m").alias("n"), F.sum("pos").alias("n1"), F.sum(F.col("mg_rank") * F.col("pos")).alias("r1"), F.sum(F.col("m").cast("double") * F.col("m") * F.col("m") - F.col("m")).alias("ties"))
     n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
     n0 = n - n1
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    sigma = F.sqrt(n1 * n0 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    top = F.greatest(u, n1 * n0 - u)
-    return s.select(u.alias("u"), F.col("n1").alias("n_pos"), n0.cast("long").alias("n_neg"), r6((top - n1 * n0 / 2 - 0.5) / sigma).alias("z"), r6(2 * u / (n1 * n0) - 1).alias("rank_biserial"))
+    sigma = F.sqrt(F.try_divide(n1 * n0, F.lit(12.0)) * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
+    z = F.try_divide(F.greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5, sigma)
+    name = F.element_at(F.array(*map(F.lit, cols)), F.col("mg_i") + 1)
+    return s.select(name.alias("feature"), u.alias("u"), F.col("n1").alias("n_pos"), n0.cast("long").alias("n_neg"), z.alias("z"), normal_two_sided(z).alias("p_value"), (F.try_divide(2 * u, n1 * n0) - 1).alias("rank_biserial"))
+
+
+def mann_whitney(df: DataFrame, col: str, y: str) -> DataFrame:
+    """U, z and rank-biserial r of one column (see `mann_whitneys`)."""
+    return mann_whitneys(df, [col], y).select("u", "n_pos", "n_neg", r6(F.col("z")).alias("z"), r6(F.col("rank_biserial")).alias("rank_biserial"))
 
 
 def mann_whitney_p(df: DataFrame, col: str, y: str) -> DataFrame:
-    row = mann_whitney(df, col, y).first()
-    return df.sparkSession.createDataFrame([(row["u"], normal_two_sided(row["z"]))], "u double, p_value double")
+    return mann_whitneys(df, [col], y).select("u", "p_value")
 
 
 def woe(levels: DataFrame, level: str, y: str) -> DataFrame:
@@ -115,12 +124,9 @@ def balance(df: DataFrame, covariates: list[str], t: str, weight: Column) -> Dat
 
 
 def rank_agreement(table: DataFrame, measures: list[str]) -> DataFrame:
-    """Spearman matrix of importance measures over features."""
-    ranked = importance_ranks(table, measures)
-    # correlation of the shown ranks' ranks
-    for c in measures:
-        ranked = with_rank(ranked.withColumnRenamed(f"rank_{c}", f"shown_{c}"), f"shown_{c}", f"rank_{c}")
-    return pearson(ranked.select(*(F.col(f"rank_{c}").alias(c) for c in measures)), measures).select("x", "y", (F.col("r") + 0.0).alias("r"))  # no negative zero
+    """Spearman matrix of importance measures over features: correlation of the shown ranks' ranks."""
+    shown = importance_ranks(table, measures).select(*(F.col(f"rank_{c}").alias(c) for c in measures))
+    return spearman(shown, measures).select("x", "y", (F.col("r") + 0.0).alias("r"))  # no negative zero
 
 
 def digamma(n: Column) -> Column:
@@ -131,91 +137,74 @@ def digamma(n: Column) -> Column:
     return F.log(z) - 0.5 / z - w * (F.lit(1 / 12) - w * (F.lit(1 / 120) - w * (F.lit(1 / 252) - w / 240))) - shift
 
 
-def _radii(d: DataFrame, k: int) -> DataFrame:
-    """(x, y, k, r): the distance of each x to its k-th nearest value of the same class (k at most the class's others).
+def _radii(counts: DataFrame, k: int) -> DataFrame:
+    """counts (mg_i, mg_v, mg_y, mg_c) with mg_k and mg_r: the distance of each value to its k-th nearest row of its class (mg_k: k, at most the class's other rows).
 
-    Each range of a class is one task, with the k values before and after it, found from the ranges' ends (few rows).
+    Distinct values of a class are numbered and dealt into blocks by number; each goes to the blocks of the k numbers
+    before and after it too, so a block holds all neighbours of its own values, and a hot value is one row with a count.
     """
-    parts = with_range(d, "x")
-    w = W.partitionBy("y", "part")
-    ends = parts.select("y", "part", "x", F.row_number().over(w.orderBy("x")).alias("a"), F.row_number().over(w.orderBy(F.col("x").desc())).alias("z")).where(f"a <= {k} or z <= {k}").collect()
-    lows: dict = {}
-    highs: dict = {}
-    for r in ends:
-        if r["a"] <= k:
-            lows.setdefault((r["y"], r["part"]), []).append(r["x"])
-        if r["z"] <= k:
-            highs.setdefault((r["y"], r["part"]), []).append(r["x"])
-    sizes = {r["y"]: r["n"] for r in d.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    around = {}
-    for y, part in lows:
-        before = sorted(v for (c, q), vs in highs.items() if c == y and q < part for v in vs)[-k:]
-        after = sorted(v for (c, q), vs in lows.items() if c == y and q > part for v in vs)[:k]
-        around[y, part] = (before, after)
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        y, part = key
-        before, after = around[y, part]
-        x = np.sort(pdf["x"].to_numpy())
-        s = np.concatenate([before, x, after])
-        near, own = min(k, sizes[y] - 1), np.arange(len(before), len(before) + len(x))
-        if near < 1:
-            return pd.DataFrame({"x": [], "y": [], "k": [], "r": []})
-        gaps = np.full((len(x), 2 * near), np.inf)
-        for j in range(1, near + 1):
-            lo, hi = own - j, own + j
-            gaps[lo >= 0, j - 1] = (s[own] - s[np.maximum(lo, 0)])[lo >= 0]
-            gaps[hi < len(s), near + j - 1] = (s[np.minimum(hi, len(s) - 1)] - s[own])[hi < len(s)]
-        return pd.DataFrame({"x": x, "y": y, "k": near, "r": np.sort(gaps, axis=1)[:, near - 1]})
-
-    return parts.groupBy("y", "part").applyInPandas(run, "x double, y int, k int, r double")
-
-
-def mutual_information_knn(df: DataFrame, col: str, y: str, k: int = 3) -> DataFrame:
-    """Mutual information of a continuous column and a label by k nearest neighbours, in nats, at least 0; nulls aside.
-
-    A point counts how many points of any class lie nearer than its k-th neighbour of its own class. Both steps run over
-    key ranges: the counts come from running sums over points and interval ends together.
+    group = F.concat_ws("|", "mg_i", "mg_y")
+    sizes = counts.groupBy("mg_i", "mg_y").agg(F.sum("mg_c").alias("mg_size"))
+    numbered = cumulated(cut_lineage(counts.select(group.alias("mg_i"), "mg_v", "mg_y", "mg_c", F.col("mg_i").alias("mg_f"), F.lit(1).alias("mg_1"))), "mg_1")
+    home = lambda shift: F.floor((F.col("mg_upto") - 1 + shift) / NEIGHBOUR_BLOCK)
+    dealt = numbered.withColumns({"mg_home": home(0), "mg_b": F.explode(F.array_distinct(F.array(home(0), home(-k), home(k))))})
+    w = W.partitionBy("mg_i", "mg_b").orderBy("mg_upto")
+    beside = [(F.abs(F.col("mg_v") - f("mg_v", j).over(w)), f("mg_c", j).over(w)) for j in range(1, k + 1) for f in (F.lag, F.lead)]
+    near = F.array(*(F.struct(d.alias("d"), n.cast("long").alias("n")) for d, n in [(F.lit(0.0), F.col("mg_c") - 1), *beside]))
+    own = dealt.withColumn("mg_near", near).where("mg_b = mg_home").select(F.col("mg_f").alias("mg_i"), "mg_v", "mg_y", "mg_c", "mg_near")
+    own = own.join(sizes, ["mg_i", "mg_y"]).withColumn("mg_k", F.least(F.lit(k), F.col("mg_size") - 1)).where("mg_k > 0")
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("r"))
+    nearer = F.array_sort(F.filter("mg_near", lambda x: x["d"].isNotNull()))
+    reach = F.aggregate(nearer, start, lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.when(s["r"].isNull() & (s["seen"] + x["n"] >= F.col("mg_k")), x["d"]).otherwise(s["r"]).alias("r")))
+    return own.select("mg_i", "mg_v", "mg_y", "mg_c", "mg_k", reach["r"].alias("mg_r"))
+
+
+def mutual_informations_knn(df: DataFrame, cols: list[str], y: str, k: int = 3) -> DataFrame:
+    """(mg_i, mi): mutual information of each of several continuous columns and a label by k nearest neighbours, in nats, at least 0; nulls aside.
+
+    A point counts how many points of any class lie nearer than its k-th neighbour of its own class. All columns go
+    through one plan over distinct (value, class) counts: the counts inside a radius come from running sums over points
+    and interval ends together.
     """
-    d = df.where(F.col(col).isNotNull() & F.col(y).isNotNull()).select(F.col(col).cast("double").alias("x"), F.col(y).cast("int").alias("y"))
-    r = cut_lineage(_radii(d, k)).withColumn("id", F.monotonically_increasing_id())
+    long = in_long(df.where(F.col(y).isNotNull()).withColumn("mg_y", F.col(y).cast("int")), cols, ["mg_y"])
+    counts = cut_lineage(long.groupBy("mg_i", "mg_v", "mg_y").agg(F.count("*").alias("mg_c")))
+    r = cut_lineage(_radii(counts, k))
     # nearer by more than rounding, so that the k-th neighbour itself isn't counted
-    slack = F.least(F.col("r"), 1e-9 * F.greatest(F.lit(1.0), F.abs("x")))
-    reach = F.col("r") - slack
+    reach = F.col("mg_r") - F.least(F.col("mg_r"), 1e-9 * F.greatest(F.lit(1.0), F.abs("mg_v")))
     # at equal values a lower end comes before the points and an upper end after them
-    events = r.select(F.explode(F.array(F.struct(F.col("x").alias("v"), F.lit(1).alias("o"), F.lit(None).cast("long").alias("id"), F.lit(0).alias("s")), F.struct((F.col("x") - reach).alias("v"), F.lit(0).alias("o"), F.col("id"), F.lit(-1).alias("s")), F.struct((F.col("x") + reach).alias("v"), F.lit(2).alias("o"), F.col("id"), F.lit(1).alias("s")))).alias("e")).select("e.*")
-    parts = with_range(cut_lineage(events), "v")
-    point = (F.col("o") == 1).cast("long")
-    sizes = parts.groupBy("part").agg(F.sum(point).alias("size"))
-    offsets = sizes.select("part", F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("off"))
-    upto = F.sum(point).over(W.partitionBy("part").orderBy("v", "o").rowsBetween(W.unboundedPreceding, W.currentRow))
-    counts = parts.join(F.broadcast(offsets), "part").withColumn("c", F.col("off") + upto).where("id is not null").groupBy("id").agg(F.sum(F.col("s") * F.col("c")).alias("m"))
-    inside = counts.agg(F.avg(digamma(F.greatest("m", F.lit(1)))).alias("inside"))
-    per = r.groupBy("y", "k").agg(F.count("*").alias("n"))
-    n = F.col("n").cast("double")
-    whole = per.agg(F.sum("n").alias("total"), (F.sum(n * digamma(F.col("k"))) / F.sum(n)).alias("ks"), (F.sum(n * digamma(n)) / F.sum(n)).alias("ns"))
-    return whole.crossJoin(inside).select(r6(F.greatest(F.lit(0.0), digamma(F.col("total")) + F.col("ks") - F.col("ns") - F.col("inside"))).alias("mi"))
+    event = lambda v, o, n, s: F.struct(v.alias("v"), F.lit(o).alias("o"), n.alias("n"), F.lit(s).alias("s"))
+    none = F.lit(0).cast("long")
+    events = r.select("mg_i", "mg_y", F.col("mg_v").alias("x"), "mg_c", F.explode(F.array(event(F.col("mg_v"), 1, F.col("mg_c"), 0), event(F.col("mg_v") - reach, 0, none, -1), event(F.col("mg_v") + reach, 2, none, 1))).alias("e"))
+    summed = cumulated(cut_lineage(events.select("mg_i", "mg_y", "x", "mg_c", F.col("e.v").alias("mg_v"), "e.o", "e.n", "e.s")), "n", ["o"])
+    inside = summed.where("s <> 0").groupBy("mg_i", "mg_y", "x", "mg_c").agg(F.sum(F.col("s") * F.col("mg_upto")).alias("m"))
+    mean = lambda v, n: F.sum(n * v) / F.sum(n)
+    met = inside.groupBy("mg_i").agg(mean(digamma(F.greatest("m", F.lit(1))), F.col("mg_c")).alias("inside"))
+    per = r.groupBy("mg_i", "mg_y", "mg_k").agg(F.sum("mg_c").alias("n"))
+    whole = per.groupBy("mg_i").agg(F.sum("n").alias("total"), mean(digamma(F.col("mg_k")), F.col("n")).alias("ks"), mean(digamma(F.col("n")), F.col("n")).alias("ns"))
+    return whole.join(met, "mg_i").select("mg_i", F.greatest(F.lit(0.0), digamma(F.col("total")) + F.col("ks") - F.col("ns") - F.col("inside")).alias("mi"))
 
 
-def association_table(df: DataFrame, numeric: list[str], categorical: list[str], y: str) -> DataFrame:
-    """One row per feature: chi-square p, Cramer's V, information value and mutual information; for numbers also
-    Mann-Whitney p and rank-biserial r; rounded to 4, sorted by information value.
-
-    Numbers are cut into deciles for the table measures, with missing values as a level; for mutual information they
-    are filled with the median.
-    """
-    spark = df.sparkSession
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in numeric))).alias("s")).select("s.*") if numeric else None
-    cuts = {r["feature"]: r["q"] for r in quantiles(long, "v", [i / 10 for i in range(11)], ["feature"]).collect()} if numeric else {}
-    middle = {c: cuts[c][5] for c in cuts}
-
-    def level(c: str) -> Column:
-        edges = sorted(set(cuts.get(c, [])))
-        text = edge_bins(F.col(c).cast("double"), F.array(*(F.lit(e) for e in edges))).cast("string") if edges else F.col(c).cast("string")
-        return F.struct(F.lit(c).alias("feature"), F.coalesce(text, F.lit("MISSING")).alias("level"))
-
-    # one scan makes the contingency tables of all features
-    cells = df.select(F.explode(F.array(*(level(c) for c in [*numeric, *categorical]))).alias("s"), F.col(y).alias("mg_y")).groupBy("s.feature", "s.level").agg(F.count_if(F.col("mg_y") == 0).cast("double").alias("good"), F.count_if(F.col("mg_y") == 1).cast("double").alias("bad"))
+def mutual_information_knn(df: DataFrame, col: str, y: str, k: int = 3) -> DataFrame:
+    """The same for one column; one row."""
+    return mutual_informations_knn(df, [col], y, k).agg(r6(F.max("mi")).alias("mi"))
+
+
+def contingency(df: DataFrame, numeric: list[str], categorical: list[str], y: str, q: int = 10, missing: str = "MISSING") -> DataFrame:
+    """(feature, level, good, bad) of several features by one scan: numbers fall in their q-quantile bins, missing values are a level of their own."""
+    number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    one = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"), text.alias("level")) for c in numeric]
+    one += [F.struct(F.lit(c).alias("feature"), number.alias("v"), F.col(c).cast("string").alias("level")) for c in categorical]
+    long = df.select(F.explode(F.array(*one)).alias("s"), F.col(y).alias("mg_y")).select("s.*", "mg_y")
+    level = F.col("level")
+    if numeric:
+        edges = quantiles_of(df, numeric, [i / q for i in range(q + 1)]).select(F.col("column_name").alias("feature"), F.array_distinct("q").alias("mg_edges"))
+        long = long.join(edges, "feature", "left")
+        level = F.coalesce(level, edge_bins(F.col("v"), F.col("mg_edges")).cast("string"))
+    return long.groupBy("feature", F.coalesce(level, F.lit(missing)).alias("level")).agg(F.count_if(F.col("mg_y") == 0).cast("double").alias("good"), F.count_if(F.col("mg_y") == 1).cast("double").alias("bad"))
+
+
+def table_measures(cells: DataFrame) -> DataFrame:
+    """feature, iv, chi2, dof, chi2_p, cramers_v and mutual_info of all contingency tables at once."""
     cells = cut_lineage(cells)
     total = cells.groupBy("feature").agg(F.sum("good").alias("tg"), F.sum("bad").alias("tb"), F.count("*").alias("r"))
     n, t = F.col("good") + F.col("bad"), F.col("tg") + F.col("tb")
@@ -228,27 +217,40 @@ def association_table(df: DataFrame, numeric: list[str], categorical: list[str],
         gap = gap - F.when(F.col("r") == 2, F.least(F.lit(0.5), gap)).otherwise(0.0)
         return F.coalesce(F.try_divide(gap * gap, e), F.lit(0.0))
 
-    j = cells.join(F.broadcast(total), "feature").withColumns({"iv": (floor("good", "tg") - floor("bad", "tb")) * F.log(floor("good", "tg") / floor("bad", "tb")), "chi2": chi("good", "tg") + chi("bad", "tb"), "mi": part("good", "tg") + part("bad", "tb")})
-    rows = []
-    for r in j.groupBy("feature", "r", "tg", "tb").agg(*(F.sum(c).alias(c) for c in ("iv", "chi2", "mi"))).collect():  # a row per feature
-        c, m, k = r["feature"], r["tg"] + r["tb"], r["r"]
-        phi, low = max(0.0, r["chi2"] / m - (k - 1) / (m - 1)), min(2 - 1 / (m - 1) - 1, k - (k - 1) ** 2 / (m - 1) - 1) if m > 1 else 0.0
-        row = {"feature": c, "type": "num" if c in numeric else "cat", "chi2_p": chi2_p(r["chi2"], k - 1), "cramers_v": (phi / low) ** 0.5 if low > 0 else 0.0, "mwu_p": None, "rank_biserial": None, "iv": r["iv"], "mutual_info": r["mi"]}
-        if c in numeric:
-            u = mann_whitney(df, c, y).first()
-            filled = df.select(F.coalesce(F.col(c).cast("double"), F.lit(middle.get(c))).alias(c), y)
-            row |= {"mwu_p": normal_two_sided(u["z"]) if u["z"] is not None else None, "rank_biserial": u["rank_biserial"], "mutual_info": mutual_information_knn(filled, c, y).first()["mi"]}
-        rows.append(tuple(round(v, 4) if isinstance(v, float) else v for v in row.values()))
-    rows.sort(key=lambda r: (-r[6], r[0]))
-    return spark.createDataFrame(rows, "feature string, type string, chi2_p double, cramers_v double, mwu_p double, rank_biserial double, iv double, mutual_info double")
+    each = cells.join(total, "feature").withColumns({"iv": (floor("good", "tg") - floor("bad", "tb")) * F.log(floor("good", "tg") / floor("bad", "tb")), "chi2": chi("good", "tg") + chi("bad", "tb"), "mi": part("good", "tg") + part("bad", "tb")})
+    per = each.groupBy("feature", "r", "tg", "tb").agg(*(F.sum(c).alias(c) for c in ("iv", "chi2", "mi")))
+    k = F.col("r").cast("double")
+    phi = F.greatest(F.lit(0.0), F.col("chi2") / t - F.try_divide(k - 1, t - 1))
+    low = F.coalesce(F.least(1 - F.try_divide(F.lit(1.0), t - 1), k - F.try_divide((k - 1) * (k - 1), t - 1) - 1), F.lit(0.0))
+    dof = (F.col("r") - 1).cast("int")
+    return per.select("feature", "iv", "chi2", dof.alias("dof"), chi2_p(F.col("chi2"), dof).alias("chi2_p"), F.when(low > 0, F.sqrt(phi / low)).otherwise(0.0).alias("cramers_v"), F.col("mi").alias("mutual_info"))
+
+
+def association_table(df: DataFrame, numeric: list[str], categorical: list[str], y: str) -> DataFrame:
+    """One row per feature: chi-square p, Cramer's V, information value and mutual information; for numbers also
+    Mann-Whitney p and rank-biserial r; rounded to 4, sorted by information value.
+
+    Numbers are cut into deciles for the table measures, with missing values as a level; for mutual information they
+    are filled with the median. Every measure of all features comes from one grouped plan.
+    """
+    df = cut_lineage(df.select(*numeric, *categorical, y))
+    out = table_measures(contingency(df, numeric, categorical, y)).withColumnRenamed("mutual_info", "mg_mi")
+    if numeric:
+        name = F.element_at(F.array(*map(F.lit, numeric)), F.col("mg_i") + 1).alias("feature")
+        filled = median_filled(df, numeric)
+        out = out.join(mann_whitneys(df, numeric, y).select("feature", F.col("p_value").alias("mwu_p"), "rank_biserial"), "feature", "left")
+        out = out.join(mutual_informations_knn(filled, numeric, y).select(name, "mi"), "feature", "left")
+    else:
+        out = out.withColumns({c: F.lit(None).cast("double") for c in ("mwu_p", "rank_biserial", "mi")})
+    kind = F.when(F.col("feature").isin(numeric), "num").otherwise("cat")
+    shown = {"chi2_p": F.col("chi2_p"), "cramers_v": F.col("cramers_v"), "mwu_p": F.col("mwu_p"), "rank_biserial": F.col("rank_biserial"), "iv": F.col("iv"), "mutual_info": F.coalesce("mi", "mg_mi")}
+    return out.select("feature", kind.alias("type"), *(F.round(v, 4).alias(c) for c, v in shown.items())).orderBy(F.col("iv").desc(), "feature")
 
 
 def importance_ranks(table: DataFrame, measures: list[str]) -> DataFrame:
-    """Average-tie ranks, the largest first, cut to whole numbers as the report shows them."""
-    out = table
-    for c in measures:
-        out = with_rank(out, c, f"rank_{c}", desc=True).withColumn(f"rank_{c}", F.col(f"rank_{c}").cast("int"))
-    return out
+    """Average-tie ranks, the largest first, cut to whole numbers as the report shows them; all measures are ranked together."""
+    names = [f"rank_{c}" for c in measures]
+    return with_ranks(table, measures, names, desc=True).withColumns({n: F.col(n).cast("int") for n in names})
 
 
 def monotone(df: DataFrame, order: str, value: str) -> DataFrame:

@@ -55,9 +55,15 @@ def rank_biserial(spark, sf):
     return st.mann_whitney(loans(spark, sf), "amount", "status").select("rank_biserial")
 
 
-@query("mannwhitney_pvalue")
+# the upper incomplete gamma function as one less the series of the lower one
+_upper = lambda a, x: f"greatest(0.0::DOUBLE, 1 - CASE WHEN {x} > 0 THEN list_sum(list_transform(range(0, 2000), lambda i: exp(-({x}) + ({a} + i) * ln({x}) - lgamma({a} + i + 1)))) ELSE 0 END)"
+_MW_U = "(r1 - n1 * (n1 + 1) / 2)"
+_MW_Z = f"((greatest({_MW_U}, n1 * (n - n1) - {_MW_U}) - n1 * (n - n1) / 2 - 0.5) / sqrt(n1 * (n - n1) / 12 * (n + 1 - ties / (n * (n - 1)))))"
+
+
+@query("mannwhitney_pvalue", with_views(f"SELECT {_MW_U} AS u, round({_upper('0.5::DOUBLE', f'{_MW_Z} * {_MW_Z} / 2')}, 6) AS p_value FROM mw", LOANS, _MW, _MW2))
 def mannwhitney_pvalue(spark, sf):
-    return st.mann_whitney_p(loans(spark, sf), "amount", "status")
+    return st.mann_whitney_p(loans(spark, sf), "amount", "status").select("u", F.round("p_value", 6).alias("p_value"))
 
 
 _WOE = ("w", "SELECT level, count(*) FILTER (status = 0) AS good, count(*) FILTER (status = 1) AS bad FROM (SELECT coalesce(CAST(bin AS VARCHAR), 'MISSING') AS level, status FROM b) GROUP BY level")
@@ -93,9 +99,38 @@ def mi_knn(spark, sf):
     return st.mutual_information_knn(churn(spark, sf), "balance", "exited")
 
 
-@query("association_table")
+_NUMERIC, _TEXTS = ("amount", "int_rate", "emp_length"), ("grade", "home", "intent")
+
+
+def _tests_sql(c: str) -> str:
+    """u, p and rank-biserial r of a number, and its mutual information with the medians filled in."""
+    ranked = f"SELECT status, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY {c}) AS m FROM loans WHERE {c} IS NOT NULL"
+    sums = f"SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(status) AS DOUBLE) AS n1, CAST(sum(rk) FILTER (status = 1) AS DOUBLE) AS r1, CAST(sum(m * m - 1.0) AS DOUBLE) AS ties FROM ({ranked})"
+    gaps = ", ".join(f"{a} - {b}" for j in (1, 2, 3) for a, b in ((f"x", f"lag(x, {j}) OVER w"), (f"lead(x, {j}) OVER w", "x")))
+    knn = f"SELECT x, y, count(*) OVER (PARTITION BY y) AS n, list_sort([{gaps}])[least(3, count(*) OVER (PARTITION BY y) - 1)] AS r FROM (SELECT coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM loans)) AS x, status AS y FROM loans) WINDOW w AS (PARTITION BY y ORDER BY x)"
+    near = f"SELECT x, y, n, count(*) AS k, r - least(r, 1e-9 * greatest(1.0::DOUBLE, abs(x))) AS reach FROM ({knn}) WHERE n > 1 GROUP BY ALL"
+    points = f"SELECT x, count(*) AS c FROM ({knn}) WHERE n > 1 GROUP BY x"
+    inside = f"SELECT a.x, a.y, a.n, a.k, sum(b.c) AS m FROM ({near}) a JOIN ({points}) b ON b.x >= a.x - a.reach AND b.x <= a.x + a.reach GROUP BY ALL"
+    mean = lambda v: f"sum(k * {v}) / sum(k)"
+    mi = f"SELECT greatest(0.0::DOUBLE, {_psi('sum(k)')} + {mean(_psi('least(3, n - 1)'))} - {mean(_psi('n'))} - {mean(_psi('m'))}) AS mi FROM ({inside})"
+    return f"SELECT '{c}' AS feature, {_upper('0.5::DOUBLE', f'{_MW_Z} * {_MW_Z} / 2')} AS mwu_p, 2 * {_MW_U} / (n1 * (n - n1)) - 1 AS rank_biserial, mi FROM ({sums}), ({mi})"
+
+
+_LEVELS = ("lv", " UNION ALL ".join([f"SELECT '{c}' AS feature, coalesce(CAST(bin AS VARCHAR), 'MISSING') AS level, status FROM ({decile_bin(c, 'loans')})" for c in _NUMERIC] + [f"SELECT '{c}', coalesce({c}, 'MISSING'), status FROM loans" for c in _TEXTS]))
+_TALLY = ("tally", """SELECT *, sum(good) OVER f AS tg, sum(bad) OVER f AS tb, sum(good + bad) OVER f AS t, CAST(count(*) OVER f AS DOUBLE) AS r FROM (
+  SELECT feature, level, CAST(count(*) FILTER (status = 0) AS DOUBLE) AS good, CAST(count(*) FILTER (status = 1) AS DOUBLE) AS bad FROM lv GROUP BY feature, level) WINDOW f AS (PARTITION BY feature)""")
+_GAP = lambda a, b: f"power(abs({a} - (good + bad) * {b} / t) - CASE WHEN r = 2 THEN least(0.5, abs({a} - (good + bad) * {b} / t)) ELSE 0 END, 2) / ((good + bad) * {b} / t)"
+_TABLES = ("tables", f"""SELECT feature, r, t, sum((greatest(good / tg, 1e-6) - greatest(bad / tb, 1e-6)) * ln(greatest(good / tg, 1e-6) / greatest(bad / tb, 1e-6))) AS iv, sum({_GAP('good', 'tg')} + {_GAP('bad', 'tb')}) AS chi2,
+  sum(CASE WHEN good > 0 THEN good / t * ln(good * t / ((good + bad) * tg)) ELSE 0 END + CASE WHEN bad > 0 THEN bad / t * ln(bad * t / ((good + bad) * tb)) ELSE 0 END) AS mi FROM tally GROUP BY feature, r, t""")
+_TESTS = ("tests", " UNION ALL ".join(_tests_sql(c) for c in _NUMERIC))
+
+
+@query("association_table", with_views(f"""SELECT feature, CASE WHEN s.feature IS NULL THEN 'cat' ELSE 'num' END AS type, round({_upper('((r - 1) / 2)', '(chi2 / 2)')}, 4) AS chi2_p,
+  round(CASE WHEN least(1 - 1 / (t - 1), r - (r - 1) * (r - 1) / (t - 1) - 1) > 0 THEN sqrt(greatest(0, chi2 / t - (r - 1) / (t - 1)) / least(1 - 1 / (t - 1), r - (r - 1) * (r - 1) / (t - 1) - 1)) ELSE 0 END, 4) AS cramers_v,
+  round(mwu_p, 4) AS mwu_p, round(s.rank_biserial, 4) AS rank_biserial, round(iv, 4) AS iv, round(coalesce(s.mi, tables.mi), 4) AS mutual_info FROM tables LEFT JOIN tests s USING (feature)""", LOANS, _LEVELS, _TALLY, _TABLES, _TESTS))
 def association_table(spark, sf):
-    return st.association_table(loans(spark, sf), ["amount", "int_rate", "emp_length"], ["grade", "home", "intent"], "status")
+    """Three numbers and three texts against the outcome, all measures from one grouped plan."""
+    return st.association_table(loans(spark, sf), list(_NUMERIC), list(_TEXTS), "status")
 
 
 _CATS = ("geography", "gender", "num_products", "has_card", "is_active")
@@ -120,12 +155,8 @@ _RERANKED = ("rr", "SELECT " + ", ".join(f"{_AVG_RANK(c, 'ASC')} AS {c}" for c i
 
 
 def _categories(spark, sf):
-    d, out = cut_lineage(churn(spark, sf)), None
-    for c in _CATS:
-        lv = d.withColumn("level", F.col(c).cast("string"))
-        row = st.information_value(lv, "level", "exited").crossJoin(st.cramers_v(lv, "level", "exited")).crossJoin(st.mutual_information(lv, "level", "exited").withColumnRenamed("mi", "mutual_info")).withColumn("feature", F.lit(c))
-        out = row if out is None else out.unionByName(row)
-    return cut_lineage(out)  # a row per feature
+    m = st.table_measures(st.contingency(churn(spark, sf), [], list(_CATS), "exited"))
+    return m.select("feature", *(F.round(c, 6).alias(c) for c in _NAMES))
 
 
 @query("importance_ranks", with_views("SELECT feature, iv, cramers_v, mutual_info, " + ", ".join(f"s_{c} AS rank_{c}" for c in _NAMES) + " FROM ms JOIN (SELECT feature, " + ", ".join(f"{c} AS s_{c}" for c in _NAMES) + " FROM sh) USING (feature)", CHURN, _MEASURES, _SHOWN))
