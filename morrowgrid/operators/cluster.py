@@ -20,7 +20,11 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def blocks(v: DataFrame, size: int = 2048) -> DataFrame:
+#: Rows of a block of a cell, dimensions that a grid is laid over, and the most pivots.
+BLOCK_ROWS, GRID_DIMS, MOST_PIVOTS = 2048, 3, 4096
+
+
+def blocks(v: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
     """Vectors packed as matrix blocks of bounded size: (block, ids, flat matrix)."""
     n = max(1, -(-v.count() // size))
     return v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
@@ -36,30 +40,121 @@ def _sides(b: DataFrame, ids: list[int]) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-def nearest(v: DataFrame, k: int) -> DataFrame:
-    """(id, rank, dist): the k nearest points of each, itself first, exactly and block against block.
+def _by_cell(home: DataFrame, guests: DataFrame, run, schema: str) -> DataFrame:
+    """run(home rows, guest rows) for each cell (column mg_cell of both): every home row meets every guest of its cell once.
 
-    Each pair of blocks is one matrix product in a task; a point keeps k
-    candidates from each block before they meet, so no pair of points is a row.
+    A cell with more than BLOCK_ROWS rows is cut into blocks of home rows and of guests, each pair of them a task of its
+    own, so a dense cell isn't one group; its rows are copied for the blocks of the other side.
     """
-    b = blocks(v)
-    ids = [r.block for r in b.select("block").distinct().collect()]
-    left, right = _sides(b, sorted(ids))
+    split = lambda n: F.ceil(F.col(n) / F.lit(float(BLOCK_ROWS))).cast("int")
+    size = home.groupBy("mg_cell").agg(F.count("*").alias("h")).join(guests.groupBy("mg_cell").agg(F.count("*").alias("g")), "mg_cell").select("mg_cell", split("h").alias("mg_hb"), split("g").alias("mg_gb"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = home.join(size, "mg_cell").select("mg_cell", own("mg_hb").alias("p"), all_of("mg_gb").alias("q"), *(c for c in home.columns if c != "mg_cell"))
+    # new names for the same columns, or the two sides of the cogroup would share attribute ids
+    right = guests.join(size, "mg_cell").select(F.col("mg_cell").alias("mg_cell"), all_of("mg_hb").alias("p"), own("mg_gb").alias("q"), *(F.col(c).alias(c) for c in guests.columns if c != "mg_cell"))
+    key = ["mg_cell", "p", "q"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, schema)
+
+
+def _near(v: DataFrame, eps: float, run, schema: str, written: bool = False) -> DataFrame:
+    """run(rows, candidates) so that each row meets every row within eps of it: a join by grid cells with a halo.
+
+    The grid lies over the dimensions in which the points spread widest, GRID_DIMS at most, and only over those that are
+    more than two cells wide. Cells are two eps wide; a row is at home in one and a guest in those within eps of it.
+    """
+    v = v if written else cut_lineage(v)
+    per = v.select(F.posexplode("features").alias("j", "x")).groupBy("j").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.var_pop("x").alias("s")).collect()  # a row a dimension
+    reach, side = eps * (1 + 1e-9) + 1e-12, 2 * eps
+    axes = [r.j for r in sorted(per, key=lambda r: (-(r.s or 0), r.j)) if eps > 0 and r.hi - r.lo > 2 * side][:GRID_DIMS]
+    place = lambda j, shift: F.floor((F.col("features")[j] + shift) / side)
+    home = v.withColumn("mg_cell", F.concat_ws(",", F.lit(""), *(place(j, 0.0).cast("string") for j in axes)))
+    guests = v.withColumn("mg_cell", F.array(F.lit("")))
+    for j in axes:
+        guests = guests.withColumn("mg_near", F.sequence(place(j, -reach), place(j, reach)))
+        guests = guests.withColumn("mg_cell", F.flatten(F.transform("mg_cell", lambda c: F.transform("mg_near", lambda n: F.concat_ws(",", c, n.cast("string")))))).drop("mg_near")
+    return _by_cell(home, guests.withColumn("mg_cell", F.explode("mg_cell")), run, schema)
+
+
+def radius_candidates(v: DataFrame, eps: float) -> int:
+    """How many pairs of rows a join of radius eps compares."""
+    def run(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [len(a) * len(c)]})
+
+    return _near(v.select("id", "features"), eps, run, "n long").agg(F.sum("n").alias("n")).first().n or 0
 
-    def pair(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+
+def _pivots(v: DataFrame) -> np.ndarray:
+    """Points that cells form around: about one for BLOCK_ROWS rows, at most MOST_PIVOTS, drawn by a hash of the id."""
+    n = v.count()
+    m = max(1, min(MOST_PIVOTS, -(-n // BLOCK_ROWS)))
+    some = v.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(m).collect()
+    return np.array([r.features for r in some], float)
+
+
+def nearest(v: DataFrame, k: int) -> DataFrame:
+    """(id, rank, dist): the k nearest points of each, itself first, exactly; ties by id.
+
+    Points form cells around pivots. A first round finds the k nearest inside each point's own cell, which bounds its
+    k-th distance; so do the radii of the nearest cells that hold k points together. A second round takes a point only to cells that the bound
+    can't exclude: those whose ball (by the triangle inequality) and whose side of the plane between the two pivots come
+    near enough. A point keeps k candidates from each block it meets, so no pair of points is a row.
+    """
+    v = cut_lineage(v.select("id", "features"))
+    pivots = _pivots(v)
+    if not len(pivots):
+        return v.sparkSession.createDataFrame([], "id long, other_id long, dist double, rank int")
+
+    def assign(parts):
+        for x in parts:
+            d = _distances(np.array(x["features"].tolist()), pivots)
+            yield x.assign(mg_cell=d.argmin(1).astype("int32"), mg_d=d.min(1))
+
+    placed = cut_lineage(v.mapInPandas(assign, "id long, features array<double>, mg_cell int, mg_d double"))
+    stats = {r.mg_cell: (r.n, r.r) for r in placed.groupBy("mg_cell").agg(F.count("*").alias("n"), F.max("mg_d").alias("r")).collect()}  # a row a pivot
+    count, radius = (np.array([stats.get(i, (0, 0.0))[j] for i in range(len(pivots))], float) for j in (0, 1))
+    between = _distances(pivots, pivots)
+
+    def found(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(c):
             return pd.DataFrame({"id": [], "other_id": [], "dist": []}).astype({"id": "int64", "other_id": "int64"})
-        x, y = np.array(a["features"].tolist()), np.array(c["features"].tolist())
-        d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
-        same = a["id"].to_numpy()[:, None] == c["id"].to_numpy()[None]
-        d[same] = -1.0
+        ids, others = a["id"].to_numpy(), c["id"].to_numpy()
+        order = np.argsort(others, kind="stable")
+        others, d = others[order], _pairwise(a, c.iloc[order])
+        d[ids[:, None] == others[None]] = -1.0  # itself comes first
         m = min(k, d.shape[1])
-        at = np.argpartition(d, m - 1, axis=1)[:, :m]
-        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), m), "other_id": c["id"].to_numpy()[at].ravel(), "dist": np.maximum(0, np.take_along_axis(d, at, 1)).ravel()})
-
-    c = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(pair, "id long, other_id long, dist double")
-    w = W.partitionBy("id").orderBy("dist", F.col("id") != F.col("other_id"), "other_id")
-    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        at = np.argsort(d, axis=1, kind="stable")[:, :m]
+        return pd.DataFrame({"id": np.repeat(ids, m), "other_id": others[at].ravel(), "dist": np.maximum(0, np.take_along_axis(d, at, 1)).ravel()})
+
+    schema = "id long, other_id long, dist double"
+    order = W.partitionBy("id").orderBy("dist", F.col("id") != F.col("other_id"), "other_id")
+    best = lambda d: d.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    home = placed.select("id", "features", "mg_cell")
+    first = best(_by_cell(home, home, found, schema))
+    if len(pivots) == 1:
+        return first
+    first = cut_lineage(first)
+    bound = first.where(F.col("rank") == k).select("id", F.col("dist").alias("mg_u"))
+
+    def visits(parts):
+        for x in parts:
+            f, own = np.array(x["features"].tolist()), x["mg_cell"].to_numpy()
+            d = _distances(f, pivots)
+            far = np.where(count > 0, d + radius, np.inf)
+            by = np.argsort(far, axis=1, kind="stable")
+            enough = (np.cumsum(count[by], axis=1) >= k).argmax(1)
+            whole = np.take_along_axis(far, np.take_along_axis(by, enough[:, None], 1), 1)[:, 0]
+            u = np.fmin(x["mg_u"].to_numpy(), np.where(count.sum() >= k, whole, np.inf))
+            u = np.where(np.isnan(u), np.inf, u) * (1 + 1e-9) + 1e-12
+            gap = between[own]
+            plane = np.where(gap > 0, (d * d - d[np.arange(len(x)), own][:, None] ** 2) / np.where(gap > 0, 2 * gap, 1), -np.inf)
+            go = (count > 0) & (d - radius <= u[:, None]) & (plane <= u[:, None]) & (np.arange(len(pivots)) != own[:, None])
+            row, cell = np.nonzero(go)
+            yield pd.DataFrame({"id": x["id"].to_numpy()[row], "features": x["features"].to_numpy()[row], "mg_cell": cell.astype("int32")})
+
+    guests = placed.join(bound, "id", "left").mapInPandas(visits, "id long, features array<double>, mg_cell int")
+    second = _by_cell(cut_lineage(guests), home, found, schema)
+    return best(first.drop("rank").unionByName(second))
 
 
 def k_distance(v: DataFrame, k: int) -> DataFrame:
@@ -84,10 +179,13 @@ def _blocked(v: DataFrame, run, schema: str) -> DataFrame:
     return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(run, schema)
 
 
-def _pairwise(a: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Differences summed directly: exact zeros on equal vectors and no cancellation near eps."""
-    x, y = np.array(a["features"].tolist()), np.array(c["features"].tolist())
-    return np.array([np.sqrt(((y - row) ** 2).sum(1)) for row in x])
+    return np.array([np.sqrt(((y - row) ** 2).sum(1)) for row in x]).reshape(len(x), len(y))
+
+
+def _pairwise(a: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
+    return _distances(np.array(a["features"].tolist()), np.array(c["features"].tolist()))
 
 
 def eps_degree(v: DataFrame, eps: float) -> DataFrame:
@@ -96,7 +194,7 @@ def eps_degree(v: DataFrame, eps: float) -> DataFrame:
         n = (_pairwise(a, c) <= eps).sum(1) if len(a) and len(c) else np.zeros(len(a), int)
         return pd.DataFrame({"id": a["id"], "n": n})
 
-    return _blocked(v, run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n_neighbours"))
+    return _near(v.select("id", "features"), eps, run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n_neighbours"))
 
 
 def dbscan_core(v: DataFrame, eps: float, min_samples: int) -> DataFrame:
@@ -127,7 +225,7 @@ def dbscan(v: DataFrame, eps: float, min_samples: int = 10) -> DataFrame:
         both = pd.DataFrame({"a": np.concatenate([ai, ci]), "b": np.concatenate([la, lc])})
         return both[both["a"] != both["b"]].drop_duplicates().astype("int64")
 
-    edges = _blocked(cv.select("id", "features", "is_core"), forest, "a long, b long")
+    edges = _near(cv.select("id", "features", "is_core"), eps, forest, "a long, b long", True)
     edges = cut_lineage(edges.union(edges.select("b", "a")).distinct())
     labels = cv.where("is_core = 1").select("id", F.col("id").alias("label"))
     while True:
@@ -151,7 +249,7 @@ def dbscan(v: DataFrame, eps: float, min_samples: int = 10) -> DataFrame:
         hit = m < np.iinfo(np.int64).max
         return pd.DataFrame({"id": a["id"].to_numpy()[hit], "m": m[hit].astype("int64")})
 
-    b = _blocked(lv.select("id", "features", "is_core", F.coalesce("label", F.lit(-1)).alias("label")), border, "id long, m long").groupBy("id").agg(F.min("m").alias("m"))
+    b = _near(lv.select("id", "features", "is_core", F.coalesce("label", F.lit(-1)).alias("label")), eps, border, "id long, m long").groupBy("id").agg(F.min("m").alias("m"))
     return lv.join(b, "id", "left").select("id", F.coalesce("label", "m", F.lit(-1)).alias("label"))
 
 
@@ -166,7 +264,8 @@ def dbscan_noise(v: DataFrame, eps_grid: list[float], min_samples: int = 10) ->
         return pd.DataFrame({"id": a["id"], "n": list(np.stack([(d <= e).sum(1) for e in grid], axis=1))})
 
     per = F.array(*(F.sum(F.col("n")[i]) for i in range(len(grid))))
-    deg = _blocked(v.select("id", "features"), degrees, "id long, n array<long>").groupBy("id").agg(per.alias("n"))
+    v, widest = cut_lineage(v.select("id", "features")), float(grid[-1])
+    deg = _near(v, widest, degrees, "id long, n array<long>", True).groupBy("id").agg(per.alias("n"))
     core = cut_lineage(v.select("id", "features").join(deg.select("id", F.transform("n", lambda x: (x >= min_samples).cast("int")).alias("core")), "id"))
 
     def reached(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -175,7 +274,7 @@ def dbscan_noise(v: DataFrame, eps_grid: list[float], min_samples: int = 10) ->
         d, is_core = _pairwise(a, c), np.array(c["core"].tolist())
         return pd.DataFrame({"id": a["id"], "n": list(np.stack([((d <= e) & (is_core[:, i] == 1)[None]).sum(1) for i, e in enumerate(grid)], axis=1))})
 
-    near = _blocked(core, reached, "id long, n array<long>").groupBy("id").agg(per.alias("n"))
+    near = _near(core, widest, reached, "id long, n array<long>", True).groupBy("id").agg(per.alias("n"))
     long = core.join(near, "id").select("id", F.posexplode(F.arrays_zip("core", "n")).alias("i", "s"))
     return long.select(F.element_at(F.array(*(F.lit(float(e)) for e in grid)), F.col("i") + 1).alias("eps"), "id", F.col("s.core").alias("is_core"), (F.col("s.n") == 0).cast("int").alias("is_noise"))
 
