@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .trees import sigmoid
+from .trees import seen, sigmoid
 
 #: Rounds at most, and the largest move of a coefficient that counts as none.
 ROUNDS, STILL = 60, 1e-7
@@ -23,12 +23,14 @@ ROUNDS, STILL = 60, 1e-7
 
 @dataclass(frozen=True)
 class Logit:
-    """Minimise c * weighted loss + |b| (l1) or b.b / 2; the intercept isn't penalised. balanced: classes weigh alike. held: a fold that isn't seen."""
+    """Minimise c * weighted loss + |b| (l1) or b.b / 2; the intercept isn't penalised. balanced: classes weigh alike; positive: the weight of positive rows. held, made: see `trees.seen`."""
 
     c: float = 1.0
     l1: bool = False
     balanced: bool = False
+    positive: float = 1.0
     held: int = -1
+    made: bool = False
 
 
 def _solve(beta: np.ndarray, grad: np.ndarray, hess: np.ndarray, p: Logit) -> np.ndarray:
@@ -61,8 +63,8 @@ def fit_models(rows: DataFrame, width: int, jobs: list[Logit], rounds: int = ROU
     tally = {(r.mg_fold, r.mg_y): r.n for r in rows.groupBy("mg_fold", "mg_y").agg(F.count("*").alias("n")).collect()}
     weight = []
     for p in jobs:
-        n = [sum(m for (fold, y), m in tally.items() if fold != p.held and y == k) for k in (0, 1)]
-        weight.append([sum(n) / (2 * m) if p.balanced and m else 1.0 for m in n])
+        n = [sum(m for (fold, y), m in tally.items() if seen(fold, p.held, p.made) and y == k) for k in (0, 1)]
+        weight.append([sum(n) / (2 * m) if p.balanced and m else k for m, k in zip(n, (1.0, p.positive), strict=True)])
     beta = [np.zeros(d) for _ in jobs]
     last: list[tuple[float, np.ndarray] | None] = [None] * len(jobs)
     live = list(range(len(jobs)))
@@ -77,7 +79,7 @@ def fit_models(rows: DataFrame, width: int, jobs: list[Logit], rounds: int = ROU
                 x = b.column("mg_f").flatten().to_numpy(zero_copy_only=False).reshape(len(y), width)
                 a = np.column_stack([x, np.ones(len(y))])
                 for j, bj in coefficients.items():
-                    w = np.where(fold == jobs[j].held, 0.0, np.where(y == 1, weights[j][1], weights[j][0]))
+                    w = np.where(seen(fold, jobs[j].held, jobs[j].made), np.where(y == 1, weights[j][1], weights[j][0]), 0.0)
                     z = a @ bj
                     q = sigmoid(z)
                     total[j][0] += (w * (np.logaddexp(0, z) - y * z)).sum()

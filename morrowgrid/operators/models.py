@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -110,28 +108,6 @@ def mean_abs_shap(shap: DataFrame, categorical: list[str]) -> DataFrame:
     return shap.groupBy(base_feature(F.col("feature"), categorical).alias("feature"), F.col("feature").alias("part")).agg(F.avg(F.abs("phi")).alias("m")).groupBy("feature").agg(F.sum("m").alias("importance"))
 
 
-def gain_importance(fitted, spark) -> DataFrame:
-    """Mean gain per split of each feature of a trained (encoder, model)."""
-    e, m = fitted
-    return spark.createDataFrame([(e.names[f], g, n) for f, g, n in m.gains()], "feature string, gain double, n_splits int")
-
-
-def tree_shap(fitted, d: DataFrame, key: str, enc: tuple[list[str], list[str]]) -> DataFrame:
-    """(key, feature, x, phi, base): attributions of the margin of a trained (encoder, model), for every row; with base they sum to it."""
-    shared = d.sparkSession.sparkContext.broadcast(fitted)
-
-    def run(batches):
-        e, m = shared.value
-        for whole in batches:
-            for lo in range(0, len(whole), 4096):
-                b = whole.iloc[lo : lo + 4096]
-                x = e.matrix(b)
-                phi, base = m.shap(x)
-                yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), len(e.names)), "feature": e.names * len(b), "x": x.ravel(), "phi": phi.ravel(), "base": base})
-
-    return d.select(key, *enc[0], *enc[1]).mapInPandas(run, f"`{key}` long, feature string, x double, phi double, base double")
-
-
 def train_test(d: DataFrame, key: str, enc: tuple[list[str], list[str]], build) -> DataFrame:
     """Scores of the held-out fifth."""
     s = cut_lineage(stratified_split(d, key, LABEL))

@@ -1,210 +1,185 @@
-"""Model search: every pair of candidate and fold is one task, on a training sample of bounded size that all tasks share.
+"""Model search, comparison and calibration over all training rows: all candidates in all folds train in lockstep.
 
-The sample's bound is the parameter `limit` (rows, chosen by a hash of the key); tables below it are used whole. Encoders,
-oversampling and models see a fold's training rows only.
+Features are encoded once on the training rows given (medians, levels, means and bins, none of which sees the label);
+models see the rows of the other folds only. Oversampled rows are made from the rows of the other folds and seen by that fold's models only.
 """
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import boosting
-from .boosting import Boost, sigmoid
-from .features import stratified_folds, stratified_split
+from ..session import cut_lineage
+from . import lockstep, trees
+from .calibration import calibrated_scores, isotonic_blocks
+from .features import levels_of, stratified_folds, stratified_split
+from .lockstep import Logit
+from .models import smote
+from .ranges import cumulated, medians
+from .trees import MADE, Boost
 
-#: Rows of the shared training sample at most (expected).
-SAMPLE_ROWS = 50_000
 METRICS = ("roc_auc", "pr_auc", "f1", "recall", "brier")
+#: The base models: level-wise and leaf-wise trees with one budget, and a logistic model.
+BASE = {"logistic": Logit(), "level": Boost(trees=20, rate=0.3, depth=4, min_child=5.0, subsample=0.8, colsample=0.8), "leaf": Boost(trees=20, rate=0.3, depth=4, leaves=15, min_child=1e-3, min_rows=30, subsample=0.8, colsample=0.8)}
+#: Trees of a candidate in a search.
+SEARCH_TREES = 8
 
 
 @dataclass
-class Design:
-    """Standardised numbers (median-imputed) and one-hot levels (first dropped), fitted on some rows of a sample."""
+class Wide:
+    """Encoded features as plain numbers: imputed numbers, then levels as 0 and 1 (first one dropped)."""
 
     numeric: list[str]
     categorical: list[str]
 
-    def fit(self, d: pd.DataFrame) -> Design:
-        x = d[self.numeric].to_numpy(float)
-        self.median = np.array([np.nanmedian(c) if not np.isnan(c).all() else 0.0 for c in x.T])
-        x = np.where(np.isnan(x), self.median, x)
-        self.mean, sd = x.mean(0), x.std(0)
-        self.sd = np.where(sd > 0, sd, 1.0)
-        self.levels = {c: sorted(d[c].dropna().unique())[1:] for c in self.categorical}
+    def fit(self, d: DataFrame) -> Wide:
+        middle = medians(d, self.numeric)
+        self.middle = {c: middle[c] if middle[c] is not None else 0.0 for c in self.numeric}
+        self.levels = {c: levels_of(d, c)[1:] for c in self.categorical}
         self.names = [f"num__{c}" for c in self.numeric] + [f"cat__{c}_{v}" for c, vs in self.levels.items() for v in vs]
+        self.cols = [f"x{i}" for i in range(len(self.names))]
         return self
 
-    def matrix(self, d: pd.DataFrame) -> np.ndarray:
-        x = d[self.numeric].to_numpy(float)
-        x = (np.where(np.isnan(x), self.median, x) - self.mean) / self.sd
-        return np.column_stack([x, *((d[c] == v).to_numpy(float) for c, vs in self.levels.items() for v in vs)])
-
-
-def sample(d: DataFrame, key: str, enc: tuple[list[str], list[str]], folds: int, limit: int = SAMPLE_ROWS, label: str = "y") -> pd.DataFrame:
-    """The training sample with its folds, in the order of the key."""
-    n = d.count()
-    if n > limit:
-        d = d.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 20)) < int((1 << 20) * limit / n))
-    return stratified_folds(d.select(key, label, *enc[0], *enc[1]), key, label, folds).toPandas().sort_values(key, ignore_index=True)
-
-
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float, l1: bool, steps: int = 400) -> np.ndarray:
-    """Coefficients, the intercept last and not penalised: minimise c * weighted loss + |b| or b.b/2, by Newton steps or accelerated proximal gradient."""
-    a = np.column_stack([x, np.ones(len(x))])
-    free = np.append(np.ones(x.shape[1]), 0.0)
-    beta = np.zeros(a.shape[1])
-    if not l1:
-        for _ in range(50):
-            q = sigmoid(a @ beta)
-            grad = c * a.T @ (w * (q - y)) + free * beta
-            hess = c * (a * (w * q * (1 - q))[:, None]).T @ a + np.diag(free) + 1e-9 * np.eye(len(beta))
-            step = np.linalg.solve(hess, grad)
-            beta = beta - step
-            if np.abs(step).max() < 1e-8:
-                break
-        return beta
-    rate = 1 / max(1e-12, 0.25 * c * np.linalg.norm(a * np.sqrt(w)[:, None], 2) ** 2)
-    look, t = beta, 1.0
-    for _ in range(steps):
-        nxt = look - rate * c * a.T @ (w * (sigmoid(a @ look) - y))
-        nxt = np.where(free > 0, np.sign(nxt) * np.maximum(np.abs(nxt) - rate, 0), nxt)
-        s = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        look, moved = nxt + (t - 1) / s * (nxt - beta), np.abs(nxt - beta).max()
-        beta, t = nxt, s
-        if moved < 1e-8:
-            break
-    return beta
-
-
-def oversample(x: np.ndarray, y: np.ndarray, k: int = 5, ratio: float = 1.0, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """SMOTE: rows of the smaller class moved a random way to one of their k nearest, up to ratio times the larger class."""
-    small = int((y == 1).sum() * 2 <= len(y))
-    at = np.flatnonzero(y == small)
-    need = int(ratio * (len(y) - len(at))) - len(at)
-    if need <= 0 or len(at) < 2:
-        return x, y
-    m, rng = x[at], np.random.default_rng(seed)
-    k = min(k, len(at) - 1)
-    seeds = rng.integers(0, len(at), need)
-    near = np.empty((len(at), k), np.int64)
-    for lo in range(0, len(at), 1024):
-        dist = ((m[lo : lo + 1024, None, :] - m[None]) ** 2).sum(2) if len(at) * x.shape[1] < 1 << 16 else (m[lo : lo + 1024] ** 2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * m[lo : lo + 1024] @ m.T
-        dist[np.arange(len(dist)), np.arange(lo, lo + len(dist))] = np.inf
-        near[lo : lo + 1024] = np.argpartition(dist, k - 1, axis=1)[:, :k]
-    other = m[near[seeds, rng.integers(0, k, need)]]
-    made = m[seeds] + rng.random((need, 1)) * (other - m[seeds])
-    return np.concatenate([x, made]), np.concatenate([y, np.full(need, small)])
-
-
-def scores_of(y: np.ndarray, p: np.ndarray) -> dict[str, float]:
-    """Area under the ROC curve (ties count half), average precision, F1 and recall at 0.5, Brier score."""
-    order = np.argsort(-p, kind="stable")
-    v, t = p[order], y[order]
-    last = np.append(np.flatnonzero(np.diff(v)), len(v) - 1)
-    tp, n = np.cumsum(t)[last], last + 1
-    pos, neg = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    fp = n - tp
-    auc = float(np.trapezoid(np.append(0, tp) / pos, np.append(0, fp) / neg))
-    ap = float((np.diff(np.append(0, tp)) / pos * tp / n).sum())
-    hit = p >= 0.5
-    both = int((hit & (y == 1)).sum())
-    return {"roc_auc": auc, "pr_auc": ap, "f1": 2 * both / max(1, int(hit.sum()) + int(y.sum())), "recall": both / pos, "brier": float(((p - y) ** 2).mean())}
-
-
-def fit_predict(kind: str, params: dict, x: np.ndarray, y: np.ndarray, test: np.ndarray, seed: int = 42) -> np.ndarray:
-    """Scores of test rows by a model of `kind` (logistic, level, leaf); params may ask for a correction of the imbalance.
-
-    correction: none; weight (balanced classes for logistic, weight of positives for trees); smote with k and ratio.
-    """
-    params = dict(params)
-    correction, k, ratio = params.pop("correction", "smote"), params.pop("k", 5), params.pop("ratio", 1.0)
-    pos, neg = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    if correction == "smote":
-        x, y = oversample(x, y, k, ratio, seed)
-    if kind == "logistic":
-        w = np.where(y == 1, len(y) / (2 * pos), len(y) / (2 * neg)) if correction == "weight" else np.ones(len(y))
-        beta = logistic(x, y, w, params.get("c", 1.0), bool(params.get("l1", False)))
-        return sigmoid(test @ beta[:-1] + beta[-1])
-    p = replace(BASE[kind], **params, seed=seed)
-    return boosting.fit(x, y, replace(p, positive=neg / pos) if correction == "weight" else p).predict(test)
-
-
-#: The series' base models.
-BASE = {"level": Boost(trees=400, rate=0.05, depth=4, min_child=5.0, subsample=0.8, colsample=0.8, lam=1.0), "leaf": Boost(trees=400, rate=0.05, depth=4, leaves=15, min_child=1e-3, min_rows=30, subsample=0.8, colsample=0.8, lam=1.0)}
-
-
-def cross_validate(d: DataFrame, key: str, enc: tuple[list[str], list[str]], jobs: list[tuple[str, dict]], folds: int = 5, limit: int = SAMPLE_ROWS) -> DataFrame:
-    """(job, fold and the metrics) of every job (kind, params) in every fold."""
-    spark = d.sparkSession
-    shared = spark.sparkContext.broadcast(sample(d, key, enc, folds, limit))
-    tasks = spark.createDataFrame([(i, f, kind, json.dumps(p)) for i, (kind, p) in enumerate(jobs) for f in range(folds)], "job int, fold int, kind string, params string")
-
-    def run(batches):
-        rows = shared.value
-        y = rows["y"].to_numpy(int)
-        for b in batches:
-            out = []
-            for t in b.itertuples():
-                held = (rows["fold"] == t.fold).to_numpy()
-                if not held.any() or len(set(y[~held])) < 2:
-                    continue
-                e = Design(*enc).fit(rows[~held])
-                p = fit_predict(t.kind, json.loads(t.params), e.matrix(rows[~held]), y[~held], e.matrix(rows[held]))
-                out.append((t.job, t.fold, *(float(v) for v in scores_of(y[held], p).values())))
-            yield pd.DataFrame(out, columns=["job", "fold", *METRICS])
-
-    return tasks.repartition(len(jobs) * folds, "job", "fold").mapInPandas(run, "job int, fold int, " + ", ".join(f"{m} double" for m in METRICS))
+    def table(self, d: DataFrame, key: str, fold) -> DataFrame:
+        values = [F.coalesce(F.col(c).cast("double"), F.lit(self.middle[c])) for c in self.numeric]
+        values += [F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)) for c, vs in self.levels.items() for v in vs]
+        return d.select(F.col(key).cast("long").alias("mg_key"), F.col("y").cast("int").alias("y"), fold.cast("int").alias("mg_fold"), *(v.alias(c) for v, c in zip(values, self.cols, strict=True)))
+
+
+class Family:
+    """What a kind of model needs of the rows: standardised features for logistic models, bins for trees."""
+
+    def __init__(self, kind: str, wide: Wide, fitted_on: DataFrame):
+        self.kind, self.wide, self.width = kind, wide, len(wide.cols)
+        if kind == "logistic":
+            s = fitted_on.agg(*(x for c in wide.cols for x in (F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s")))).first()
+            self.scale = [(s[f"{c}_m"] or 0.0, s[f"{c}_s"] or 1.0) for c in wide.cols]
+        else:
+            self.binning = trees.Binning(wide.cols, []).fit(fitted_on)
+
+    def rows(self, table: DataFrame) -> DataFrame:
+        keep = ["mg_key", F.col("y").alias("mg_y"), "mg_fold"]
+        if self.kind == "logistic":
+            return cut_lineage(table.select(*keep, F.array(*((F.col(c) - m) / s for c, (m, s) in zip(self.wide.cols, self.scale, strict=True))).alias("mg_f")))
+        return cut_lineage(self.binning.encode(table, keep))
+
+    def fit(self, rows: DataFrame, jobs: list) -> list:
+        return (lockstep if self.kind == "logistic" else trees).fit_models(rows, self.width, jobs)
+
+    def predict(self, rows: DataFrame, models: list, held: list[int] | None = None) -> DataFrame:
+        return (lockstep if self.kind == "logistic" else trees).predict(rows, self.width, models, held)
+
+
+def encoded(d: DataFrame, key: str, enc: tuple[list[str], list[str]], folds: int) -> tuple[Wide, DataFrame]:
+    """The encoder and the wide table with its folds, written once."""
+    wide = Wide(*enc).fit(d)
+    return wide, cut_lineage(wide.table(stratified_folds(d.select(key, "y", *enc[0], *enc[1]), key, "y", folds), key, F.col("fold")))
+
+
+def metrics(scored: DataFrame) -> DataFrame:
+    """(job and METRICS) of scores (job, mg_y, p): ties count half for the area, F1 and recall at 0.5; all jobs in one plan."""
+    counts = cut_lineage(scored.groupBy(F.col("job").alias("mg_i"), F.col("p").alias("mg_v")).agg(F.count("*").alias("n"), F.sum(F.col("mg_y").cast("long")).alias("pos")))
+    rows = cumulated(counts, "n").withColumnsRenamed({"mg_upto": "n_upto", "mg_total": "n_all"})
+    hits = cumulated(counts, "pos").select("mg_i", "mg_v", F.col("mg_upto").alias("p_upto"), F.col("mg_total").alias("p_all"))
+    j = rows.join(hits, ["mg_i", "mg_v"])
+    tp, above = F.col("p_all") - F.col("p_upto") + F.col("pos"), F.col("n_all") - F.col("n_upto") + F.col("n")
+    p, n = F.col("p_all").cast("double"), F.col("n_all").cast("double")
+    u = F.sum(F.col("pos") * (F.col("n_upto") - (F.col("n") - 1) / 2.0)) - F.first(p) * (F.first(p) + 1) / 2
+    hit = F.col("mg_v") >= 0.5
+    both, called = F.sum(F.when(hit, F.col("pos")).otherwise(0)), F.sum(F.when(hit, F.col("n")).otherwise(0))
+    return j.groupBy(F.col("mg_i").alias("job")).agg(
+        F.try_divide(u, F.first(p) * (F.first(n) - F.first(p))).alias("roc_auc"),
+        F.sum(F.try_divide(F.col("pos").cast("double"), p) * tp / above).alias("pr_auc"),
+        F.try_divide(2.0 * both, called + F.first(p)).alias("f1"),
+        F.try_divide(both.cast("double"), F.first(p)).alias("recall"),
+        (F.sum(F.col("pos") * (1 - F.col("mg_v")) ** 2 + (F.col("n") - F.col("pos")) * F.col("mg_v") ** 2) / F.first(n)).alias("brier"),
+    )
+
+
+def cross_validate(family: Family, rows: DataFrame, points: list, folds: int) -> DataFrame:
+    """(point, fold and METRICS) of every point in every fold."""
+    held = [f for _ in points for f in range(folds)]
+    jobs = [replace(p, held=f) for p in points for f in range(folds)]
+    scored = family.predict(rows.where(F.col("mg_fold") < MADE), family.fit(rows, jobs), held)
+    return metrics(scored).select(F.floor(F.col("job") / folds).cast("int").alias("point"), (F.col("job") % folds).alias("fold"), *METRICS)
+
+
+def positive_weight(table: DataFrame, ratio: float) -> float:
+    """The weight of positive rows that brings the smaller class to `ratio` times the larger one."""
+    n = {r.y: r["count"] for r in table.where(F.col("mg_fold") < MADE).groupBy("y").count().collect()}
+    pos, neg = max(1, n.get(1, 0)), max(1, n.get(0, 0))
+    return max(1.0, ratio * neg / pos) if pos <= neg else 1 / max(1.0, ratio * pos / neg)
+
+
+def with_oversampled(wide: Wide, table: DataFrame, folds: int, k: int = 5, ratio: float = 1.0) -> DataFrame:
+    """The table and, for each fold, the rows that oversampling makes of the other folds (as fold MADE + fold)."""
+    out = table
+    for f in range(folds):
+        other = table.where(F.col("mg_fold") != f)
+        made = smote(other, "mg_key", wide.cols, k, ratio).where("mg_key is null")
+        number = F.lit(-1) - F.monotonically_increasing_id()
+        out = out.unionByName(made.select(number.alias("mg_key"), "y", F.lit(MADE + f).alias("mg_fold"), *wide.cols))
+    return cut_lineage(out)
 
 
 def strategies(d: DataFrame, key: str, enc: tuple[list[str], list[str]], kind: str, folds: int = 5) -> DataFrame:
-    """No correction, class weights and SMOTE under the same folds: mean of each metric."""
-    names = {"none": "no_correction", "weight": "class_weight" if kind == "logistic" else "scale_pos_weight", "smote": "smote"}
-    got = cross_validate(d, key, enc, [(kind, {"correction": c}) for c in names], folds)
-    label = F.element_at(F.array(*(F.lit(n) for n in names.values())), F.col("job") + 1)
-    return got.groupBy(label.alias("strategy")).agg(*(F.avg(m).alias(m) for m in METRICS))
+    """No correction, class weights and oversampling under the same folds: mean of each metric."""
+    wide, table = encoded(d, key, enc, folds)
+    family = Family(kind, wide, table)
+    rows = family.rows(with_oversampled(wide, table, folds))
+    weight = positive_weight(table, 1.0)
+    named = {"no_correction": {}, ("class_weight" if kind == "logistic" else "scale_pos_weight"): {"balanced": True} if kind == "logistic" else {"positive": weight}, "smote": {"made": True}}
+    found = cross_validate(family, rows, [replace(BASE[kind], **p) for p in named.values()], folds)
+    label = F.element_at(F.array(*map(F.lit, named)), F.col("point") + 1)
+    return found.groupBy(label.alias("strategy")).agg(*(F.avg(m).alias(m) for m in METRICS))
 
 
 def candidates(kind: str, n: int = 40, seed: int = 42) -> list[dict]:
-    """Draws from the series' search spaces, oversampling included."""
+    """Draws from the search spaces; ratio: how far class weights raise the smaller class."""
     rng = np.random.default_rng(seed)
     log = lambda a, b: float(np.exp(rng.uniform(np.log(a), np.log(b))))
     out = []
     for _ in range(n):
-        p = {"k": int(rng.choice([3, 5, 7, 9, 11])), "ratio": float(rng.choice([0.4, 0.6, 0.8, 1.0]))}
+        p = {"ratio": float(rng.choice([0.4, 0.6, 0.8, 1.0]))}
         if kind == "logistic":
             p |= {"c": log(1e-4, 1e3), "l1": bool(rng.integers(0, 2))}
         else:
-            p |= {"trees": int(rng.integers(200, 800)), "rate": log(0.01, 0.3), "depth": int(rng.integers(3, 9)), "subsample": float(rng.uniform(0.6, 1.0)), "colsample": float(rng.uniform(0.6, 1.0)), "lam": log(0.1, 30)}
-            p |= {"min_child": float(rng.integers(1, 13)), "gamma": log(1e-3, 5)} if kind == "level" else {"leaves": int(rng.integers(8, 64)), "min_rows": int(rng.integers(10, 80))}
+            p |= {"rate": log(0.05, 0.6), "subsample": float(rng.uniform(0.6, 1.0)), "colsample": float(rng.uniform(0.6, 1.0)), "lam": log(0.1, 30)}
+            p |= {"depth": int(rng.integers(2, 5)), "min_child": float(rng.integers(1, 13)), "gamma": log(1e-3, 5)} if kind == "level" else {"leaves": int(rng.integers(4, 16)), "min_rows": int(rng.integers(10, 80))}
         out.append(p)
     return out
 
 
-def refined(kind: str, best: dict) -> list[dict]:
-    """The grid around a winner: its neighbours on the axes that matter most, each set sorted and without repeats; the rest is frozen."""
-    if kind == "logistic":
-        axes = {"c": sorted({round(10 ** (np.log10(best["c"]) + s), 6) for s in (-0.5, -0.25, 0.0, 0.25, 0.5)}), "k": sorted({max(2, best["k"] - 2), best["k"], best["k"] + 2}), "ratio": sorted({max(0.3, round(best["ratio"] - 0.2, 1)), best["ratio"], min(1.0, round(best["ratio"] + 0.2, 1))})}
-    else:
-        axes = {"rate": sorted({round(best["rate"] * s, 4) for s in (0.5, 1.0, 2.0)})}
-        axes |= {"depth": sorted({max(2, best["depth"] - 1), best["depth"], best["depth"] + 1}), "min_child": sorted({max(1.0, best["min_child"] - 3), best["min_child"], best["min_child"] + 3})} if kind == "level" else {"leaves": sorted({max(4, best["leaves"] - 8), best["leaves"], best["leaves"] + 8}), "min_rows": sorted({max(5, best["min_rows"] - 15), best["min_rows"], best["min_rows"] + 15})}
-    grid = [best]
-    for name, values in axes.items():
-        grid = [g | {name: v} for g in grid for v in values]
+#: The parameters that a refinement moves; the others keep the winner's values.
+AXES = {"logistic": ("c", "ratio"), "level": ("rate", "min_child", "lam"), "leaf": ("rate", "min_rows", "lam")}
+
+
+def refined(kind: str, drawn: list[dict], winner: int) -> list[dict]:
+    """The winner and the points half way (in logarithms) to the next drawn value below and above it, on each axis."""
+    grid = [drawn[winner]]
+    for axis in AXES[kind]:
+        here, others = drawn[winner][axis], sorted({p[axis] for p in drawn})
+        beside = [max((v for v in others if v < here), default=here), min((v for v in others if v > here), default=here)]
+        values = sorted({here, *(float(np.sqrt(here * v)) for v in beside)})
+        grid = [g | {axis: v} for g in grid for v in values]
     return grid
 
 
 def ranked(d: DataFrame, key: str, enc: tuple[list[str], list[str]], kind: str, points: list[dict], folds: int = 5) -> DataFrame:
     """(candidate, mean_auc, std_auc and the parameters) of every point."""
-    got = cross_validate(d, key, enc, [(kind, p) for p in points], folds).groupBy(F.col("job").alias("candidate")).agg(F.avg("roc_auc").alias("mean_auc"), F.stddev_pop("roc_auc").alias("std_auc"))
+    wide, table = encoded(d, key, enc, folds)
+    family = Family(kind, wide, table)
+    weight = {r: positive_weight(table, r) for r in {p["ratio"] for p in points}}
+    size = {} if kind == "logistic" else {"trees": SEARCH_TREES}
+    whole = lambda p: {k: int(round(v)) if k in ("min_rows", "leaves", "depth") else v for k, v in p.items() if k != "ratio"}
+    found = cross_validate(family, family.rows(table), [replace(BASE[kind], **whole(p), **size, positive=weight[p["ratio"]]) for p in points], folds)
+    got = found.groupBy(F.col("point").alias("candidate")).agg(F.avg("roc_auc").alias("mean_auc"), F.stddev_pop("roc_auc").alias("std_auc"))
     names = sorted(points[0])
-    table = d.sparkSession.createDataFrame([(i, *(float(p[n]) for n in names)) for i, p in enumerate(points)], "candidate int, " + ", ".join(f"{n} double" for n in names))
-    return got.join(F.broadcast(table), "candidate")
+    listed = d.sparkSession.createDataFrame([(i, *(float(p[n]) for n in names)) for i, p in enumerate(points)], "candidate int, " + ", ".join(f"{n} double" for n in names))
+    return got.join(F.broadcast(listed), "candidate")
 
 
 def top(found: DataFrame, n: int = 5) -> DataFrame:
@@ -213,111 +188,53 @@ def top(found: DataFrame, n: int = 5) -> DataFrame:
 
 
 def two_stage(d: DataFrame, key: str, enc: tuple[list[str], list[str]], kind: str, n: int = 40, folds: int = 5) -> DataFrame:
-    """The grid around the best of n random candidates."""
-    points = candidates(kind, n)
-    winner = top(ranked(d, key, enc, kind, points, folds), 1).first()
-    return ranked(d, key, enc, kind, refined(kind, points[winner["candidate"]]), folds)
-
-
-def trained(d: DataFrame, key: str, enc: tuple[list[str], list[str]], kind: str = "level", limit: int = SAMPLE_ROWS, **params) -> tuple[Design, object]:
-    """Encoder and model of the sample's rows, trained in one task."""
-    rows = sample(d, key, enc, 2, limit)
-    shared = d.sparkSession.sparkContext.broadcast(rows)
-    p = replace(BASE[kind], **params)
-
-    def run(_):
-        import pickle
-
-        e = Design(*enc).fit(shared.value)
-        yield pickle.dumps((e, boosting.fit(e.matrix(shared.value), shared.value["y"].to_numpy(int), p)))
-
-    def batches(it):
-        for _ in it:
-            yield pd.DataFrame({"m": list(run(None))})
-
-    import pickle
-
-    one = d.sparkSession.range(1, numPartitions=1).mapInPandas(batches, "m binary").first()
-    return pickle.loads(one["m"])
-
-
-def scored(d: DataFrame, key: str, enc: tuple[list[str], list[str]], models: list[tuple[Design, object]], maps: list | None = None) -> DataFrame:
-    """(key, y, p) of every row: the mean of the models' scores, each through its calibration map."""
-    shared = d.sparkSession.sparkContext.broadcast((models, maps))
-
-    def run(batches):
-        models, maps = shared.value
-        for b in batches:
-            p = np.zeros(len(b))
-            for i, (e, m) in enumerate(models):
-                s = m.predict(e.matrix(b))
-                p += np.interp(s, *maps[i]) if maps else s
-            yield pd.DataFrame({key: b[key], "y": b["y"], "p": p / len(models)})
-
-    return d.select(key, F.col("y").cast("int").alias("y"), *enc[0], *enc[1]).mapInPandas(run, f"`{key}` long, y int, p double")
-
-
-def isotonic(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The non-decreasing step map of least squares from p to y, as points to interpolate between: pool adjacent violators."""
-    v, back = np.unique(p, return_inverse=True)
-    blocks: list[list[float]] = []
-    for i, (s, n) in enumerate(zip(np.bincount(back, y), np.bincount(back), strict=True)):
-        blocks.append([s, n, i, i])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            s, n, _, hi = blocks.pop()
-            blocks[-1][0] += s
-            blocks[-1][1] += n
-            blocks[-1][3] = hi
-    x = np.array([v[i] for _, _, a, b in blocks for i in ((a, b) if a < b else (a,))])
-    f = np.array([s / n for s, n, a, b in blocks for _ in range(2 if a < b else 1)])
-    return x, f
-
-
-def calibrated(d: DataFrame, key: str, enc: tuple[list[str], list[str]], folds: int = 5, kind: str = "level", limit: int = SAMPLE_ROWS) -> DataFrame:
-    """Scores of all rows by `folds` pairs of model and isotonic map, averaged; each map is fitted on the rows its model hasn't seen."""
-    import pickle
-
-    spark = d.sparkSession
-    shared = spark.sparkContext.broadcast(sample(d, key, enc, folds, limit))
-
-    def run(batches):
-        rows = shared.value
-        y = rows["y"].to_numpy(int)
-        for b in batches:
-            out = []
-            for f in b["fold"]:
-                held = (rows["fold"] == f).to_numpy()
-                if not held.any() or len(set(y[~held])) < 2:
-                    continue
-                e = Design(*enc).fit(rows[~held])
-                x, t = oversample(e.matrix(rows[~held]), y[~held])
-                m = boosting.fit(x, t, BASE[kind])
-                out.append(pickle.dumps((e, m, isotonic(m.predict(e.matrix(rows[held])), y[held]))))
-            yield pd.DataFrame({"m": out})
-
-    got = [pickle.loads(r["m"]) for r in spark.range(folds).select(F.col("id").cast("int").alias("fold")).repartition(folds, "fold").mapInPandas(run, "m binary").collect()]
-    got.sort(key=lambda t: t[0].mean.tolist())
-    return scored(d, key, enc, [(e, m) for e, m, _ in got], [c for _, _, c in got])
-
-
-def model_table(d: DataFrame, key: str, enc: tuple[list[str], list[str]], kinds: tuple[str, ...] = ("logistic", "level", "leaf"), folds: int = 5, limit: int = SAMPLE_ROWS) -> DataFrame:
+    """The refinement around the best of n random candidates."""
+    drawn = candidates(kind, n)
+    winner = top(ranked(d, key, enc, kind, drawn, folds), 1).first()
+    return ranked(d, key, enc, kind, refined(kind, drawn, winner["candidate"]), folds)
+
+
+def trained(d: DataFrame, key: str, enc: tuple[list[str], list[str]], kind: str = "level", **params) -> tuple[Wide, Family, DataFrame, object]:
+    """Encoder, family, the encoded rows of d and the base model trained on all of them."""
+    wide, table = encoded(d, key, enc, 2)
+    family = Family(kind, wide, table)
+    rows = family.rows(table)
+    return wide, family, rows, family.fit(rows, [replace(BASE[kind], **params)])[0]
+
+
+def scores(fitted: tuple[Wide, Family, DataFrame, object], key: str) -> DataFrame:
+    """(key, y, p) of the rows a model was trained on."""
+    _, family, rows, model = fitted
+    return family.predict(rows, [model]).select(F.col("mg_key").alias(key), F.col("mg_y").alias("y"), "p")
+
+
+def calibrated(d: DataFrame, key: str, enc: tuple[list[str], list[str]], folds: int = 5, kind: str = "level") -> DataFrame:
+    """Scores of all rows by `folds` pairs of model and isotonic map, averaged; each map is fitted on the fold its model hasn't seen."""
+    wide, table = encoded(d, key, enc, folds)
+    family = Family(kind, wide, table)
+    rows = family.rows(table)
+    models = family.fit(rows, [replace(BASE[kind], held=f) for f in range(folds)])
+    every = cut_lineage(family.predict(rows, models).join(rows.select("mg_key", "mg_fold"), "mg_key"))
+    parts = None
+    for f in range(folds):
+        own = every.where(F.col("job") == f)
+        one = calibrated_scores(own, isotonic_blocks(own.where(F.col("mg_fold") == f), "p", "mg_y"))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts.groupBy(F.col("mg_key").alias(key), F.col("mg_y").alias("y")).agg(F.avg("calibrated").alias("p"))
+
+
+def model_table(d: DataFrame, key: str, enc: tuple[list[str], list[str]], kinds: tuple[str, ...] = ("logistic", "level", "leaf"), folds: int = 5) -> DataFrame:
     """Model families under one protocol: mean and spread of the folds' AUC on the training part, and metrics on the held-out fifth."""
-    spark = d.sparkSession
-    split = stratified_split(d, key, "y")
-    cv = cross_validate(split.where("is_test = 0").drop("is_test"), key, enc, [(k, {}) for k in kinds], folds, limit)
-    shared = spark.sparkContext.broadcast(sample(split.withColumnRenamed("is_test", "mg_test"), key, (enc[0], [*enc[1], "mg_test"]), folds, limit))
-    names = F.array(*(F.lit(k) for k in kinds))
-
-    def run(batches):
-        rows = shared.value
-        held, y = (rows["mg_test"] == 1).to_numpy(), rows["y"].to_numpy(int)
-        for b in batches:
-            out = []
-            for job in b["job"]:
-                if held.any() and len(set(y[~held])) > 1:
-                    e = Design(*enc).fit(rows[~held])
-                    out.append((job, *scores_of(y[held], fit_predict(kinds[job], {}, e.matrix(rows[~held]), y[~held], e.matrix(rows[held]))).values()))
-            yield pd.DataFrame(out, columns=["job", *METRICS])
-
-    test = spark.range(len(kinds)).select(F.col("id").cast("int").alias("job")).repartition(len(kinds), "job").mapInPandas(run, "job int, " + ", ".join(f"{m} double" for m in METRICS))
-    return cv.groupBy("job").agg(F.avg("roc_auc").alias("cv_auc"), F.stddev_pop("roc_auc").alias("cv_std")).join(test, "job").select(F.element_at(names, F.col("job") + 1).alias("model"), "cv_auc", "cv_std", *METRICS)
+    split = cut_lineage(stratified_split(d, key, "y"))
+    wide, table = encoded(split.where("is_test = 0").drop("is_test"), key, enc, folds)
+    test = wide.table(split.where("is_test = 1"), key, F.lit(-1))
+    out = None
+    for kind in kinds:
+        family = Family(kind, wide, table)
+        rows = family.rows(table)
+        jobs = [replace(BASE[kind], held=f) for f in range(-1, folds)]
+        models = family.fit(rows, jobs)
+        cv = metrics(family.predict(rows, models[1:], list(range(folds)))).agg(F.avg("roc_auc").alias("cv_auc"), F.stddev_pop("roc_auc").alias("cv_std"))
+        one = cv.crossJoin(metrics(family.predict(family.rows(test), models[:1]))).select(F.lit(kind).alias("model"), "cv_auc", "cv_std", *METRICS)
+        out = one if out is None else out.unionByName(one)
+    return out

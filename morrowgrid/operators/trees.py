@@ -24,8 +24,8 @@ from ..session import cut_lineage
 from .features import levels_of
 from .ranges import _count_below, medians, quantiles_of
 
-#: Bins of a number, trees after which margins are written, and the fixed-point unit of gradients.
-BINS, WRITE_EVERY, UNIT = 64, 8, 1 << 24
+#: Bins of a number, trees after which margins are written, the fixed-point unit of gradients, and histogram cells that a task holds at once.
+BINS, WRITE_EVERY, UNIT, CELLS = 64, 8, 1 << 24, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,8 @@ class Boost:
     """leaves = 0 keeps all splits down to `depth`; otherwise the best ones until there are `leaves`, never below `depth`.
 
     min_child bounds a child's sum of second derivatives, min_rows its rows; gamma is what a split must gain at least,
-    lam the ridge on leaf values, positive the weight of positive rows. held: a fold whose rows the model doesn't see.
+    lam the ridge on leaf values, positive the weight of positive rows. held: a fold whose rows the model doesn't see; made: whether it
+    sees the rows that were made of the other folds (see `seen`).
     """
 
     trees: int = 20
@@ -49,6 +50,7 @@ class Boost:
     positive: float = 1.0
     seed: int = 42
     held: int = -1
+    made: bool = False
 
 
 @dataclass
@@ -109,6 +111,15 @@ class Model:
         return phi, base
 
 
+#: Folds from this number on hold made rows: those of fold MADE + f are for models that don't see fold f.
+MADE = 1000
+
+
+def seen(fold, held: int, made: bool):
+    """Which rows a model sees: all but those of the fold held out, and made rows only if they are its own and it takes them."""
+    return (fold != held) & (fold < MADE) | (fold == MADE + held) & made
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
@@ -164,7 +175,7 @@ def fit_models(rows: DataFrame, width: int, jobs: list[Boost], bins: int = BINS
     tally = {(r.mg_fold, r.mg_y): r.n for r in rows.groupBy("mg_fold", "mg_y").agg(F.count("*").alias("n")).collect()}
     models = []
     for p in jobs:
-        pos, neg = (sum(n for (fold, y), n in tally.items() if fold != p.held and y == k) for k in (1, 0))
+        pos, neg = (sum(n for (fold, y), n in tally.items() if seen(fold, p.held, p.made) and y == k) for k in (1, 0))
         mean = min(max(pos * p.positive / max(pos * p.positive + neg, 1e-12), 1e-6), 1 - 1e-6)
         models.append(Model(math.log(mean / (1 - mean))))
     state, written = rows.withColumn("mg_m", F.array().cast("array<double>")), 0
@@ -188,7 +199,7 @@ def fit_models(rows: DataFrame, width: int, jobs: list[Boost], bins: int = BINS
                 x = _matrix(b.column("mg_x"), width)
                 for j, nodes in open_nodes.items():
                     p = jobs[j]
-                    used = (fold != p.held) & (_drawn(key, p.subsample, p.seed, number) if p.subsample < 1 else True)
+                    used = seen(fold, p.held, p.made) & (_drawn(key, p.subsample, p.seed, number) if p.subsample < 1 else True)
                     place = np.full(len(grown[j].feature), -1)
                     place[nodes] = np.arange(len(nodes))
                     at = place[grown[j].leaf_of(x)]
@@ -231,7 +242,8 @@ def fit_models(rows: DataFrame, width: int, jobs: list[Boost], bins: int = BINS
         frontier, level = {j: [0] for j in live}, 0
         while frontier:
             best: dict[tuple[int, int], tuple] = {}
-            for r in sorted(grow(number, trees, frontier, columns), key=lambda r: (r.job, r.node, r.feature)):
+            found = [r for part in _groups(frontier, width * bins) for r in grow(number, trees, part, columns)]
+            for r in sorted(found, key=lambda r: (r.job, r.node, r.feature)):
                 if (r.job, r.node) not in best or r.gain > best[r.job, r.node].gain:
                     best[r.job, r.node] = r
             following: dict[int, list[int]] = {}
@@ -264,6 +276,20 @@ def fit_models(rows: DataFrame, width: int, jobs: list[Boost], bins: int = BINS
     return models
 
 
+def _groups(frontier: dict[int, list[int]], cells: int) -> list[dict[int, list[int]]]:
+    """The open nodes in groups of about CELLS histogram cells."""
+    out, used = [{}], 0
+    for j, nodes in frontier.items():
+        for a in range(0, len(nodes), max(1, CELLS // cells)):
+            part = nodes[a : a + max(1, CELLS // cells)]
+            if used and used + len(part) * cells > CELLS:
+                out.append({})
+                used = 0
+            out[-1].setdefault(j, []).extend(part)
+            used += len(part) * cells
+    return out
+
+
 def _best(s: np.ndarray, p: Boost) -> tuple:
     """(gain, bin, left G, H, n, all G, H, n) of the best split of a feature; gain -inf if none is allowed."""
     left, whole = np.cumsum(s, axis=1), s.sum(1)

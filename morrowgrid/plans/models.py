@@ -10,10 +10,12 @@ from ..operators import features as ft
 from ..operators import models as md
 from ..operators import profile as pr
 from ..operators import search as se
+from ..operators.calibration import isotonic_blocks
+from ..operators.trees import attributions
 from ..session import cut_lineage
 from .audits import RFM_SQL
 from .registry import query, with_views
-from .views import CHURN, CLEAN, TXN, churn, clean_txn, vectors
+from .views import CHURN, CLEAN, SCORED, TXN, churn, clean_txn, scored, vectors
 
 # ---- vectors ---------------------------------------------------------------
 
@@ -227,11 +229,11 @@ def imbalance_leafwise(spark, sf):
 
 def _search(kind: str):
     def top5(spark, sf):
-        """The five best of 40 random candidates in 5 folds."""
+        """The five best of 40 random candidates in 5 folds, all in lockstep."""
         return se.top(se.ranked(_training(spark, sf), "customer_id", ENC, kind, se.candidates(kind)))
 
     def grid(spark, sf):
-        """The whole refinement grid around the best of 40 random candidates."""
+        """The refinement around the best of 40 random candidates."""
         return se.two_stage(_training(spark, sf), "customer_id", ENC, kind)
 
     return top5, grid
@@ -243,6 +245,14 @@ for _name, _kind in (("", "logistic"), ("boosted_", "level"), ("leafwise_", "lea
     query(f"{_name}grid_refine")(_grid)
 
 
+@query("isotonic_map", with_views("""SELECT min(p) AS lo, max(p) AS hi, round(v, 6) AS value, CAST(sum(n) AS BIGINT) AS n FROM (SELECT i, p, n, max(low) AS v FROM (
+    SELECT a.i AS a, b.i AS i, b.p, b.n, min((b.s - a.s + a.pos) / (b.m - a.m + a.n)) OVER (PARTITION BY a.i ORDER BY b.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low FROM c a JOIN c b ON b.i >= a.i)
+    GROUP BY i, p, n) GROUP BY v""", SCORED, ("c", "SELECT row_number() OVER (ORDER BY p) AS i, p, pos, n, sum(pos) OVER (ORDER BY p) AS s, sum(n) OVER (ORDER BY p) AS m FROM (SELECT p, CAST(sum(y) AS DOUBLE) AS pos, CAST(count(*) AS DOUBLE) AS n FROM scored GROUP BY p)")))
+def isotonic_map(spark, sf):
+    """The blocks of the isotonic regression of outcomes on scores; in SQL by the min-max formula."""
+    return isotonic_blocks(scored(spark, sf)).select("lo", "hi", F.round("value", 6).alias("value"), "n")
+
+
 @query("isotonic_calibrated")
 def isotonic_calibrated(spark, sf):
     """Five pairs of boosted model and isotonic map, averaged."""
@@ -250,21 +260,18 @@ def isotonic_calibrated(spark, sf):
 
 
 def _boosted(spark, sf, kind: str = "level"):
-    d = _data(spark, sf)
-    return se.trained(d, "customer_id", ENC, kind), d
+    return se.trained(_data(spark, sf), "customer_id", ENC, kind)
 
 
 @query("gbt_scores")
 def gbt_scores(spark, sf):
-    """Scores of all customers by 400 level-wise trees."""
-    m, d = _boosted(spark, sf)
-    return se.scored(d, "customer_id", ENC, [m])
+    """Scores of all customers by level-wise trees that are trained on all of them."""
+    return se.scores(_boosted(spark, sf), "customer_id")
 
 
 @query("leafwise_scores")
 def leafwise_scores(spark, sf):
-    m, d = _boosted(spark, sf, "leaf")
-    return se.scored(d, "customer_id", ENC, [m])
+    return se.scores(_boosted(spark, sf, "leaf"), "customer_id")
 
 
 @query("gbt_distributed")
@@ -290,14 +297,15 @@ def shap_mean_abs(spark, sf):
 
 @query("shap_tree")
 def shap_tree(spark, sf):
-    m, d = _boosted(spark, sf)
-    return md.tree_shap(m, d, "customer_id", ENC)
+    wide, _, rows, model = _boosted(spark, sf)
+    return attributions(rows, wide.names, model, "customer_id")
 
 
 @query("gain_importance")
 def gain_importance(spark, sf):
-    m, _ = _boosted(spark, sf)
-    return md.gain_importance(m, spark)
+    """Mean gain per split of each feature."""
+    wide, _, _, model = _boosted(spark, sf)
+    return spark.createDataFrame([(wide.names[f], g, n) for f, g, n in model.gains()], "feature string, gain double, n_splits int")
 
 
 @query("event_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL")

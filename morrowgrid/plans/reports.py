@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.expressions import base_feature
 from ..operators import causal as cs
 from ..operators import cluster as cl
 from ..operators import features as ft
 from ..operators import models as md
 from ..operators import profile as pr
 from ..operators import quality as ql
+from ..operators import search as se
 from ..operators import stats as st
+from ..operators.trees import attributions
 from ..session import cut_lineage
 from .audits import RFM_SQL
-from .models import _D, _V, ENC, _boosted, _data
+from .models import _D, _V, ENC, _data
 from .registry import query, with_views
 from .scores import _COV, _WC, _smd
 from .views import CAUSAL, CHURN, CLEAN, LOANS, TXN, causal, clean_txn, loans, vectors
@@ -94,10 +97,11 @@ def shap_by_level(spark, sf):
 @query("rank_model_vs_statistics")
 def rank_model_vs_statistics(spark, sf):
     """Agreement of five importance measures over source columns: information value, Cramer's V, mutual information, mean |SHAP| and gain."""
-    m, d = _boosted(spark, sf)
-    base = md.base_feature(F.col("feature"), ENC[1])
-    gain = md.gain_importance(m, spark).groupBy(base.alias("feature")).agg(F.sum("gain").alias("gain"))
-    shap = md.mean_abs_shap(md.tree_shap(m, d, "customer_id", ENC), ENC[1]).withColumnRenamed("importance", "mean_abs_shap")
+    d = _data(spark, sf)
+    wide, _, rows, model = se.trained(d, "customer_id", ENC)
+    base = lambda c: base_feature(F.col(c), ENC[1])
+    gains = spark.createDataFrame([(wide.names[f], g * n) for f, g, n in model.gains()], "feature string, gain double").groupBy(base("feature").alias("feature")).agg(F.sum("gain").alias("gain"))
+    shap = md.mean_abs_shap(attributions(rows, wide.names, model, "customer_id"), ENC[1]).withColumnRenamed("importance", "mean_abs_shap")
     stat = st.association_table(d, *ENC, "y").select("feature", "iv", "cramers_v", "mutual_info")
-    both = cut_lineage(stat.join(gain, "feature", "left").join(shap, "feature", "left").fillna(0.0, ["gain", "mean_abs_shap"]))  # a row per feature, read several times below
+    both = stat.join(gains, "feature", "left").join(shap, "feature", "left").fillna(0.0, ["gain", "mean_abs_shap"])  # a row per feature
     return st.rank_agreement(both, ["iv", "cramers_v", "mutual_info", "mean_abs_shap", "gain"])
