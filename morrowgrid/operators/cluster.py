@@ -344,17 +344,67 @@ def knife_plot(v: DataFrame, label: str = "label") -> DataFrame:
     return with_position(s, "silhouette", "id", ["label"])
 
 
-#: Points from which k-means draws its starting centres (expected; a stated bound).
-SEED_POINTS = 8192
+#: Rounds in which candidates for starting centres are drawn, and how many a round draws (expected) for each centre.
+SEED_ROUNDS, OVERSAMPLE = 4, 4
 
 
-def _start(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++: each next centre is drawn in proportion to the squared distance to those there are."""
-    at = [int(rng.integers(len(x)))]
+def _candidates(d: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates for starting centres, drawn over all rows, and how many rows are nearest to each.
+
+    The first is drawn by a hash; in each round a row is drawn with a chance in proportion to its squared distance to
+    the candidates so far. The driver holds OVERSAMPLE * k a round (expected), and k at least if there are as many different rows.
+    """
+    sc, u = d.sparkSession.sparkContext, lambda r: (F.pmod(F.xxhash64("features", F.lit(r)), F.lit(1 << 30)) / float(1 << 30)).alias("u")
+    first = d.orderBy(F.xxhash64("features", F.lit(5)), "features").limit(1).collect()
+    c = np.array([r["features"] for r in first])
+    if not len(c):
+        return c, np.zeros(0)
+
+    def squares(p: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.maximum((p * p).sum(1)[:, None] - 2 * p @ c.T + (c * c).sum(1)[None], 0)
+
+    for r in range(SEED_ROUNDS):
+        shared = sc.broadcast(c)
+
+        def cost(batches, shared=shared):
+            for b in batches:
+                yield pd.DataFrame({"s": [squares(np.array(b["features"].tolist()), shared.value).min(1).sum()]})
+
+        total = d.mapInPandas(cost, "s double").agg(F.sum("s").alias("s")).first().s or 0.0
+        if total <= 0:
+            break
+
+        def draw(batches, shared=shared, total=total):
+            for b in batches:
+                near = squares(np.array(b["features"].tolist()), shared.value).min(1)
+                yield b[["features"]][b["u"].to_numpy() < OVERSAMPLE * k * near / total]
+
+        more = d.select("features", u(r)).mapInPandas(draw, "features array<double>").distinct().collect()
+        if more:
+            c = np.unique(np.concatenate([c, np.array([m["features"] for m in more])]), axis=0)
+    if len(c) < k:
+        some = d.distinct().orderBy(F.xxhash64("features", F.lit(6)), "features").limit(2 * k).collect()
+        c = np.unique(np.concatenate([c, np.array([m["features"] for m in some])]), axis=0)
+    shared = sc.broadcast(c)
+
+    def count(batches):
+        for b in batches:
+            at, n = np.unique(squares(np.array(b["features"].tolist()), shared.value).argmin(1), return_counts=True)
+            yield pd.DataFrame({"at": at, "n": n})
+
+    weight = np.zeros(len(c))
+    for r in d.mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        weight[r["at"]] = r["n"]
+    return c, weight
+
+
+def _start(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ on weighted points: each next centre is drawn in proportion to weight and squared distance to those there are."""
+    at = [int(rng.choice(len(x), p=w / w.sum()))]
     near = ((x - x[at[0]]) ** 2).sum(1)
     for _ in range(1, k):
-        total = near.sum()
-        at.append(int(rng.choice(len(x), p=near / total)) if total > 0 else int(rng.integers(len(x))))
+        p = np.maximum(w, 1e-9) * near
+        at.append(int(rng.choice(len(x), p=p / p.sum())) if p.sum() > 0 else int(rng.integers(len(x))))
         near = np.minimum(near, ((x - x[at[-1]]) ** 2).sum(1))
     return x[at]
 
@@ -363,17 +413,20 @@ def kmeans_many(v: DataFrame, ks: list[int], restarts: int = 10, rounds: int = 3
     """The best of `restarts` starts for each k: {k: (centres in the order of their coordinates, inertia)}.
 
     All starts of all k move in lockstep: a round is one pass over the points, and a task sends sums for each centre,
-    whatever its rows; they are added up in a few tasks before they meet the driver.
+    whatever its rows; they are added up in a few tasks before they meet the driver. Starts are drawn from candidates that
+    oversampling rounds find over all rows.
     """
     d = v.select("features").persist()
     try:
-        n = d.count()
-        some = d.where(F.pmod(F.xxhash64("features", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SEED_POINTS / max(n, 1)))).collect()
-        x = np.array(sorted(r["features"] for r in some) or [r["features"] for r in d.limit(1).collect()])
+        x, w = _candidates(d, max(ks, default=1))
+        if not len(x):
+            return {}
         rng = np.random.default_rng(seed)
         names = [(k, r) for k in ks for r in range(restarts) if k <= len(x)]
-        centres = [_start(x, k, rng) for k, _ in names]
-        dim, limit = x.shape[1], tol * float(x.var(0).mean())
+        centres = [_start(x, w, k, rng) for k, _ in names]
+        dim = x.shape[1]
+        # a share of the rows' mean variance, from the candidates' weights
+        limit = tol * float((w[:, None] * (x - np.average(x, axis=0, weights=w)) ** 2).sum(0).mean() / w.sum())
         active, inertia = list(range(len(names))), np.full(len(names), np.inf)
 
         def sums(now: list[np.ndarray]):

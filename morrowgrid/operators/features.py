@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import keyed_hash, r6, ratio
-from .ranges import medians
+from .ranges import medians, numbered
 
 
 def rfm(clean: DataFrame) -> DataFrame:
@@ -51,9 +51,9 @@ def levels_of(df: DataFrame, col: str) -> list:
 
 
 def category_codes(df: DataFrame, col: str, name: str) -> DataFrame:
-    """Codes of the sorted levels from 0; null is -1. Only distinct levels are ordered."""
-    codes = df.where(F.col(col).isNotNull()).select(col).distinct().withColumn(name, F.row_number().over(W.orderBy(col)) - 1)
-    return df.join(F.broadcast(codes), col, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
+    """Codes of the sorted levels from 0; null is -1. Only distinct levels are ordered, in ranges."""
+    levels = numbered(df.where(F.col(col).isNotNull()).select(col).distinct(), col, name)
+    return df.join(levels, col, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
 
 
 def standardise(df: DataFrame, key: str, cols: list[str]) -> DataFrame:

@@ -90,7 +90,7 @@ def five_numbers(df: DataFrame, col: str, by: str) -> DataFrame:
     q = q.select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"))
     v, reach = F.col(col).cast("double"), 1.5 * (F.col("q3") - F.col("q1"))
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
-    return d.join(F.broadcast(q), by).groupBy(by, "q1", "med", "q3").agg(F.min(F.when(inside, v)).alias("low"), F.max(F.when(inside, v)).alias("high"), F.count_if(~inside).alias("n_outliers")).select(by, "low", r6(F.col("q1")).alias("q1"), r6(F.col("med")).alias("med"), r6(F.col("q3")).alias("q3"), "high", "n_outliers")
+    return d.join(q, by).groupBy(by, "q1", "med", "q3").agg(F.min(F.when(inside, v)).alias("low"), F.max(F.when(inside, v)).alias("high"), F.count_if(~inside).alias("n_outliers")).select(by, "low", r6(F.col("q1")).alias("q1"), r6(F.col("med")).alias("med"), r6(F.col("q3")).alias("q3"), "high", "n_outliers")
 
 
 def pearson(df: DataFrame, cols: list[str]) -> DataFrame:

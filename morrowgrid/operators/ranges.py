@@ -55,6 +55,15 @@ def _before(sizes: DataFrame, by: Sequence[str], size: str, order: Sequence[str]
     return F.coalesce(F.sum(size).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
 
+def numbered(values: DataFrame, col: str, name: str) -> DataFrame:
+    """Distinct values of any type with their number from 0 in order; the ranges are fixed by the write."""
+    parts = cut_lineage(values.repartitionByRange(col).withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("mg_size"))
+    offsets = sizes.select("part", _before(sizes, [], "mg_size").alias("mg_off"))
+    inner = F.row_number().over(W.partitionBy("part").orderBy(col))
+    return parts.join(offsets, "part").withColumn(name, (F.col("mg_off") + inner - 1).cast("int")).drop("part", "mg_off")
+
+
 def with_position(df: DataFrame, col: str, tie: str, by: Sequence[str] = (), name: str = "pos", desc: bool = False) -> DataFrame:
     """Add the position from 1 in the order of (col, tie), in each group of `by`; tie is a number.
 

@@ -27,7 +27,7 @@ def chi2(df: DataFrame, x: str, y: str) -> DataFrame:
     c = crosstab(df, x, y)
     rows, cols = c.groupBy(x).agg(F.sum("n").alias("rn")), c.groupBy(y).agg(F.sum("n").alias("cn"))
     total = c.agg(F.sum("n").alias("total"), F.count_distinct(x).alias("r"), F.count_distinct(y).alias("k"))
-    e = c.join(F.broadcast(rows), x).join(F.broadcast(cols), y).crossJoin(F.broadcast(total)).withColumn("e", F.col("rn").cast("double") * F.col("cn") / F.col("total"))
+    e = c.join(rows, x).join(cols, y).crossJoin(F.broadcast(total)).withColumn("e", F.col("rn").cast("double") * F.col("cn") / F.col("total"))
     gap = F.abs(F.col("n") - F.col("e"))
     dof = (F.col("r") - 1) * (F.col("k") - 1)
     yates = gap - F.when(dof == 1, F.least(F.lit(0.5), gap)).otherwise(0.0)

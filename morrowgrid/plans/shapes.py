@@ -12,6 +12,7 @@ from ..operators import profile as pr
 from ..operators import quality as ql
 from ..operators import shapes as sh
 from ..session import shared_folder
+from ..sources import inference as inf
 from ..sources import tables as tb
 from .registry import query, with_views
 from .scores import _CUM
@@ -32,6 +33,18 @@ def csv_source(spark, sf):
     return tb.read_csv(spark, cached, _CSV, "ISO-8859-1", {"o_orderdate": ["M/d/yyyy H:mm:ss", "yyyy-MM-dd HH:mm:ss"]})
 
 
+@query("csv_inferred", """SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 2 = 0 END AS even, CAST(o_orderkey % 100 AS DECIMAL(4,2)) + CAST(0.25 AS DECIMAL(4,2)) AS cents,
+  CASE WHEN o_orderkey % 5 <> 0 THEN date_trunc('second', o_orderdate) END AS placed, CASE WHEN o_orderkey % 9 = 0 THEN 'x' ELSE CAST(o_orderkey AS VARCHAR) END AS mixed FROM orders""")
+def csv_inferred(spark, sf):
+    """Orders written as CSV without types, with gaps, two timestamp forms and a column of mixed values; the types are inferred from all rows."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    k = F.col("o_orderkey")
+    stamp = F.when(k % 5 == 0, "NA").when(k % 2 == 0, F.date_format("o_orderdate", "M/d/yyyy H:mm:ss")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    cols = {"o_orderkey": k, "o_totalprice": F.format_string("%.12e", "o_totalprice"), "even": F.when(k % 7 != 0, F.when(k % 2 == 0, "true").otherwise("False")).otherwise(""), "cents": F.concat((k % 100).cast("string"), F.lit(".25")), "placed": stamp, "mixed": F.when(k % 9 == 0, "x").otherwise(k.cast("string"))}
+    tb.write_csv(spark.read.parquet(f"{sf}/orders.parquet").select(*(v.cast("string").alias(n) for n, v in cols.items())), path)
+    return inf.read_csv_inferred(spark, path)
+
+
 _STATS = ("n", "mean", "min_value", "max_value")
 _DESCRIBED = ("de", " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(count({c}) AS DOUBLE) AS n, round(avg(CAST({c} AS DOUBLE)), 6) AS mean, CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value FROM churn" for c in ("age", "balance")))
 
