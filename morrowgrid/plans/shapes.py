@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.expressions import scaled_round
 from ..operators import metrics as mt
 from ..operators import profile as pr
 from ..operators import quality as ql
@@ -98,7 +99,7 @@ def date_part(spark, sf):
 @query("format_money", with_views("SELECT customer_id, '€' || format('{:,}', CAST(round(balance) AS BIGINT)) AS money, printf('%+.1f pp', round((balance - salary) / 1000, 1)) AS gap, printf('%.1f%%', round(100 * balance / salary, 1)) AS share FROM churn", CHURN))
 def format_money(spark, sf):
     """Currency with thousands, a signed difference, a percentage."""
-    return churn(spark, sf).select("customer_id", F.concat(F.lit("€"), F.format_number(F.round("balance").cast("long"), 0)).alias("money"), F.format_string("%+.1f pp", F.round((F.col("balance") - F.col("salary")) / 1000, 1)).alias("gap"), F.format_string("%.1f%%", F.round(100 * F.col("balance") / F.col("salary"), 1)).alias("share"))
+    return churn(spark, sf).select("customer_id", F.concat(F.lit("€"), F.format_number(F.round("balance").cast("long"), 0)).alias("money"), F.format_string("%+.1f pp", scaled_round((F.col("balance") - F.col("salary")) / 1000, 1)).alias("gap"), F.format_string("%.1f%%", scaled_round(100 * F.col("balance") / F.col("salary"), 1)).alias("share"))
 
 
 @query("text_table", with_views("SELECT 0 AS no, 'geography' || chr(9) || 'target_rate' || chr(9) || 'n' AS line UNION ALL SELECT CAST(row_number() OVER (ORDER BY geography) AS INTEGER), geography || chr(9) || printf('%.4f', sum(exited) / count(*)) || chr(9) || count(*) FROM churn GROUP BY geography", CHURN))
