@@ -6,6 +6,7 @@ takes all of its values; blanks and the marks of missing values take any type. A
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,8 +26,19 @@ def known(c: Column) -> Column:
     return F.when(~text.isin(*MISSING), text)
 
 
+def literals(form: str) -> list[str]:
+    """Characters that every value of a timestamp form holds; none are named where the form has quotes, options or fractions."""
+    return [] if set(form) & set("[]'{}#S") else sorted({x for x in form if x.isascii() and not x.isalnum()})
+
+
 def as_timestamp(c: Column, formats: Sequence[str]) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in formats))
+    """The first form that takes the value; a value without a form's own characters isn't parsed, as each failure is an exception."""
+
+    def tried(form: str) -> Column:
+        parsed, could = F.try_to_timestamp(c, F.lit(form)).cast("timestamp_ntz"), [c.contains(x) for x in literals(form)]
+        return F.when(functools.reduce(Column.__and__, could), parsed) if could else parsed
+
+    return F.coalesce(*map(tried, formats))
 
 
 def inferred_schema(df: DataFrame, formats: Sequence[str] = FORMATS) -> T.StructType:
