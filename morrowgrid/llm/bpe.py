@@ -17,15 +17,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import append_columns, named, sha, spread
+from .kernel import append_columns, sha, spread
 
 #: How the byte-level pre-tokenizer splits a text (a fixed value of the format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words kept in a worker's cache before it starts anew, and the longest word that is kept.
-CACHE_WORDS, CACHE_LENGTH = 500_000, 64
+CACHE_WORDS, CACHE_LENGTH = 100_000, 64
 #: SPLIT for texts of Latin-1 signs only, with its classes of letters, numbers and white space written out.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 SPLIT_LATIN = rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
@@ -87,12 +86,13 @@ class SpeculativeBpe:
         self.start_cache()
 
     def start_cache(self) -> None:
-        self.ids: dict[str, str] = {}  # each word's ids as decimal numbers, and as 32-bit integers
-        self.codes: dict[str, bytes] = {}
+        # each word's number, the ids of all words one after the other, and where each begins; a word costs one entry of one dict
+        self.number = {s: k for k, s in enumerate(self.special)}
+        self.codes, self.begin = array("i", self.special.values()), array("q", range(len(self.special) + 1))
         self.long: list[str] = []
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "codes", "long", "split", "special_split")} | {"pattern": self.special_split and self.special_split.pattern}
+        return {k: v for k, v in self.__dict__.items() if k not in ("number", "codes", "begin", "long", "split", "special_split")} | {"pattern": self.special_split and self.special_split.pattern}
 
     def __setstate__(self, state):
         pattern = state.pop("pattern")
@@ -201,12 +201,10 @@ class SpeculativeBpe:
         for i in failing:
             proposed[i] = self.merge(raw[i])
         self.long += [w for w in words if len(w) > CACHE_LENGTH]
-        name, at = self.name_of.__getitem__, 0
-        packed = array("i", chain.from_iterable(proposed)).tobytes()
-        for w, p in zip(words, proposed, strict=True):
-            end = at + 4 * len(p)
-            self.codes[w], at = packed[at:end], end
-            self.ids[w] = ",".join(map(name, p))
+        self.number.update(zip(words, range(len(self.begin) - 1, len(self.begin) - 1 + len(words)), strict=True))
+        for p in proposed:
+            self.codes.extend(p)
+            self.begin.append(len(self.codes))
 
     def pieces(self, text: str) -> list[str]:
         try:
@@ -222,12 +220,18 @@ class SpeculativeBpe:
 
     def encode_texts(self, texts: list[str | None]) -> list[tuple[np.ndarray, str]]:
         """Each text's ids, as an array and as decimal numbers joined by commas."""
+        self.forget()
         split = [self.words(t or "") for t in texts]
-        new = set().union(*split) - self.ids.keys() - self.special.keys() if split else set()
-        self.learn(sorted(new))
-        for s, i in self.special.items():
-            self.ids[s], self.codes[s] = str(i), np.array([i], np.int32).tobytes()
-        return [(np.frombuffer(b"".join(map(self.codes.__getitem__, w)), np.int32), ",".join(map(self.ids.__getitem__, w))) for w in split]
+        new = set().union(*split) - self.number.keys()
+        # long words last, so that they can be cut off again
+        self.learn(sorted(new, key=lambda w: (len(w) > CACHE_LENGTH, w)))
+        words = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64)
+        begin = np.array(self.begin)
+        lo, n = begin[words], np.diff(begin)[words]
+        codes = np.array(self.codes, np.int32)[spread(lo, n)]
+        ends = np.append(0, np.cumsum(n))[np.cumsum([0, *map(len, split)])].tolist()
+        parts = [codes[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+        return [(p, ",".join(map(self.name_of.__getitem__, p.tolist()))) for p in parts]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The decoded text of ids in UTF-8; bytes that aren't UTF-8 become U+FFFD."""
@@ -240,11 +244,12 @@ class SpeculativeBpe:
         return raw
 
     def forget(self) -> None:
-        if len(self.ids) > CACHE_WORDS:
+        if len(self.number) > CACHE_WORDS:
             self.start_cache()
-        for w in self.long:
-            del self.ids[w], self.codes[w]
-        self.long = []
+        if self.long:
+            first = min(map(self.number.pop, self.long))
+            del self.codes[self.begin[first] :], self.begin[first + 1 :]
+            self.long = []
 
     def encode(self, text: str | None) -> list[int]:
         (ids, _), = self.encode_texts([text])
@@ -285,7 +290,7 @@ def add_tokens(docs: DataFrame, path: str, text_col: str = "text", keep: list[st
         return (n, ids_sha, text_sha, all_ids)[: 4 if with_ids else 3]
 
     new = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string()), ("token_ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))]
-    return append_columns(docs, text_col, make, new[: 4 if with_ids else 3], keep, 1 << 20)
+    return append_columns(docs, text_col, make, new[: 4 if with_ids else 3], keep, 1 << 18)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,6 +304,4 @@ def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Every row stays, repeated rows and null ids too; a null or empty text has no token. Extra columns may have any
     name; those called like a new one, in whatever case, are replaced by it. An empty table stays empty.
     """
-    new = ("n_tokens", "ids_sha256", "decoded_sha256")
-    packed = docs.select(F.struct(*(named(c) for c in docs.columns if c.lower() not in new)).alias("row"), named("text").alias("text"))
-    return add_tokens(packed, vocabulary_path(), keep=["row"]).select("row.*", *new)
+    return add_tokens(docs, vocabulary_path())
