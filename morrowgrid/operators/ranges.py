@@ -88,28 +88,24 @@ def in_long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> Dat
     return df.select(*keep, F.explode(cells).alias("mg_s")).select(*keep, "mg_s.*").where(F.col("mg_v").isNotNull() & ~F.isnan("mg_v"))
 
 
-def cumulated(rows: DataFrame, weight: str, tie: Sequence[str] = ()) -> DataFrame:
+def cumulated(rows: DataFrame, weight: str, tie: Sequence[str] = (), more: Sequence[str] = ()) -> DataFrame:
     """rows (mg_i, mg_v, ...) with mg_upto, the sum of weight up to each row in the order of (mg_v, tie) of its mg_i, and mg_total.
 
-    All groups mg_i are ordered together: rows are cut into ranges of (group, value) at boundaries that the driver holds
-    (ranges times groups, so groups are few), and summed on within each range. rows must be a written table, since it is read several times;
-    rows of one value meet in one task, so they are to be few: counts, not rows.
+    All groups mg_i are ordered together: rows are dealt by range of (group, value) once, and summed on within each range; the
+    ranges are fixed by the write, so all weights and all reads share them. more: further weights w, summed in the same
+    pass as {w}_upto and {w}_total. rows must be a written table, since it is read twice; rows of one value meet in one task,
+    so they are to be few: counts, not rows.
     """
-    spark, n = rows.sparkSession, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
-    at = [i / n for i in range(1, n)]
-    found = rows.groupBy("mg_i").agg(F.percentile_approx("mg_v", at, max(1000, 10 * n)).alias("b")).collect() if at else []
-    # two steps find a value's range: among every width-th boundary, then among those that follow it
-    width = max(1, int(n**0.5))
-    ends = [(r["mg_i"], [b[k] for k in range(0, len(b), width)], [b[k : k + width] for k in range(0, len(b), width)]) for r in found for b in [sorted(set(r["b"]))]]
-    array = T.ArrayType(T.DoubleType())
-    bounds = spark.createDataFrame(ends, T.StructType([T.StructField("mg_i", rows.schema["mg_i"].dataType), T.StructField("mg_heads", array), T.StructField("mg_groups", T.ArrayType(array))]))
-    step = F.size(F.filter("mg_heads", lambda b: b < F.col("mg_v")))
-    part = F.when(step < 1, 0).otherwise(1 + (step - 1) * width + F.size(F.filter(F.try_element_at("mg_groups", step), lambda b: b < F.col("mg_v"))))
-    parts = rows.join(F.broadcast(bounds), "mg_i", "left").withColumn("part", F.coalesce(part, F.lit(0))).drop("mg_heads", "mg_groups")
-    sizes = parts.groupBy("mg_i", "part").agg(F.sum(weight).alias("mg_size"))
-    offsets = sizes.select("mg_i", "part", _before(sizes, ["mg_i"], "mg_size").alias("mg_off"), F.sum("mg_size").over(W.partitionBy("mg_i")).alias("mg_total"))
-    upto = F.sum(weight).over(W.partitionBy("mg_i", "part").orderBy("mg_v", *tie).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return parts.join(offsets, ["mg_i", "part"]).withColumn("mg_upto", F.col("mg_off") + upto).drop("part", "mg_off")
+    names = {weight: ("mg_upto", "mg_total")} | {w: (f"{w}_upto", f"{w}_total") for w in more}
+    parts = cut_lineage(rows.repartitionByRange("mg_i", "mg_v").withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("mg_i", "part").agg(*(F.sum(w).alias(f"mg_size_{w}") for w in names))
+    off = [_before(sizes, ["mg_i"], f"mg_size_{w}").alias(f"mg_off_{w}") for w in names]
+    total = [F.sum(f"mg_size_{w}").over(W.partitionBy("mg_i")).alias(t) for w, (_, t) in names.items()]
+    within = W.partitionBy("mg_i", "part").orderBy("mg_v", *tie).rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = parts.withColumns({u: F.sum(w).over(within) for w, (u, _) in names.items()})
+    # as many rows as groups and ranges together: a range holds several groups or a piece of one
+    joined = run.join(F.broadcast(sizes.select("mg_i", "part", *off, *total)), ["mg_i", "part"])
+    return joined.withColumns({u: F.col(f"mg_off_{w}") + F.col(u) for w, (u, _) in names.items()}).drop("part", *(f"mg_off_{w}" for w in names))
 
 
 def rank_tables(long: DataFrame, count: str | None = None) -> DataFrame:
