@@ -140,18 +140,26 @@ def _cell(v: Column) -> Column:
 
 
 def quantiles_of(df: DataFrame, cols: Sequence[str], at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """(by, column_name, q): exact interpolated quantiles of several columns in each group, by selection; nulls and NaN aside.
+    """(by, column_name, q): exact interpolated quantiles of several columns in each group; nulls and NaN aside.
 
-    One pass counts the values of all columns and groups in the cells of a histogram whose cells are in the order of
-    the values. Only the cells that hold a wanted position go on: they are cut into finer cells by further passes while
-    they hold more than FEW rows and more than one value, and what is left of them is counted value by value. A column
-    or group without a value has no row; rows with a null group are left out.
+    A column or group without a value has no row; rows with a null group are left out.
     """
-    key = [*by, "mg_i"]
     d = df
     for b in by:
         d = d.where(F.col(b).isNotNull())
-    long = in_long(d, cols, by).withColumn("mg_c", _cell(F.col("mg_v")))
+    return quantiles_in_long(in_long(d, cols, by), cols, at, by)
+
+
+def quantiles_in_long(long: DataFrame, cols: Sequence[str], at: Sequence[float], by: Sequence[str] = (), count: str | None = None) -> DataFrame:
+    """The same of a table (by, mg_i, mg_v) without nulls and NaN, by selection; count: a column that tells how many rows a row stands for.
+
+    One pass counts the values of all columns and groups in the cells of a histogram whose cells are in the order of
+    the values. Only the cells that hold a wanted position go on: they are cut into finer cells by further passes while
+    they hold more than FEW rows and more than one value, and what is left of them is counted value by value.
+    """
+    key = [*by, "mg_i"]
+    number = F.sum(count) if count else F.count("*")
+    long = long.withColumn("mg_c", _cell(F.col("mg_v")))
     place = lambda p: F.lit(float(p)) * (F.col("mg_total") - 1)
     ranks = F.array_distinct(F.array(*(r(place(p)).cast("long") for p in at for r in (F.floor, F.ceil))))
     found: list[DataFrame] = []
@@ -163,7 +171,7 @@ def quantiles_of(df: DataFrame, cols: Sequence[str], at: Sequence[float], by: Se
         inside = F.filter(ranks, lambda r: (r >= F.col("mg_upto") - F.col("mg_n")) & (r < F.col("mg_upto")))
         return cut_lineage(run.withColumn("mg_ranks", inside).where(F.size("mg_ranks") > 0).select(*key, "mg_c", "lo", "hi", "mg_n", (F.col("mg_upto") - F.col("mg_n")).alias("mg_before"), "mg_total", "mg_ranks"))
 
-    ends = [F.count("*").alias("mg_n"), F.min("mg_v").alias("lo"), F.max("mg_v").alias("hi")]
+    ends = [number.alias("mg_n"), F.min("mg_v").alias("lo"), F.max("mg_v").alias("hi")]
     open_ = wanted(long.groupBy(*key, "mg_c").agg(*ends), ["mg_c"], F.lit(0), F.sum("mg_n").over(W.partitionBy(*key)))
     while True:
         found.append(open_.where("lo = hi").select(*key, "mg_total", F.explode("mg_ranks").alias("mg_r"), F.col("lo").alias("mg_v")))
@@ -173,14 +181,14 @@ def quantiles_of(df: DataFrame, cols: Sequence[str], at: Sequence[float], by: Se
         cells = open_.where("lo < hi").drop("mg_n")
         rows = long.join(cells, [*key, "mg_c"]).where("mg_v >= lo and mg_v <= hi")
         if most <= FEW:
-            values = rows.groupBy(*key, "mg_c", "lo", "mg_before", "mg_total", "mg_ranks", "mg_v").agg(F.count("*").alias("mg_n"))
+            values = rows.groupBy(*key, "mg_c", "lo", "mg_before", "mg_total", "mg_ranks", "mg_v").agg(number.alias("mg_n"))
             upto = F.col("mg_before") + F.sum("mg_n").over(W.partitionBy(*key, "mg_c", "lo").orderBy("mg_v").rowsBetween(W.unboundedPreceding, W.currentRow))
             here = values.withColumn("mg_upto", upto).withColumn("mg_r", F.explode(F.filter("mg_ranks", lambda r: (r >= F.col("mg_upto") - F.col("mg_n")) & (r < F.col("mg_upto")))))
             found.append(here.select(*key, "mg_total", "mg_r", "mg_v"))
             break
         # halves before the difference, so that it stays finite; a product of increasing steps keeps the order
         finer = F.floor((F.col("mg_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BUCKET_CELLS).cast("int")
-        kept = rows.select(*key, "mg_c", F.col("lo").alias("mg_lo"), "mg_before", F.col("mg_total").alias("mg_t"), "mg_v", finer.alias("mg_f"))
+        kept = rows.select(*key, "mg_c", F.col("lo").alias("mg_lo"), "mg_before", F.col("mg_total").alias("mg_t"), "mg_v", finer.alias("mg_f"), *([count] if count else []))
         hist = kept.groupBy(*key, "mg_c", "mg_lo", "mg_before", "mg_t", "mg_f")
         open_ = wanted(hist.agg(*ends), ["mg_c", "mg_lo", "mg_f"], F.col("mg_before"), F.col("mg_t"))
     every = found[0]

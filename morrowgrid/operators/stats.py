@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.expressions import edge_bins, r6
 from ..functions.tails import chi2_p, normal_two_sided
 from ..session import cut_lineage
-from .features import median_filled
 from .profile import crosstab, spearman, with_quantile_bin
-from .ranges import cumulated, in_long, quantiles_of, rank_tables, with_ranks
+from .ranges import cumulated, in_long, quantiles_in_long, rank_tables, with_ranks
 
 #: Distinct values of a class in which neighbours are sought at once.
 NEIGHBOUR_BLOCK = 4096
@@ -55,7 +54,11 @@ def mann_whitneys(df: DataFrame, cols: list[str], y: str) -> DataFrame:
 
     All columns are ranked in one plan, over distinct values; equal values meet as counts.
     """
-    long = cut_lineage(in_long(df.where(F.col(y).isNotNull()).withColumn("mg_y", F.col(y).cast("long")), cols, ["mg_y"]).groupBy("mg_i", "mg_v", "mg_y").agg(F.count("*").alias("mg_k")))
+    return _mann_whitneys(cut_lineage(in_long(df.where(F.col(y).isNotNull()).withColumn("mg_y", F.col(y).cast("long")), cols, ["mg_y"]).groupBy("mg_i", "mg_v", "mg_y").agg(F.count("*").alias("mg_k"))), cols)
+
+
+def _mann_whitneys(long: DataFrame, cols: list[str]) -> DataFrame:
+    """The same from a written table of counts (mg_i, mg_v, mg_y, mg_k)."""
     per = long.groupBy("mg_i", "mg_v").agg(F.sum("mg_k").alias("m"), F.sum(F.col("mg_k") * F.col("mg_y")).alias("pos"))
     s = per.join(rank_tables(long, "mg_k").select("mg_i", "mg_v", "mg_rank"), ["mg_i", "mg_v"]).groupBy("mg_i").agg(F.sum("m").alias("n"), F.sum("pos").alias("n1"), F.sum(F.col("mg_rank") * F.col("pos")).alias("r1"), F.sum(F.col("m").cast("double") * F.col("m") * F.col("m") - F.col("m")).alias("ties"))
     n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
@@ -167,7 +170,11 @@ def mutual_informations_knn(df: DataFrame, cols: list[str], y: str, k: int = 3)
     and interval ends together.
     """
     long = in_long(df.where(F.col(y).isNotNull()).withColumn("mg_y", F.col(y).cast("int")), cols, ["mg_y"])
-    counts = cut_lineage(long.groupBy("mg_i", "mg_v", "mg_y").agg(F.count("*").alias("mg_c")))
+    return _mutual_informations_knn(cut_lineage(long.groupBy("mg_i", "mg_v", "mg_y").agg(F.count("*").alias("mg_c"))), k)
+
+
+def _mutual_informations_knn(counts: DataFrame, k: int = 3) -> DataFrame:
+    """The same from a written table of counts (mg_i, mg_v, mg_y, mg_c)."""
     r = cut_lineage(_radii(counts, k))
     # nearer by more than rounding, so that the k-th neighbour itself isn't counted
     reach = F.col("mg_r") - F.least(F.col("mg_r"), 1e-9 * F.greatest(F.lit(1.0), F.abs("mg_v")))
@@ -189,18 +196,39 @@ def mutual_information_knn(df: DataFrame, col: str, y: str, k: int = 3) -> DataF
     return mutual_informations_knn(df, [col], y, k).agg(r6(F.max("mi")).alias("mi"))
 
 
-def contingency(df: DataFrame, numeric: list[str], categorical: list[str], y: str, q: int = 10, missing: str = "MISSING") -> DataFrame:
-    """(feature, level, good, bad) of several features by one scan: numbers fall in their q-quantile bins, missing values are a level of their own."""
+def value_counts(df: DataFrame, numeric: list[str], categorical: list[str], y: str) -> DataFrame:
+    """(mg_i, mg_v, level, mg_y, mg_k): how often each value of each feature (a number as mg_v, a text as level, numbers first) occurs with each outcome, by one scan."""
     number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
-    one = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"), text.alias("level")) for c in numeric]
-    one += [F.struct(F.lit(c).alias("feature"), number.alias("v"), F.col(c).cast("string").alias("level")) for c in categorical]
+    one = [F.struct(F.lit(i).alias("mg_i"), F.col(c).cast("double").alias("mg_v"), text.alias("level")) for i, c in enumerate(numeric)]
+    one += [F.struct(F.lit(i).alias("mg_i"), number.alias("mg_v"), F.col(c).cast("string").alias("level")) for i, c in enumerate(categorical, len(numeric))]
     long = df.select(F.explode(F.array(*one)).alias("s"), F.col(y).alias("mg_y")).select("s.*", "mg_y")
+    return long.groupBy("mg_i", "mg_v", "level", "mg_y").agg(F.count("*").alias("mg_k"))
+
+
+def _known(counts: DataFrame, numeric: list[str]) -> DataFrame:
+    """The counts of numbers that aren't missing."""
+    return counts.where((F.col("mg_i") < len(numeric)) & F.col("mg_v").isNotNull() & ~F.isnan("mg_v"))
+
+
+def contingency(df: DataFrame, numeric: list[str], categorical: list[str], y: str, q: int = 10, missing: str = "MISSING") -> DataFrame:
+    """(feature, level, good, bad) of several features by one scan: numbers fall in their q-quantile bins, missing values are a level of their own."""
+    counts = value_counts(df, numeric, categorical, y)
+    edges = {}
+    if numeric:
+        counts = cut_lineage(counts)
+        edges = {r["column_name"]: r["q"] for r in quantiles_in_long(_known(counts, numeric), numeric, [i / q for i in range(q + 1)], count="mg_k").collect()}
+    return _cells(counts, numeric, categorical, edges, missing)
+
+
+def _cells(counts: DataFrame, numeric: list[str], categorical: list[str], edges: dict[str, list[float]], missing: str = "MISSING") -> DataFrame:
+    """(feature, level, good, bad) of `value_counts` and the quantiles of the numbers: bins meet counts, not rows."""
     level = F.col("level")
     if numeric:
-        edges = quantiles_of(df, numeric, [i / q for i in range(q + 1)]).select(F.col("column_name").alias("feature"), F.array_distinct("q").alias("mg_edges"))
-        long = long.join(edges, "feature", "left")
-        level = F.coalesce(level, edge_bins(F.col("v"), F.col("mg_edges")).cast("string"))
-    return long.groupBy("feature", F.coalesce(level, F.lit(missing)).alias("level")).agg(F.count_if(F.col("mg_y") == 0).cast("double").alias("good"), F.count_if(F.col("mg_y") == 1).cast("double").alias("bad"))
+        each = F.array(*(F.array(*map(F.lit, dict.fromkeys(edges.get(c, [])))).cast("array<double>") for c in numeric))
+        level = F.coalesce(level, edge_bins(F.col("mg_v"), F.try_element_at(each, F.col("mg_i") + 1)).cast("string"))
+    name = F.element_at(F.array(*map(F.lit, [*numeric, *categorical])), F.col("mg_i") + 1)
+    of = lambda k: F.sum(F.when(F.col("mg_y") == k, F.col("mg_k")).otherwise(0)).cast("double")
+    return counts.groupBy(name.alias("feature"), F.coalesce(level, F.lit(missing)).alias("level")).agg(of(0).alias("good"), of(1).alias("bad"))
 
 
 def table_measures(cells: DataFrame) -> DataFrame:
@@ -231,15 +259,22 @@ def association_table(df: DataFrame, numeric: list[str], categorical: list[str],
     Mann-Whitney p and rank-biserial r; rounded to 4, sorted by information value.
 
     Numbers are cut into deciles for the table measures, with missing values as a level; for mutual information they
-    are filled with the median. Every measure of all features comes from one grouped plan.
+    are filled with the median. The rows are read once: every measure comes from the counts of (feature, value, outcome).
     """
-    df = cut_lineage(df.select(*numeric, *categorical, y))
-    out = table_measures(contingency(df, numeric, categorical, y)).withColumnRenamed("mutual_info", "mg_mi")
+    counts = cut_lineage(value_counts(df, numeric, categorical, y))
+    known, edges, median = _known(counts, numeric), {}, {}
+    if numeric:
+        found = {r["column_name"]: r["q"] for r in quantiles_in_long(known, numeric, [*(i / 10 for i in range(11)), 0.5], count="mg_k").collect()}
+        edges, median = {c: v[:-1] for c, v in found.items()}, {c: v[-1] for c, v in found.items()}
+    out = table_measures(_cells(counts, numeric, categorical, edges)).withColumnRenamed("mutual_info", "mg_mi")
     if numeric:
         name = F.element_at(F.array(*map(F.lit, numeric)), F.col("mg_i") + 1).alias("feature")
-        filled = median_filled(df, numeric)
-        out = out.join(mann_whitneys(df, numeric, y).select("feature", F.col("p_value").alias("mwu_p"), "rank_biserial"), "feature", "left")
-        out = out.join(mutual_informations_knn(filled, numeric, y).select(name, "mi"), "feature", "left")
+        tested = _mann_whitneys(known.where("mg_y is not null").select("mg_i", "mg_v", F.col("mg_y").cast("long").alias("mg_y"), "mg_k"), numeric)
+        out = out.join(tested.select("feature", F.col("p_value").alias("mwu_p"), "rank_biserial"), "feature", "left")
+        middle = F.try_element_at(F.array(*(F.lit(median.get(c)).cast("double") for c in numeric)), F.col("mg_i") + 1)
+        filled = _known(counts.where("mg_y is not null").withColumns({"mg_v": F.coalesce("mg_v", middle), "mg_y": F.col("mg_y").cast("int")}), numeric)
+        filled = cut_lineage(filled.groupBy("mg_i", "mg_v", "mg_y").agg(F.sum("mg_k").alias("mg_c")))
+        out = out.join(_mutual_informations_knn(filled).select(name, "mi"), "feature", "left")
     else:
         out = out.withColumns({c: F.lit(None).cast("double") for c in ("mwu_p", "rank_biserial", "mi")})
     kind = F.when(F.col("feature").isin(numeric), "num").otherwise("cat")
