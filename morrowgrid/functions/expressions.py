@@ -34,9 +34,9 @@ def r6(c: Column) -> Column:
 
 
 def scaled_round(c: Column, digits: int) -> Column:
-    """Half away from zero on c * 10^digits, as SQL engines on doubles do; what a negative number rounds to keeps its sign, so -0.04 gives -0.0."""
+    """Half away from zero on c * 10^digits, as SQL engines on doubles do; what a negative number rounds to keeps its sign, so -0.04 gives -0.0, as does -0.0."""
     x, scale = c * F.lit(10.0**digits), F.lit(10.0**digits)
-    return F.when(x < 0, F.negative(F.round(F.negative(x), 0))).otherwise(F.round(x, 0)) / scale
+    return F.when(x < 0, F.negative(F.round(F.negative(x), 0))).when(x == 0, x).otherwise(F.round(x, 0)) / scale
 
 
 def cut_bins(c: Column, edges: list[float]) -> Column:
